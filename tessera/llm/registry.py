@@ -1,6 +1,8 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB counterparts."""
 
+from tessera.llm import mixing
 from tessera.llm.ngram_jaccard import op2_ngram_jaccard
+from tessera.llm.sharding import op8_shard_documents
 
-QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op2_ngram_jaccard": op2_ngram_jaccard, "op8_shard_documents": op8_shard_documents}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE}
