@@ -23,11 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Records in an Arrow batch: texts can be long, and a batch is in memory several times over.
+BATCH_RECORDS = 400
+
+
 class Scratch:
     """Tables written once to the shared folder and read back: lineage is cut and a lost executor loses nothing."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if int(spark.conf.get(key)) > BATCH_RECORDS:
+            spark.conf.set(key, BATCH_RECORDS)
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, tag: str) -> str:
@@ -77,7 +84,7 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0..n-1 of the rolling base and of its inverse modulo 2**64."""
     if len(_powers["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         for key, base in (("up", _BASE), ("down", _BASE_INV)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -108,7 +115,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def row_slices(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` bytes, of one row at least."""
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -117,13 +124,18 @@ def row_slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int,
         i = min(j, n)
 
 
-def words_of(buf: np.ndarray, off: np.ndarray, table: np.ndarray = FOLDED_HASH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes other than ASCII white space) of rows: their hashes, starts, ends and rows."""
+#: Bytes of letters, digits and all that isn't ASCII.
+IN_TERM = np.zeros(256, bool)
+IN_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def words_of(buf: np.ndarray, off: np.ndarray, table: np.ndarray = FOLDED_HASH, within: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes ``within``, by default all but ASCII white space) of rows: their hashes, starts, ends and rows."""
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    inside = IN_WORD[buf]
+    inside = within[buf]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     before = np.zeros(n, bool)

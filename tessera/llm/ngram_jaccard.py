@@ -2,19 +2,22 @@
 
 Rows of the incidence matrix are documents, columns are hashed word n-grams. The product is taken one block of columns
 at a time: a block holds the postings of a range of n-gram hashes, and each posting adds one to the overlap of every
-pair of documents in it. Three size-derived bounds keep the product sparse and exact:
+pair of documents in it. Size-derived bounds keep the product sparse and exact:
 
-* a pair with Jaccard of ``num/den`` or more shares ``num*(a+b)/(num+den)`` columns at least, so two such rows meet
-  among the first ``a - ceil(num*a/den) + 1`` columns of each row under any one order of the columns; only those enter
-  the blocks;
+* a pair with Jaccard of ``num/den`` or more shares ``o = num*(a+b)/(num+den)`` columns at least, so under any one order
+  of the columns two such rows share ``min(o, q)`` of the first ``a - ceil(num*a/den) + q`` and ``b - ceil(num*b/den) + q``
+  columns; only those leading columns enter the blocks, and pairs whose accumulated overlap stays below ``min(o, q)`` are
+  discarded (``q`` grows with the smaller row, see ``least_shared``);
 * the order puts columns that many rows hold last (document frequencies are counted over the whole corpus), so a
   passage that many documents share enters a block only where little else is in the row;
-* within a block a pair is discarded when the columns left after the meeting point can't bring the overlap up to the bound.
+* pairs whose sizes alone rule the threshold out are never made.
 
 Surviving pairs get their overlap in full, from the whole sets of both documents, and links are those that reach the
 threshold. Rows with equal sets are one row of the matrix (copies are never expanded). A posting longer than
-``DENSE_POSTING`` first links its rows to its smallest one; only rows that this leaves in different components are
-then paired with each other, so a group of near copies costs its size and no link between components is lost.
+``DENSE_POSTING`` links its rows to its smallest one first. Where this leaves rows of a posting in different components,
+they are dealt into cells of bounded size, and each pair of cells is multiplied as dense blocks: a task returns a
+spanning forest of the links it finds, never the pairs. So a group of near copies costs its size, and no link between
+components is lost.
 
 Defined results: null or blank texts have an empty set, ``n_shingles`` 0 and are their own component; rows with a null
 id get a null component and link nothing; repeated rows of one id are judged row by row; a class of equal sets is
@@ -37,7 +40,11 @@ HEAVY_DF = 32
 #: Postings up to this length add all their pairs, longer ones link to their smallest row first.
 DENSE_POSTING = 48
 #: Bytes of text whose postings are packed together; bounds a task's memory.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+#: Rows of a cell of long postings.
+CELL = 384
+#: Up to this many rows, the sets that candidates need are picked out by a filter of 16 bits for each (64 MB at most).
+FILTERED_ROWS = 1 << 25
 #: Columns known as heavy (8 bytes each on the driver) and the bits of the filter broadcast for them (8 MB).
 MAX_HEAVY, FILTER_BITS = 1 << 20, 26
 
@@ -186,8 +193,13 @@ def _filter_index(key: np.ndarray) -> np.ndarray:
     return mix64(key) >> np.uint64(64 - FILTER_BITS)
 
 
+def least_shared(size):
+    """``q`` of the module's first bound."""
+    return 2 + size // 24
+
+
 def _postings(n: int, bits: int, bucket_bits: int, num: int, den: int, heavy):
-    """The leading columns of each row: (column, id, size, place in the row), packed by block of columns."""
+    """The leading columns of each row: (column, id, size of the row), packed by block of columns."""
 
     def run(batches):
         table = np.unpackbits(np.frombuffer(heavy.value, np.uint8)).view(bool) if heavy is not None else None
@@ -198,7 +210,7 @@ def _postings(n: int, bits: int, bucket_bits: int, num: int, den: int, heavy):
                 for r in rows:
                     own = h[ends[r] : ends[r + 1]]
                     size = len(own)
-                    lead = size - -(-num * size // den) + 1
+                    lead = min(size, size - -(-num * size // den) + least_shared(size))
                     if late is not None and (flag := late[ends[r] : ends[r + 1]])[: lead].any():
                         own = np.concatenate((own[~flag], own[flag]))
                     keys.append(own[:lead])
@@ -209,69 +221,138 @@ def _postings(n: int, bits: int, bucket_bits: int, num: int, den: int, heavy):
                 continue
             lead = np.array(places)
             key = _truncated(np.concatenate(keys), bits)
-            first = np.concatenate(([0], np.cumsum(lead)[:-1]))
-            place = (np.arange(len(key)) - np.repeat(first, lead)).astype(np.uint32)
             order = np.argsort(key)
-            key, place = key[order], place[order]
+            key = key[order]
             doc, size = np.repeat(np.array(ids, np.int64), lead)[order], np.repeat(np.array(sizes, np.uint32), lead)[order]
-            out = [(b, pack(np.diff(key[at], prepend=np.uint64(0))), pack(doc[at]), pack(size[at]), pack(place[at])) for b, at in _by_bucket(key, bits, bucket_bits)]
-            yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 5))], ["bucket", "k", "d", "n", "p"])
+            out = [(b, pack(np.diff(key[at], prepend=np.uint64(0))), pack(doc[at]), pack(size[at])) for b, at in _by_bucket(key, bits, bucket_bits)]
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 4))], ["bucket", "k", "d", "n"])
 
     return run
 
 
-def _meet(a_n, a_p, b_n, b_p, num, den) -> np.ndarray:
-    """Whether an overlap that starts at these places can reach the bound."""
-    need = -(-num * (a_n + b_n) // (num + den))
-    return 1 + np.minimum(a_n - a_p, b_n - b_p) - 1 >= need
+PRODUCT = "kind int, a long, b long, shared long, least long, ids array<long>"
+
+
+def _rows(kind: int, a, b=None, shared=None, least=None, ids=None) -> pa.RecordBatch:
+    n = len(a)
+    of = lambda x: pa.nulls(n, pa.int64()) if x is None else pa.array(x, pa.int64())
+    return pa.record_batch([pa.array(np.full(n, kind, np.int32)), of(a), of(b), of(shared), of(least), pa.nulls(n, pa.list_(pa.int64())) if ids is None else pa.array(ids, pa.list_(pa.int64()))], ["kind", "a", "b", "shared", "least", "ids"])
 
 
 def _product(num: int, den: int):
-    """Pairs of a block of columns (kind 0), and its long postings (kind 1: ids, sizes and places, 2048 to a row)."""
+    """Of a block of columns: pairs with the columns they share in it (kind 0), long postings (1: column, smallest id, ids, 2048 to a row), and how many of those hold an id (2)."""
 
     def run(batches):
-        for bucket, rows in _grouped(batches):
+        for _, rows in _grouped(batches):
             key = np.concatenate([np.cumsum(unpack(x[0], np.uint64)) for x in rows])
             doc = np.concatenate([unpack(x[1], np.int64) for x in rows])
             size = np.concatenate([unpack(x[2], np.uint32) for x in rows]).astype(np.int64)
-            place = np.concatenate([unpack(x[3], np.uint32) for x in rows]).astype(np.int64)
             del rows
             order = np.lexsort((doc, key))
-            key, doc, size, place = key[order], doc[order], size[order], place[order]
-            edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            key, doc, size = key[order], doc[order], size[order]
+            edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             length = np.diff(np.append(edges, len(key)))
-            found: list[np.ndarray] = []
+            near = lambda a, b: (doc[a] != doc[b]) & (num * np.maximum(size[a], size[b]) <= den * np.minimum(size[a], size[b]))
+            found = np.zeros((0, 4), np.int64)
+
+            def add(found, a, b):
+                a, b = (x[near(a, b)] for x in (a, b))
+                small, both = np.minimum(size[a], size[b]), size[a] + size[b]
+                new = np.stack((doc[a], doc[b], np.ones(len(a), np.int64), np.minimum(least_shared(small), -(-num * both // (num + den)))), 1)
+                new = np.concatenate((found, new))
+                new = new[np.lexsort((new[:, 1], new[:, 0]))]
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(new[:, 0]) != 0) | (np.diff(new[:, 1]) != 0)))[: len(new)])
+                if not len(first):
+                    return found
+                return np.stack((new[first, 0], new[first, 1], np.add.reduceat(new[:, 2], first), np.maximum.reduceat(new[:, 3], first)), 1)
+
             for k in np.unique(length[(length > 1) & (length <= DENSE_POSTING)]):
                 at = edges[length == k]
                 i, j = np.triu_indices(int(k), 1)
-                step = max(1, (1 << 21) // len(i))
+                step = max(1, (1 << 18) // len(i))
                 for s in range(0, len(at), step):
-                    a, b = (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel()
-                    ok = (doc[a] != doc[b]) & _meet(size[a], place[a], size[b], place[b], num, den)
-                    found.append(np.unique(np.stack((doc[a[ok]], doc[b[ok]]), 1), axis=0))
-            long_rows = []
+                    found = add(found, (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel())
+            long_rows, held = [], []
             for lo, n in zip(edges[length > DENSE_POSTING], length[length > DENSE_POSTING], strict=True):
-                at = slice(lo, lo + n)
-                rest = np.arange(lo + 1, lo + n)
-                ok = (doc[rest] != doc[lo]) & (num * np.maximum(size[rest], size[lo]) <= den * np.minimum(size[rest], size[lo]))
-                found.append(np.stack((np.full(ok.sum(), doc[lo]), doc[rest[ok]]), 1))
-                long_rows += [(int(key[lo]), doc[at][s : s + 2048], size[at][s : s + 2048]) for s in range(0, n, 2048)]
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                none = pa.nulls(len(pairs), pa.list_(pa.int64()))
-                yield pa.record_batch([pa.array(np.zeros(len(pairs), np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], ["kind", "a", "b", "ids", "sizes"])
+                found = add(found, np.full(n - 1, lo), np.arange(lo + 1, lo + n))
+                ids = np.unique(doc[lo : lo + n])
+                held.append(ids)
+                long_rows += [(int(key[lo]), int(doc[lo]), ids[s : s + 2048]) for s in range(0, len(ids), 2048)]
+            for s in range(0, len(found), 50_000):
+                yield _rows(0, *found[s : s + 50_000].T)
             if long_rows:
-                m = len(long_rows)
-                yield pa.record_batch([pa.array(np.ones(m, np.int32)), pa.array([x[0] for x in long_rows], pa.int64()), pa.nulls(m, pa.int64()), pa.array([x[1] for x in long_rows], pa.list_(pa.int64())), pa.array([x[2] for x in long_rows], pa.list_(pa.int64()))], ["kind", "a", "b", "ids", "sizes"])
+                yield _rows(1, [x[0] for x in long_rows], [x[1] for x in long_rows], ids=[x[2] for x in long_rows])
+                ids, times = np.unique(np.concatenate(held), return_counts=True)
+                yield _rows(2, ids, shared=times)
 
     return run
 
 
-def _whole_sets(n: int):
+def _bits(width: int):
+    """Words of a bit filter of ids."""
+
     def run(batches):
-        for ids, known, h, ends, _ in _sets(batches, n):
-            rows = np.flatnonzero(known)
-            yield pa.record_batch([pa.array(ids[rows]), pa.array([h[ends[r] : ends[r + 1]].tobytes() for r in rows], pa.binary())], ["id", "members"])
+        for batch in batches:
+            at = np.unique(mix64(np.asarray(batch.column(0)).view(np.uint64)) >> np.uint64(64 - width))
+            word, first = np.unique(at >> np.uint64(5), return_index=True)
+            bits = np.uint64(1) << (at & np.uint64(31))
+            if len(at):
+                yield pa.record_batch([pa.array(word.astype(np.int64)), pa.array(np.bitwise_or.reduceat(bits, first).astype(np.int64))], ["word", "bits"])
+
+    return run
+
+
+def _cell(num: int, den: int):
+    """A spanning forest of the links between components in a cell, by dense products of blocks of columns."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp = np.asarray(table["id"]), np.asarray(table["component"])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["members"]]
+        size = np.array([len(x) for x in sets])
+        column, at = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        shared = np.bincount(at, minlength=len(column)) > 1
+        at, row = (np.cumsum(shared) - 1)[at[shared[at]]], row[shared[at]]
+        order = np.argsort(at, kind="stable")
+        at, row = at[order], row[order]
+        overlap = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(shared.sum()), 2048):
+            a, b = np.searchsorted(at, (lo, lo + 2048))
+            block = np.zeros((len(sets), 2048), np.float32)
+            block[row[a:b], at[a:b] - lo] = 1
+            overlap += block @ block.T
+        overlap = overlap.astype(np.int64)
+        linked = (den * overlap >= num * (size[:, None] + size[None, :] - overlap)) & (comp[:, None] != comp[None, :])
+        parent = {int(c): int(c) for c in np.unique(comp)}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        edges = []
+        for i, j in np.argwhere(np.triu(linked, 1)):
+            p, q = root(int(comp[i])), root(int(comp[j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                edges.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
+
+
+def _whole_sets(n: int, width: int, bits):
+    """Whole sets of the rows in the filter (all, without one)."""
+
+    def run(batches):
+        words = np.frombuffer(bits.value, np.uint32) if bits is not None else None
+        for batch in batches:
+            if words is not None:
+                at = mix64(np.asarray(batch.column(0).fill_null(0)).view(np.uint64)) >> np.uint64(64 - width)
+                batch = batch.filter(pa.array((words[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)))
+            for ids, known, h, ends, _ in _sets([batch], n):
+                rows = np.flatnonzero(known)
+                yield pa.record_batch([pa.array(ids[rows]), pa.array([h[ends[r] : ends[r + 1]].tobytes() for r in rows], pa.binary())], ["id", "members"])
 
     return run
 
@@ -354,34 +435,47 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
         bitmap = spark.sparkContext.broadcast(np.packbits(table).tobytes())
     scratch.drop("heavy")
 
-    posted = in_blocks(source.mapInArrow(_postings(n, bits, bucket_bits, num, den, bitmap), "bucket int, k binary, d binary, n binary, p binary"))
-    met = scratch.table(posted.mapInArrow(_product(num, den), "kind int, a long, b long, ids array<long>, sizes array<long>"), "met")
+    posted = in_blocks(source.mapInArrow(_postings(n, bits, bucket_bits, num, den, bitmap), "bucket int, k binary, d binary, n binary"))
+    met = scratch.table(posted.mapInArrow(_product(num, den), PRODUCT), "met")
     named = member.filter("rep is not null").select("id", "rep").distinct()
 
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        """Links among pairs of ids: (a, b) of class representatives."""
-        x, y = named.select(F.col("id").alias("a"), F.col("rep").alias("ra")), named.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
-        reps = pairs.join(x, "a").join(y, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        reps = scratch.table(reps, f"{tag}-pairs")
-        wanted = reps.select(F.col("a").alias("id")).union(reps.select("b")).distinct()
-        sets = scratch.table(source.join(wanted, "id", "left_semi").mapInArrow(_whole_sets(n), "id long, members binary"), f"{tag}-sets")
-        first, second = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
-        links = reps.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(_overlaps(num, den), "a long, b long")
-        links = scratch.table(links, f"{tag}-links")
-        scratch.drop(f"{tag}-sets", f"{tag}-pairs")
-        return links
-
-    links = verified(met.filter("kind = 0").select("a", "b"), "first")
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(id, members) of the wanted ids, and maybe of some others."""
+        many = wanted.count()
+        if many > FILTERED_ROWS:
+            return source.join(wanted, "id", "left_semi").mapInArrow(_whole_sets(n, 0, None), "id long, members binary")
+        width = max(10, (16 * many).bit_length())
+        found = wanted.mapInArrow(_bits(width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(1 << (width - 5), np.uint32)
+        words[np.asarray(found["word"])] = np.asarray(found["bits"]).astype(np.uint32)
+        return source.mapInArrow(_whole_sets(n, width, spark.sparkContext.broadcast(words.tobytes())), "id long, members binary")
+
+    long_of = met.filter("kind = 2").groupBy(F.col("a").alias("x")).agg(F.sum("shared").alias("long"))
+    pairs = met.filter("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    pairs = pairs.join(long_of.select(F.col("x").alias("a"), F.col("long").alias("la")), "a", "left").join(long_of.select(F.col("x").alias("b"), F.col("long").alias("lb")), "b", "left")
+    pairs = pairs.filter(F.col("shared") + F.coalesce(F.least("la", "lb"), F.lit(0)) * (F.col("la").isNotNull() & F.col("lb").isNotNull()).cast("int") >= F.col("least"))
+    x, y = named.select(F.col("id").alias("a"), F.col("rep").alias("ra")), named.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
+    reps = scratch.table(pairs.join(x, "a").join(y, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
+    wanted = scratch.table(reps.select(F.col("a").alias("id")).union(reps.select("b")).distinct(), "wanted")
+    sets = scratch.table(sets_of(wanted), "sets")
+    first, second = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
+    links = scratch.table(reps.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(_overlaps(num, den), "a long, b long"), "links")
+    scratch.drop("sets", "pairs", "wanted")
     label = components(spark, links, scratch, "first")
-    dense = met.filter("kind = 1").select(F.col("a").alias("column"), F.explode(F.arrays_zip("ids", "sizes")).alias("m")).select("column", F.col("m.ids").alias("id"), F.col("m.sizes").alias("n"))
-    placed = dense.join(named, "id").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("column", "rep", "n", F.coalesce("component", "rep").alias("component"))
+
+    dense = met.filter("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("pivot"), F.explode("ids").alias("id"))
+    placed = dense.join(named, "id").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("column", "pivot", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("column")
-    open_rows = scratch.table(placed.join(mixed, "column").distinct(), "open")
+    open_rows = scratch.table(placed.join(mixed, "column").select("pivot", F.col("rep").alias("id"), "component").distinct(), "open")
     if open_rows.limit(1).count():
-        p, q = open_rows.alias("p"), open_rows.alias("q")
-        cross = p.join(q, (F.col("p.column") == F.col("q.column")) & (F.col("p.component") < F.col("q.component")) & (F.col("p.n") * den >= F.col("q.n") * num) & (F.col("q.n") * den >= F.col("p.n") * num))
-        more = verified(cross.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b")).distinct(), "second")
-        label = components(spark, links.union(more), scratch, "second")
+        parts = open_rows.groupBy("pivot").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+        dealt = open_rows.join(parts, "pivot").withColumn("part", F.pmod(F.hash("id"), F.col("parts")))
+        celled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("pivot", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "component")
+        sets = scratch.table(sets_of(scratch.table(open_rows.select("id").distinct(), "cell-wanted")), "cell-sets")
+        more = scratch.table(celled.join(sets, "id").groupBy("pivot", "i", "j").applyInArrow(_cell(num, den), "a long, b long"), "more")
+        scratch.drop("cell-sets")
+        if more.limit(1).count():
+            label = components(spark, links.union(more), scratch, "second")
     label = label.withColumnRenamed("id", "rep")
     out = member.join(label, "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
