@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB counterparts."""
 
 from tessera.llm import mixing
+from tessera.llm.decontamination import op3_decontaminate
 from tessera.llm.ngram_jaccard import op2_ngram_jaccard
 from tessera.llm.pii import op10_pii
 from tessera.llm.sharding import op8_shard_documents
 from tessera.llm.toxicity import op7_toxicity
 
-QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op2_ngram_jaccard": op2_ngram_jaccard, "op7_toxicity": op7_toxicity, "op8_shard_documents": op8_shard_documents, "op10_pii": op10_pii}
+QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_decontaminate": op3_decontaminate, "op7_toxicity": op7_toxicity, "op8_shard_documents": op8_shard_documents, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE}
