@@ -1,12 +1,14 @@
 """Queries of this subpackage and, where SQL can express them, their DuckDB counterparts."""
 
 from tessera.llm import chat, mixing
+from tessera.llm.ann import op4_ann
 from tessera.llm.decontamination import op3_decontaminate
+from tessera.llm.line_dedup import op6_line_dedup
 from tessera.llm.ngram_jaccard import op2_ngram_jaccard
 from tessera.llm.pii import op10_pii
 from tessera.llm.sharding import op8_shard_documents
 from tessera.llm.toxicity import op7_toxicity
 from tessera.llm.warc import op9_warc
 
-QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_decontaminate": op3_decontaminate, "op5_chat_format": chat.op5_chat_format, "op7_toxicity": op7_toxicity, "op8_shard_documents": op8_shard_documents, "op9_warc": op9_warc, "op10_pii": op10_pii}
+QUERIES = {"op1_mix_sources": mixing.op1_mix_sources, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_decontaminate": op3_decontaminate, "op4_ann": op4_ann, "op5_chat_format": chat.op5_chat_format, "op6_line_dedup": op6_line_dedup, "op7_toxicity": op7_toxicity, "op8_shard_documents": op8_shard_documents, "op9_warc": op9_warc, "op10_pii": op10_pii}
 ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op5_chat_format": chat.ORACLE}
