@@ -105,8 +105,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = 50, min_l
     runs = scratch.table(repeated_runs(spark, docs, min_words, min_lines, id_col, text_col, scratch), "runs")
     scratch.drop("selected")
     keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", F.xxhash64(text_col))
+    # runs grow with the input, so they are never broadcast
     runs = runs.withColumnsRenamed({"id": "__rid", "text_key": "__rkey", "runs": "__runs"})
-    joined = keyed.join(runs, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__key") == F.col("__rkey")), "left")
+    joined = keyed.join(runs.hint("merge"), F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__key") == F.col("__rkey")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(lines, lambda line, i: ~F.exists(F.col("__runs"), lambda r: i.between(r["first"], r["last"])))
     removed = F.coalesce(F.size(lines) - F.size(kept), F.lit(0))
