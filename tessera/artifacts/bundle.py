@@ -87,7 +87,7 @@ class FrameStore:
 
     @staticmethod
     def _bytes(df: DataFrame) -> int:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
     def load(self, key: str) -> DataFrame:
         if key in self._memory:

@@ -61,7 +61,7 @@ def gather(df: DataFrame, stats: list[Stat], approximate: bool = False) -> State
             continue
         parts = []
         if plain:
-            rows = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in key)) if any(s.fn != "rows" for s in plain) else df
+            rows = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in key))
             parts.append(rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(*[_aggregate(s, approximate).alias(state.names[s]) for s in plain]))
         for s in own:
             if s.fn == "rank":
@@ -78,7 +78,7 @@ def _attach(df: DataFrame, state: State) -> DataFrame:
         df = df.crossJoin(F.broadcast(state.whole))  # one row
     for n, (key, table) in enumerate(state.keyed.items()):
         own = table.select(*[F.col(f"__k{i}").alias(f"__k{n}_{i}") for i in range(len(key))], *[c for c in table.columns if not c.startswith("__k")])
-        on = [F.col(k).eqNullSafe(F.col(f"__k{n}_{i}")) for i, k in enumerate(key)]
+        on = [F.col(k) == F.col(f"__k{n}_{i}") for i, k in enumerate(key)]  # a null key has no group
         df = df.join(own, on, "left").drop(*[f"__k{n}_{i}" for i in range(len(key))])
     return df
 

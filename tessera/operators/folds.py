@@ -19,7 +19,7 @@ def stratified_folds(df: DataFrame, target: str, row_id: str, k: int = 5, seed:
     Rows of a class are numbered within ranges of the hash, and ranges are counted, so no task orders a whole class.
     """
     h = order_key(row_id, seed)
-    keyed = df.withColumns({"__h": h, "__range": F.substring(h, 1, 2)})
+    keyed = df.withColumns({"__h": h, "__range": F.substring(h, 1, 3)})
     starts = keyed.groupBy(target, "__range").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(target).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(F.col(target).alias("__t"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
@@ -36,10 +36,9 @@ def kfold(df: DataFrame, row_id: str, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def train_test_split(df: DataFrame, row_id: str, test_share: float = 0.3, target: str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Two frames; stratified by ``target``, if given."""
-    parts = 100
+    """Two frames, in tenths; stratified by ``target``, if given."""
+    parts, cut = 10, round(test_share * 10)
     dealt = stratified_folds(df, target, row_id, parts, seed) if target else kfold(df, row_id, parts, seed)
-    cut = round(test_share * parts)
     return dealt.filter(F.col("fold") >= cut).drop("fold"), dealt.filter(F.col("fold") < cut).drop("fold")
 
 

@@ -17,12 +17,10 @@ def auc(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> D
     """Area under the ROC curve by the sum of average ranks; labels are 0 and 1. Null where a class is missing."""
     by = by or []
     counted = df.select(*by, F.col(label).cast("int").alias("__y"), F.col(score).cast("double").alias("__s"))
-    ranked = average_ranks(counted, "__s", by)
-    positives = counted.filter("__y = 1 and __s is not null").groupBy(*by, F.col("__s").alias("value")).agg(F.count("*").alias("p"))
-    joined = ranked.join(positives, [*by, "value"], "left")
-    p, n = F.sum(F.coalesce("p", F.lit(0))).cast("double"), F.sum("n").cast("double")
-    area = (F.sum(F.coalesce("p", F.lit(0)) * F.col("rank")) - p * (p + 1) / 2) / (p * (n - p))
-    return joined.groupBy(*by).agg(F.when((p > 0) & (p < n), area).alias("auc"))
+    ranked = average_ranks(counted, "__s", by, p=F.count_if(F.col("__y") == 1))
+    p, n = F.sum("p").cast("double"), F.sum("n").cast("double")
+    area = (F.sum(F.col("p") * F.col("rank")) - p * (p + 1) / 2) / (p * (n - p))
+    return ranked.groupBy(*by).agg(F.when((p > 0) & (p < n), area).alias("auc"))
 
 
 def auc_ovr(df: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:

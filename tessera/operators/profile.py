@@ -61,8 +61,9 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]
         if names:
             for r in fn(df, names).collect():
                 d = r.asDict()
-                time = isinstance(df.schema[d["column"]].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
-                found[d.pop("column")] = {"type": "datetime" if time else kind} | d
+                name = d.pop("column")
+                time = isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+                found[name] = {"type": "datetime" if time else kind} | d
     return {f.name: found[f.name] for f in fields if f.name in found}
 
 

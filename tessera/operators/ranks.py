@@ -6,17 +6,17 @@ ranges are added to ranks inside each range. Results are exact whatever the cuts
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RANGES = 64
 
 
-def value_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """(``by``, ``value``, ``n``, ``below``): how often each value occurs and how many are smaller, within ``by``."""
+def value_ranks(df: DataFrame, column: str, by: list[str] | None = None, **more: Column) -> DataFrame:
+    """(``by``, ``value``, ``n``, ``below``): how often each value occurs and how many are smaller, within ``by``; ``more`` aggregates of each value."""
     by = by or []
-    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in more.items()])
     kind = dict(df.dtypes)[column]
     if kind in ("double", "float", "int", "bigint", "smallint", "tinyint"):
         cuts = sorted(set(counts.select(F.col("value").cast("double").alias("value")).approxQuantile("value", [i / RANGES for i in range(1, RANGES)], 0.005)))
@@ -32,10 +32,10 @@ def value_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> Data
     sums = ranged.groupBy(*by, "__range").agg(F.sum("n").alias("__n"))
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*by, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # RANGES rows in each group
-    return ranged.join(starts, [*by, "__range"]).select(*by, "value", "n", (F.col("__before") + F.col("__inside")).alias("below"))
+    return ranged.join(starts, [*by, "__range"]).select(*by, "value", "n", (F.col("__before") + F.col("__inside")).alias("below"), *more)
 
 
-def average_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, by: list[str] | None = None, **more: Column) -> DataFrame:
     """(``by``, ``value``, ``n``, ``rank``): ties share the mean of their ranks."""
     by = by or []
-    return value_ranks(df, column, by).select(*by, "value", "n", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
+    return value_ranks(df, column, by, **more).select(*by, "value", "n", (F.col("below") + (F.col("n") + 1) / 2).alias("rank"), *more)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,20 +62,25 @@ class Evaluator:
         if metric.needs_score and classes > 2:
             raise EvaluationError("auc of more than two classes needs auc_ovr")
 
-        def one(k: int) -> float | None:
+        def one(k: int) -> DataFrame:
             ready, names = prepared(data, columns, F.col("fold") != k)
             assembled = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(ready).select("fold", F.col("__label").alias("label"), "features")
             estimator = self.models.get(self.model, self.task, self.seed, classes, len(names), **self.model_params)
-            fitted = estimator.fit(assembled.filter(F.col("fold") != k))
-            out = fitted.transform(assembled.filter(F.col("fold") == k))
+            out = estimator.fit(assembled.filter(F.col("fold") != k)).transform(assembled.filter(F.col("fold") == k))
             if metric.needs_score and "probability" in out.columns:
-                from pyspark.ml.functions import vector_to_array
-
                 out = out.withColumn("prediction", vector_to_array("probability")[1])
-            return metric.value(out, "label", "prediction")
+            return out.select("fold", "label", "prediction")
 
         with ThreadPoolExecutor(self.workers) as pool:
-            scores = [s for s in pool.map(one, range(self.folds)) if s is not None]
+            predicted = reduce(DataFrame.union, pool.map(one, range(self.folds))).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if metric.name == "auc":
+                scores = [r["auc"] for r in metric.fn(predicted, "label", "prediction", ["fold"]).collect()]
+            else:
+                scores = [metric.value(predicted.filter(F.col("fold") == k), "label", "prediction") for k in range(self.folds)]
+        finally:
+            predicted.unpersist()
+        scores = [s for s in scores if s is not None]
         if not scores:
             raise EvaluationError("no fold could be scored")
         return sum(scores) / len(scores)

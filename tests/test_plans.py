@@ -1,0 +1,149 @@
+"""Settings, clients, routers, memory, engine, methods."""
+
+import json
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from tessera.errors import ClientError, ConfigurationError, PlanError
+from tessera.plans.client import CachedClient, ScriptedClient, with_retries
+from tessera.plans.engine import Engine
+from tessera.plans.estimator import FeatureEngineer, FeatureModel
+from tessera.plans.evaluate import Evaluator
+from tessera.plans.memory import Memory
+from tessera.plans.methods import ClientMethod, ExpansionMethod, MethodRegistry
+from tessera.plans.proposers import AGENTS, Context, ProposerRegistry, RuleProposer, expansion
+from tessera.plans.router import Router
+from tessera.settings import RetrySettings, RouterSettings, load_settings
+from tessera.sources.dataset import TableSpec
+from tessera.spec import FeatureSpec
+
+TABLE = TableSpec("id", "y")
+DESCRIPTION = {"a": {"type": "numerical"}, "b": {"type": "numerical"}, "k": {"type": "categorical"}, "t": {"type": "datetime"}}
+
+
+@pytest.fixture(scope="module")
+def frame(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=100), rng.normal(size=100)
+    return spark.createDataFrame(pd.DataFrame({"id": range(100), "a": a, "b": b, "k": np.where(a > 0, "p", "q"), "y": (np.abs(a) > 0.7).astype(int)})).cache()
+
+
+def engine(**kw):
+    return Engine(load_settings(environ={}, model="linear", n_rounds=1, evaluation={"cv_folds": 2, "max_candidate_features": 4}), **kw)
+
+
+def test_settings_order(tmp_path):
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps({"metric": "acc", "n_rounds": 2, "router": {"min_agents": 2}}))
+    s = load_settings(str(path), {"TESSERA_N_ROUNDS": "3", "TESSERA_ROUTER__STRATEGY": "data_driven"}, metric="f1")
+    assert (s.metric, s.n_rounds, s.router.min_agents, s.router.strategy) == ("f1", 3, 2, "data_driven")
+    for bad in ({"metric": "x"}, {"n_rounds": 0}, {"evaluation": {"cv_folds": 1}}, {"client": {"temperature": 3}}, {"nope": 1}, {"evaluation": {"test_size": 1.0}}):
+        with pytest.raises(ConfigurationError):
+            load_settings(environ={}, **bad)
+
+
+def test_clients():
+    inner, waits = ScriptedClient(["{}", "[1]"]), []
+    c = CachedClient(inner)
+    assert c.complete([{"role": "user", "content": "x"}]) == "{}" == c.complete([{"role": "user", "content": "x"}])
+    assert len(inner.asked) == 1 and c.complete_json([{"role": "user", "content": "y"}]) == [1]
+
+    def broken():
+        raise OSError("down")
+
+    with pytest.raises(ClientError):
+        with_retries(broken, RetrySettings(max_retries=3, base_delay_s=1, max_delay_s=3), waits.append)
+    assert waits == [1, 2, 3]
+
+
+def test_router():
+    r = Router(RouterSettings(strategy="data_driven", warmup_rounds=1))
+    assert r.select(0, {}) == list(AGENTS)
+    assert r.select(1, DESCRIPTION) == ["unary", "cross_compositional", "aggregation", "temporal", "local_transform"]
+    p = Router(RouterSettings(strategy="performance_driven", warmup_rounds=0, min_agents=1, max_agents=2))
+    assert p.select(0, DESCRIPTION) == ["unary", "cross_compositional"]
+    p.update("temporal", 0.5)
+    p.update("unary", -0.5)
+    assert p.select(1, DESCRIPTION) == ["temporal"]
+    for _ in range(20):
+        p.update("unary", 1.0)
+    assert len(p.history["unary"]) == 10
+    h = Router(RouterSettings(strategy="hybrid", warmup_rounds=0))
+    assert h.select(0, DESCRIPTION) == ["unary", "cross_compositional", "aggregation", "temporal", "local_transform", "local_pattern"]
+    a = Router(RouterSettings(strategy="llm", warmup_rounds=0, max_agents=1), client=ScriptedClient(["temporal and unary"]))
+    assert a.select(0, DESCRIPTION) == ["unary"]
+
+
+def test_memory(tmp_path, spark):
+    m = Memory()
+    good, bad = FeatureSpec("g", transform="log", base_columns=("b", "a")), FeatureSpec("n", transform="log", base_columns=("a",))
+    m.record(good, 0.5, "auc", "unary")
+    m.record(good, 0.9, "auc", "unary")
+    m.record(bad, 0.0, "auc", "unary")
+    assert m.positive() == ["g"] and m.negative("unary") == ["n"] and m.top() == ["g → auc: 0.5000 (rank 1)"]
+    assert m.stats() == {"transforms": {"log": 1}, "fields": {"a-b": 1}, "types": {"numerical": 1}} and m.stats(2)["types"] == {}
+    for i in range(30):
+        m.summarise_round(str(i))
+    m.summarise("unary")
+    m.save(str(tmp_path / "m.json"))
+    again = Memory.load(str(tmp_path / "m.json"))
+    assert again.feedback == m.feedback and len(again.summaries) == 20 and Memory.load(str(tmp_path / "none.json")).feedback == {}
+    assert m.to_frame(spark).count() == 2
+
+
+def test_rules_propose_fitting_specs():
+    for name in AGENTS:
+        specs = RuleProposer(name).propose(Context(DESCRIPTION))
+        assert specs and all(s.agent_name == name and set(s.base_columns) <= set(DESCRIPTION) for s in specs)
+    assert RuleProposer("temporal").propose(Context({"a": {"type": "numerical"}})) == []
+    assert len({s.transform for s in expansion(["a", "b"], ["k", "j"])}) == 8 + 6 + 6 + 1 + 1
+
+
+def test_engine_finds_the_signal(frame):
+    done = engine(mode="single_agent").run(frame, TABLE)
+    assert done.selected and any(g["gain"] for r in done.rounds for g in r.gains)
+    assert done.rounds[0].summary()["num_features_selected"] == len(done.rounds[0].selected)
+
+
+def test_engine_survives_broken_agents(frame):
+    class Broken:
+        name = "unary"
+
+        def propose(self, context):
+            raise RuntimeError("no")
+
+    registry = ProposerRegistry()
+    with pytest.warns(UserWarning):
+        registry.register(Broken())
+    done = engine(mode="single_agent", proposers=registry).run(frame, TABLE)
+    assert done.selected == [] and done.rounds[0].failures == {"unary": "no"} and done.rounds[0].baseline == 0.0
+
+
+def test_estimator_round_trip(frame, tmp_path):
+    stage = FeatureEngineer(row_id="id", target="y")
+    stage.engine = engine(mode="single_agent")
+    model = stage.fit(frame)
+    out = model.transform(frame)
+    assert out.columns == model.get_feature_names_out(frame.columns)
+    model.write().overwrite().save(str(tmp_path / "model"))
+    assert FeatureModel.load(str(tmp_path / "model")).transform(frame).columns == out.columns
+    with pytest.raises(ConfigurationError):
+        FeatureEngineer().fit(frame)
+
+
+def test_expression_method_keeps_what_gains(frame):
+    client = ScriptedClient(['[{"name": "abs_a", "code": "abs(a)"}, {"name": "bad", "code": "reflect(a)"}]', "no json"])
+    method = ClientMethod(client=client, evaluator=Evaluator(model="linear", folds=2), max_iterations=2)
+    with pytest.raises(PlanError):
+        method.transform(frame)
+    method.fit(frame, TABLE)
+    assert [s.name for s in method.specs] == ["abs_a"] and method.new_columns(frame).columns == ["abs_a"]
+    assert "abs_a" in client.asked[1][1]["content"] and method.iterations[1]["error"]
+
+
+def test_expansion_method(frame):
+    method = ExpansionMethod(n_features=2, screen_to=10).fit(frame, TABLE)
+    assert set(method.importances) and {"absolute_a", "square_a"} & {s.name for s in method.specs}
+    assert MethodRegistry(None).names() == ["evolving", "expansion", "expressions", "feedback", "rounds"]
