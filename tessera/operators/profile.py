@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def is_number(kind: T.DataType) -> bool:
@@ -84,6 +85,27 @@ def fingerprint(df: DataFrame, by_md5: bool = False) -> DataFrame:
     return df.select(code.alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum("h"), F.lit(0)).alias("hash_sum"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"))
 
 
+def head(df: DataFrame, row_id: str, n: int = 5) -> DataFrame:
+    """The ``n`` rows of the smallest ids: the same ones every time."""
+    return df.orderBy(row_id).limit(n)
+
+
+def sample_fingerprint(df: DataFrame, row_id: str, n: int = 256) -> DataFrame:
+    return fingerprint(head(df, row_id, n))
+
+
+def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
+    """``bin``, ``n`` and ``is_mode`` (more rows than in the bins beside it) of equally wide bins between the extremes."""
+    x = F.col(column).cast("double")
+    edges = df.agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))  # one row
+    width = (F.col("__hi") - F.col("__lo")) / bins
+    place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((x - F.col("__lo")) / width))).otherwise(0).cast("int")
+    counted = df.filter(x.isNotNull()).crossJoin(F.broadcast(edges)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(F.lit(1)).orderBy("bin")  # one row for each bin
+    near = lambda fn: F.coalesce(fn("n").over(w), F.lit(0))
+    return counted.withColumn("is_mode", ((F.col("n") > near(F.lag)) & (F.col("n") > near(F.lead))).cast("int"))
+
+
 def content_key(df: DataFrame) -> str:
     """A key for caches: columns, types and content."""
     r = fingerprint(df).first()

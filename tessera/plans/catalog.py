@@ -284,13 +284,7 @@ def rare_value_flag(t: Tables) -> DataFrame:
     SELECT bin, n, (n > coalesce(lag(n) OVER (ORDER BY bin), 0) AND n > coalesce(lead(n) OVER (ORDER BY bin), 0))::INT AS is_mode FROM n"""
 )
 def histogram_modes(t: Tables) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    edges = t.orders.agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
-    bins = t.orders.crossJoin(F.broadcast(edges)).select(F.least(F.lit(19), F.floor((F.col("o_totalprice") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 20))).cast("int").alias("bin"))
-    w = Window.partitionBy(F.lit(1)).orderBy("bin")  # 20 rows
-    near = lambda fn: F.coalesce(fn("n").over(w), F.lit(0))
-    return bins.groupBy("bin").agg(F.count("*").alias("n")).withColumn("is_mode", ((F.col("n") > near(F.lag)) & (F.col("n") > near(F.lead))).cast("int"))
+    return profile.histogram(t.orders, "o_totalprice", 20)
 
 
 # --- selection, folds, metrics ------------------------------------------------------------------------------------

@@ -58,6 +58,32 @@ def test_clients():
     assert waits == [1, 2, 3]
 
 
+def test_prompts(tmp_path):
+    from tessera.plans.prompts import IterationParams, PromptRegistry
+
+    (tmp_path / "p.json").write_text('{"system": "You do $task.", "user": "$what"}')
+    (tmp_path / "empty.json").write_text('{"system": " "}')
+    r = PromptRegistry(str(tmp_path))
+    assert r.get("p").render(task="x", what="y")[1]["content"] == "y" and r.get("p") is r.get("p")
+    with pytest.raises(ConfigurationError):
+        r.get("p").render(task="x")
+    with pytest.raises(ConfigurationError):
+        r.get("empty")
+    with pytest.raises(KeyError):
+        r.get("nope")
+    with pytest.raises(ConfigurationError):
+        IterationParams(3, 2)
+
+
+def test_traced_calls_return_and_raise(spark):
+    from tessera.observability import configure_logging, traced
+
+    configure_logging("WARNING")
+    assert traced("tool")(lambda x: x + 1)(1) == 2
+    with pytest.raises(ZeroDivisionError):
+        traced("agent", "broken")(lambda: 1 / 0)()
+
+
 def test_router():
     r = Router(RouterSettings(strategy="data_driven", warmup_rounds=1))
     assert r.select(0, {}) == list(AGENTS)
