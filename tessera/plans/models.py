@@ -42,7 +42,7 @@ def _linear(task: str, seed: int, classes: int, width: int, **params: Any):
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.regression import LinearRegression
 
-    return LogisticRegression(**{"regParam": 1e-3} | params) if task == "classification" else LinearRegression(**{"regParam": 1e-3} | params)
+    return LogisticRegression(**{"regParam": 1e-3, "maxIter": 30} | params) if task == "classification" else LinearRegression(**{"regParam": 1e-3} | params)
 
 
 Builder = Callable[..., Any]
