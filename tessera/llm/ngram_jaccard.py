@@ -193,6 +193,11 @@ def _filter_index(key: np.ndarray) -> np.ndarray:
     return mix64(key) >> np.uint64(64 - FILTER_BITS)
 
 
+def _in_filter(table: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = _filter_index(key)
+    return (table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+
+
 def least_shared(size):
     """``q`` of the module's first bound."""
     return 2 + size // 24
@@ -202,11 +207,11 @@ def _postings(n: int, bits: int, bucket_bits: int, num: int, den: int, heavy):
     """The leading columns of each row: (column, id, size of the row), packed by block of columns."""
 
     def run(batches):
-        table = np.unpackbits(np.frombuffer(heavy.value, np.uint8)).view(bool) if heavy is not None else None
+        table = np.frombuffer(heavy.value, np.uint8) if heavy is not None else None
         for held in _once(batches, n):
             keys, ids, sizes, places = [], [], [], []
             for doc, h, ends, rows in held:
-                late = table[_filter_index(_truncated(h, bits))] if table is not None else None
+                late = _in_filter(table, _truncated(h, bits)) if table is not None else None
                 for r in rows:
                     own = h[ends[r] : ends[r + 1]]
                     size = len(own)
@@ -430,9 +435,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
     frequent = np.asarray(heavy.filter(F.col("df") >= cut).select("column").toArrow().column(0)).astype(np.int64).view(np.uint64)
     bitmap = None
     if len(frequent):
-        table = np.zeros(1 << FILTER_BITS, bool)
-        table[_filter_index(frequent)] = True
-        bitmap = spark.sparkContext.broadcast(np.packbits(table).tobytes())
+        table, at = np.zeros(1 << (FILTER_BITS - 3), np.uint8), _filter_index(frequent)
+        np.bitwise_or.at(table, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        bitmap = spark.sparkContext.broadcast(table.tobytes())
     scratch.drop("heavy")
 
     posted = in_blocks(source.mapInArrow(_postings(n, bits, bucket_bits, num, den, bitmap), "bucket int, k binary, d binary, n binary"))
@@ -486,3 +491,18 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, len(words) AS many, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t),
+g AS (SELECT doc_id, many, i, concat_ws(' ', word, lead(word, 1) OVER d, lead(word, 2) OVER d, lead(word, 3) OVER d, lead(word, 4) OVER d) AS gram FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, gram FROM g WHERE i <= greatest(many - 4, 1)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.least, d.doc_id)) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""

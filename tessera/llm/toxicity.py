@@ -94,17 +94,18 @@ def _summed(batches):
 
 
 def _presence(kept):
-    """Kept features of each training row."""
+    """Kept features of each training row, by their places among the kept (65,536 at most)."""
 
     def run(batches):
         wanted = np.unpackbits(np.frombuffer(kept.value, np.uint8)).view(bool)
+        place = (np.cumsum(wanted) - 1).astype(np.uint16)
         for batch in batches:
             buf, off = text_bytes(batch.column(1))
             held = []
             for i, j in row_slices(off):
                 row, feature = grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
                 ends = np.searchsorted(row, np.arange(j - i + 1))
-                held += [feature[ends[r] : ends[r + 1]].astype(np.uint32).tobytes() for r in range(j - i)]
+                held += [place[feature[ends[r] : ends[r + 1]]].tobytes() for r in range(j - i)]
             yield pa.record_batch([batch.column(0), pa.array(held, pa.binary())], ["toxic", "features"])
 
     return run
@@ -124,41 +125,55 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column |
     if not totals[0] or not totals[1]:
         return empty
     summed = rows.mapInArrow(_document_counts, "block int, counts binary").repartition("block").mapInArrow(_summed, "block int, counts binary").toArrow()
-    counts = np.zeros((2, 1 << HASH_BITS), np.int64)
+    counts = np.zeros((2, 1 << HASH_BITS), np.int32)
     for b, x in zip(summed["block"].to_pylist(), summed["counts"], strict=True):
         counts[:, b << BLOCK_BITS : (b + 1) << BLOCK_BITS] = np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1)
+    del summed
+    often = np.flatnonzero(counts.sum(0) >= 3)  # what fewer rows hold can't be significant
+    counts = counts[:, often]
     share = (counts + 1) / (np.array([[totals[0]], [totals[1]]]) + 2)
-    ratio = np.log(share[1] / share[0])
     pooled = (counts.sum(0) + 2) / (totals[0] + totals[1] + 4)
     significance = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / (totals[0] + 2) + 1 / (totals[1] + 2)))
-    significance[counts.sum(0) < 3] = 0
-    order = np.lexsort((np.arange(len(ratio)), -significance))[:max_features]
-    order = order[significance[order] > 4]
-    if not len(order):
+    best = np.lexsort((often, -significance))[: min(max_features, 1 << 16)]
+    best = np.sort(best[significance[best] > 4])
+    if not len(best):
         return empty
+    order, scale = often[best], np.log(share[1] / share[0])[best]
+    del counts, share, pooled, significance
     wanted = np.zeros(1 << HASH_BITS, bool)
     wanted[order] = True
     held = rows.mapInArrow(_presence(spark.sparkContext.broadcast(np.packbits(wanted).tobytes())), "toxic int, features binary").toArrow()
     toxic = np.asarray(held["toxic"]).astype(float)
-    place = np.zeros(1 << HASH_BITS, np.int32)
-    place[order] = np.arange(len(order))
-    rows_of = [place[np.frombuffer(x.as_buffer(), np.uint32)] for x in held["features"]]
-    at, row, scale = np.concatenate(rows_of), np.repeat(np.arange(len(rows_of)), [len(r) for r in rows_of]), ratio[order]
-    del held, rows_of
+    length = np.array([len(x.as_buffer()) // 2 for x in held["features"]])
+    places = np.concatenate([np.frombuffer(x.as_buffer(), np.uint16) for x in held["features"]])
+    del held
+    starts = np.concatenate(([0], np.cumsum(length)))
+    n, chunk = len(toxic), 1000  # rows that are widened at a time
+
+    def pieces():
+        for lo in range(0, n, chunk):
+            hi = min(lo + chunk, n)
+            at = places[starts[lo] : starts[hi]].astype(np.int64)
+            yield lo, hi, at, np.repeat(np.arange(hi - lo), length[lo:hi]), scale[at]
+
     # accelerated gradient steps, of a length from the largest curvature (found by power iteration)
-    value = scale[at]
-    w, b, fast_w, fast_b, t = np.zeros(len(order)), empty.intercept, np.zeros(len(order)), empty.intercept, 1.0
     v, curve = np.ones(len(order)), 1.0
     for _ in range(15):
-        v = np.bincount(at, np.bincount(row, v[at] * value, len(toxic))[row] * value, len(order))
-        curve = max(float(np.linalg.norm(v)), 1e-9)
-        v /= curve
-    step = 4.0 / (curve / len(toxic) + 1)
+        new = np.zeros(len(order))
+        for lo, hi, at, row, value in pieces():
+            new += np.bincount(at, np.bincount(row, v[at] * value, hi - lo)[row] * value, len(order))
+        curve = max(float(np.linalg.norm(new)), 1e-9)
+        v = new / curve
+    step = 4.0 / (curve / n + 1)
+    w, b, fast_w, fast_b, t = np.zeros(len(order)), empty.intercept, np.zeros(len(order)), empty.intercept, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-(np.bincount(row, fast_w[at] * value, len(toxic)) + fast_b)))
-        err = (p - toxic) / len(toxic)
-        new_w = fast_w - step * (np.bincount(at, err[row] * value, len(order)) + l2 * fast_w)
-        new_b = fast_b - step * err.sum()
+        slope, lean = l2 * fast_w, 0.0
+        for lo, hi, at, row, value in pieces():
+            p = 1 / (1 + np.exp(-(np.bincount(row, fast_w[at] * value, hi - lo) + fast_b)))
+            err = (p - toxic[lo:hi]) / n
+            slope = slope + np.bincount(at, err[row] * value, len(order))
+            lean += err.sum()
+        new_w, new_b = fast_w - step * slope, fast_b - step * lean
         nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         fast_w, fast_b = new_w + (t - 1) / nxt * (new_w - w), new_b + (t - 1) / nxt * (new_b - b)
         w, b, t = new_w, new_b, nxt
