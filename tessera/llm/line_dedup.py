@@ -118,4 +118,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = 50, min_l
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_lines", "n_removed", "removed_runs", "clean_text")
+    return dedup_lines(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_lines", "n_removed", "clean_text")
+
+
+ORACLE = r"""
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+x AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS k FROM raw),
+b AS (SELECT doc_id, k, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+v AS (SELECT *, lead(k, 1) OVER d AS k2, lead(k, 2) OVER d AS k3, lead(line, 1) OVER d AS l2, lead(line, 2) OVER d AS l3, lead(w, 1) OVER d AS w2 FROM b WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+win AS (SELECT doc_id, k AS first, CASE WHEN w >= 50 THEN k WHEN w + w2 >= 50 THEN k2 ELSE k3 END AS last,
+  CASE WHEN w >= 50 THEN line WHEN w + w2 >= 50 THEN line || chr(10) || l2 ELSE line || chr(10) || l2 || chr(10) || l3 END AS key FROM v),
+m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, first) AS n FROM win WHERE last IS NOT NULL),
+gone AS (SELECT DISTINCT x.doc_id, x.k FROM x JOIN m ON m.doc_id = x.doc_id AND m.n > 1 AND x.k BETWEEN m.first AND m.last)
+SELECT x.doc_id, count(*)::INT AS n_lines, count(gone.k)::INT AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY x.k) FILTER (gone.k IS NULL), '') AS clean_text
+FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.k = x.k GROUP BY x.doc_id
+"""

@@ -9,7 +9,7 @@ table of weights only, so texts never move.
 The classifier is fitted on labelled rows, ``max_train_rows`` of them at most (those whose hashed ids are smallest).
 
 Defined results: null and empty texts have no features and the score of the intercept; rows with a null label don't
-train; of several labels of one id the largest counts; rows that repeat an id are scored row by row; without labelled
+train; of several labels of one id the largest counts, of several texts the smallest trains; every row is scored; without labelled
 rows of both kinds every score is the smoothed share of toxic labels (0.5 without labels). Columns of the input named as
 the results are replaced.
 """
@@ -113,13 +113,15 @@ def _presence(kept):
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column | None = None, max_train_rows: int = 20_000, max_features: int = 4096, l2: float = 1e-6, steps: int = 300, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns from the ``labels`` (``doc_id``, ``toxic``) that the predicate ``train`` admits."""
-    Scratch(spark, "toxicity")
+    scratch = Scratch(spark, "toxicity")
     chosen = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     if train is not None:
         chosen = chosen.filter(train)
     chosen = chosen.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_train_rows)
     chosen = F.broadcast(chosen)  # 16 bytes for each of max_train_rows rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("toxic", "text")
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    # one row for each label, however often its id is repeated: read once here, and then from a small table
+    rows = scratch.table(held.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text"), "training")
     totals = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     empty = Model(np.zeros(1 << HASH_BITS), float(np.log((totals[1] + 1) / (totals[0] + 1))))
     if not totals[0] or not totals[1]:
