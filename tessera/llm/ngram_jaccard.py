@@ -414,9 +414,10 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
     scratch = Scratch(spark, "ngram-jaccard")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.table(source.mapInArrow(_signed(n), "id long, n long, s1 long, s2 long"), "signed")
-    classes = signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
+    # as a table of its own, so that both sides of the join are plain exchanges, which adaptive execution can split at a large class
+    classes = scratch.table(signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "classes")
     member = scratch.table(signed.join(classes, ["s1", "s2", "n"], "left").select("id", "n", "rep"), "member")
-    scratch.drop("signed")
+    scratch.drop("signed", "classes")
     total = member.agg(F.sum("n")).first()[0] or 0
     bits = int(min(60, max(32, np.ceil(np.log2(total + 1)) + 8)))
     bucket_bits = int(min(24, max(4, np.ceil(np.log2(total / (1 << 21) + 1)))))
