@@ -4,9 +4,10 @@ Base spans are e-mail and IP addresses, card and phone numbers, leftmost and wit
 base span the terms within ``reach`` characters are its context. Over the whole corpus, p(e), p(t) and p(e, t) are the
 shares of documents that hold an entity, hold a term, and hold the term in the entity's context. What a term discloses of
 an entity is their pointwise mutual information over the entity's own information,
-``log2(p(e,t) / (p(e) p(t))) / -log2 p(e)``: 1 if the term appears only where the entity does. In documents that hold the
-entity, its context's terms from ``generalise_at`` on are generalised and from ``remove_at`` on removed, if at least
-``support`` different texts show the pair (copies of one text are no evidence). Texts without base spans stay as they are.
+``log2(p(e|t) / p(e)) / -log2 p(e)``: 1 if the term appears only where the entity does. Low counts are smoothed: p(e) counts
+one document more with the entity and one without, and p(e|t) is drawn to p(e) with the weight of ``support`` texts, where
+copies of one text weigh as one; own information counts as one bit at least. In documents that hold the entity, its context's
+terms from ``generalise_at`` on are generalised and from ``remove_at`` on removed. Texts without base spans stay as they are.
 
 Only DataFrame functions are used. Patterns are written so that Java's matcher neither recurses nor rescans: separators
 that can't be part of a match are first masked, one character for one, and runs are taken possessively.
@@ -92,7 +93,7 @@ def listed(spans: Column) -> Column:
 def disclosing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, scratch: Scratch, generalise_at: float, support: int, least_length: int, text_col: str) -> DataFrame:
     """(entity, term, disclosure) of the pairs from ``generalise_at`` on; ``found`` holds the contexts of entities by row."""
     near = found.select("__id", "__text", F.explode("__near").alias("n")).select("__id", "__text", "n.entity", "n.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.count_distinct("__text").alias("texts")).filter(F.col("texts") >= support)
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.count_distinct("__text").alias("texts"))
     pairs = scratch.table(pairs, "pairs")
     terms = scratch.table(pairs.select("term").distinct(), "terms")
     few = terms.count() <= BROADCAST_TERMS
@@ -101,9 +102,9 @@ def disclosing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, scr
     held = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     rows = docs.count()
     told = pairs.join(entities, "entity").join(held, "term")
-    total = F.lit(float(max(rows, 2)))
-    gained = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t")))
-    own = F.greatest(F.log2(total / F.col("n_e")), F.lit(1e-9))
+    rare = (F.col("n_e") + 1) / F.lit(float(rows + 2))
+    known = (F.col("texts") + support * rare) / (F.greatest("n_t", "n_et") * F.col("texts") / F.col("n_et") + support)
+    gained, own = F.log2(known / rare), F.greatest(-F.log2(rare), F.lit(1.0))
     return scratch.table(told.select("entity", "term", (gained / own).alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "told")
 
 

@@ -153,6 +153,14 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert all(out[100 + i].clean_text == rows[6 + i][1] and not out[100 + i].spans for i in range(200))
 
 
+def test_terms_of_an_entity_that_one_text_holds(spark):
+    texts = ["Brunhowe can be reached under b@x.example on any day.", *["Ask Velmira under v@y.example on any day."] * 3]
+    texts += [f"On any day a report can be reached under {i}, ask." for i in range(300)]
+    out = {r.doc_id: r for r in pii.sanitise(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    terms = [{texts[i][s.start : s.end] for s in out[i].spans if s.kind == 4} for i in range(len(texts))]
+    assert terms[0] == {"Brunhowe"} and terms[1:4] == [{"Velmira"}] * 3 and not any(terms[4:])
+
+
 def test_pii_odd_rows(spark, odd_docs, no_docs):
     out = pii.sanitise(spark, odd_docs)
     rows = out.collect()
