@@ -1,13 +1,13 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that reveal what they match.
 
-Base spans are e-mail and IP addresses, card and phone numbers, leftmost and without overlap in their kind. Around each
-base span the terms within ``reach`` characters are its context. Over the whole corpus, p(e), p(t) and p(e, t) are the
+Base spans are e-mail and IP addresses, card and phone numbers, leftmost and without overlap in their kind. The other words
+of a document that holds one are its context, wherever they stand. Over the whole corpus, p(e), p(t) and p(e, t) are the
 shares of documents that hold an entity, hold a term, and hold the term in the entity's context. What a term discloses of
 an entity is their pointwise mutual information over the entity's own information,
 ``log2(p(e|t) / p(e)) / -log2 p(e)``: 1 if the term appears only where the entity does. Low counts are smoothed: p(e) counts
 one document more with the entity and one without, and p(e|t) is drawn to p(e) with the weight of ``support`` texts, where
-copies of one text weigh as one; own information counts as one bit at least. In documents that hold the entity, its context's
-terms from ``generalise_at`` on are generalised and from ``remove_at`` on removed. Texts without base spans stay as they are.
+copies of one text weigh as one; own information counts as one bit at least. In documents that hold the entity, every
+occurrence of a term from ``generalise_at`` on is generalised and from ``remove_at`` on removed. Texts without base spans stay as they are.
 
 Only DataFrame functions are used. Patterns are written so that Java's matcher neither recurses nor rescans: separators
 that can't be part of a match are first masked, one character for one, and runs are taken possessively.
@@ -20,12 +20,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import Scratch, without
 
 KINDS = ("email", "ip", "card", "phone", "term")
 MASK, MARK = "\u0001", "\u0003"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
+#: Terms are runs of letters, marks and digits.
+TERM, NO_TERM = r"[\p{L}\p{M}\p{N}]++", r"[^\p{L}\p{M}\p{N}]++"
 #: Candidate terms up to this many (some tens of bytes each) are broadcast when their documents are counted.
 BROADCAST_TERMS = 200_000
 
@@ -90,25 +93,51 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing_terms(spark: SparkSession, docs: DataFrame, found: DataFrame, scratch: Scratch, generalise_at: float, support: int, least_length: int, text_col: str) -> DataFrame:
-    """(entity, term, disclosure) of the pairs from ``generalise_at`` on; ``found`` holds the contexts of entities by row."""
-    near = found.select("__id", "__text", F.explode("__near").alias("n")).select("__id", "__text", "n.entity", "n.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.count_distinct("__text").alias("texts"))
+def blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces, one for one, in place of what ``spans`` cover."""
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def put(acc: Column, s: Column) -> Column:
+        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["text"], kept, F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))).alias("text"))
+
+    return F.aggregate(ordered, begin, put, lambda acc: F.concat(acc["text"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+
+
+def row_key(id_col: Column, text: Column) -> Column:
+    """A key of rows that repeat an id (null too) and a text."""
+    return F.concat(F.coalesce(F.concat(F.lit("i"), id_col.cast("string")), F.lit("n")), F.lit(":"), text)
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise_at: float, support: int, least_length: int, text_col: str) -> DataFrame:
+    """(key, term, disclosure) of the terms of a row that tell of one of its entities from ``generalise_at`` on.
+
+    Entities of the same rows are one class: they have the same terms and shares.
+    """
+    entity = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(digits(s["value"])))
+    entities = found.select("__key", "__text", "__rows", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
+    sets = entities.groupBy("entity").agg(F.sum("__rows").alias("n_e"), F.bit_xor(F.xxhash64("__key")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "__key")).alias("y"))
+    sets = sets.select("entity", "n_e", F.concat_ws(":", "n_e", "x", "y").alias("class"))
+    classes = scratch.table(entities.join(sets, "entity").select("__key", "__text", "__rows", "class", "n_e").distinct(), "classes")
+    near = classes.join(found.select("__key", "__words"), "__key").select("__key", "__text", "__rows", "class", "n_e", F.explode("__words").alias("term"))
+    pairs = near.groupBy("class", "n_e", "term").agg(F.sum("__rows").alias("n_et"), F.count_distinct("__text").alias("texts"))
     pairs = scratch.table(pairs, "pairs")
     terms = scratch.table(pairs.select("term").distinct(), "terms")
-    few = terms.count() <= BROADCAST_TERMS
-    entities = found.select("__id", "__text", F.explode("__near").alias("n")).select("__id", "__text", "n.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}]++"))).alias("term")).filter(F.length("term") >= least_length)
-    held = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_col), NO_TERM))).alias("term")).filter(F.length("term") >= least_length)
+    if terms.count() <= BROADCAST_TERMS:
+        words = words.join(F.broadcast(terms), "term", "left_semi")
+    held = words.groupBy("term").agg(F.count("*").alias("n_t"))
     rows = docs.count()
-    told = pairs.join(entities, "entity").join(held, "term")
+    told = pairs.join(held, "term", "left")
     rare = (F.col("n_e") + 1) / F.lit(float(rows + 2))
     known = (F.col("texts") + support * rare) / (F.greatest("n_t", "n_et") * F.col("texts") / F.col("n_et") + support)
     gained, own = F.log2(known / rare), F.greatest(-F.log2(rare), F.lit(1.0))
-    return scratch.table(told.select("entity", "term", (gained / own).alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "told")
+    told = scratch.table(told.select("class", "term", (gained / own).alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "told")
+    return scratch.table(near.join(told, ["class", "term"]).groupBy("__key", "term").agg(F.max("disclosure").alias("disclosure")), "told-rows")
 
 
-def sanitise(spark: SparkSession, docs: DataFrame, reach: int = 40, generalise_at: float = 0.6, remove_at: float = 0.9, support: int = 2, least_length: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(spark: SparkSession, docs: DataFrame, generalise_at: float = 0.6, remove_at: float = 0.9, support: int = 2, least_length: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base`` and ``spans`` (arrays of kind, start, end, value) and ``clean_text``.
 
     Base spans become ``[EMAIL]`` and so on; a generalised term becomes ``[TERM]``, a removed one nothing; of overlapping
@@ -118,30 +147,25 @@ def sanitise(spark: SparkSession, docs: DataFrame, reach: int = 40, generalise_a
     own = ("n_email", "n_ip", "n_card", "n_phone", "base", "spans", "clean_text")
     docs = without(docs, *own)
     text = F.col("__t")
-    prepared = docs.select(F.col(id_col).alias("__id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"), clean_of_marks(F.col(text_col)).alias("__t"))
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    prepared = docs.select(row_key(F.col(id_col), key).alias("__key"), key.alias("__text"), clean_of_marks(F.col(text_col)).alias("__t"))
     holding = prepared.filter(F.contains(text, F.lit("@")) | F.contains(text, F.lit("+")) | text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[ -]?[0-9]){12}"))
-    spans = holding.select("__id", "__text", "__t", *[c.alias(f"__{k}") for c, k in zip(base_spans(text), KINDS, strict=False)])
+    spans = holding.select("__key", "__text", "__t", *[c.alias(f"__{k}") for c, k in zip(base_spans(text), KINDS, strict=False)])
     spans = spans.withColumn("base", F.concat(*[F.col(f"__{k}") for k in KINDS[:4]])).filter(F.size("base") > 0)
-
-    def context(s: Column) -> Column:
-        """Terms within reach of a base span, with their places in the text."""
-        entity = F.concat(s["kind"].cast("string"), F.lit(":"), F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(digits(s["value"])))
-        low = F.greatest(s["start"] - reach, F.lit(0))
-        around = F.concat(F.substring(text, low + 1, s["start"] - low), F.repeat(F.lit(" "), s["end"] - s["start"]), F.substring(text, s["end"] + 1, F.lit(reach)))
-        terms = marked_spans(around, rf"(?<!\p{{L}})\p{{L}}{{{least_length},}}+", 4)
-        return F.transform(terms, lambda t: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), (low + t["start"]).alias("start"), (low + t["end"]).alias("end"), t["value"].alias("value")))
-
-    found = spans.select("__id", "__text", "base", F.flatten(F.transform("base", context)).alias("__near")).dropDuplicates(["__id", "__text"])
-    found = scratch.table(found, "found")
-    told = disclosing_terms(spark, docs, found, scratch, generalise_at, support, least_length, text_col)
-    hits = found.select("__id", "__text", F.explode("__near").alias("n")).select("__id", "__text", "n.*").join(told, ["entity", "term"])
-    hits = hits.groupBy("__id", "__text", "start", "end", "value").agg(F.max("disclosure").alias("disclosure"))
-    hits = hits.groupBy("__id", "__text").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "disclosure"))).alias("__terms"))
+    found = spans.select("__key", "__text", blanked(text, F.col("base")).alias("__t"), "base")
+    found = found.groupBy("__key", "__text").agg(F.first("__t").alias("__t"), F.first("base").alias("base"), F.count("*").alias("__rows"))
+    words = F.filter(F.array_distinct(F.transform(F.split(text, NO_TERM), lambda w: F.lower(w))), lambda w: F.length(w) >= least_length)
+    found = scratch.table(found.withColumn("__words", words), "found")
+    told = disclosing_terms(docs, found, scratch, generalise_at, support, least_length, text_col)
+    # every second piece is a term; a row for each, as an array that grows by its terms would be copied for each of them
+    pieces = found.join(told.select("__key").distinct(), "__key", "left_semi").select("__key", F.posexplode(F.split(F.regexp_replace(text, TERM, f"{MARK}$0{MARK}"), MARK, -1)).alias("place", "value"))
+    upto = Window.partitionBy("__key").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = pieces.withColumn("end", F.sum(F.char_length("value")).over(upto).cast("int")).filter("place % 2 = 1")
+    hits = pieces.select("__key", F.lower("value").alias("term"), (F.col("end") - F.char_length("value")).alias("start"), "end", "value").join(told, ["__key", "term"])
+    hits = hits.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "disclosure"))).alias("__terms"))
     terms = F.transform("__terms", lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= remove_at, F.lit("")).otherwise(F.lit("[TERM]")).alias("value")))
-    same = lambda a, b: F.col(f"{a}.__id").eqNullSafe(F.col(f"{b}.__id")) & (F.col(f"{a}.__text") == F.col(f"{b}.__text"))
-    known = found.alias("f").join(hits.alias("h"), same("f", "h"), "left").select("f.__id", "f.__text", "base", F.coalesce(terms, F.expr(f"cast(array() as {SPAN})")).alias("__added"))
-    every = docs.withColumn("__text", F.md5(F.coalesce(F.col(text_col), F.lit("")))).withColumn("__id", F.col(id_col))
-    out = every.alias("d").join(known.alias("k"), same("d", "k"), "left").drop(F.col("k.__id"), F.col("k.__text"))
+    known = found.select("__key", "base").join(hits, "__key", "left").select("__key", "base", F.coalesce(terms, F.expr(f"cast(array() as {SPAN})")).alias("__added"))
+    out = docs.withColumn("__key", row_key(F.col(id_col), key)).join(known, "__key", "left")
     none = F.expr(f"cast(array() as {SPAN})")
     out = out.withColumn("base", F.coalesce("base", none)).withColumn("__added", F.coalesce("__added", none))
     many = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -152,7 +176,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, reach: int = 40, generalise_a
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     put = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct((-s["end"]).alias("at"), F.concat(acc["text"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), s["put"]).alias("text"))).otherwise(acc)
     clean = F.when(F.size(ordered) == 0, F.col(text_col)).otherwise(F.aggregate(ordered, begin, put, lambda acc: F.concat(acc["text"], F.substring(whole, acc["at"] + 1, F.char_length(whole)))))
-    return out.withColumns(counts | {"clean_text": clean, "spans": F.concat("base", "__added")}).drop("__id", "__text", "__added")
+    return out.withColumns(counts | {"clean_text": clean, "spans": F.concat("base", "__added")}).drop("__key", "__added")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

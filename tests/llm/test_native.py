@@ -161,6 +161,15 @@ def test_terms_of_an_entity_that_one_text_holds(spark):
     assert terms[0] == {"Brunhowe"} and terms[1:4] == [{"Velmira"}] * 3 and not any(terms[4:])
 
 
+def test_terms_far_from_their_entity_and_short_ones(spark):
+    filler = "On any day a report can be reached, ask. "
+    texts = [f"Brunhowe: {filler * 9}b@x.example. {filler * 9}Ng, brunhowe and K77. 漢字", *[f"{filler}{i}" for i in range(300)]]
+    out = {r.doc_id: r for r in pii.sanitise(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = [texts[0][s.start : s.end] for s in out[0].spans if s.kind == 4]
+    assert got == ["Brunhowe", "Ng", "brunhowe", "and", "K77", "漢字"] and not any(out[i].spans for i in range(1, 301))
+    assert out[0].clean_text == f"[TERM]: {filler * 9}[EMAIL]. {filler * 9}[TERM], [TERM] [TERM] [TERM]. [TERM]"
+
+
 def test_pii_odd_rows(spark, odd_docs, no_docs):
     out = pii.sanitise(spark, odd_docs)
     rows = out.collect()
