@@ -129,8 +129,11 @@ IN_TERM = np.zeros(256, bool)
 IN_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-def words_of(buf: np.ndarray, off: np.ndarray, table: np.ndarray = FOLDED_HASH, within: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes ``within``, by default all but ASCII white space) of rows: their hashes, starts, ends and rows."""
+def words_of(buf: np.ndarray, off: np.ndarray, table: np.ndarray = FOLDED_HASH, within: np.ndarray = IN_WORD, unspaced: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words (runs of bytes ``within``, by default all but ASCII white space) of rows: their hashes, starts, ends and rows.
+
+    With ``unspaced``, each character from U+3000 to U+9FFF (kana, Han) is a word of its own.
+    """
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)
@@ -141,10 +144,16 @@ def words_of(buf: np.ndarray, off: np.ndarray, table: np.ndarray = FOLDED_HASH,
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     before &= ~edge[:n]
-    start = np.flatnonzero(inside & ~before)
+    if unspaced:
+        lone = np.flatnonzero((buf >= 0xE3) & (buf <= 0xE9))
+        before[lone] = False
+        before[lone[lone + 3 < n] + 3] = False
+    begins = inside & ~before
+    start = np.flatnonzero(begins)
     after = np.zeros(n, bool)
     after[:-1] = inside[1:]
     after &= ~edge[1:]
+    after[:-1] &= ~begins[1:]
     end = np.flatnonzero(inside & ~after) + 1
     up, down = powers(n + 1)
     total = np.zeros(n + 1, np.uint64)

@@ -1,12 +1,14 @@
 """Benchmark decontamination by CGK embeddings, bit sampling and exact edit verification.
 
-Texts and items are sequences of words (runs of letters, digits and non-ASCII bytes, A-Z read as a-z). The CGK embedding
+Texts and items are sequences of words (runs of letters, digits and non-ASCII bytes, A-Z read as a-z; kana and Han by the
+character). The CGK embedding
 walks a sequence: at step j it emits the word under its pointer, and a random bit of (j, word) tells whether the pointer
 moves on. Two walks with the same bits fall into step again after an edit, so a small edit distance becomes a small
 Hamming distance between what they emit. Each of ``repetitions`` draws its own bits and sample of emitted positions, and
 starts its walk at its own place of the item; windows of an item's size are tried at every word of a text, and walked only
-as long as what they have emitted at the sampled positions agrees with some item. A window that agrees at all sampled
-positions is verified: the least number of word edits that turn the item into a stretch of the text, by exact dynamic
+as long as what they have emitted at the sampled positions agrees with some item. Samples can
+miss, the more so in short items, so an item is also cut into one piece more than the edits it may have: one of them at least
+stands unchanged in any text that holds the item, and each place of a piece gives a window. Every window that agrees is verified: the least number of word edits that turn the item into a stretch of the text, by exact dynamic
 programming over the window and ``max_edits`` words on either side. The text holds the item if that is at most
 ``max_share`` of the item's words.
 
@@ -32,6 +34,8 @@ BLOCK_BYTES = 16 << 20
 #: Emitted positions that each repetition samples from its walk; the first is where the walk starts.
 SAMPLED = ((0, 3, 5, 8), (0, 2, 5, 7), (0, 2, 4, 7), (0, 3, 6, 8), (0, 2, 6, 8), (0, 3, 5, 7), (0, 2, 4, 8), (0, 3, 6, 9))
 NO_WORD = np.uint64(0)
+#: Words of a piece that are looked up.
+PIECE = 8
 
 
 class Items:
@@ -39,7 +43,7 @@ class Items:
 
     def __init__(self, ids: list, texts: pa.Array, repetitions: int, max_share: float, min_words: int):
         buf, off = text_bytes(texts)
-        word, start, end, row = words_of(buf, off, within=IN_TERM)
+        word, start, end, row = words_of(buf, off, within=IN_TERM, unspaced=True)
         ends = np.searchsorted(row, np.arange(len(ids) + 1))
         every = [(ids[k], word[ends[k] : ends[k + 1]], (end - start)[ends[k] : ends[k + 1]]) for k in range(len(ids)) if ends[k + 1] - ends[k] >= min_words]
         self.ids, self.words = [k for k, _, _ in every], [w for _, w, _ in every]
@@ -63,6 +67,18 @@ class Items:
                 known = np.unique(np.concatenate((keys, np.array(sorted(p), np.uint64))))
                 levels.append((keys, np.array([x[1:] for x in f], np.int64).reshape(-1, 2), np.array(sorted(p), np.uint64), bit_table(known)))
             self.tables.append((at, levels))
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
+        for k, (w, most) in enumerate(zip(self.words, self.most, strict=True)):
+            many = min(most + 1, len(w))
+            cuts = [j * len(w) // many for j in range(many + 1)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                size = min(hi - lo, PIECE)
+                pieces.setdefault(size, []).append((int(signature(w[lo : lo + size])), k, lo))
+        self.pieces = {}  # by words: sorted signatures, (item, start) and bits
+        for size, f in pieces.items():
+            f = sorted(f)
+            keys = np.array([x[0] for x in f], np.uint64)
+            self.pieces[size] = (keys, np.array([x[1:] for x in f], np.int64), bit_table(keys))
 
 
 def bit_table(known: np.ndarray) -> np.ndarray:
@@ -90,6 +106,24 @@ def walk_one(words: np.ndarray, r: int, at: tuple[int, ...]) -> list[int]:
     return out
 
 
+def signature(words: np.ndarray) -> np.uint64:
+    sig = np.zeros(1, np.uint64)
+    for i in range(len(words)):
+        sig = mix64(sig ^ words[i : i + 1])
+    return sig[0]
+
+
+def owned(keys: np.ndarray, owners: np.ndarray, sig: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(place, item, where the item would start) of the places whose signature is a key."""
+    lo, hi = np.searchsorted(keys, sig, "left"), np.searchsorted(keys, sig, "right")
+    many = hi - lo
+    if not many.any():
+        return None
+    which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    walked = np.repeat(here, many)
+    return walked, owners[which, 0], walked - owners[which, 1]
+
+
 def member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(sorted_keys):
         return np.zeros(len(x), bool)
@@ -119,18 +153,25 @@ def candidates(word: np.ndarray, end: np.ndarray, items: Items) -> Iterator[tupl
                 keys, owners, part, table = levels[level]
                 maybe = table[sig & np.uint64(0xFFFF)]
                 here, sig, step, emitted = here[maybe], sig[maybe], step[maybe], emitted[maybe]
-                if len(keys):
-                    lo, hi = np.searchsorted(keys, sig, "left"), np.searchsorted(keys, sig, "right")
-                    many = hi - lo
-                    if many.any():
-                        which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                        walked = np.repeat(here, many)
-                        yield walked, owners[which, 0], walked - owners[which, 1]
+                if len(keys) and (known := owned(keys, owners, sig, here)):
+                    yield known
                 on = member(part, sig)
                 here, sig, step, emitted = here[on], sig[on], step[on], emitted[on]
             if not len(here):
                 break
             step = step + moves(emitted, r, j)
+    sig = opening
+    for size in range(1, max(items.pieces, default=0) + 1):
+        if size > 1:
+            sig = mix64(sig[:-1] ^ word[size - 1 :])
+        if not len(sig):
+            break
+        if size in items.pieces:
+            keys, owners, table = items.pieces[size]
+            here = np.flatnonzero(table[sig & np.uint64(0xFFFF)])
+            here = here[here + size <= end[here]]
+            if len(here) and (known := owned(keys, owners, sig[here], here)):
+                yield known
 
 
 def edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -166,7 +207,7 @@ def hits_of(buf: np.ndarray, off: np.ndarray, items: Items) -> list[tuple[int, i
     """(row, item, edits, word where the stretch ends) of the items that rows hold, by row and item."""
     if not items.ids:
         return []
-    word, _, _, row = words_of(buf, off, within=IN_TERM)
+    word, _, _, row = words_of(buf, off, within=IN_TERM, unspaced=True)
     if not len(word):
         return []
     ends = np.searchsorted(row, np.arange(len(off)))

@@ -58,6 +58,25 @@ def test_decontamination_finds_items_with_edits_and_nothing_else(spark):
     assert {r.doc_id for r in decontamination.drop_contaminated(spark, d, b).collect()} == set(range(200)) - set(held)
 
 
+def test_decontamination_finds_items_of_any_length_with_all_their_edits():
+    from tessera.llm.common import text_bytes
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    han = lambda: chr(rng.randrange(0x4E00, 0x9F00))
+    for n in (5, 7, 9, 10, 12, 15, 20):
+        for one, by in ((word, " "), (han, "")):
+            items = [[one() for _ in range(n)] for _ in range(60)]
+            texts = []
+            for item in items:
+                part = [[w] for w in item]
+                for i in rng.sample(range(n), n // 5):
+                    part[i] = rng.choice([[], [one()], [one(), *part[i]]])
+                texts.append(by.join([one() for _ in range(9)] + sum(part, []) + [one() for _ in range(9)]))
+            held = decontamination.Items(list(range(60)), pa.array([by.join(i) for i in items]), 16, 0.2, 5)
+            assert [(r, k) for r, k, *_ in decontamination.hits_of(*text_bytes(pa.array(texts)), held)] == [(i, i) for i in range(60)]
+
+
 def test_decontamination_blocks_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     b = spark.createDataFrame([(1, "one two three four five six seven eight", "x"), (2, "no number but words enough to count", "y"), (3, None, "z")], "item_id long, text string, doc_id string")
     want = {(1, 1), (2, 1), (None, 2)}
