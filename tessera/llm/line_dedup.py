@@ -6,7 +6,9 @@ shortest run of lines that has ``min_words`` words or ``min_lines`` lines is a w
 run that holds a window is guaranteed to share a fingerprint. Fingerprints are joined on their hashes; the positions of
 those that occur more than once are joined on the windows that they stand for, each with the earliest place where it
 occurs (by id, then text, then line). A match is extended both ways by the windows that overlap it, and what the union of
-matched windows covers is a later repeated run: its lines are deleted, with their newlines.
+matched windows covers is a later repeated run: its lines are deleted, with their newlines. A run's last lines may be too few
+for a window from any of them on, and are then kept, as in the SQL. With ``whole_runs`` the shortest runs that end at each
+line are windows too: each line of a maximal repeated run is in one from it on or in the one that ends the run.
 
 Groups are never gathered: each fingerprint and each window is counted or reduced to its earliest place before anything is
 joined back, so a line that a third of all documents hold costs a row for each of them.
@@ -45,8 +47,8 @@ def lines_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return mix64((total[end[last]] - total[start[first]]) * down[start[first]]), last - first + 1, row[first], number[first]
 
 
-def windows(h: np.ndarray, words: np.ndarray, row: np.ndarray, min_words: int, min_lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last line of each window, its hash, and the hash of its fingerprint."""
+def windows(h: np.ndarray, words: np.ndarray, row: np.ndarray, min_words: int, min_lines: int, whole_runs: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last line of each window, its hash, and the hash of its fingerprint; with ``whole_runs`` also of the shortest ones that end at each line."""
     n = len(h)
     if not n:
         none = np.zeros(0, np.int64)
@@ -57,6 +59,12 @@ def windows(h: np.ndarray, words: np.ndarray, row: np.ndarray, min_words: int, m
     edge = np.searchsorted(row, row, "right")
     inside = (last < edge) & ((run[np.minimum(last, n - 1) + 1] - run[:-1] >= min_words) | (last - first + 1 >= min_lines))
     first, last = first[inside], last[inside]
+    if whole_runs:
+        end = np.arange(n)
+        begin = np.maximum(np.searchsorted(run, run[1:] - min_words, "right") - 1, end - min_lines + 1)
+        on = (begin >= np.searchsorted(row, row)) & ((run[1:] - run[np.maximum(begin, 0)] >= min_words) | (end - begin + 1 >= min_lines))
+        both = np.unique(np.stack((np.append(first, begin[on]), np.append(last, end[on])), 1), axis=0)
+        first, last = both[:, 0], both[:, 1]
     code, least = np.zeros(len(first), np.uint64), h[first]
     for k in range(min_lines):
         on = first + k <= last
@@ -66,7 +74,7 @@ def windows(h: np.ndarray, words: np.ndarray, row: np.ndarray, min_words: int, m
     return first, last, code, least
 
 
-def _selected(min_words: int, min_lines: int):
+def _selected(min_words: int, min_lines: int, whole_runs: bool):
     """(fingerprint, window, id, text, first, last) of every window; lines are numbered as ``split`` by newlines does."""
 
     def run(batches):
@@ -74,17 +82,17 @@ def _selected(min_words: int, min_lines: int):
             buf, off = text_bytes(batch.column(2))
             for i, j in row_slices(off):
                 h, words, row, number = lines_of(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                first, last, code, least = windows(h, words, row, min_words, min_lines)
+                first, last, code, least = windows(h, words, row, min_words, min_lines, whole_runs)
                 owner = pa.array(row[first] + i)
                 yield pa.record_batch([pa.array(least.view(np.int64)), pa.array(code.view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(number[first].astype(np.int32)), pa.array(number[last].astype(np.int32))], ["fingerprint", "window", "id", "text_key", "first", "last"])
 
     return run
 
 
-def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int, min_lines: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int, min_lines: int, id_col: str, text_col: str, scratch: Scratch, whole_runs: bool = False) -> DataFrame:
     """(id, text_key, runs): the lines (first, last) of later repeated runs."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    placed = keyed.mapInArrow(_selected(min_words, min_lines), "fingerprint long, window long, id long, text_key long, first int, last int")
+    placed = keyed.mapInArrow(_selected(min_words, min_lines, whole_runs), "fingerprint long, window long, id long, text_key long, first int, last int")
     placed = scratch.table(placed, "selected")
     often = placed.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint")
     meeting = placed.join(often, "fingerprint", "left_semi")
@@ -98,11 +106,11 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int, min_line
     return merged.groupBy("id", "text_key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = 50, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = 50, min_lines: int = 3, id_col: str = "doc_id", text_col: str = "text", whole_runs: bool = False) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_removed``, ``removed_runs`` (array of first, last line, from 0) and ``clean_text``."""
     scratch = Scratch(spark, "line-dedup")
     docs = without(docs, "n_lines", "n_removed", "removed_runs", "clean_text")
-    runs = scratch.table(repeated_runs(spark, docs, min_words, min_lines, id_col, text_col, scratch), "runs")
+    runs = scratch.table(repeated_runs(spark, docs, min_words, min_lines, id_col, text_col, scratch, whole_runs), "runs")
     scratch.drop("selected")
     keyed = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__key", F.xxhash64(text_col))
     # runs grow with the input, so they are never broadcast

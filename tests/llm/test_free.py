@@ -146,6 +146,35 @@ def test_line_dedup_equals_brute_force(spark):
         assert got == brute_lines(docs, words, lines)
 
 
+def brute_whole_runs(docs, min_words, min_lines):
+    rows = [[(k, x.strip(" \t\r\x0b\x0c")) for k, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")] for _, t in docs]
+    seen, out = set(), {}
+    for (i, text), lines in zip(docs, rows, strict=True):
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(len(x.split()) for _, x in lines[a : b + 1]) >= min_words or b - a + 1 >= min_lines:
+                    key = tuple(x for _, x in lines[a : b + 1])
+                    if key in seen:
+                        gone |= set(range(lines[a][0], lines[b][0] + 1))
+                    seen.add(key)
+        out[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+    return out
+
+
+def test_line_dedup_of_whole_runs(spark):
+    long, short = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(40))
+    df = spark.createDataFrame([(1, f"a\n{long}\n{short}\nb"), (2, f"c\n{long}\n{short}\nd")], "doc_id long, text string")
+    assert {r.doc_id: r.clean_text for r in line_dedup.dedup_lines(spark, df, whole_runs=True).collect()}[2] == "c\nd"
+    rng = random.Random(3)
+    pool = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(0, 14))) for _ in range(12)]
+    docs = [(i, "\n".join(rng.choice(pool) + rng.choice(["", " ", "\r"]) for _ in range(rng.randrange(0, 12)))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for words, lines in ((12, 3), (20, 4)):
+        got = {r.doc_id: r.clean_text for r in line_dedup.dedup_lines(spark, df, words, lines, whole_runs=True).collect()}
+        assert got == brute_whole_runs(docs, words, lines) and got != brute_lines(docs, words, lines)
+
+
 def test_line_dedup_odd_rows(spark, odd_docs, no_docs):
     passage = " ".join(f"p{i}" for i in range(60))
     more = spark.createDataFrame([(50, f"first\n{passage}\nlast"), (51, f"other\n\n {passage}\nend"), (51, f"other\n\n {passage}\nend"), (None, passage)], "doc_id long, text string")
