@@ -139,7 +139,11 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = 1
             yield pa.record_batch([batch.column(0), pa.array(nearest(x, centre, 1)[:, 0].astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(turned.ravel()), dims).cast(pa.list_(pa.float32()))], ["cid", "list", "turned"])
 
     indexed = scratch.table(classes.select("cid", "embedding").mapInArrow(assign, "cid long, list int, turned array<float>"), "indexed")
-    probes, first = max(1, int(np.ceil(lists * probe_share))), max(1, int(np.ceil(lists * first_share)))
+    sizes = np.zeros(lists, np.int64)
+    for r in indexed.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    enough = int(np.searchsorted(np.cumsum(np.sort(sizes)), min(k + 1, total))) + 1  # lists that hold as many vectors as a result needs, whichever they are
+    probes, first = max(1, int(np.ceil(lists * probe_share)), enough), max(1, int(np.ceil(lists * first_share)))
     asked = scratch.table(rows.filter(is_query).select("vec_id", "h1", "h2"), "asked")
     asking = classes.join(asked.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select(F.col("cid").alias("query"), "embedding")
 

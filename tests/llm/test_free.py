@@ -116,6 +116,13 @@ def test_search_odd_vectors(spark):
     assert ann.search(spark, df.filter("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_search_of_few_vectors_returns_all(spark):
+    for n in (7, 12):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.RandomState(n).normal(size=(n, 16)))], "vec_id long, embedding array<float>")
+        got = ann.search(spark, df, F.lit(True)).groupBy("query_id").count().collect()
+        assert len(got) == n and {r["count"] for r in got} == {min(10, n - 1)}
+
+
 def brute_lines(docs, min_words, min_lines):
     seen, out = set(), {}
     for i, text in docs:
