@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,36 +14,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (tests, one machine)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on one machine, where it is unset, a folder of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir() or path
     return path.rstrip("/")
 
 
-#: Records in an Arrow batch: texts can be long, and a batch is in memory several times over.
+#: Records in an Arrow batch while tables are written: texts can be long, and a batch is in memory several times over.
 BATCH_RECORDS = 400
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounds Arrow batches while a job of ours runs; the session's own setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before) if int(before) > 0 else BATCH_RECORDS, BATCH_RECORDS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written once to the shared folder and read back: lineage is cut and a lost executor loses nothing."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if int(spark.conf.get(key)) > BATCH_RECORDS:
-            spark.conf.set(key, BATCH_RECORDS)
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, tag: str) -> str:
         return f"{self.base}/{tag}"
 
     def table(self, df: DataFrame, tag: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(tag))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(tag))
         return self.spark.read.schema(df.schema).parquet(self.path(tag))
 
     def drop(self, *tags: str) -> None:
@@ -59,6 +73,18 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns of a plan's own that ``df`` doesn't have (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 # --- hashing of whole Arrow batches -------------------------------------------------------------------------------
 
 _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))

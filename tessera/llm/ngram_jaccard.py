@@ -1,23 +1,27 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix with itself.
 
 Rows of the incidence matrix are documents, columns are hashed word n-grams. The product is taken one block of columns
-at a time: a block holds the postings of a range of n-gram hashes, and each posting adds one to the overlap of every
-pair of documents in it. Size-derived bounds keep the product sparse and exact:
+at a time: a block holds the postings of a range of n-gram hashes, and each posting adds one to the overlap of its
+smallest row, the pivot, with every other row in it. Size-derived bounds keep the product sparse and exact:
 
 * a pair with Jaccard of ``num/den`` or more shares ``o = num*(a+b)/(num+den)`` columns at least, so under any one order
   of the columns two such rows share ``min(o, q)`` of the first ``a - ceil(num*a/den) + q`` and ``b - ceil(num*b/den) + q``
-  columns; only those leading columns enter the blocks, and pairs whose accumulated overlap stays below ``min(o, q)`` are
-  discarded (``q`` grows with the smaller row, see ``least_shared``);
+  columns; only those leading columns enter the blocks, and pairs whose accumulated overlap stays below ``min(o, q)``, even
+  if all columns of which neither is the pivot were shared too, are discarded (``q`` grows with the smaller row, see
+  ``least_shared``);
 * the order puts columns that many rows hold last (document frequencies are counted over the whole corpus), so a
   passage that many documents share enters a block only where little else is in the row;
 * pairs whose sizes alone rule the threshold out are never made.
 
 Surviving pairs get their overlap in full, from the whole sets of both documents, and links are those that reach the
-threshold. Rows with equal sets are one row of the matrix (copies are never expanded). A posting longer than
-``DENSE_POSTING`` links its rows to its smallest one first. Where this leaves rows of a posting in different components,
-they are dealt into cells of bounded size, and each pair of cells is multiplied as dense blocks: a task returns a
-spanning forest of the links it finds, never the pairs. So a group of near copies costs its size, and no link between
-components is lost.
+threshold. Rows with equal sets are one row of what is verified (copies are never expanded). So a posting costs its length,
+whatever its length is. A column that many rows hold is dealt over parts of the corpus, each with a pivot of its own, and the
+pivots of the parts are linked to the smallest one: no block grows with a column.
+
+Where links leave rows of a posting in different components, the rows are open: they may link without either being a
+pivot. An open row that holds fewer open columns than any pair of its size must share is closed. The others are dealt into
+cells of bounded size, and each pair of cells is multiplied as dense blocks: a task returns a spanning forest of the links
+it finds, never the pairs, so no link between components is lost.
 
 Defined results: null or blank texts have an empty set, ``n_shingles`` 0 and are their own component; rows with a null
 id get a null component and link nothing; repeated rows of one id are judged row by row; a class of equal sets is
@@ -30,21 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, mix64, pack, row_slices, text_bytes, unpack, words_of
+from tessera.llm.common import Scratch, mix64, pack, row_slices, text_bytes, unpack, unused, words_of
 
 #: Columns held by more documents than this come last in the order.
 HEAVY_DF = 32
-#: Postings up to this length add all their pairs, longer ones link to their smallest row first.
-DENSE_POSTING = 48
 #: Bytes of text whose postings are packed together; bounds a task's memory.
 CHUNK = 8 << 20
 #: Rows of a cell of long postings.
 CELL = 384
-#: Up to this many rows, the sets that candidates need are picked out by a filter of 16 bits for each (64 MB at most).
-FILTERED_ROWS = 1 << 25
+#: Up to this many rows, the sets that candidates need are picked out by a filter of 16 bits or more for each: 16 MB at most.
+FILTERED_ROWS = 1 << 22
+#: Overlaps that a task holds before it gives them out.
+HELD = 1 << 19
 #: Columns known as heavy (8 bytes each on the driver) and the bits of the filter broadcast for them (8 MB).
 MAX_HEAVY, FILTER_BITS = 1 << 20, 26
 
@@ -102,9 +106,12 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarra
 
 def _signed(n: int):
     def run(batches):
-        for ids, known, h, ends, _ in _sets(batches, n):
-            a, b = signatures(h, ends)
-            yield pa.record_batch([pa.array(ids, pa.int64(), mask=~known), pa.array(np.diff(ends)), pa.array(a), pa.array(b)], ["id", "n", "s1", "s2"])
+        for batch in batches:
+            done = 0
+            for ids, known, h, ends, _ in _sets([batch], n):
+                a, b = signatures(h, ends)
+                key, done = batch.column(2).slice(done, len(ids)), done + len(ids)
+                yield pa.record_batch([pa.array(ids, pa.int64(), mask=~known), key, pa.array(np.diff(ends)), pa.array(a), pa.array(b)], ["id", "text_key", "n", "s1", "s2"])
 
     return run
 
@@ -203,33 +210,43 @@ def least_shared(size):
     return 2 + size // 24
 
 
-def _postings(n: int, bits: int, bucket_bits: int, num: int, den: int, heavy):
-    """The leading columns of each row: (column, id, size of the row), packed by block of columns."""
+def least_shared_of(size: Column) -> Column:
+    return (F.floor(size / 24) + 2).cast("long")
+
+
+def _postings(n: int, bits: int, bucket_bits: int, part_bits: int, num: int, den: int, heavy):
+    """The leading columns of each row: (column, id, size of the row), packed by block of columns; those known as heavy by part of the corpus."""
 
     def run(batches):
         table = np.frombuffer(heavy.value, np.uint8) if heavy is not None else None
         for held in _once(batches, n):
-            keys, ids, sizes, places = [], [], [], []
+            keys, often, ids, sizes, places = [], [], [], [], []
             for doc, h, ends, rows in held:
-                late = _in_filter(table, _truncated(h, bits)) if table is not None else None
+                late = _in_filter(table, _truncated(h, bits)) if table is not None else np.zeros(len(h), bool)
                 for r in rows:
-                    own = h[ends[r] : ends[r + 1]]
+                    own, flag = h[ends[r] : ends[r + 1]], late[ends[r] : ends[r + 1]]
                     size = len(own)
                     lead = min(size, size - -(-num * size // den) + least_shared(size))
-                    if late is not None and (flag := late[ends[r] : ends[r + 1]])[: lead].any():
-                        own = np.concatenate((own[~flag], own[flag]))
+                    if flag[:lead].any():
+                        own, flag = np.concatenate((own[~flag], own[flag])), np.sort(flag)
                     keys.append(own[:lead])
+                    often.append(flag[:lead])
                     ids.append(doc[r])
                     sizes.append(size)
                     places.append(lead)
             if not keys:
                 continue
-            lead = np.array(places)
+            lead, often = np.array(places), np.concatenate(often)
             key = _truncated(np.concatenate(keys), bits)
-            order = np.argsort(key)
-            key = key[order]
-            doc, size = np.repeat(np.array(ids, np.int64), lead)[order], np.repeat(np.array(sizes, np.uint32), lead)[order]
-            out = [(b, pack(np.diff(key[at], prepend=np.uint64(0))), pack(doc[at]), pack(size[at])) for b, at in _by_bucket(key, bits, bucket_bits)]
+            doc, size = np.repeat(np.array(ids, np.int64), lead), np.repeat(np.array(sizes, np.uint32), lead)
+            part = (1 << bucket_bits) + int(mix64(doc[:1].view(np.uint64))[0] >> np.uint64(64 - part_bits)) if part_bits else 1 << bucket_bits
+            out = []
+            for heavy_ones in (False, True):
+                at = np.flatnonzero(often == heavy_ones)
+                at = at[np.argsort(key[at])]
+                for b, run_of in _by_bucket(key[at], bits, bucket_bits) if not heavy_ones else [(part, slice(None))] * bool(len(at)):
+                    own = at[run_of]
+                    out.append((b, pack(np.diff(key[own], prepend=np.uint64(0))), pack(doc[own]), pack(size[own])))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.binary()) for k in range(1, 4))], ["bucket", "k", "d", "n"])
 
     return run
@@ -244,11 +261,22 @@ def _rows(kind: int, a, b=None, shared=None, least=None, ids=None) -> pa.RecordB
     return pa.record_batch([pa.array(np.full(n, kind, np.int32)), of(a), of(b), of(shared), of(least), pa.nulls(n, pa.list_(pa.int64())) if ids is None else pa.array(ids, pa.list_(pa.int64()))], ["kind", "a", "b", "shared", "least", "ids"])
 
 
-def _product(num: int, den: int):
-    """Of a block of columns: pairs with the columns they share in it (kind 0), long postings (1: column, smallest id, ids, 2048 to a row), and how many of those hold an id (2)."""
+def _summed(rows: np.ndarray) -> np.ndarray:
+    """(a, b, shared, least), a row for each pair."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(rows[:, 0]) != 0) | (np.diff(rows[:, 1]) != 0)))[: len(rows)])
+    if not len(first):
+        return rows
+    return np.stack((rows[first, 0], rows[first, 1], np.add.reduceat(rows[:, 2], first), np.maximum.reduceat(rows[:, 3], first)), 1)
+
+
+def _product(num: int, den: int, bucket_bits: int):
+    """Overlaps with pivots, summed over the blocks of a task (kind 0); postings with rows that are no pivots (1: column, pivot, ids, 2048 to a row; ``shared`` is 1 for a part of a heavy column); how many of those hold an id (2)."""
 
     def run(batches):
-        for _, rows in _grouped(batches):
+        found = np.zeros((0, 4), np.int64)
+        for block, rows in _grouped(batches):
+            heavy = bool(block >> bucket_bits)
             key = np.concatenate([np.cumsum(unpack(x[0], np.uint64)) for x in rows])
             doc = np.concatenate([unpack(x[1], np.int64) for x in rows])
             size = np.concatenate([unpack(x[2], np.uint32) for x in rows]).astype(np.int64)
@@ -257,38 +285,27 @@ def _product(num: int, den: int):
             key, doc, size = key[order], doc[order], size[order]
             edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             length = np.diff(np.append(edges, len(key)))
-            near = lambda a, b: (doc[a] != doc[b]) & (num * np.maximum(size[a], size[b]) <= den * np.minimum(size[a], size[b]))
-            found = np.zeros((0, 4), np.int64)
-
-            def add(found, a, b):
-                a, b = (x[near(a, b)] for x in (a, b))
-                small, both = np.minimum(size[a], size[b]), size[a] + size[b]
-                new = np.stack((doc[a], doc[b], np.ones(len(a), np.int64), np.minimum(least_shared(small), -(-num * both // (num + den)))), 1)
-                new = np.concatenate((found, new))
-                new = new[np.lexsort((new[:, 1], new[:, 0]))]
-                first = np.flatnonzero(np.concatenate(([True], (np.diff(new[:, 0]) != 0) | (np.diff(new[:, 1]) != 0)))[: len(new)])
-                if not len(first):
-                    return found
-                return np.stack((new[first, 0], new[first, 1], np.add.reduceat(new[:, 2], first), np.maximum.reduceat(new[:, 3], first)), 1)
-
-            for k in np.unique(length[(length > 1) & (length <= DENSE_POSTING)]):
-                at = edges[length == k]
-                i, j = np.triu_indices(int(k), 1)
-                step = max(1, (1 << 18) // len(i))
-                for s in range(0, len(at), step):
-                    found = add(found, (at[s : s + step, None] + i).ravel(), (at[s : s + step, None] + j).ravel())
-            long_rows, held = [], []
-            for lo, n in zip(edges[length > DENSE_POSTING], length[length > DENSE_POSTING], strict=True):
-                found = add(found, np.full(n - 1, lo), np.arange(lo + 1, lo + n))
-                ids = np.unique(doc[lo : lo + n])
-                held.append(ids)
-                long_rows += [(int(key[lo]), int(doc[lo]), ids[s : s + 2048]) for s in range(0, len(ids), 2048)]
-            for s in range(0, len(found), 50_000):
-                yield _rows(0, *found[s : s + 50_000].T)
-            if long_rows:
-                yield _rows(1, [x[0] for x in long_rows], [x[1] for x in long_rows], ids=[x[2] for x in long_rows])
-                ids, times = np.unique(np.concatenate(held), return_counts=True)
+            first = np.repeat(edges, length)
+            a, b = first, np.arange(len(key))
+            near = (doc[a] != doc[b]) & (num * np.maximum(size[a], size[b]) <= den * np.minimum(size[a], size[b]))
+            a, b = a[near], b[near]
+            small, both = np.minimum(size[a], size[b]), size[a] + size[b]
+            new = np.stack((doc[a], doc[b], np.ones(len(a), np.int64), np.minimum(least_shared(small), -(-num * both // (num + den)))), 1)
+            found = _summed(np.concatenate((found, _summed(new))))
+            if len(found) > HELD:
+                yield from (_rows(0, *found[s : s + 50_000].T) for s in range(0, len(found), 50_000))
+                found = found[:0]
+            lasting = np.flatnonzero((length > 2) | heavy)
+            open_rows = [(int(key[lo]), int(doc[lo]), np.unique(doc[lo : lo + many])) for lo, many in zip(edges[lasting], length[lasting], strict=True)]
+            open_rows = [(column, pivot, ids[s : s + 2048]) for column, pivot, ids in open_rows for s in range(0, len(ids), 2048)]
+            if open_rows:
+                yield _rows(1, [x[0] for x in open_rows], [x[1] for x in open_rows], shared=np.ones(len(open_rows), np.int64) if heavy else None, ids=[x[2] for x in open_rows])
+                counted = np.repeat((length > 2) | heavy, length)
+                if not heavy:
+                    counted &= doc != doc[first]
+                ids, times = np.unique(doc[counted], return_counts=True)
                 yield _rows(2, ids, shared=times)
+        yield from (_rows(0, *found[s : s + 50_000].T) for s in range(0, len(found), 50_000))
 
     return run
 
@@ -403,7 +420,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+    """One row per row of ``docs``: the id, ``n_shingles``, ``component_id``, the smallest id reachable by links, and ``text_key`` (xxhash64 of the text).
 
     Two rows link when ``den * |intersection| >= num * |union|`` of their sets of ``n``-word shingles (``threshold`` is
     ``(num, den)``, above 0 and at most 1). Other defined results: see the module.
@@ -412,11 +429,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
     if not 0 < num <= den or n < 1:
         raise ValueError("threshold must be in (0, 1], n at least 1")
     scratch = Scratch(spark, "ngram-jaccard")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.table(source.mapInArrow(_signed(n), "id long, n long, s1 long, s2 long"), "signed")
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    source = keyed.select("id", "text")
+    signed = scratch.table(keyed.mapInArrow(_signed(n), "id long, text_key long, n long, s1 long, s2 long"), "signed")
     # as a table of its own, so that both sides of the join are plain exchanges, which adaptive execution can split at a large class
     classes = scratch.table(signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "classes")
-    member = scratch.table(signed.join(classes, ["s1", "s2", "n"], "left").select("id", "n", "rep"), "member")
+    member = scratch.table(signed.join(classes, ["s1", "s2", "n"], "left").select("id", "text_key", "n", "rep"), "member")
     scratch.drop("signed", "classes")
     total = member.agg(F.sum("n")).first()[0] or 0
     bits = int(min(60, max(32, np.ceil(np.log2(total + 1)) + 8)))
@@ -441,9 +460,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
         bitmap = spark.sparkContext.broadcast(table.tobytes())
     scratch.drop("heavy")
 
-    posted = in_blocks(source.mapInArrow(_postings(n, bits, bucket_bits, num, den, bitmap), "bucket int, k binary, d binary, n binary"))
-    met = scratch.table(posted.mapInArrow(_product(num, den), PRODUCT), "met")
-    named = member.filter("rep is not null").select("id", "rep").distinct()
+    posted = in_blocks(source.mapInArrow(_postings(n, bits, bucket_bits, bucket_bits - 3 if bucket_bits > 3 else 0, num, den, bitmap), "bucket int, k binary, d binary, n binary"))
+    met = scratch.table(posted.mapInArrow(_product(num, den, bucket_bits), PRODUCT), "met")
+    named = member.filter("rep is not null").select("id", "rep", "n").distinct()
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(id, members) of the wanted ids, and maybe of some others."""
@@ -456,10 +475,14 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
         words[np.asarray(found["word"])] = np.asarray(found["bits"]).astype(np.uint32)
         return source.mapInArrow(_whole_sets(n, width, spark.sparkContext.broadcast(words.tobytes())), "id long, members binary")
 
-    long_of = met.filter("kind = 2").groupBy(F.col("a").alias("x")).agg(F.sum("shared").alias("long"))
-    pairs = met.filter("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
-    pairs = pairs.join(long_of.select(F.col("x").alias("a"), F.col("long").alias("la")), "a", "left").join(long_of.select(F.col("x").alias("b"), F.col("long").alias("lb")), "b", "left")
-    pairs = pairs.filter(F.col("shared") + F.coalesce(F.least("la", "lb"), F.lit(0)) * (F.col("la").isNotNull() & F.col("lb").isNotNull()).cast("int") >= F.col("least"))
+    postings = met.filter("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("pivot"), "shared", "ids")
+    parted = postings.filter("shared = 1").select("column", "pivot").distinct()
+    hubs = parted.groupBy("column").agg(F.min("pivot").alias("hub"))
+    between = parted.join(hubs, "column").filter("hub <> pivot").groupBy(F.col("hub").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"), F.lit(0).cast("long").alias("least"))
+    counted = met.filter("kind = 2").groupBy(F.col("a").alias("x")).agg(F.sum("shared").alias("other"))
+    pairs = met.filter("kind = 0").select("a", "b", "shared", "least").union(between).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    pairs = pairs.join(counted.select(F.col("x").alias("a"), F.col("other").alias("oa")), "a", "left").join(counted.select(F.col("x").alias("b"), F.col("other").alias("ob")), "b", "left")
+    pairs = pairs.filter(F.col("shared") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0))) >= F.col("least"))
     x, y = named.select(F.col("id").alias("a"), F.col("rep").alias("ra")), named.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
     reps = scratch.table(pairs.join(x, "a").join(y, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
     wanted = scratch.table(reps.select(F.col("a").alias("id")).union(reps.select("b")).distinct(), "wanted")
@@ -469,29 +492,51 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
     scratch.drop("sets", "pairs", "wanted")
     label = components(spark, links, scratch, "first")
 
-    dense = met.filter("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("pivot"), F.explode("ids").alias("id"))
-    placed = dense.join(named, "id").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("column", "pivot", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("column")
-    open_rows = scratch.table(placed.join(mixed, "column").select("pivot", F.col("rep").alias("id"), "component").distinct(), "open")
+    dense = postings.select("column", "pivot", F.explode("ids").alias("id"))
+    placed = dense.join(named, "id").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("column", "pivot", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("pivot").alias("hub")).filter("lo <> hi").select("column", "hub")
+    held = scratch.table(placed.join(mixed, "column").groupBy("hub", "rep", "n", "component").agg(F.count("*").alias("columns")), "held")
+    small = F.expr(f"({num} * n + {den - 1}) div {den}")  # the least size that a row of n columns can link to
+    enough = held.groupBy("rep").agg(F.sum("columns").alias("columns"), F.min("n").alias("n")).filter(F.col("columns") >= F.least(small, least_shared_of(small))).select("rep")
+    rest = held.join(enough, "rep").select("hub", F.col("rep").alias("id"), "component").distinct()
+    parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("hub", "parts")
+    open_rows = scratch.table(rest.join(parts, "hub"), "open")
     if open_rows.limit(1).count():
-        parts = open_rows.groupBy("pivot").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
-        dealt = open_rows.join(parts, "pivot").withColumn("part", F.pmod(F.hash("id"), F.col("parts")))
-        celled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("pivot", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "component")
+        dealt = open_rows.withColumn("part", F.pmod(F.hash("id"), F.col("parts")))
+        celled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "component")
         sets = scratch.table(sets_of(scratch.table(open_rows.select("id").distinct(), "cell-wanted")), "cell-sets")
-        more = scratch.table(celled.join(sets, "id").groupBy("pivot", "i", "j").applyInArrow(_cell(num, den), "a long, b long"), "more")
-        scratch.drop("cell-sets")
+        more = scratch.table(celled.join(sets, "id").groupBy("hub", "i", "j").applyInArrow(_cell(num, den), "a long, b long"), "more")
+        scratch.drop("cell-sets", "cell-wanted")
         if more.limit(1).count():
             label = components(spark, links.union(more), scratch, "second")
+        scratch.drop("more")
+    scratch.drop("met", "links", "held", "open")
     label = label.withColumnRenamed("id", "rep")
     out = member.join(label, "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"), "text_key")
 
 
-def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (``doc_id``, ``text``, any others) without near duplicates: of a component the row that names it stays.
+
+    Rows are told apart by id and text. Of rows that share the smallest id of a component, one with the smallest key of
+    its text stays. Rows with a null id are in no component and stay.
+    """
+    classed = Scratch(spark, "near-duplicates").table(ngram_jaccard(spark, docs, **options), "classed")
+    at, by, row = unused(docs, "class_id", "class_key", "class_row")
+    same = (F.col("doc_id") == F.col(at)) & (F.xxhash64(F.col("text").cast("string")) == F.col(by))
+    gone = classed.filter("component_id < doc_id").select(F.col("doc_id").alias(at), F.col("text_key").alias(by)).distinct()
+    kept = docs.join(gone, same, "left_anti")
+    again = classed.filter("component_id = doc_id").groupBy(F.col("doc_id").alias(at)).agg(F.count("*").alias("n"), F.min("text_key").alias(by)).filter("n > 1").select(at, by)
+    if not again.limit(1).count():
+        return kept
+    once = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.first(F.struct(*docs.columns)).alias(row))
+    return kept.join(again, F.col("doc_id") == F.col(at), "left_anti").select(*docs.columns).union(once.select(f"{row}.*"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
 
 
 ORACLE = r"""

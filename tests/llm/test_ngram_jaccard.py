@@ -57,15 +57,56 @@ def test_equals_brute_force(spark, seed):
     assert ours(spark, spark.createDataFrame(docs, "doc_id long, text string")) == classes(docs)
 
 
-def test_long_postings_and_cells(spark, monkeypatch):
-    """With short dense postings every group of near copies goes through pivots and cells."""
-    monkeypatch.setattr(nj, "DENSE_POSTING", 3)
+def test_heavy_columns_and_cells(spark, monkeypatch):
+    """With few rows to a heavy column and to a cell every group goes through parts, pivots and cells."""
     monkeypatch.setattr(nj, "HEAVY_DF", 2)
     monkeypatch.setattr(nj, "CELL", 8)
     docs = corpus(5, 12, 30, 40, 30)
     assert ours(spark, spark.createDataFrame(docs, "doc_id long, text string")) == classes(docs)
 
 
+def group(rng, copies, words, edited):
+    """Near copies of one text; of few edits all link, of many only some do, mostly by way of others."""
+    base = [f"g{rng.randrange(10**6)}" for _ in range(words)]
+    for _ in range(copies):
+        w = list(base)
+        for at in rng.sample(range(words), rng.randrange(edited + 1)):
+            w[at] = f"e{rng.randrange(10**9)}"
+        yield " ".join(w)
+
+
+@pytest.mark.parametrize("copies", [10, 49, 500])
+def test_groups_of_near_copies(spark, copies):
+    rng = random.Random(copies)
+    texts = [*group(rng, copies, 80, 3), *group(rng, copies, 60, 4), *[" ".join(f"o{rng.randrange(300)}" for _ in range(60)) for _ in range(100)]]
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    got = ours(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(8))
+    assert got == classes(docs) and len({c for _, _, c in got}) > 100
+
+
+def test_overlaps_grow_with_a_group_not_with_its_square(spark):
+    """One row for each row of a posting that is no pivot, however long it is."""
+    import numpy as np
+    import pyarrow as pa
+
+    def made(m):
+        keys = np.repeat(np.arange(1, 41, dtype=np.uint64), m)
+        ids, sizes = np.tile(np.arange(m, dtype=np.int64), 40), np.full(40 * m, 60, np.uint32)
+        batch = pa.record_batch([pa.array([0], pa.int32()), *(pa.array([nj.pack(x)], pa.binary()) for x in (np.diff(keys, prepend=np.uint64(0)), ids, sizes))], ["bucket", "k", "d", "n"])
+        return sum(b.num_rows for b in nj._product(75, 100, 4)([batch]) if b.column(0)[0].as_py() == 0)
+
+    assert [made(m) for m in (2, 12, 24, 48, 96)] == [1, 11, 23, 47, 95]
+
+
+def test_one_row_of_each_component_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, text), (5, text), (5, "a clean text under the number five"), (5, "a clean text under the number five"), (6, text + " more"), (None, text), (None, text), (8, None), (8, None), (9, "")]
+    left = nj.one_of_each(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, class_id string"))
+    assert left.columns == ["doc_id", "text", "class_id"]
+    assert sorted(((r.doc_id or -1), r.text or "") for r in left.collect()) == sorted([(3, text), (5, rows[2][1]), (-1, text), (-1, text), (8, ""), (9, "")])
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = ours(spark, odd_docs)
