@@ -6,8 +6,8 @@
 4. ``mixing`` repeats documents at rates that bring their sources to target weights, and shuffles them.
 5. ``sharding`` deals what is left into shards; it returns the placement, a row for each copy.
 
-Every stage works with null ids and texts, repeated rows, empty tables and extra columns as its operator does; rows that
-share the id of a kept document are kept with it unless they are copies of it.
+Every stage works with null ids and texts, repeated rows, empty tables and extra columns as its operator does; a row that
+shares the id of another document, but not its text, is judged by itself.
 """
 
 from __future__ import annotations
@@ -15,14 +15,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm import toxicity as tox
-from tessera.llm.common import Scratch, without
+from tessera.llm.common import Scratch
 from tessera.llm.decontamination import drop_contaminated
 from tessera.llm.mixing import mix_sources
-from tessera.llm.ngram_jaccard import ngram_jaccard
+from tessera.llm.ngram_jaccard import one_of_each
 from tessera.llm.sharding import shard_documents
 
 
@@ -33,16 +31,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an id are in no component and stay. Of rows that repeat an id and a text one stays."""
-    classed = ngram_jaccard(spark, docs)
-    gone = Scratch(spark, "near-duplicates").table(classed.filter("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    again = classed.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    if not again.limit(1).count():
-        return kept
-    twice = kept.join(again, "doc_id", "left_semi")
-    once = without(twice, "__place").withColumn("__place", F.row_number().over(Window.partitionBy("doc_id", F.md5("text")).orderBy(F.lit(1)))).filter("__place = 1").drop("__place")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    """Documents without an id are in no component and stay. Rows are told apart by id and text: of a component one row stays."""
+    return one_of_each(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
