@@ -462,8 +462,6 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
 
     posted = in_blocks(source.mapInArrow(_postings(n, bits, bucket_bits, bucket_bits - 3 if bucket_bits > 3 else 0, num, den, bitmap), "bucket int, k binary, d binary, n binary"))
     met = scratch.table(posted.mapInArrow(_product(num, den, bucket_bits), PRODUCT), "met")
-    named = member.filter("rep is not null").select("id", "rep", "n").distinct()
-
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(id, members) of the wanted ids, and maybe of some others."""
         many = wanted.count()
@@ -479,12 +477,13 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
     parted = postings.filter("shared = 1").select("column", "pivot").distinct()
     hubs = parted.groupBy("column").agg(F.min("pivot").alias("hub"))
     between = parted.join(hubs, "column").filter("hub <> pivot").groupBy(F.col("hub").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"), F.lit(0).cast("long").alias("least"))
-    counted = met.filter("kind = 2").groupBy(F.col("a").alias("x")).agg(F.sum("shared").alias("other"))
+    counted = met.filter("kind = 2").groupBy(F.col("a").alias("id")).agg(F.sum("shared").alias("other"))
+    named = member.filter("rep is not null").select("id", "rep", "n").distinct()
+    info = scratch.table(named.join(counted, "id", "left").select("id", "rep", "n", F.coalesce("other", F.lit(0)).alias("other")), "info")
     pairs = met.filter("kind = 0").select("a", "b", "shared", "least").union(between).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
-    pairs = pairs.join(counted.select(F.col("x").alias("a"), F.col("other").alias("oa")), "a", "left").join(counted.select(F.col("x").alias("b"), F.col("other").alias("ob")), "b", "left")
-    pairs = pairs.filter(F.col("shared") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0))) >= F.col("least"))
-    x, y = named.select(F.col("id").alias("a"), F.col("rep").alias("ra")), named.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
-    reps = scratch.table(pairs.join(x, "a").join(y, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
+    x, y = info.select(F.col("id").alias("a"), F.col("rep").alias("ra"), F.col("other").alias("oa")), info.select(F.col("id").alias("b"), F.col("rep").alias("rb"), F.col("other").alias("ob"))
+    pairs = pairs.join(x, "a").join(y, "b").filter((F.col("shared") + F.least("oa", "ob") >= F.col("least")) & (F.col("ra") != F.col("rb")))
+    reps = scratch.table(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
     wanted = scratch.table(reps.select(F.col("a").alias("id")).union(reps.select("b")).distinct(), "wanted")
     sets = scratch.table(sets_of(wanted), "sets")
     first, second = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
@@ -492,10 +491,12 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
     scratch.drop("sets", "pairs", "wanted")
     label = components(spark, links, scratch, "first")
 
-    dense = postings.select("column", "pivot", F.explode("ids").alias("id"))
-    placed = dense.join(named, "id").join(label.withColumnRenamed("id", "rep"), "rep", "left").select("column", "pivot", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("pivot").alias("hub")).filter("lo <> hi").select("column", "hub")
-    held = scratch.table(placed.join(mixed, "column").groupBy("hub", "rep", "n", "component").agg(F.count("*").alias("columns")), "held")
+    rows = scratch.table(info.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", "n", F.coalesce("component", "rep").alias("component")), "rows")
+    entries = postings.select("column", "pivot", F.explode("ids").alias("id")).join(rows.select("id", "component"), "id")
+    mixed = entries.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("pivot").alias("hub")).filter("lo <> hi").select("column", "hub")
+    mixed = scratch.table(mixed, "mixed")
+    many = postings.join(mixed, "column").select("hub", F.explode("ids").alias("id")).groupBy("hub", "id").agg(F.count("*").alias("columns"))
+    held = scratch.table(many.join(rows, "id"), "held")
     small = F.expr(f"({num} * n + {den - 1}) div {den}")  # the least size that a row of n columns can link to
     enough = held.groupBy("rep").agg(F.sum("columns").alias("columns"), F.min("n").alias("n")).filter(F.col("columns") >= F.least(small, least_shared_of(small))).select("rep")
     rest = held.join(enough, "rep").select("hub", F.col("rep").alias("id"), "component").distinct()
@@ -510,7 +511,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
         if more.limit(1).count():
             label = components(spark, links.union(more), scratch, "second")
         scratch.drop("more")
-    scratch.drop("met", "links", "held", "open")
+    scratch.drop("met", "info", "links", "rows", "mixed", "held", "open")
     label = label.withColumnRenamed("id", "rep")
     out = member.join(label, "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
