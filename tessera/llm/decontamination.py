@@ -4,15 +4,20 @@ Texts and items are sequences of words (runs of letters, digits and non-ASCII by
 character). The CGK embedding
 walks a sequence: at step j it emits the word under its pointer, and a random bit of (j, word) tells whether the pointer
 moves on. Two walks with the same bits fall into step again after an edit, so a small edit distance becomes a small
-Hamming distance between what they emit. Each of ``repetitions`` draws its own bits and sample of emitted positions, and
-starts its walk at its own place of the item; windows of an item's size are tried at every word of a text, and walked only
-as long as what they have emitted at the sampled positions agrees with some item. Samples can
-miss, the more so in short items, so an item is also cut into one piece more than the edits it may have: one of them at least
-stands unchanged in any text that holds the item, and each place of a piece gives a window. Every window that agrees is verified: the least number of word edits that turn the item into a stretch of the text, by exact dynamic
+Hamming distance between what they emit. Each repetition draws its own bits, the place of the item where its walk starts
+(places are spread over the whole item), and a sample of the steps of an item-sized window's walk, any two scales of which are
+as likely (``sampled``). As many repetitions are made as find ``target_recall`` of simulated copies of an item's size with
+``max_share`` of its words edited (``repetitions_for``). Windows are tried at every word of a text, and walked only
+as long as what they have emitted at the sampled steps agrees with some item.
+
+What the samples miss is looked up: an item is also cut into one piece more than the edits it may have: one of them at least
+stands unchanged in any text that holds the item, and each place of a piece gives a window. Every window that agrees is
+verified: the least number of word edits that turn the item into a stretch of the text, by exact dynamic
 programming over the window and ``max_edits`` words on either side. The text holds the item if that is at most
 ``max_share`` of the item's words.
 
-Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, a pass over the texts for each block; texts never move.
+Items are broadcast in blocks of at most ``BLOCK_BYTES`` of text, one at a time, a pass over the texts for each block; texts
+never move.
 
 Defined results: null and blank texts and items hold nothing; items below ``min_words`` words are no evidence and are left
 out; repeated items are found one by one, repeated rows row by row; a row with a null id has hits with a null id. Extra
@@ -21,6 +26,7 @@ columns of both inputs are ignored by ``contaminated`` and kept by ``drop_contam
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,45 +34,115 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IN_TERM, Scratch, mix64, row_slices, text_bytes, words_of
+from tessera.llm.common import IN_TERM, Scratch, mix64, row_slices, small_batches, text_bytes, unused, words_of
 
 BLOCK_BYTES = 16 << 20
-#: Emitted positions that each repetition samples from its walk; the first is where the walk starts.
-SAMPLED = ((0, 3, 5, 8), (0, 2, 5, 7), (0, 2, 4, 7), (0, 3, 6, 8), (0, 2, 6, 8), (0, 3, 5, 7), (0, 2, 4, 8), (0, 3, 6, 9))
+#: Steps that a repetition samples besides the one where its walk starts, and words that it has at least.
+SAMPLES, ROOM = 3, 3
+#: Items of up to this many words share the steps that are sampled; longer ones are taken together up to each eightfold.
+WINDOW, LONGER = 64, 8
+MOST_REPETITIONS, SIMULATED = 64, 256
 NO_WORD = np.uint64(0)
 #: Words of a piece that are looked up.
 PIECE = 8
+#: Numbers in an array that is made for many places of a text at once.
+WIDTH = 1 << 22
+
+
+def window_of(size: int) -> int:
+    """Words of the windows that items of a size are sampled in."""
+    window = WINDOW
+    while window < size:
+        window *= LONGER
+    return window
+
+
+@functools.lru_cache(maxsize=None)
+def sampled(r: int, window: int) -> tuple[int, ...]:
+    """The steps that a repetition samples: the start, and draws from a walk over the window (two steps to a word), log-uniform."""
+    draws = np.exp(np.random.RandomState(977 * r + window % 977).uniform(0, np.log(2 * window), SAMPLES)).astype(int)
+    return (0, *np.unique(draws).tolist())
+
+
+def starting_place(r: int, size: int) -> int:
+    """Where a repetition starts in an item: halves, quarters and so on of it, in turn."""
+    share, part = 0.0, 0.5
+    while r:
+        share, part, r = share + part * (r & 1), part / 2, r >> 1
+    return int(share * (size - min(size, ROOM) + 1))
+
+
+@functools.lru_cache(maxsize=None)
+def repetitions_for(size: int, max_share: float, target_recall: float) -> int:
+    """How many repetitions find the target share of random copies of an item with all the edits that it may have."""
+    if size > WINDOW:  # longer items have more places to start from, and are found by as many repetitions
+        size = WINDOW
+    rng, edits_made = np.random.RandomState(size), int(size * max_share)
+    items = rng.randint(1, 1 << 62, (SIMULATED, size)).astype(np.uint64)
+    texts = np.zeros((SIMULATED, size + edits_made + 1), np.uint64)
+    for k in range(SIMULATED):
+        words = [[w] for w in items[k]]
+        for i in rng.choice(size, edits_made, replace=False):
+            other = np.uint64(rng.randint(1, 1 << 62))
+            words[i] = ([], [other], [other, *words[i]])[rng.randint(3)]
+        flat = [w for part in words for w in part]
+        texts[k, : len(flat)] = flat
+    every, found = np.arange(SIMULATED), np.zeros(SIMULATED, bool)
+    for r in range(MOST_REPETITIONS):
+        start, at = starting_place(r, size), sampled(r, window_of(size))
+        same = texts == items[:, start, None]
+        agree, i, j = same.any(1), np.full(SIMULATED, start), same.argmax(1)
+        for step in range(at[-1] + 1):
+            mine, other = items[every, np.minimum(i, size - 1)], texts[every, np.minimum(j, texts.shape[1] - 1)]
+            if step in at:
+                agree &= (i >= size) | (mine == other)
+            i, j = i + moves(mine, r, step) * (i < size), j + moves(other, r, step)
+        found |= agree
+        if found.mean() >= target_recall:
+            return r + 1
+    return MOST_REPETITIONS
 
 
 class Items:
     """Items of a block, with what their walks emit at the sampled positions."""
 
-    def __init__(self, ids: list, texts: pa.Array, repetitions: int, max_share: float, min_words: int):
+    def __init__(self, ids: list, texts: pa.Array, target_recall: float, max_share: float, min_words: int, pieces: bool = True):
         buf, off = text_bytes(texts)
         word, start, end, row = words_of(buf, off, within=IN_TERM, unspaced=True)
         ends = np.searchsorted(row, np.arange(len(ids) + 1))
         every = [(ids[k], word[ends[k] : ends[k + 1]], (end - start)[ends[k] : ends[k + 1]]) for k in range(len(ids)) if ends[k + 1] - ends[k] >= min_words]
         self.ids, self.words = [k for k, _, _ in every], [w for _, w, _ in every]
         self.most = [int(len(w) * max_share) for w in self.words]
-        self.tables = []  # by repetition: for each sampled position, sorted (signature, item, start) of complete walks and signatures of the others
-        for r in range(repetitions):
-            at = SAMPLED[r % len(SAMPLED)]
-            full: list[list[tuple[int, int, int]]] = [[] for _ in at]
-            part: list[set[int]] = [set() for _ in at]
-            for k, (_, w, length) in enumerate(every):
-                start = r * max(0, len(w) - 10) // max(1, repetitions - 1)
-                start += int(np.argmax(length[start : max(start + 1, min(start + 3, len(w) - 7))]))  # of the next words the longest, likely the rarest
-                signatures = walk_one(w[start:], r, at)
-                for level, s in enumerate(signatures[:-1]):
-                    part[level].add(s)
-                full[len(signatures) - 1].append((signatures[-1], k, start))
-            levels = []
-            for f, p in zip(full, part, strict=True):
-                f = sorted(f)
-                keys = np.array([x[0] for x in f], np.uint64)
-                known = np.unique(np.concatenate((keys, np.array(sorted(p), np.uint64))))
-                levels.append((keys, np.array([x[1:] for x in f], np.int64).reshape(-1, 2), np.array(sorted(p), np.uint64), bit_table(known)))
-            self.tables.append((at, levels))
+        many = [repetitions_for(len(w), max_share, target_recall) for w in self.words]
+        self.tables = []  # by window and repetition: for each sampled step, sorted (signature, item, start) of complete walks and signatures of the others
+        for window in sorted({window_of(len(w)) for w in self.words}):
+            own = [k for k, w in enumerate(self.words) if window_of(len(w)) == window]
+            for r in range(max(many[k] for k in own)):
+                at = sampled(r, window)
+                full: list[list[tuple[int, int, int]]] = [[] for _ in at]
+                part: list[set[int]] = [set() for _ in at]
+                for k in own:
+                    if r >= many[k]:
+                        continue
+                    _, w, length = every[k]
+                    start = starting_place(r, len(w))
+                    start += int(np.argmax(length[start : max(start + 1, min(start + min(3, len(w) // 8), len(w) - ROOM + 1))]))  # of the next words the longest, likely the rarest
+                    signatures = walk_one(w[start:], r, at)
+                    for level, s in enumerate(signatures[:-1]):
+                        part[level].add(s)
+                    full[len(signatures) - 1].append((signatures[-1], k, start))
+                levels = []
+                for f, p in zip(full, part, strict=True):
+                    f = sorted(f)
+                    keys = np.array([x[0] for x in f], np.uint64)
+                    known = np.unique(np.concatenate((keys, np.array(sorted(p), np.uint64))))
+                    levels.append((keys, np.array([x[1:] for x in f], np.int64).reshape(-1, 2), np.array(sorted(p), np.uint64), bit_table(known)))
+                self.tables.append((r, at, levels))
+        self.pieces = {}  # by words: sorted signatures, (item, start) and bits
+        if pieces:
+            self.cut()
+
+    def cut(self) -> None:
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for k, (w, most) in enumerate(zip(self.words, self.most, strict=True)):
             many = min(most + 1, len(w))
@@ -74,7 +150,6 @@ class Items:
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 size = min(hi - lo, PIECE)
                 pieces.setdefault(size, []).append((int(signature(w[lo : lo + size])), k, lo))
-        self.pieces = {}  # by words: sorted signatures, (item, start) and bits
         for size, f in pieces.items():
             f = sorted(f)
             keys = np.array([x[0] for x in f], np.uint64)
@@ -135,7 +210,7 @@ def candidates(word: np.ndarray, end: np.ndarray, items: Items) -> Iterator[tupl
     padded = np.append(word, NO_WORD)
     opening = mix64(word)
     low = (opening & np.uint64(0xFFFF)).astype(np.int32)
-    for r, (at, levels) in enumerate(items.tables):
+    for r, at, levels in items.tables:
         here = sig = None
         step = None
         for j in range(at[-1] + 1):
@@ -191,15 +266,16 @@ def plausible(word: np.ndarray, place: np.ndarray, begin: np.ndarray, end: np.nd
     own = np.unique(item)
     ok = np.zeros(len(place), bool)
     span = np.arange(-most, len(item) + most)
-    for s in range(0, len(place), 4096):
-        at = place[s : s + 4096, None] + span
-        inside = (at >= begin[s : s + 4096, None]) & (at < end[s : s + 4096, None])
+    many = max(1, WIDTH // len(span))
+    for s in range(0, len(place), many):
+        at = place[s : s + many, None] + span
+        inside = (at >= begin[s : s + many, None]) & (at < end[s : s + many, None])
         near = word[np.clip(at, 0, len(word) - 1)]
         where = np.minimum(np.searchsorted(own, near), len(own) - 1)
         inside &= own[where] == near
         seen = np.zeros((len(at), len(own)), bool)
         seen[np.nonzero(inside)[0], where[inside]] = True
-        ok[s : s + 4096] = seen.sum(1) >= len(own) - most
+        ok[s : s + many] = seen.sum(1) >= len(own) - most
     return ok
 
 
@@ -239,25 +315,28 @@ def hits_of(buf: np.ndarray, off: np.ndarray, items: Items) -> list[tuple[int, i
     return [(r, k, *v) for (r, k), v in sorted(out.items())]
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, repetitions: int, max_share: float, min_words: int) -> list:
-    """Broadcast blocks of items, each of a bounded number of bytes."""
-    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    many = -(-total // BLOCK_BYTES)
-    out = []
-    for k in range(many):
-        block = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(many)) == k).orderBy("id", "text").toArrow()
-        out.append(spark.sparkContext.broadcast(Items(block["id"].to_pylist(), block["text"].combine_chunks(), repetitions, max_share, min_words)))
-    return out
+class Blocks:
+    """Blocks of items, each of a bounded number of bytes; one is broadcast at a time."""
+
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, target_recall: float, max_share: float, min_words: int):
+        self.spark, self.how = spark, (target_recall, max_share, min_words)
+        self.items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+        self.many = -(-(self.items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // BLOCK_BYTES)
+
+    def block(self, k: int):
+        part = self.items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(self.many)) == k).orderBy("id", "text").toArrow()
+        return self.spark.sparkContext.broadcast(Items(part["id"].to_pylist(), part["text"].combine_chunks(), *self.how))
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, repetitions: int = 16, max_share: float = 0.2, min_words: int = 5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, target_recall: float = 0.95, max_share: float = 0.2, min_words: int = 5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """``doc_id``, ``item_id``, ``edits``, ``item_words`` and ``end_word`` (of the first best stretch, exclusive), a row for each row and item it holds."""
-    Scratch(spark, "decontamination")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, edits int, item_words int, end_word int"
-    found = spark.createDataFrame([], schema)
-    for held in blocks(spark, benchmark, item_col, item_text_col, repetitions, max_share, min_words):
+    scratch, blocks = Scratch(spark, "decontamination"), Blocks(spark, benchmark, item_col, item_text_col, target_recall, max_share, min_words)
+    if not blocks.many:
+        return spark.createDataFrame([], schema)
+    for k in range(blocks.many):
+        held = blocks.block(k)
 
         def run(batches, held=held):
             items = held.value
@@ -271,17 +350,21 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rep
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                     yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "edits", "item_words", "end_word"])
 
-        found = found.union(source.mapInArrow(run, schema))
-    return found
+        with small_batches(spark):
+            source.mapInArrow(run, schema).write.mode("append").parquet(scratch.path("hits"))
+        held.destroy()
+    return spark.read.schema(schema).parquet(scratch.path("hits"))
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, repetitions: int = 16, max_share: float = 0.2, min_words: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, target_recall: float = 0.95, max_share: float = 0.2, min_words: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    Scratch(spark, "decontamination")
-    kept = docs
-    for held in blocks(spark, benchmark, item_col, item_text_col, repetitions, max_share, min_words):
+    blocks = Blocks(spark, benchmark, item_col, item_text_col, target_recall, max_share, min_words)
+    if not blocks.many:
+        return docs
+    if blocks.many == 1:  # one pass that keeps or drops rows where they are
+        held, place = blocks.block(0), docs.columns.index(text_col)
 
-        def run(batches, held=held, place=docs.columns.index(text_col)):
+        def run(batches):
             items = held.value
             for batch in batches:
                 buf, off = text_bytes(batch.column(place))
@@ -290,8 +373,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
                     clean[[i + r for r, *_ in hits_of(buf[off[i] : off[j]], off[i : j + 1] - off[i], items)]] = False
                 yield batch.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+        return docs.mapInArrow(run, docs.schema)
+    (key,) = unused(docs, "held_key")
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    gone = contaminated(spark, texts, benchmark, target_recall, max_share, min_words, "key", item_col, "text", item_text_col)
+    return docs.join(gone.select(F.col("doc_id").alias(key)).distinct(), F.xxhash64(text_col) == F.col(key), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
