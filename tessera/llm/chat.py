@@ -1,7 +1,7 @@
 """Chat formatting in Spark expressions.
 
-A conversation's turns are collected as structs and sorted, adjacent turns of one role are merged, and blocks are
-concatenated::
+A conversation's turns are collected as structs and sorted, adjacent turns of one role are merged into blocks by array
+functions (where roles change, a block begins; a slice of the turns is a block), and blocks are concatenated::
 
     ### role: text<cut>text</turn>\\n
 
@@ -11,16 +11,42 @@ back each text exactly. ``loss_spans`` are the places of assistant texts (code p
 
 Defined results: null texts and roles are empty; turns with equal numbers are ordered by role, then text, null numbers
 first; rows with a null ``conv_id`` are a conversation of their own; repeated rows are turns like others; no rows give no
-conversations. Extra columns are ignored. A conversation is one value of the result, and so is held by one task.
+conversations. Extra columns are ignored. A conversation is one value of the result, and so is held by one task, whose work
+grows with the conversation's length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OPEN, CLOSE, CUT, NAMED = "### ", "</turn>\n", "<cut>", ": "
 TRICKY = "\\### Assistant: </turn> ok"
+#: Numbers of a running sum, and code points of a text, that are taken together.
+STRIDE, PIECE = 256, 4096
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is computed once, however often ``use`` names it, also inside of functions of array elements."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(numbers: Column) -> Column:
+    """What the numbers before each one of a non-empty array add up to."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, v: acc + v)
+
+    def parted(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(x) - 1, F.lit(STRIDE)), lambda at: F.slice(x, at + 1, STRIDE))
+
+    def begins(parts: Column) -> Column:
+        return F.aggregate(parts, F.array(F.lit(0).cast("long")), lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + total(part))))
+
+    def inside(parts: Column, begin: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda part, k: F.transform(part, lambda v, i: F.get(begin, k) + total(F.slice(part, F.lit(1), i)))))
+
+    return let(numbers, lambda x: let(parted(x), lambda parts: let(begins(parts), lambda begin: inside(parts, begin))))
 
 
 def escape(text: Column) -> Column:
@@ -40,30 +66,32 @@ def format_chats(chats: DataFrame, trained_role: str = "assistant", conv_col: st
     empty = F.lit("")
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text"))
     turns = chats.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    block = lambda t: F.struct(t["role"].alias("role"), F.array(escape(t["text"])).alias("texts"))
-    last = lambda acc: F.try_element_at(acc, F.lit(-1))
+    head = lambda role: F.concat(F.lit(OPEN), F.replace(escape(role), F.lit(":"), F.lit("\\c")), F.lit(NAMED))
+    same = lambda i: (i > 0) & (F.get("turns", i)["role"] == F.get("turns", i - 1)["role"])
+
+    def blocks(starts: Column) -> Column:
+        def block(at: Column, k: Column) -> Column:
+            own = F.slice("turns", at + 1, F.coalesce(F.get(starts, k + 1), F.size("turns")) - at)
+            return F.concat(head(F.get("turns", at)["role"]), F.array_join(F.transform(own, lambda t: escape(t["text"])), CUT), F.lit(CLOSE))
 
-    def merge(acc: Column, t: Column) -> Column:
-        longer = F.struct(t["role"].alias("role"), F.concat(last(acc)["texts"], F.array(escape(t["text"]))).alias("texts"))
-        same = (F.size(acc) > 0) & (last(acc)["role"] == t["role"])
-        return F.when(same, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(block(t))))
+        return F.array_join(F.transform(starts, block), "")
 
-    blocks = F.aggregate("turns", F.expr("cast(array() as array<struct<role:string,texts:array<string>>>)"), merge)
-    merged = turns.select("conv_id", blocks.alias("blocks"))
-    head = lambda b: F.concat(F.lit(OPEN), F.replace(escape(b["role"]), F.lit(":"), F.lit("\\c")), F.lit(NAMED))
-    whole = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], CUT), F.lit(CLOSE))), "")
-    state = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: ~same(i))
+    whole = let(starts, blocks)
 
-    def place(acc: Column, b: Column) -> Column:
-        def piece(inner: Column, text: Column) -> Column:
-            end = inner["at"] + F.char_length(text)
-            own = F.when(b["role"] == trained_role, F.array(F.struct(inner["at"].alias("start"), end.alias("end")))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
-            return F.struct((end + len(CUT)).alias("at"), F.concat(inner["spans"], own).alias("spans"))
+    def mark(t: Column, i: Column) -> Column:
+        lead = F.when(same(i), len(CUT)).otherwise(F.when(i > 0, len(CLOSE)).otherwise(0) + F.char_length(head(t["role"])))
+        return F.struct((t["role"] == trained_role).alias("trained"), lead.alias("lead"), F.char_length(escape(t["text"])).alias("size"))
 
-        begin = F.struct((acc["at"] + F.char_length(head(b))).alias("at"), acc["spans"].alias("spans"))
-        return F.aggregate(b["texts"], begin, piece, lambda done: F.struct((done["at"] - len(CUT) + len(CLOSE)).alias("at"), done["spans"].alias("spans")))
+    def spans(marks: Column, before: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            start = (F.get(before, i) + m["lead"]).cast("int")
+            return F.struct(m["trained"].alias("trained"), start.alias("start"), (start + m["size"]).alias("end"))
 
-    return merged.select("conv_id", whole.alias("formatted"), F.aggregate("blocks", state, place, lambda acc: acc["spans"]).alias("loss_spans"))
+        return F.transform(F.filter(F.transform(marks, span), lambda s: s["trained"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    placed = let(F.transform("turns", mark), lambda marks: let(running(F.transform(marks, lambda m: m["lead"] + m["size"])), lambda before: spans(marks, before)))
+    return turns.select("conv_id", whole.alias("formatted"), placed.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -71,16 +99,27 @@ def read_turns(formatted: Column) -> Column:
     blocks = F.filter(F.split(formatted, CLOSE, -1), lambda b, i: b != "")
 
     def turns(b: Column) -> Column:
-        role = F.substring_index(F.substring(b, F.lit(len(OPEN) + 1), F.char_length(b)), NAMED, 1)
-        texts = F.split(F.substring(b, F.char_length(role) + len(OPEN) + len(NAMED) + 1, F.char_length(b)), CUT, -1)
-        return F.transform(texts, lambda t: F.struct(unescape(role).alias("role"), unescape(t).alias("text")))
+        def texts(role: Column) -> Column:
+            said = F.split(F.substring(b, F.char_length(role) + len(OPEN) + len(NAMED) + 1, F.char_length(b)), CUT, -1)
+            return let(unescape(role), lambda name: F.transform(said, lambda t: F.struct(name.alias("role"), unescape(t).alias("text"))))
+
+        return let(F.substring_index(F.substring(b, F.lit(len(OPEN) + 1), F.char_length(b)), NAMED, 1), texts)
 
     return F.flatten(F.transform(blocks, turns))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+
+    def cut(pieces: Column) -> Column:
+        def text(s: Column) -> Column:
+            first = F.floor(s["start"] / PIECE).cast("int")
+            around = F.array_join(F.slice(pieces, first + 1, F.floor((s["end"] - 1) / PIECE).cast("int") - first + 1), "")
+            return F.when(s["end"] > s["start"], unescape(F.substring(around, s["start"] % PIECE + 1, s["end"] - s["start"]))).otherwise("")
+
+        return F.array_join(F.transform(spans, text), "")
+
+    return let(F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), cut)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
