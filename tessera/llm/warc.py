@@ -157,7 +157,8 @@ def write(spark: SparkSession, pages: DataFrame, folder: str | None = None, revi
 
         def records():
             for batch in batches:
-                for page_id, url, payload, revisit, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k in range(len(batch)):
+                    page_id, url, payload, revisit, refers_to = (c[k].as_py() for c in batch.columns)
                     yield record(page_id, url, payload, refers_to, revisit)
 
         stream = records()
@@ -177,11 +178,13 @@ def write(spark: SparkSession, pages: DataFrame, folder: str | None = None, revi
     return scratch.table(referred(pages, revisit_from, id_col, payload_col).mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
+#: Bytes of payloads that a batch of records read back holds, besides its last record.
+READ_BYTES = 8 << 20
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read(archives: DataFrame, payload: bool = False) -> DataFrame:
-    """Records of the archives that a table names by ``path``; with ``payload``, that too (null for revisits)."""
+    """Records of the archives that a table names by ``path``, a task for each archive; with ``payload``, that too (null for revisits)."""
 
     def run(batches):
         names = [x.split()[0] for x in READ.split(", ")] + ["payload"] * payload
@@ -191,15 +194,18 @@ def read(archives: DataFrame, payload: bool = False) -> DataFrame:
                 store, at = filesystem(path)
                 with store.open_input_stream(at) as source:
                     rows: list[dict] = []
+                    size = 0
                     for r in read_archive(source):
-                        rows.append(r)
-                        if len(rows) >= 200:
+                        rows.append(r if payload else r | {"payload": None})
+                        size += len(r["payload"] or b"") * payload
+                        if len(rows) >= 1000 or size >= READ_BYTES:
                             yield pa.record_batch([pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds, strict=True)], names)
-                            rows = []
+                            rows, size = [], 0
                     if rows:
                         yield pa.record_batch([pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds, strict=True)], names)
 
-    return archives.select("path").repartition("path").mapInArrow(run, READ + ", payload binary" * payload)
+    # a number given, as the few bytes of the names would be merged into one task
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(run, READ + ", payload binary" * payload)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
