@@ -7,7 +7,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, mixing, pii, sharding
@@ -54,12 +53,11 @@ def test_mixing_odd_rows(spark, odd_docs, no_docs):
 def leaf(tree, key):
     at = ""
     below = tree.children()
-    seed = xxhash.xxh64_intdigest(key.encode(), 42)
     while at in below:
         draws = []
         for path, weight in below[at]:
-            h = xxhash.xxh64_intdigest(path.encode(), seed)
-            draws.append((-math.log(((h >> 11) + 0.5) / 2**53) / weight, path))
+            h = int(hashlib.md5(f"{key}:{path}".encode()).hexdigest()[:13], 16)
+            draws.append((-math.log((h + 0.5) / 2**52) / weight, path))
         at = min(draws)[1]
     return int(at.split("/")[-1])
 
@@ -87,6 +85,9 @@ def test_sharding_grows_only_into_new_shards():
 
 
 def test_sharding_odd_rows(spark, odd_docs, no_docs):
+    assert "slot_order" in sharding.shard_documents(spark, odd_docs.withColumn("slot_order", F.lit("mine")), keep=("slot_order",)).filter("slot_order = 'mine'").columns
+    many = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    assert sorted(r.slot for r in sharding.shard_documents(spark, many).collect()) == list(range(500))
     rows = sharding.shard_documents(spark, odd_docs, keep=("lang", "shard")).collect()
     assert len(rows) == 12 and all(r.size >= 8 and r.text_crc32 >= 0 for r in rows) and "lang" in rows[0]
     assert len({r.shard for r in rows if r.doc_id is None}) == 1 and sharding.shard_documents(spark, no_docs).count() == 0
