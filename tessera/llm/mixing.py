@@ -3,7 +3,8 @@
 Each source gets a mean repetition rate, ``epochs * rows * weight / (sum of weights * rows of the source)``. A document's
 number of copies inverts the Poisson distribution of that mean at a uniform number seeded by a hash of the document's id,
 so a rerun, a retry or another partitioning draws the same copies. Each document is exploded by its count and the copies
-are dealt over all partitions, and sorted inside them, by a hash of id and copy: a global shuffle.
+are dealt over all partitions, and sorted inside them, by a hash of id and copy: a global shuffle. Rows with equal hashes are
+dealt by where they were read, so that no group of copies is one task.
 
 Only counts by source meet in an aggregate; texts move once, by the uniform hash, whatever the size of one source.
 
@@ -17,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, without
+from tessera.llm.common import Scratch, unused, without
 
 #: The rates of up to this many sources (tens of bytes and a table of probabilities each) are broadcast.
 BROADCAST_SOURCES = 2000
-SALTS = 64
+#: Salts at least, and rows that a salt is for where there are more.
+SALTS, ROWS_PER_SALT = 64, 1 << 20
 
 
 def uniform(seed: int, key: Column) -> Column:
@@ -57,30 +59,34 @@ def mix_sources(
         raise ValueError("weights must not be negative")
     scratch = Scratch(spark, "mixing")
     docs = without(docs, "copy", "n_copies", "mix_key")
-    counts = docs.groupBy(F.col(source_col).alias("__source")).agg(F.count("*").alias("__n"))
+    source, table, key, u, salt, mine = unused(docs, "mix_source", "mix_table", "mix_id", "mix_draw", "mix_salt", "mix_part")
+    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
-        weight = F.pow(F.col("__n").cast("double"), F.lit(float(alpha)))
+        weight = F.pow(F.col("n").cast("double"), F.lit(float(alpha)))
     else:
         weight = F.lit(0.0)
         for name, w in weights.items():
-            weight = F.when(F.col("__source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    weighed = scratch.table(counts.withColumn("__w", weight), "weights")
-    total = weighed.agg(F.sum("__n").alias("n"), F.sum("__w").alias("w"), F.count("*").alias("sources")).first()
+            weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
+    weighed = scratch.table(counts.withColumn("w", weight), "weights")
+    total = weighed.agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("sources")).first()
     share = F.lit(float(epochs) * (total["n"] or 0) / (total["w"] or 1.0))
-    rates = weighed.select("__source", poisson_table(share * F.col("__w") / F.col("__n")).alias("__table"))
+    rates = weighed.select(F.col("source").alias(source), poisson_table(share * F.col("w") / F.col("n")).alias(table))
+    same = F.col(source_col).eqNullSafe(F.col(source))
     if total["sources"] <= BROADCAST_SOURCES:
-        rated = docs.join(F.broadcast(rates), F.col(source_col).eqNullSafe(F.col("__source")))
-    else:  # one source may hold a third of the rows: its rows are dealt over salts
-        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = docs.withColumn("__mine", F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS)).cast("int"))
-        rated = dealt.join(salted, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__mine") == F.col("__salt"))).drop("__mine", "__salt")
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    drawn = F.col("__table.first") + F.size(F.filter("__table.cdf", lambda c: c <= F.col("__u")))
-    copies = rated.withColumn("__key", key).withColumn("__u", uniform(seed, F.col("__key"))).withColumn("n_copies", drawn.cast("long")).filter("n_copies > 0")
+        rated = docs.join(F.broadcast(rates), same)
+    else:  # one source may hold a third of the rows: its rows are dealt over salts, more of them for more rows
+        salts = max(SALTS, (total["n"] or 0) // ROWS_PER_SALT)
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        dealt = docs.withColumn(mine, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(salts)).cast("int"))
+        rated = dealt.join(salted, same & (F.col(mine) == F.col(salt))).drop(mine, salt)
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    drawn = F.col(f"{table}.first") + F.size(F.filter(f"{table}.cdf", lambda c: c <= F.col(u)))
+    copies = rated.withColumn(key, named).withColumn(u, uniform(seed, F.col(key))).withColumn("n_copies", drawn.cast("long")).filter("n_copies > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
-    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__key"), F.lit(":"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    copies = copies.withColumn("mix_key", order).drop("__source", "__table", "__key", "__u")
-    return copies.repartition("mix_key").sortWithinPartitions("mix_key", id_col)
+    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key), F.lit(":"), F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
+    copies = copies.withColumn("mix_key", order).drop(source, table, key, u)
+    # rows that repeat an id, or a text without one, share their keys: where they are read deals them over partitions
+    return copies.repartition("mix_key", F.spark_partition_id()).sortWithinPartitions("mix_key", id_col)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
