@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Scratch, without
+from tessera.llm.common import Scratch, unused, without
 
 KINDS = ("email", "ip", "card", "phone", "term")
 MASK, MARK = "\u0001", "\u0003"
@@ -165,18 +165,20 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise_at: float = 0.6, r
     hits = hits.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "disclosure"))).alias("__terms"))
     terms = F.transform("__terms", lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= remove_at, F.lit("")).otherwise(F.lit("[TERM]")).alias("value")))
     known = found.select("__key", "base").join(hits, "__key", "left").select("__key", "base", F.coalesce(terms, F.expr(f"cast(array() as {SPAN})")).alias("__added"))
-    out = docs.withColumn("__key", row_key(F.col(id_col), key)).join(known, "__key", "left")
+    row, added = unused(docs, "row_key", "added_terms")
+    known = known.withColumnsRenamed({"__key": row, "__added": added})
+    out = docs.join(known, row_key(F.col(id_col), key) == F.col(row), "left")
     none = F.expr(f"cast(array() as {SPAN})")
-    out = out.withColumn("base", F.coalesce("base", none)).withColumn("__added", F.coalesce("__added", none))
+    out = out.withColumn("base", F.coalesce("base", none)).withColumn(added, F.coalesce(added, none))
     many = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = {f"n_{k}": many(i) for i, k in enumerate(KINDS[:4])}
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]])
-    ordered = F.array_sort(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.element_at(labels, s["kind"] + 1).alias("put"))), F.transform("__added", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["value"].alias("put")))))
+    ordered = F.array_sort(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.element_at(labels, s["kind"] + 1).alias("put"))), F.transform(added, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["value"].alias("put")))))
     whole = F.coalesce(F.col(text_col), F.lit(""))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     put = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct((-s["end"]).alias("at"), F.concat(acc["text"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), s["put"]).alias("text"))).otherwise(acc)
     clean = F.when(F.size(ordered) == 0, F.col(text_col)).otherwise(F.aggregate(ordered, begin, put, lambda acc: F.concat(acc["text"], F.substring(whole, acc["at"] + 1, F.char_length(whole)))))
-    return out.withColumns(counts | {"clean_text": clean, "spans": F.concat("base", "__added")}).drop("__key", "__added")
+    return out.withColumns(counts | {"clean_text": clean, "spans": F.concat("base", added)}).drop(row, added)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
