@@ -16,6 +16,7 @@ the results are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -186,23 +187,23 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column |
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on)."""
-    Scratch(spark, "toxicity")
     docs = without(docs, "score", "predicted")
     used = np.flatnonzero(model.weights)
     table = spark.sparkContext.broadcast((used.astype(np.int32).tobytes(), model.weights[used].tobytes()))
     intercept = model.intercept
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at, w = (np.frombuffer(x, kind) for x, kind in zip(table.value, (np.int32, np.float64), strict=True))
         weights, wanted = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS, bool)
         weights[at], wanted[at] = w, True
-        buf, off = text_bytes(pa.array(texts, pa.large_string(), from_pandas=True))
-        out = np.full(len(texts), intercept)
-        for i, j in row_slices(off):
-            row, feature = grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
-            out[i:j] += np.bincount(row, weights[feature], j - i)
-        return pd.Series(1 / (1 + np.exp(-out)))
+        for texts in batches:
+            buf, off = text_bytes(pa.array(texts, pa.large_string(), from_pandas=True))
+            out = np.full(len(texts), intercept)
+            for i, j in row_slices(off):
+                row, feature = grams(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted)
+                out[i:j] += np.bincount(row, weights[feature], j - i)
+            yield pd.Series(1 / (1 + np.exp(-out)))
 
     return docs.withColumn("score", scored(F.col(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
