@@ -73,10 +73,48 @@ def test_decontamination_finds_items_of_any_length_with_all_their_edits():
                 for i in rng.sample(range(n), n // 5):
                     part[i] = rng.choice([[], [one()], [one(), *part[i]]])
                 texts.append(by.join([one() for _ in range(9)] + sum(part, []) + [one() for _ in range(9)]))
-            held = decontamination.Items(list(range(60)), pa.array([by.join(i) for i in items]), 16, 0.2, 5)
+            held = decontamination.Items(list(range(60)), pa.array([by.join(i) for i in items]), 0.95, 0.2, 5)
             assert [(r, k) for r, k, *_ in decontamination.hits_of(*text_bytes(pa.array(texts)), held)] == [(i, i) for i in range(60)]
 
 
+def test_samples_alone_reach_their_target():
+    """Recall of the sampled walks, without the pieces, at the most edits that an item may have."""
+    from tessera.llm.common import text_bytes
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9)))
+    for n in (5, 8, 10, 15, 30, 59):
+        items = [[word() for _ in range(n)] for _ in range(150)]
+        texts = []
+        for item in items:
+            part = [[w] for w in item]
+            for i in rng.sample(range(n), n // 5):
+                part[i] = rng.choice([[], [word()], [word(), *part[i]]])
+            texts.append(" ".join([word() for _ in range(9)] + sum(part, []) + [word() for _ in range(9)]))
+        held = decontamination.Items(list(range(150)), pa.array([" ".join(i) for i in items]), 0.95, 0.2, 5, pieces=False)
+        found = {r for r, k, *_ in decontamination.hits_of(*text_bytes(pa.array(texts)), held) if r == k}
+        assert len(found) >= 0.9 * 150, n
+        few = decontamination.Items(list(range(150)), pa.array([" ".join(i) for i in items]), 0.2, 0.2, 5, pieces=False)
+        assert len(few.tables) < len(held.tables)
+
+
+def test_steps_are_sampled_from_the_whole_walk():
+    steps = {s for r in range(64) for s in decontamination.sampled(r, 64)}
+    assert max(steps) > 100 and len({decontamination.starting_place(r, 40) for r in range(32)}) > 20
+    assert decontamination.window_of(65) == 512 and decontamination.repetitions_for(1000, 0.2, 0.95) == decontamination.repetitions_for(64, 0.2, 0.95)
+
+
+def test_decontamination_of_a_very_long_item():
+    from tessera.llm.common import text_bytes
+
+    words = [f"w{i * 7919 % 10007}" for i in range(6000)]
+    text = words.copy()
+    for i in range(0, 6000, 9):
+        text[i] = "other"
+    held = decontamination.Items([1, 2], pa.array([" ".join(words)] * 2), 0.95, 0.2, 5)
+    assert [(r, k) for r, k, *_ in decontamination.hits_of(*text_bytes(pa.array(["before " + " ".join(text)])), held)] == [(0, 0), (0, 1)]
+
+
 def test_decontamination_blocks_and_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     b = spark.createDataFrame([(1, "one two three four five six seven eight", "x"), (2, "no number but words enough to count", "y"), (3, None, "z")], "item_id long, text string, doc_id string")
     want = {(1, 1), (2, 1), (None, 2)}
@@ -261,3 +299,53 @@ def test_archive_frames():
     assert [r["page_id"] for r in warc.read_archive(io.BytesIO(raw))] == list(range(300))
     with pytest.raises(ValueError):
         list(warc.read_archive(io.BytesIO(raw[:-3])))
+
+
+def test_runs_come_from_selected_lines_and_their_extension(spark, monkeypatch):
+    """Without the joined positions nothing is found; without extension only the selected lines."""
+    passage = "\n".join(f"line {i} has a few words of its own" for i in range(9))
+    df = spark.createDataFrame([(1, f"one\n{passage}\nend"), (2, f"two\n{passage}\nstop")], "doc_id long, text string")
+    whole = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark, df, whole_runs=True).collect()}
+    assert whole == {1: 0, 2: 9}
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "extended", lambda mine, other, at, there: (at, at))
+        alone = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark, df, whole_runs=True).collect()}
+    assert alone[1] == 0 and 0 < alone[2] < 9
+    with monkeypatch.context() as m:
+        m.setattr(line_dedup, "windows", lambda h, *a: (np.arange(len(h), dtype=np.uint64), np.arange(len(h))))
+        assert {r.n_removed for r in line_dedup.dedup_lines(spark, df.filter("doc_id = 1"), whole_runs=True).collect()} == {0}
+
+
+def test_selected_lines_are_minima_and_positions_are_kept():
+    from tessera.llm.common import text_bytes
+
+    text = "\n".join(f"w{i}" for i in (5, 3, 9, 3, 7, 1, 8, 2, 6, 4))
+    h, words, row, number = line_dedup.lines_of(*text_bytes(pa.array([text])))
+    code, at = line_dedup.windows(h, words, row, 50, 3)
+    assert len(code) == 8 and at.tolist() == [max(k for k in range(s, s + 3) if h[k] == h[s : s + 3].min()) for s in range(8)]
+    assert len(set(at.tolist())) < 8
+
+
+def test_extension_is_maximal():
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(1, 15))] for _ in range(2))
+        seeds = [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]]
+        if not seeds:
+            continue
+        i, j = (np.array(x) for x in zip(*seeds, strict=True))
+        hashed = [line_dedup.mix64(np.array(x, np.uint64)) for x in (a, b)]
+        first, last = line_dedup.extended(*hashed, i, j)
+        for p, q, lo, hi in zip(i, j, first, last, strict=True):
+            want_lo, want_hi = p, p
+            while want_lo > 0 and q - (p - want_lo) > 0 and a[want_lo - 1] == b[q - (p - want_lo) - 1]:
+                want_lo -= 1
+            while want_hi + 1 < len(a) and q + want_hi - p + 1 < len(b) and a[want_hi + 1] == b[q + want_hi - p + 1]:
+                want_hi += 1
+            assert (lo, hi) == (want_lo, want_hi)
+
+
+def test_a_long_text_of_equal_lines(spark):
+    df = spark.createDataFrame([(1, "same line\n" * 20_000), (2, "other\n" + "same line\n" * 5)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.clean_text) for r in line_dedup.dedup_lines(spark, df, whole_runs=True).collect()}
+    assert got == {1: (19_999, "same line\n"), 2: (5, "other\n")}
