@@ -1,6 +1,6 @@
 """Corpus pipeline: documents that remain after each stage are written and read again as the next stage's input.
 
-1. ``toxicity`` rejects documents that the classifier predicts to be toxic.
+1. ``toxicity`` rejects documents that the classifier predicts to be toxic; it doesn't learn from the held-out third of the labels.
 2. ``ngram_jaccard`` keeps one document, the one with the smallest id, of each component of near duplicates.
 3. ``decontamination`` rejects documents that hold a benchmark item.
 4. ``mixing`` repeats documents at rates that bring their sources to target weights, and shuffles them.
@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import toxicity as tox
 from tessera.llm.common import Scratch
@@ -26,7 +27,7 @@ from tessera.llm.sharding import shard_documents
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = tox.fit(spark, docs, labels)
+    model = tox.fit(spark, docs, labels, ~tox.held_out(F.col("id")))
     return tox.score(spark, docs, model).filter("predicted = 0").select(*docs.columns)
 
 
