@@ -36,7 +36,13 @@ def check(text: str) -> str:
         raise UnsafeExpressionError("empty expression")
     for i, (kind, value) in enumerate(tokens):
         following = tokens[i + 1][1] if i + 1 < len(tokens) else ""
-        if kind != "name" or value.startswith("`"):
+        if kind != "name":
+            continue
+        if following == "." and i + 3 < len(tokens) and tokens[i + 3][1] == "(":
+            raise UnsafeExpressionError("functions are called by plain names")
+        if value.startswith("`"):
+            if following == "(":
+                raise UnsafeExpressionError("functions are called by names without quotes")
             continue
         low = value.lower()
         if low in BANNED:
@@ -45,8 +51,6 @@ def check(text: str) -> str:
             raise UnsafeExpressionError(f"function {value} isn't allowed")
         if low.startswith("current_") or low in ("rand", "randn", "uuid"):
             raise UnsafeExpressionError(f"{value} isn't deterministic")
-        if following == "." and i + 3 < len(tokens) and tokens[i + 3][1] == "(":
-            raise UnsafeExpressionError("functions are called by plain names")
     return text
 
 

@@ -2,51 +2,125 @@
 
 A program sees all rows at once, so it runs in one task; ``rows_limit`` refuses tables that one task can't hold. Where the
 program is row-local, ``row_local=True`` runs it batch by batch on all partitions.
+
+A program may only use what is listed here: modules, attributes, and built-in functions. It is checked before it runs, and runs
+with no other built-in functions, in a Python worker process of an executor, whose address space may grow by ``memory_mb`` and
+which is interrupted after ``timeout_s``.
 """
 
 from __future__ import annotations
 
 import ast
+import builtins
+import contextlib
+import resource
+import signal
 import threading
+from collections.abc import Iterable, Iterator
+from typing import Any
 
 import pandas as pd
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tessera.errors import ExecutionError, ExecutionTimeout, UnsafeExpressionError
-
-MODULES = {"pandas", "numpy", "math"}
-NAMES = {"open", "exec", "eval", "compile", "__import__", "input", "globals", "locals", "vars", "getattr", "setattr", "delattr", "breakpoint", "memoryview", "exit", "quit", "help"}
-READS_AND_WRITES = {f"read_{x}" for x in "csv parquet json pickle excel sql sql_query sql_table html xml feather orc hdf table fwf clipboard".split()} | {f"to_{x}" for x in "csv parquet json pickle excel sql html xml feather orc hdf clipboard".split()} | {"load", "save", "savez", "savetxt", "loadtxt", "fromfile", "tofile", "memmap", "genfromtxt"}
-NETWORK = {"socket", "urlopen", "request", "urllib", "requests"}
-
-
-def check_program(code: str, function: str = "generate_features") -> ast.Module:
-    """The parsed program, if it defines the function and uses only what is allowed."""
+from tessera.session import lasting
+
+#: What a program can import.
+MODULES = ("math", "numpy", "pandas")
+#: Built-in functions and types of a program.
+BUILTINS = """abs all any bool dict divmod enumerate filter float frozenset int isinstance len list map max min pow range reversed
+round set slice sorted str sum tuple zip True False None ArithmeticError Exception IndexError KeyError TypeError ValueError
+ZeroDivisionError""".split()
+#: Attributes of frames, columns, groups, texts, dates and the modules: arithmetic, statistics and shapes, and nothing that reads,
+#: writes, evaluates text or leads to another module.
+ATTRIBUTES = frozenset(
+    """DataFrame Series Categorical Timedelta Timestamp NaT NA abs add agg aggregate all any arange arctan2 argmax argmin argsort
+    array asarray assign astype bfill between bool_ cat ceil clip codes columns concat contains copy corr cos count cumcount cummax
+    cummin cumprod cumsum cut date date_range day dayofweek dayofyear days diff digitize div dot drop drop_duplicates dropna dt
+    dtype dtypes duplicated endswith e empty eq exp expanding expm1 extract factorize ffill fillna finite first float64 floor
+    floordiv from_dict full ge get get_dummies groupby gt head hour hypot idxmax idxmin iloc index inf int64 isfinite isin isinf isna
+    isnan isnull items join kurt last le len linspace loc log log10 log1p log2 logical_and logical_not logical_or lower lstrip lt
+    mask max mean median melt merge min minute mod mode month mul nan nan_to_num nanmax nanmean nanmedian nanmin nanstd nansum ndim
+    ne ngroup normalize notna notnull nunique ones ones_like percentile pct_change pi pow prod qcut quantile quarter
+    rank ravel reindex rename repeat replace reset_index reshape roll rolling round rpow rsub rstrip second select select_dtypes
+    sem set_index shape shift sign sin size skew sort_index sort_values sqrt square startswith std str strip sub subtract sum
+    tail tan tanh tile time to_datetime to_frame to_numeric to_timedelta total_seconds transform truncate unique upper value_counts
+    values var where year zeros zeros_like""".split()
+)
+
+#: Attributes that call others by name.
+BY_NAME = ("agg", "aggregate", "transform")
+#: Seconds that Spark may take besides the program, before its jobs are cancelled.
+START_S = 30.0
+
+
+def check_program(code: str, function: str = "generate_features", columns: Iterable[str] = ()) -> ast.Module:
+    """The parsed program, if it defines the function and uses only what is allowed; ``columns`` may be named as attributes too."""
     try:
         tree = ast.parse(code)
     except SyntaxError as err:
         raise UnsafeExpressionError(f"syntax: {err}") from err
     if not any(isinstance(n, ast.FunctionDef) and n.name == function for n in tree.body):
         raise UnsafeExpressionError(f"no function {function}")
+    own = {c for c in columns if not hasattr(pd.DataFrame, c) and not c.startswith("_")}
+    made = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)} | {n.arg for n in ast.walk(tree) if isinstance(n, ast.arg)}
+    made |= {n.name for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)} | {(a.asname or a.name) for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names}
     for node in ast.walk(tree):
+        bad: list[str] = []
         if isinstance(node, ast.Import):
-            bad = [a.name for a in node.names if a.name.split(".")[0] not in MODULES]
+            bad = [a.name for a in node.names if a.name not in MODULES]
         elif isinstance(node, ast.ImportFrom):
-            bad = [node.module or "."] if node.level or (node.module or "").split(".")[0] not in MODULES else []
+            bad = [f"{node.module}.{a.name}" for a in node.names if node.level or node.module not in MODULES or a.name not in ATTRIBUTES]
         elif isinstance(node, ast.Name):
-            bad = [node.id] if node.id in NAMES or (node.id.startswith("__") and node.id.endswith("__")) else []
+            bad = [node.id] if node.id.startswith("__") or node.id not in made and node.id not in BUILTINS else []
         elif isinstance(node, ast.Attribute):
-            bad = [node.attr] if node.attr in READS_AND_WRITES | NETWORK or node.attr.startswith("__") else []
-        elif isinstance(node, (ast.Global, ast.Nonlocal)):
-            bad = list(node.names)
-        else:
-            bad = []
+            bad = [node.attr] if node.attr not in ATTRIBUTES | own else []
+        elif isinstance(node, (ast.Global, ast.Nonlocal, ast.ClassDef, ast.AsyncFunctionDef, ast.Await)):
+            bad = [type(node).__name__.lower()]
+        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and node.func.attr in BY_NAME:
+            # these call what a text names, so texts must stand there plainly, and name what is allowed
+            parts = [x for a in [*node.args, *[k.value for k in node.keywords]] for x in ([a] if isinstance(a, ast.Lambda) else ast.walk(a))]
+            bad = [type(x).__name__ for x in parts if not isinstance(x, (ast.Lambda, ast.Constant, ast.Dict, ast.List, ast.Tuple, ast.Load))]
+            bad += [x.value for x in parts if isinstance(x, ast.Constant) and isinstance(x.value, str) and x.value not in ATTRIBUTES and (hasattr(pd.DataFrame, x.value) or hasattr(pd.Series, x.value))]
         if bad:
             raise UnsafeExpressionError(f"not allowed: {', '.join(bad)}")
     return tree
 
 
+def _import(name: str, space: Any = None, inside: Any = None, names: tuple = (), level: int = 0) -> Any:
+    if level or name not in MODULES:
+        raise ImportError(f"{name} can't be imported")
+    return __import__(name, None, None, list(names or ()), 0)
+
+
+@contextlib.contextmanager
+def bounded(memory_mb: int | None, timeout_s: float | None) -> Iterator[None]:
+    """Limits this process while a program runs, and lifts the limits after it."""
+    soft, hard = resource.getrlimit(resource.RLIMIT_AS)
+    if memory_mb:
+        with open("/proc/self/statm", encoding="ascii") as source:
+            now = int(source.read().split()[0]) * resource.getpagesize()
+        most = now + (memory_mb << 20)
+        resource.setrlimit(resource.RLIMIT_AS, (most if hard == resource.RLIM_INFINITY else min(most, hard), hard))
+    timed = timeout_s is not None and threading.current_thread() is threading.main_thread()
+    if timed:
+
+        def stop(*_: Any) -> None:
+            raise TimeoutError(f"no result after {timeout_s} s")
+
+        before = signal.signal(signal.SIGALRM, stop)
+        signal.setitimer(signal.ITIMER_REAL, timeout_s)
+    try:
+        yield
+    finally:
+        if timed:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+        resource.setrlimit(resource.RLIMIT_AS, (soft, hard))
+
+
 def tidy(frame: pd.DataFrame) -> pd.DataFrame:
     """Output columns as plain numbers, truth values or texts: objects become numbers unless none of them is one."""
     out = {}
@@ -65,20 +139,24 @@ def tidy(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, index=frame.index)
 
 
-def run_program(spark: SparkSession, df: DataFrame, code: str, schema: T.StructType | str, row_id: str, row_local: bool = False, rows_limit: int = 5_000_000, timeout_s: float | None = None) -> DataFrame:
+def run_program(
+    spark: SparkSession, df: DataFrame, code: str, schema: T.StructType | str, row_id: str, row_local: bool = False, rows_limit: int = 5_000_000, timeout_s: float | None = None, memory_mb: int | None = None
+) -> DataFrame:
     """``row_id`` and the columns of ``schema`` that the program makes.
 
-    With ``timeout_s`` the program runs at once and its jobs are cancelled after that time; without, the result is lazy.
+    With ``timeout_s`` the program runs at once, its jobs are cancelled after that time, and the result is read from where it
+    was written; without, the result is lazy.
     """
-    check_program(code)
+    check_program(code, columns=df.columns)
     fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
     names = [f.name for f in fields]
     whole = T.StructType([df.schema[row_id], *[f for f in fields if f.name != row_id]])
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        space: dict = {}
-        exec(compile(code, "<features>", "exec"), space)  # noqa: S102  checked above
-        made = space["generate_features"](pdf.copy())
+        space: dict = {"__builtins__": {n: getattr(builtins, n) for n in BUILTINS} | {"__import__": _import}}
+        with bounded(memory_mb, timeout_s):
+            exec(compile(code, "<features>", "exec"), space)  # noqa: S102  checked above
+            made = space["generate_features"](pdf.copy())
         if not isinstance(made, pd.DataFrame) or len(made) != len(pdf):
             raise ValueError("generate_features must return a frame with a row for each row")
         made = tidy(made)
@@ -99,19 +177,18 @@ def run_program(spark: SparkSession, df: DataFrame, code: str, schema: T.StructT
     def work():
         spark.sparkContext.setJobGroup(group, "feature program", True)
         try:
-            done["rows"] = out.collect()
+            done["frame"] = lasting(out, "program")
         except Exception as err:  # noqa: BLE001  told to the caller below
             done["error"] = err
 
-    from pyspark import InheritableThread
-
     thread = InheritableThread(target=work)
     thread.start()
-    thread.join(timeout_s)
+    thread.join(timeout_s + START_S)
     if thread.is_alive():
         spark.sparkContext.cancelJobGroup(group)
         thread.join(30)
         raise ExecutionTimeout(f"no result after {timeout_s} s")
     if "error" in done:
-        raise ExecutionError(str(done["error"]).splitlines()[0]) from done["error"]
-    return spark.createDataFrame(done["rows"], whole)
+        kind = ExecutionTimeout if "TimeoutError: no result after" in str(done["error"]) else ExecutionError
+        raise kind(str(done["error"]).splitlines()[0]) from done["error"]
+    return done["frame"]

@@ -6,7 +6,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tessera.errors import ExecutionError, ProposalError, UnsafeExpressionError
+from tessera.errors import ExecutionError, ExecutionTimeout, ProposalError, UnsafeExpressionError
+from tessera.operators import program
 from tessera.operators.compile import Compiler, derive, unique
 from tessera.operators.exprsafe import check
 from tessera.operators.program import check_program, run_program, tidy
@@ -103,13 +104,13 @@ def test_allowed_expressions(text):
     assert check(text) == text
 
 
-@pytest.mark.parametrize("text", ["reflect('java.lang.System', 'exit')", "java_method('a', 'b')", "(SELECT 1)", "rand()", "uuid()", "current_date", "explode(a)", "a; b", "input_file_name()", "", "x.y.f(1)"])
+@pytest.mark.parametrize("text", ["reflect('java.lang.System', 'exit')", "java_method('a', 'b')", "(SELECT 1)", "rand()", "uuid()", "current_date", "explode(a)", "a; b", "input_file_name()", "", "x.y.f(1)", "`java_method`('java.lang.Math', 'abs', -3)", "`a`.`b`(1)", "a.`reflect`(1)", "`rand` ()"])
 def test_refused_expressions(text):
     with pytest.raises(UnsafeExpressionError):
         check(text)
 
 
-@pytest.mark.parametrize("body", ["import os", "from sys import path", "open('x')", "df.to_csv('x')", "pd.read_csv('x')", "().__class__", "eval('1')"])
+@pytest.mark.parametrize("body", ["import os", "from sys import path", "open('x')", "df.to_csv('x')", "pd.read_csv('x')", "().__class__", "eval('1')", "pd.io.common.os.system('id')", "df.eval('a')", "df.query('a > 1')", "df.to_pickle('x')", "pd.DataFrame.from_records([])", "import pandas.io", "from pandas import io", "f = getattr", "df.apply(print)", "print(1)", "df.pipe(len)", "df.agg('to_csv')", "f = 'to_csv'; df.agg(f)", "df.agg('to_' + 'csv')", "class A: pass", "breakpoint()", "pd.core", "df._mgr", "global x"])
 def test_refused_programs(body):
     with pytest.raises(UnsafeExpressionError):
         check_program(f"import pandas as pd\ndef generate_features(df):\n    {body}\n    return df\n")
@@ -127,6 +128,30 @@ def test_program_sees_the_whole_table(spark, frame):
         run_program(spark, frame, "def generate_features(df):\n    return df.head(1)\n", "total double", "n", timeout_s=60)
 
 
+def test_allowed_programs():
+    code = "import numpy as np\nfrom math import sqrt\ndef generate_features(df):\n    g = df.groupby('k')['a'].transform('mean')\n    return df.assign(x=np.log1p(df.price.clip(lower=0)) + g, y=[sqrt(abs(v)) for v in df['a']])[['x', 'y']]\n"
+    check_program(code, columns=["k", "a", "price"])
+    with pytest.raises(UnsafeExpressionError):
+        check_program(code)
+
+
+def test_programs_are_bounded(spark, frame):
+    head = "import numpy as np\ndef generate_features(df):\n"
+    slow = head + "    n = 0\n    while True:\n        n = n + 1\n    return df\n"
+    with pytest.raises(ExecutionTimeout):
+        run_program(spark, frame, slow, "x double", "n", timeout_s=1)
+    large = head + "    big = np.ones(400000000)\n    return df.assign(x=big[0])[['x']]\n"
+    with pytest.raises(ExecutionError):
+        run_program(spark, frame, large, "x double", "n", timeout_s=20, memory_mb=256)
+    small = head + "    return df.assign(x=np.ones(5))[['x']]\n"
+    assert run_program(spark, frame, small, "x double", "n", timeout_s=20, memory_mb=256).count() == 5
+    hidden = "def generate_features(df):\n    import os\n    return df\n"
+    with pytest.raises(UnsafeExpressionError):
+        run_program(spark, frame, hidden, "x double", "n")
+    with pytest.raises(ImportError):
+        program._import("os")
+
+
 def test_tidy_outputs():
     import pandas as pd
 
