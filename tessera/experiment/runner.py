@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.experiment.matrix import ExperimentMatrix
 from tessera.experiment.reporter import report_best, report_mean, report_summary
-from tessera.experiment.tracker import NoTracker, Tracker
+from tessera.experiment.tracker import Track
 from tessera.operators.metrics import Metric, MetricRegistry
 from tessera.plans.evaluate import Evaluator
 from tessera.plans.methods import MethodRegistry, RoundsMethod
@@ -24,16 +24,15 @@ RESULT = "run_id long, dataset string, method string, model string, seed long, c
 
 @dataclass
 class Runner:
-    tracker: Tracker = field(default_factory=NoTracker)
+    track: Track = field(default_factory=Track)
 
     def _one(self, i: int, config: dict[str, Any], fn: Callable[[dict], dict]) -> dict[str, Any]:
-        self.tracker.init_run(f"run-{i}", config)
-        try:
-            row = config | fn(config)
-            self.tracker.log_metrics({k: float(v) for k, v in row.items() if isinstance(v, (int, float)) and not isinstance(v, bool)})
-        except Exception as err:  # noqa: BLE001  a failed run is a row
-            row = config | {"error": str(err).splitlines()[0] if str(err) else type(err).__name__}
-        self.tracker.finish()
+        with self.track.run(f"run-{i}", config) as log:
+            try:
+                row = config | fn(config)
+            except Exception as err:  # noqa: BLE001  a failed run is a row
+                row = config | {"error": str(err).splitlines()[0] if str(err) else type(err).__name__}
+            log.put("result", {k: v for k, v in row.items() if k not in config})
         return {"run_id": i} | row
 
     def run(self, configs: list[dict[str, Any]], fn: Callable[[dict], dict], workers: int = 1, progress: Callable[[int, int], None] | None = None) -> list[dict[str, Any]]:
@@ -84,7 +83,7 @@ class Platform:
                 setattr(method, name, value)
         return method
 
-    def run(self, datasets: list[str], methods: list[str], models: list[str] | None = None, seeds: list[int] | None = None, cv_folds: int | None = None, workers: int = 1, tracker: Tracker | None = None, holdout: bool = False, model_params: dict[str, Any] | None = None, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    def run(self, datasets: list[str], methods: list[str], models: list[str] | None = None, seeds: list[int] | None = None, cv_folds: int | None = None, workers: int = 1, track: Track | None = None, holdout: bool = False, model_params: dict[str, Any] | None = None, progress: Callable[[int, int], None] | None = None) -> DataFrame:
         """Runs all combinations; with ``holdout`` methods learn on the training part and are scored on the test part."""
         matrix = ExperimentMatrix().datasets(*datasets).methods(*methods).models(*(models or [self.settings.model])).seeds(*(seeds or [self.settings.random_state]))
 
@@ -98,7 +97,7 @@ class Platform:
             score = evaluator.score(out, data.table, data.table.features(out))
             return {"cv_score": score, "gain": evaluator.metrics.get(evaluator.metric).gain(score, base), "baseline_score": base, "num_features_generated": len(method.scripts)}
 
-        self.rows += Runner(tracker or NoTracker()).run(matrix.generate(), one, workers, progress)
+        self.rows += Runner(track or Track()).run(matrix.generate(), one, workers, progress)
         return self.to_frame()
 
     def to_frame(self) -> DataFrame:

@@ -10,7 +10,7 @@ from tessera.errors import ConfigurationError, DatasetError
 from tessera.experiment.matrix import ExperimentMatrix
 from tessera.experiment.reporter import report_best, report_mean, report_summary, to_html, to_json, to_markdown
 from tessera.experiment.runner import Platform, Runner
-from tessera.experiment.tracker import JsonlTracker, log_artifacts
+from tessera.experiment.tracker import Track, lines_sink, table_sink
 from tessera.plans.methods import BaseMethod, MethodRegistry
 from tessera.settings import load_settings
 from tessera.sources.dataset import DatasetRegistry, TableSpec, load_fetched
@@ -74,11 +74,24 @@ def test_runner_keeps_failures_and_order(tmp_path):
             raise ValueError("no")
         return {"score": config["i"] / 2}
 
-    tracker = JsonlTracker(str(tmp_path / "t" / "log.jsonl"))
-    rows = Runner(tracker).run([{"i": i} for i in range(3)], fn, workers=2)
+    rows = Runner(Track(lines_sink(str(tmp_path / "log.jsonl")))).run([{"i": i} for i in range(3)], fn, workers=2)
     assert [r.get("score") for r in rows] == [0.0, None, 1.0] and rows[1]["error"] == "no"
-    log_artifacts(tracker, {"n": 3, "name": "x", "code": "a\nb"})
-    assert len((tmp_path / "t" / "log.jsonl").read_text().splitlines()) >= 9
+    told = [json.loads(x) for x in (tmp_path / "log.jsonl").read_text().splitlines()]
+    assert {(e["run"], e["name"]) for e in told} >= {("run-0", "score"), ("run-1", "error"), ("run-2", "i")} and len(told) == 9
+
+
+def test_events_in_a_table(spark, tmp_path):
+    track = Track(table_sink(spark, str(tmp_path / "events")))
+    with track.run("a", {"depth": 3, "name": "x"}) as log:
+        log.put("metric", {"auc": 0.5}, step=1)
+        log.put("artifact", {"code": "a\nb", "rows": spark.range(3), "none": None, "flag": True})
+    with pytest.raises(ValueError), track.run("b"):
+        raise ValueError
+    rows = {(r.run, r.name): (r.kind, r.number, r.text, r.step) for r in spark.read.parquet(str(tmp_path / "events")).collect()}
+    assert rows["a", "depth"] == ("config", 3.0, None, None) and rows["a", "auc"] == ("metric", 0.5, None, 1)
+    assert rows["a", "rows"][2] == '[{"id": 0}, {"id": 1}, {"id": 2}]' and rows["a", "flag"][2] == "true" and ("b", "seconds") in rows
+    with Track().run("c") as log:
+        log.put("metric", {"n": 1})
 
 
 def test_reports(spark):
