@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -10,11 +10,6 @@ from tessera.plans.client import Client
 from tessera.plans.proposers import AGENTS
 from tessera.settings import RouterSettings
 
-SYNONYMS = {
-    "numerical": {"numerical", "numeric", "float", "int", "integer"},
-    "categorical": {"categorical", "category", "string", "object"},
-    "datetime": {"datetime", "date", "time", "temporal"},
-}
 HISTORY = 10
 
 
@@ -41,8 +36,8 @@ class Router:
     def characteristics(self, description: dict[str, dict[str, Any]]) -> dict[str, int]:
         """How many columns of each kind; found once."""
         if self._types is None:
-            kinds = [str(d.get("type", "")).lower() for d in description.values()]
-            self._types = {k: sum(x in names for x in kinds) for k, names in SYNONYMS.items()} | {"columns": len(description)}
+            kinds = Counter(d.get("type") for d in description.values())
+            self._types = {k: kinds[k] for k in ("numerical", "categorical", "datetime")} | {"columns": len(description)}
         return self._types
 
     def _bounded(self, chosen: list[str]) -> list[str]:

@@ -9,6 +9,7 @@ from typing import Any
 
 from tessera.errors import ConfigurationError
 
+# Names, default values and limits below are fixed values: users rely on them.
 METRICS = ("auc", "acc", "f1", "rmse", "mae", "r2", "nrmse")
 
 
