@@ -22,11 +22,11 @@ from tessera.functions import OPS
 from tessera.functions.registry import Stat
 from tessera.functions.unary import number
 from tessera.operators.exprsafe import safe_expr
-from tessera.operators.ranks import average_ranks
+from tessera.operators.ranks import average_ranks, quantiles
 from tessera.spec import FeatureSpec
 
 
-def _aggregate(stat: Stat, approximate: bool) -> Column:
+def _aggregate(stat: Stat) -> Column:
     value = F.col(stat.value)
     if stat.fn == "nunique":
         return F.count_distinct(value)
@@ -36,7 +36,7 @@ def _aggregate(stat: Stat, approximate: bool) -> Column:
         return F.count(value)
     if stat.fn in ("quantile", "median"):
         share = 0.5 if stat.fn == "median" else float(stat.arg)
-        return F.percentile_approx(number(value), share, 10_000) if approximate else F.percentile(number(value), share)
+        return F.percentile_approx(number(value), share, 10_000)
     return {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp}[stat.fn](number(value))
 
 
@@ -50,31 +50,38 @@ class State:
 
 
 def gather(df: DataFrame, stats: list[Stat], approximate: bool = False) -> State:
+    """The statistics of a frame. Quantiles are exact, by ranks of counted values; ``approximate`` ones join the other aggregates of their key."""
     state = State(names={s: f"__s{i}" for i, s in enumerate(dict.fromkeys(stats))})
     by_key: dict[tuple[str, ...], list[Stat]] = defaultdict(list)
     for s in state.names:
         by_key[s.key].append(s)
     for key, own in by_key.items():
-        plain = [s for s in own if s.fn != "rank"]
-        if not key:
-            state.whole = df.agg(*[_aggregate(s, approximate).alias(state.names[s]) for s in plain])
-            continue
+        ranked = [s for s in own if s.fn == "rank"]
+        exact = [s for s in own if s.fn in ("quantile", "median") and not approximate]
+        plain = [s for s in own if s not in ranked and s not in exact]
+        keys = [F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]
+        names = [f"__k{i}" for i in range(len(key))]
         parts = []
-        if plain:
-            rows = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in key))
-            parts.append(rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)]).agg(*[_aggregate(s, approximate).alias(state.names[s]) for s in plain]))
-        for s in own:
-            if s.fn == "rank":
-                parts.append(average_ranks(df, s.value).select(F.col("value").alias("__k0"), F.col("rank").alias(state.names[s])))
+        rows = df.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in key)) if key else df
+        if plain or not key:
+            parts.append(rows.groupBy(*keys).agg(*[_aggregate(s).alias(state.names[s]) for s in plain] or [F.count("*").alias("__rows")]))
+        for value in dict.fromkeys(s.value for s in exact):
+            shares = {state.names[s]: 0.5 if s.fn == "median" else float(s.arg) for s in exact if s.value == value}
+            parts.append(quantiles(rows.select(*keys, number(F.col(value)).alias("__value")), "__value", shares, names))
+        for s in ranked:
+            parts.append(average_ranks(df, s.value).select(F.col("value").alias("__k0"), F.col("rank").alias(state.names[s])))
         table = parts[0]
-        for other in parts[1:]:
-            table = table.join(other, [f"__k{i}" for i in range(len(key))], "full")
-        state.keyed[key] = table
+        for other in parts[1:]:  # without a key there are one row and at most one row
+            table = table.join(other, names, "full") if key else table.join(F.broadcast(other), F.lit(True), "left")
+        if key:
+            state.keyed[key] = table
+        else:
+            state.whole = table.drop("__rows")
     return state
 
 
 def _attach(df: DataFrame, state: State) -> DataFrame:
-    if state.whole is not None:
+    if state.whole is not None and state.whole.columns:
         df = df.crossJoin(F.broadcast(state.whole))  # one row
     for n, (key, table) in enumerate(state.keyed.items()):
         own = table.select(*[F.col(f"__k{i}").alias(f"__k{n}_{i}") for i in range(len(key))], *[c for c in table.columns if not c.startswith("__k")])
@@ -133,14 +140,16 @@ class Compiler:
         self.approximate = approximate
 
     def fit(self, df: DataFrame, specs: list[FeatureSpec]) -> list[State]:
-        """Statistics for each wave of specs, see ``waves``."""
+        """Statistics of this frame for each wave of specs, see ``waves``; for ``transform`` of others."""
         states = []
-        for wave in self.waves(df, specs):
-            stats = [s for spec in wave for s in _wanted(spec)]
-            states.append(gather(df, stats, self.approximate))
+        for wave in self.waves(df, unique(specs)):
+            states.append(gather(df, self.wanted(df, wave), self.approximate))
             df = self._apply(df, wave, states[-1]).frame
         return states
 
+    def wanted(self, df: DataFrame, wave: list[FeatureSpec]) -> list[Stat]:
+        return [s for spec in wave if all(c in df.columns for c in spec.base_columns) for s in _safe_wanted(spec)]
+
     def waves(self, df: DataFrame, specs: list[FeatureSpec]) -> list[list[FeatureSpec]]:
         """Specs in groups, each of which needs columns of the frame and of earlier groups alone."""
         have, rest, out = set(df.columns), [s for s in specs if s.name not in df.columns], []
@@ -170,7 +179,7 @@ class Compiler:
         """``df`` with the features of ``specs``, in waves; existing columns win over features of their name."""
         names, failures = [], {}
         for i, wave in enumerate(self.waves(df, unique(specs))):
-            state = states[i] if states is not None else gather(df, [s for spec in wave if all(c in df.columns for c in spec.base_columns) for s in _safe_wanted(spec)], self.approximate)
+            state = states[i] if states is not None else gather(df, self.wanted(df, wave), self.approximate)
             done = self._apply(df, wave, state)
             df, names, failures = done.frame, names + done.names, failures | done.failures
         return Compiled(df, names, failures)

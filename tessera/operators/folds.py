@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.errors import EvaluationError
 from tessera.operators.profile import is_number
+from tessera.operators.ranks import quantiles
 
 
 def order_key(row_id: str, seed: int) -> Column:
@@ -50,7 +55,9 @@ def per_training_fold(df: DataFrame, k: int) -> DataFrame:
 
 def fold_medians(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """Exact medians of each fold's training rows: ``train_fold`` and a column for each."""
-    return per_training_fold(df, k).groupBy("train_fold").agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns])
+    training = per_training_fold(df, k)
+    parts = [quantiles(training.select("train_fold", value_of(c).alias("value")), "value", {c: 0.5}, ["train_fold"]) for c in columns]
+    return reduce(lambda a, b: a.join(b, "train_fold", "full"), parts)
 
 
 def fold_categories(df: DataFrame, columns: list[str], k: int) -> DataFrame:
@@ -58,18 +65,53 @@ def fold_categories(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     return per_training_fold(df, k).groupBy("train_fold").agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(c) for c in columns])
 
 
-def category_code(value: Column, categories: Column) -> Column:
-    """Place among sorted categories, from 0; -1 for null and for what training hadn't."""
-    return F.coalesce(F.array_position(categories, value.cast("string")) - 1, F.lit(-1)).cast("int")
+def value_of(column: str) -> Column:
+    """A number, null where it is missing."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
+#: Different texts of a column that models take.
+MAX_CATEGORIES = 10_000
+
+
+@dataclass(frozen=True)
+class FoldState:
+    """What preprocessing learned from the training rows of each of ``k`` folds."""
 
+    medians: dict[str, list[float | None]]
+    categories: dict[str, list[list[str]]]
 
-def prepared(df: DataFrame, columns: list[str], train: Column) -> tuple[DataFrame, list[str]]:
-    """Numbers only: medians for missing numbers, codes for texts, both learned on the rows that ``train`` admits."""
+    def apply(self, df: DataFrame, columns: list[str], fold: int) -> DataFrame:
+        """``df`` with ``columns`` as numbers: medians for missing ones, codes for texts, -1 for what training hadn't."""
+        out = {}
+        for i, c in enumerate(columns):
+            if c in self.medians:
+                median = self.medians[c][fold]
+                out[c] = F.coalesce(value_of(c), F.lit(0.0 if median is None else float(median)))
+                continue
+            table = df.sparkSession.createDataFrame([(v, float(n)) for n, v in enumerate(self.categories[c][fold])], f"__v{i} string, __n{i} double")
+            df = df.join(F.broadcast(table), F.col(c).cast("string") == F.col(f"__v{i}"), "left")  # MAX_CATEGORIES rows at most
+            out[c] = F.coalesce(F.col(f"__n{i}"), F.lit(-1.0))
+        return df.select(*[c for c in df.columns if c not in columns and not c.startswith(("__v", "__n"))], *[e.alias(c) for c, e in out.items()])
+
+
+def learn(df: DataFrame, columns: list[str], k: int) -> FoldState:
+    """The state of all folds and columns, from one pass over ``df`` (with ``fold``); medians to within 1/10,000 of the ranks."""
     numbers = [c for c in columns if is_number(df.schema[c].dataType)]
     texts = [c for c in columns if c not in numbers]
-    fitted = df.filter(train).agg(*[F.percentile(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), 0.5).alias(f"__m{i}") for i, c in enumerate(numbers)], *[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"__c{i}") for i, c in enumerate(texts)])
-    joined = df.crossJoin(F.broadcast(fitted)) if columns else df  # one row
-    out = {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.col(f"__m{i}"), F.lit(0.0)) for i, c in enumerate(numbers)}
-    out |= {c: category_code(F.col(c), F.col(f"__c{i}")).cast("double") for i, c in enumerate(texts)}
-    rest = [c for c in df.columns if c not in columns]
-    return joined.select(*rest, *[e.alias(c) for c, e in out.items()]), columns
+    if texts:
+        many = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in texts]).first()
+        wide = [c for c in texts if many[c] > MAX_CATEGORIES]
+        if wide:
+            raise EvaluationError(f"more than {MAX_CATEGORIES} categories: {', '.join(wide)}")
+    train = lambda f, value: F.when(F.col("fold") != f, value)
+    asked = [F.percentile_approx(train(f, value_of(c)), 0.5, 10_000) for c in numbers for f in range(k)]
+    asked += [F.array_sort(F.collect_set(train(f, F.col(c).cast("string")))) for c in texts for f in range(k)]
+    found = list(df.agg(*[a.alias(f"s{i}") for i, a in enumerate(asked)]).first()) if asked else []
+    of = lambda i: found[i * k : (i + 1) * k]
+    return FoldState({c: of(i) for i, c in enumerate(numbers)}, {c: of(len(numbers) + i) for i, c in enumerate(texts)})
+
+
+def category_code(value: Column, categories: Column) -> Column:
+    """Place among sorted categories, from 0; -1 for null and for what training hadn't."""
+    return F.coalesce(F.array_position(categories, value.cast("string")) - 1, F.lit(-1)).cast("int")

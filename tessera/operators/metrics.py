@@ -32,6 +32,13 @@ def auc_ovr(df: DataFrame, label: str, scores: dict[str, str]) -> DataFrame:
     return every.agg(F.avg("auc").alias("auc"))
 
 
+def auc_of_classes(df: DataFrame, label: str, scores: str, classes: int, by: list[str]) -> DataFrame:
+    """The same within ``by``, for labels from 0 on and an array of a score for each; classes that a group lacks don't count."""
+    one = F.explode(F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.struct(c.alias("c"), (F.col(label) == c).cast("int").alias("y"), F.get(F.col(scores), c).alias("s"))))
+    each = auc(df.select(*by, one.alias("one")).select(*by, F.col("one.c").alias("class"), "one.y", "one.s"), "y", "s", [*by, "class"])
+    return each.groupBy(*by).agg(F.avg("auc").alias("auc"))
+
+
 def acc(df: DataFrame, label: str, pred: str) -> DataFrame:
     return df.agg(F.avg((F.col(label) == F.col(pred)).cast("double")).alias("acc"))
 

@@ -418,13 +418,12 @@ def univariate_gain_topk(t: Tables) -> DataFrame:
     SELECT {r("avg(base)", "baseline")}, {r("avg(new)", "score")}, {r("avg(base) - avg(new)", "gain")} FROM e"""
 )
 def linear_cv_gain(t: Tables) -> DataFrame:
-    f = folds.stratified_folds(t.orders.select("o_orderkey", "o_custkey", "o_totalprice", F.lit(0).alias("all")), "all", "o_orderkey")
-    y, x = F.col("o_totalprice"), F.col("o_custkey").cast("double")
-    m = folds.per_training_fold(f, 5).groupBy("train_fold").agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.avg(y).alias("mean"))
-    e = f.join(F.broadcast(m), F.col("fold") == F.col("train_fold"))  # a row for each fold
-    off, flat = y - F.col("a") - F.col("b") * x, y - F.col("mean")
-    each = e.groupBy("fold").agg(F.sqrt(F.avg(off * off)).alias("new"), F.sqrt(F.avg(flat * flat)).alias("base"))
-    return each.agg(F.avg("base").alias("baseline"), F.avg("new").alias("score"), (F.avg("base") - F.avg("new")).alias("gain"))
+    f = folds.stratified_folds(t.orders.select("o_orderkey", F.col("o_custkey").cast("double").alias("x"), "o_totalprice", F.lit(0).alias("all"), F.lit(1.0).alias("one")), "all", "o_orderkey")
+    evaluator = Evaluator(task="regression", metric="rmse", model="linear", folds=5, model_params={"regParam": 0.0})
+    table = TableSpec("o_orderkey", "o_totalprice")
+    base, score = (evaluator.score(f, table, [c]) for c in ("one", "x"))
+    gain = evaluator.metrics.get("rmse").gain(score, base)
+    return t.spark.createDataFrame([(base, score, gain)], "baseline double, score double, gain double")
 
 
 # --- memory, differences, reports ---------------------------------------------------------------------------------

@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import EvaluationError
-from tessera.operators.folds import kfold, prepared, stratified_folds
-from tessera.operators.metrics import MetricRegistry
-from tessera.operators.profile import content_key, is_number, is_text
+from tessera.operators.folds import FoldState, kfold, learn, stratified_folds
+from tessera.operators.metrics import MetricRegistry, auc_of_classes
+from tessera.operators.profile import content_key, is_number
 from tessera.plans.models import ModelRegistry
 from tessera.sources.dataset import TableSpec
 
@@ -50,31 +50,44 @@ class Evaluator:
         table = F.create_map(*[x for i, c in enumerate(ordered) for x in (F.lit(c), F.lit(float(i)))]) if ordered else None
         return df.withColumn("__label", table[F.col(target)] if table is not None else F.lit(None).cast("double")), len(ordered)
 
-    def score(self, df: DataFrame, table: TableSpec, columns: list[str]) -> float:
-        """Mean of the metric over folds, for a model of ``columns``; ``df`` may have its folds in ``fold``."""
-        columns = [c for c in columns if is_number(df.schema[c].dataType) or (is_text(df.schema[c].dataType) and df.schema[c].dataType.simpleString() == "string")]
+    def usable(self, df: DataFrame, columns: list[str]) -> list[str]:
+        return [c for c in columns if c in df.columns and (is_number(df.schema[c].dataType) or df.schema[c].dataType.simpleString() == "string")]
+
+    def score(self, df: DataFrame, table: TableSpec, columns: list[str], state: FoldState | None = None) -> float:
+        """Mean of the metric over folds, for a model of ``columns``; ``df`` may have its folds in ``fold``, and their state may be known."""
+        missing = [c for c in columns if c not in df.columns]
+        if missing:
+            raise EvaluationError(f"no column {', '.join(missing)}")
+        columns = self.usable(df, columns)
         if not columns:
             raise EvaluationError("no columns that a model can take")
         metric = self.metrics.get(self.metric)
         data = df if "fold" in df.columns else self.folded(df, table)
         data, classes = self.labelled(data.select(table.target, "fold", *columns), table.target)
         data = data.filter("__label is not null")
-        if metric.needs_score and classes > 2:
-            raise EvaluationError("auc of more than two classes needs auc_ovr")
+        state = state or learn(data, columns, self.folds)
+        many = metric.needs_score and classes > 2
 
         def one(k: int) -> DataFrame:
-            ready, names = prepared(data, columns, F.col("fold") != k)
-            assembled = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(ready).select("fold", F.col("__label").alias("label"), "features")
-            estimator = self.models.get(self.model, self.task, self.seed, classes, len(names), **self.model_params)
+            ready = state.apply(data.select("fold", F.col("__label").alias("label"), *columns), columns, k)
+            assembled = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(ready).select("fold", "label", "features")
+            estimator = self.models.get(self.model, self.task, self.seed, classes, len(columns), **self.model_params)
             out = estimator.fit(assembled.filter(F.col("fold") != k)).transform(assembled.filter(F.col("fold") == k))
-            if metric.needs_score and "probability" in out.columns:
+            given = next((c for c in ("probability", "rawPrediction") if c in out.columns), None)
+            if many:
+                if given is None:
+                    raise EvaluationError(f"{self.model} gives no score for each class")
+                return out.select("fold", "label", vector_to_array(given).alias("prediction"))
+            if metric.needs_score and given == "probability":
                 out = out.withColumn("prediction", vector_to_array("probability")[1])
             return out.select("fold", "label", "prediction")
 
         with ThreadPoolExecutor(self.workers) as pool:
             predicted = reduce(DataFrame.union, pool.map(one, range(self.folds))).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            if metric.name == "auc":
+            if many:
+                scores = [r["auc"] for r in auc_of_classes(predicted, "label", "prediction", classes, ["fold"]).collect()]
+            elif metric.name == "auc":
                 scores = [r["auc"] for r in metric.fn(predicted, "label", "prediction", ["fold"]).collect()]
             else:
                 scores = [metric.value(predicted.filter(F.col("fold") == k), "label", "prediction") for k in range(self.folds)]
@@ -85,34 +98,46 @@ class Evaluator:
             raise EvaluationError("no fold could be scored")
         return sum(scores) / len(scores)
 
-    def baseline(self, df: DataFrame, table: TableSpec, columns: list[str]) -> float:
+    def baseline(self, df: DataFrame, table: TableSpec, columns: list[str], state: FoldState | None = None) -> float:
         """The score of ``columns``, remembered by the content of the frame."""
         key = (content_key(df.select(table.target, *columns)), self.metric, self.model, self.folds, self.seed)
         if key not in self._baselines:
-            self._baselines[key] = self.score(df, table, columns)
+            self._baselines[key] = self.score(df, table, columns, state)
         return self._baselines[key]
 
-    def gain(self, df: DataFrame, table: TableSpec, columns: list[str], feature: str, base: float | None = None) -> float:
-        base = self.baseline(df, table, columns) if base is None else base
-        return self.metrics.get(self.metric).gain(self.score(df, table, [*[c for c in columns if c != feature], feature]), base)
+    def gain(self, df: DataFrame, table: TableSpec, columns: list[str], feature: str, base: float | None = None, state: FoldState | None = None) -> float:
+        base = self.baseline(df, table, columns, state) if base is None else base
+        return self.metrics.get(self.metric).gain(self.score(df, table, [*[c for c in columns if c != feature], feature], state), base)
 
     def gains(self, df: DataFrame, table: TableSpec, columns: list[str], features: list[str], fail: bool = False) -> tuple[float, list[dict]]:
-        """The baseline, and ``{feature, gain, error}`` of each feature; the folded frame is computed once for all."""
+        """The baseline, and ``{feature, gain, error}`` of each feature.
+
+        The folded frame is computed once for all, and so is what preprocessing learns; ``workers`` features are scored at a time.
+        """
         data = self.folded(df, table).persist(StorageLevel.MEMORY_AND_DISK)
+        context = df.sparkSession.sparkContext
         try:
-            base = self.baseline(data, table, columns)
-            found = []
-            for f in features:
-                df.sparkSession.sparkContext.setJobDescription(f"gain of {f}")
+            known = self.usable(data, [*columns, *[f for f in features if f not in columns]])
+            try:
+                state = learn(data.filter(F.col(table.target).isNotNull()), known, self.folds)
+            except EvaluationError:  # of one column: each score says so for itself
+                state = None
+            base = self.baseline(data, table, columns, state)
+
+            def one(f: str) -> dict:
+                context.setJobDescription(f"gain of {f}")
                 try:
-                    found.append({"feature": f, "gain": self.gain(data, table, columns, f, base), "error": None})
+                    return {"feature": f, "gain": self.gain(data, table, columns, f, base, state), "error": None}
                 except Exception as err:  # noqa: BLE001  one feature must not stop the others
                     if fail:
                         raise
-                    found.append({"feature": f, "gain": None, "error": str(err).splitlines()[0]})
-            return base, found
+                    return {"feature": f, "gain": None, "error": str(err).splitlines()[0]}
+                finally:
+                    context.setJobDescription(None)
+
+            with ThreadPoolExecutor(self.workers) as pool:
+                return base, list(pool.map(one, features))
         finally:
-            df.sparkSession.sparkContext.setJobDescription(None)
             data.unpersist()
 
 

@@ -5,9 +5,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.errors import EvaluationError
-from tessera.operators import folds, metrics, profile, screen
+from tessera.operators import folds, metrics, profile, ranks, screen
 from tessera.operators.univariate import top_features, univariate_gains
 from tessera.plans.evaluate import Evaluator, select_top
 from tessera.plans.models import ModelRegistry
@@ -83,13 +84,57 @@ def test_folds_are_even_and_stable(spark):
 
 def test_preprocessing_learns_from_training_rows_only(spark):
     df = spark.createDataFrame([(10.0, "a", 0), (20.0, "b", 0), (30.0, "c", 0), (1.0, "a", 1), (None, "d", 1)], "v double, c string, fold int")
-    ready, _ = folds.prepared(df, ["v", "c"], df.fold != 1)
-    held = ready.filter("fold = 1").toPandas().sort_values("v")
+    state = folds.learn(df, ["v", "c"], 2)
+    held = state.apply(df, ["v", "c"], 1).filter("fold = 1").toPandas().sort_values("v")
     assert held.v.tolist() == [1.0, 20.0] and held.c.tolist() == [0.0, -1.0]
     medians = folds.fold_medians(df, ["v"], 2).toPandas().set_index("train_fold").v
     assert medians[1] == 20.0 and medians[0] == 1.0
 
 
+def test_too_many_categories_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(folds, "MAX_CATEGORIES", 3)
+    df = spark.createDataFrame([(str(i), i % 2) for i in range(40)], "c string, fold int")
+    with pytest.raises(EvaluationError):
+        folds.learn(df, ["c"], 2)
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "date", "timestamp", "timestamp_ntz", "decimal(12,3)", "boolean", "int"])
+def test_ranks_of_any_kind_in_ranges(spark, monkeypatch, kind):
+    monkeypatch.setattr(ranks, "VALUES_PER_RANGE", 7)
+    number = F.pmod(F.xxhash64("id"), F.lit(90)).cast("int")
+    value = {"string": F.concat(F.lit("https://a.example/"), number.cast("string")), "date": F.date_add(F.lit("2020-01-01"), number), "timestamp": F.timestamp_seconds(number * 7777), "timestamp_ntz": F.timestamp_seconds(number * 7777).cast("timestamp_ntz")}.get(kind, number.cast(kind))
+    df = spark.range(400).select((F.col("id") % 3).alias("g"), value.alias("v"))
+    rows = [tuple(r) for r in df.collect()]
+    for by in ([], ["g"]):
+        got = {(r.g if by else None, r.value): (r.n, r.below) for r in ranks.value_ranks(df, "v", by).collect()}
+        own = lambda g: [v for h, v in rows if not by or h == g]
+        assert got == {(g if by else None, v): (own(g).count(v), sum(x < v for x in own(g))) for g, v in rows}
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 301), "v": np.round(rng.normal(size=301), 1)})
+    df = spark.createDataFrame(pdf)
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}
+    whole = ranks.quantiles(df, "v", shares).first()
+    assert np.allclose(list(whole), np.quantile(pdf.v, list(shares.values())), atol=1e-12)
+    for r in ranks.quantiles(df, "v", shares, ["g"]).collect():
+        assert np.allclose(list(r)[1:], np.quantile(pdf.v[pdf.g == r.g], list(shares.values())), atol=1e-12)
+    assert ranks.quantiles(df.limit(0), "v", shares).count() == 0
+
+
+def test_multiclass_auc_in_the_evaluator(spark):
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 3, 150)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(150), "x": y + rng.normal(size=150) / 3, "noise": rng.normal(size=150), "y": y}))
+    e = Evaluator(model="linear", folds=2)
+    base, gains = e.gains(df, TableSpec("id", "y"), ["noise"], ["x"])
+    assert 0.3 < base < 0.7 and gains[0]["gain"] > 0.2
+    scores = spark.createDataFrame([(0, 0.0, [0.8, 0.1, 0.1]), (0, 1.0, [0.2, 0.7, 0.1]), (0, 2.0, [0.3, 0.3, 0.4]), (0, 0.0, [0.1, 0.8, 0.1])], "fold int, label double, scores array<double>")
+    want = np.mean([np.mean([[0.5 * (a == b) + (a > b) for b in neg] for a in pos]) for pos, neg in (([0.8, 0.1], [0.2, 0.3]), ([0.7], [0.1, 0.3, 0.8]), ([0.4], [0.1, 0.1, 0.1]))])
+    assert math.isclose(metrics.auc_of_classes(scores, "label", "scores", 3, ["fold"]).first().auc, want)
+
+
 def test_univariate_gains(spark):
     df = spark.createDataFrame([(i % 2, float(i % 2), 0.0) for i in range(10)], "y int, good double, flat double")
     top = top_features(univariate_gains(df, "y", ["good", "flat"]), 5).collect()
