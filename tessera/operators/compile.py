@@ -176,10 +176,15 @@ class Compiler:
         return Compiled(attached.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for n, c in made.items()]), list(made), failures)
 
     def transform(self, df: DataFrame, specs: list[FeatureSpec], states: list[State] | None = None) -> Compiled:
-        """``df`` with the features of ``specs``, in waves; existing columns win over features of their name."""
+        """``df`` with the features of ``specs``, in waves; existing columns win over features of their name.
+
+        Statistics are those of ``states`` that have them, and of ``df`` otherwise.
+        """
         names, failures = [], {}
-        for i, wave in enumerate(self.waves(df, unique(specs))):
-            state = states[i] if states is not None else gather(df, self.wanted(df, wave), self.approximate)
+        for wave in self.waves(df, unique(specs)):
+            wanted = self.wanted(df, wave)
+            fitted = next((s for s in states or [] if all(w in s.names for w in wanted)), None)
+            state = fitted if fitted is not None and wanted else gather(df, wanted, self.approximate)
             done = self._apply(df, wave, state)
             df, names, failures = done.frame, names + done.names, failures | done.failures
         return Compiled(df, names, failures)

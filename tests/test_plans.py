@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.errors import ClientError, ConfigurationError, PlanError
+from tessera.errors import ClientError, ConfigurationError, ExecutionError, PlanError
+from tessera.operators.compile import Compiler
 from tessera.plans.client import CachedClient, ScriptedClient, with_retries
 from tessera.plans.engine import Engine
 from tessera.plans.estimator import FeatureEngineer, FeatureModel
@@ -15,7 +16,7 @@ from tessera.plans.memory import Memory
 from tessera.plans.methods import ClientMethod, ExpansionMethod, MethodRegistry
 from tessera.plans.proposers import AGENTS, Context, ProposerRegistry, RuleProposer, expansion
 from tessera.plans.router import Router
-from tessera.settings import RetrySettings, RouterSettings, load_settings
+from tessera.settings import EvaluationSettings, RetrySettings, RouterSettings, load_settings
 from tessera.sources.dataset import TableSpec
 from tessera.spec import FeatureSpec
 
@@ -173,3 +174,34 @@ def test_expansion_method(frame):
     method = ExpansionMethod(n_features=2, screen_to=10).fit(frame, TABLE)
     assert set(method.importances) and {"absolute_a", "square_a"} & {s.name for s in method.specs}
     assert MethodRegistry(None).names() == ["evolving", "expansion", "expressions", "feedback", "rounds"]
+
+
+def test_fitted_statistics(spark, tmp_path):
+    specs = [FeatureSpec("z", transform="zscore", base_columns=("a",)), FeatureSpec("m", transform="group_mean", base_columns=("k", "a")), FeatureSpec("q", transform="above_quantile", base_columns=("a",)), FeatureSpec("zm", transform="zscore", base_columns=("m",))]
+    train = spark.createDataFrame([(float(i), "xy"[i % 2]) for i in range(10)], "a double, k string")
+    whole = {r.a: r for r in Compiler().transform(train, specs).frame.collect()}
+    model = FeatureModel(specs, Compiler().fit(train, specs))
+    model.write().overwrite().save(str(tmp_path / "model"))
+    for own in (model, FeatureModel.load(str(tmp_path / "model"))):
+        (row,) = own.transform(train.filter("a = 7")).collect()
+        assert row == whole[7.0]
+        (new,) = own.transform(spark.createDataFrame([(7.0, "new")], "a double, k string")).collect()
+        assert new.z == row.z and new.q == row.q and new.m is None and own.failures == {}
+    (alone,) = FeatureModel(specs).transform(train.filter("a = 7")).collect()
+    assert alone.m == 7.0 != row.m
+
+
+def test_programs_are_asked_for_again(spark):
+    from tessera.plans.programs import ProgramWriter
+
+    df = spark.createDataFrame([(i, float(i)) for i in range(9)], "id int, a double")
+    specs = [FeatureSpec("double_a", transform="custom", base_columns=("a",))]
+    bad = "import os\ndef generate_features(df):\n    return df\n"
+    good = "```python\nimport pandas as pd\ndef generate_features(df):\n    return df.assign(double_a=df['a'] * 2)[['double_a']]\n```"
+    client = ScriptedClient([bad, good])
+    writer = ProgramWriter(client, EvaluationSettings(timeout_s=30, memory_mb=512))
+    code = writer.write(df, specs, "id")
+    assert "os" in writer.failures[0] and "refused" in client.asked[1][-1]["content"]
+    assert {(r.id, r.double_a) for r in writer.run(df, code, specs, "id").collect()} == {(i, 2.0 * i) for i in range(9)}
+    with pytest.raises(ExecutionError):
+        ProgramWriter(ScriptedClient([bad])).write(df, specs, "id")
