@@ -14,8 +14,8 @@ smallest row, the pivot, with every other row in it. Size-derived bounds keep th
 * pairs whose sizes alone rule the threshold out are never made.
 
 Surviving pairs get their overlap in full, from the whole sets of both documents, and links are those that reach the
-threshold. Rows with equal sets are one row of what is verified (copies are never expanded). So a posting costs its length,
-whatever its length is. A column that many rows hold is dealt over parts of the corpus, each with a pivot of its own, and the
+threshold. Documents with equal sets are one row of the matrix, known by a signature of the set: copies are never expanded. So a
+posting costs its length, whatever its length is. A column that many rows hold is dealt over parts of the corpus, each with a pivot of its own, and the
 pivots of the parts are linked to the smallest one: no block grows with a column.
 
 Where links leave rows of a posting in different components, the rows are open: they may link without either being a
@@ -117,7 +117,7 @@ def _signed(n: int):
 
 
 def _once(batches, n: int):
-    """As _sets, without empty sets, rows without id, and sets that the last slices had already; per chunk of text."""
+    """Signatures, hashes, offsets and rows of slices, without empty sets, rows without id, and sets that the last slices had already; per chunk of text."""
     held, size, seen = [], 0, {}
     for ids, known, h, ends, nbytes in _sets(batches, n):
         a, b = signatures(h, ends)
@@ -129,7 +129,7 @@ def _once(batches, n: int):
                 seen[key] = None
                 if len(seen) > 1 << 16:
                     seen.pop(next(iter(seen)))
-        held.append((ids, h, ends, np.array(rows, np.int64)))
+        held.append((a, h, ends, np.array(rows, np.int64)))
         size += nbytes
         if size >= CHUNK:
             yield held
@@ -215,7 +215,7 @@ def least_shared_of(size: Column) -> Column:
 
 
 def _postings(n: int, bits: int, bucket_bits: int, part_bits: int, num: int, den: int, heavy):
-    """The leading columns of each row: (column, id, size of the row), packed by block of columns; those known as heavy by part of the corpus."""
+    """The leading columns of each row: (column, signature, size of the row), packed by block of columns; those known as heavy by part of the corpus."""
 
     def run(batches):
         table = np.frombuffer(heavy.value, np.uint8) if heavy is not None else None
@@ -271,7 +271,7 @@ def _summed(rows: np.ndarray) -> np.ndarray:
 
 
 def _product(num: int, den: int, bucket_bits: int):
-    """Overlaps with pivots, summed over the blocks of a task (kind 0); postings with rows that are no pivots (1: column, pivot, ids, 2048 to a row; ``shared`` is 1 for a part of a heavy column); how many of those hold an id (2)."""
+    """Overlaps with pivots, summed over the blocks of a task (kind 0); postings with rows that are no pivots (1: column, pivot, rows, 2048 at a time; ``shared`` is 1 for a part of a heavy column); how many of those hold a row (2)."""
 
     def run(batches):
         found = np.zeros((0, 4), np.int64)
@@ -283,6 +283,8 @@ def _product(num: int, den: int, bucket_bits: int):
             del rows
             order = np.lexsort((doc, key))
             key, doc, size = key[order], doc[order], size[order]
+            fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))  # copies from different chunks are one row
+            key, doc, size = key[fresh], doc[fresh], size[fresh]
             edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             length = np.diff(np.append(edges, len(key)))
             first = np.repeat(edges, length)
@@ -296,13 +298,13 @@ def _product(num: int, den: int, bucket_bits: int):
                 yield from (_rows(0, *found[s : s + 50_000].T) for s in range(0, len(found), 50_000))
                 found = found[:0]
             lasting = np.flatnonzero((length > 2) | heavy)
-            open_rows = [(int(key[lo]), int(doc[lo]), np.unique(doc[lo : lo + many])) for lo, many in zip(edges[lasting], length[lasting], strict=True)]
+            open_rows = [(int(key[lo]), int(doc[lo]), doc[lo : lo + many]) for lo, many in zip(edges[lasting], length[lasting], strict=True)]
             open_rows = [(column, pivot, ids[s : s + 2048]) for column, pivot, ids in open_rows for s in range(0, len(ids), 2048)]
             if open_rows:
                 yield _rows(1, [x[0] for x in open_rows], [x[1] for x in open_rows], shared=np.ones(len(open_rows), np.int64) if heavy else None, ids=[x[2] for x in open_rows])
                 counted = np.repeat((length > 2) | heavy, length)
                 if not heavy:
-                    counted &= doc != doc[first]
+                    counted &= np.arange(len(doc)) != first
                 ids, times = np.unique(doc[counted], return_counts=True)
                 yield _rows(2, ids, shared=times)
         yield from (_rows(0, *found[s : s + 50_000].T) for s in range(0, len(found), 50_000))
@@ -328,7 +330,7 @@ def _cell(num: int, den: int):
     """A spanning forest of the links between components in a cell, by dense products of blocks of columns."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, comp = np.asarray(table["id"]), np.asarray(table["component"])
+        ids, comp = np.asarray(table["class"]), np.asarray(table["component"])
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["members"]]
         size = np.array([len(x) for x in sets])
         column, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -364,7 +366,7 @@ def _cell(num: int, den: int):
 
 
 def _whole_sets(n: int, width: int, bits):
-    """Whole sets of the rows in the filter (all, without one)."""
+    """Whole sets, with their signatures, of the rows whose ids are in the filter (all, without one)."""
 
     def run(batches):
         words = np.frombuffer(bits.value, np.uint32) if bits is not None else None
@@ -373,8 +375,9 @@ def _whole_sets(n: int, width: int, bits):
                 at = mix64(np.asarray(batch.column(0).fill_null(0)).view(np.uint64)) >> np.uint64(64 - width)
                 batch = batch.filter(pa.array((words[at >> np.uint64(5)] >> (at & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)))
             for ids, known, h, ends, _ in _sets([batch], n):
-                rows = np.flatnonzero(known)
-                yield pa.record_batch([pa.array(ids[rows]), pa.array([h[ends[r] : ends[r + 1]].tobytes() for r in rows], pa.binary())], ["id", "members"])
+                rows = np.flatnonzero(known & (np.diff(ends) > 0))
+                s1, s2 = signatures(h, ends)
+                yield pa.record_batch([pa.array(ids[rows]), pa.array(s1[rows]), pa.array(s2[rows]), pa.array([h[ends[r] : ends[r + 1]].tobytes() for r in rows], pa.binary())], ["rep", "s1", "s2", "members"])
 
     return run
 
@@ -434,9 +437,10 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
     source = keyed.select("id", "text")
     signed = scratch.table(keyed.mapInArrow(_signed(n), "id long, text_key long, n long, s1 long, s2 long"), "signed")
     # as a table of its own, so that both sides of the join are plain exchanges, which adaptive execution can split at a large class
-    classes = scratch.table(signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "classes")
-    member = scratch.table(signed.join(classes, ["s1", "s2", "n"], "left").select("id", "text_key", "n", "rep"), "member")
-    scratch.drop("signed", "classes")
+    classes = signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
+    classes = scratch.table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    member = scratch.table(signed.join(classes, ["s1", "s2", "n"], "left").select("id", "text_key", "n", "rep", "class"), "member")
+    scratch.drop("signed")
     total = member.agg(F.sum("n")).first()[0] or 0
     bits = int(min(60, max(32, np.ceil(np.log2(total + 1)) + 8)))
     bucket_bits = int(min(24, max(4, np.ceil(np.log2(total / (1 << 21) + 1)))))
@@ -462,60 +466,66 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
 
     posted = in_blocks(source.mapInArrow(_postings(n, bits, bucket_bits, bucket_bits - 3 if bucket_bits > 3 else 0, num, den, bitmap), "bucket int, k binary, d binary, n binary"))
     met = scratch.table(posted.mapInArrow(_product(num, den, bucket_bits), PRODUCT), "met")
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(id, members) of the wanted ids, and maybe of some others."""
-        many = wanted.count()
+    def sets_of(wanted: DataFrame, tag: str) -> DataFrame:
+        """(class, members) of the wanted classes, from the texts of the rows that name them."""
+        chosen = scratch.table(wanted.join(classes, "class").select("class", "rep", "s1", "s2"), f"{tag}-chosen")
+        ids = chosen.select(F.col("rep").alias("id")).distinct()
+        many, schema = ids.count(), "rep long, s1 long, s2 long, members binary"
         if many > FILTERED_ROWS:
-            return source.join(wanted, "id", "left_semi").mapInArrow(_whole_sets(n, 0, None), "id long, members binary")
-        width = max(10, (16 * many).bit_length())
-        found = wanted.mapInArrow(_bits(width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        words = np.zeros(1 << (width - 5), np.uint32)
-        words[np.asarray(found["word"])] = np.asarray(found["bits"]).astype(np.uint32)
-        return source.mapInArrow(_whole_sets(n, width, spark.sparkContext.broadcast(words.tobytes())), "id long, members binary")
+            found = source.join(ids, "id", "left_semi").mapInArrow(_whole_sets(n, 0, None), schema)
+        else:
+            width = max(10, (16 * many).bit_length())
+            marks = ids.mapInArrow(_bits(width), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+            words = np.zeros(1 << (width - 5), np.uint32)
+            words[np.asarray(marks["word"])] = np.asarray(marks["bits"]).astype(np.uint32)
+            found = source.mapInArrow(_whole_sets(n, width, spark.sparkContext.broadcast(words.tobytes())), schema)
+        sets = scratch.table(found.join(chosen, ["rep", "s1", "s2"]).groupBy("class").agg(F.first("members").alias("members")), tag)
+        scratch.drop(f"{tag}-chosen")
+        return sets
 
     postings = met.filter("kind = 1").select(F.col("a").alias("column"), F.col("b").alias("pivot"), "shared", "ids")
     parted = postings.filter("shared = 1").select("column", "pivot").distinct()
     hubs = parted.groupBy("column").agg(F.min("pivot").alias("hub"))
     between = parted.join(hubs, "column").filter("hub <> pivot").groupBy(F.col("hub").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("shared"), F.lit(0).cast("long").alias("least"))
-    counted = met.filter("kind = 2").groupBy(F.col("a").alias("id")).agg(F.sum("shared").alias("other"))
-    named = member.filter("rep is not null").select("id", "rep", "n").distinct()
-    info = scratch.table(named.join(counted, "id", "left").select("id", "rep", "n", F.coalesce("other", F.lit(0)).alias("other")), "info")
+    counted = met.filter("kind = 2").groupBy(F.col("a").alias("s1")).agg(F.sum("shared").alias("other"))
+    info = scratch.table(classes.join(counted, "s1", "left").select("s1", "class", "n", F.coalesce("other", F.lit(0)).alias("other")), "info")
     pairs = met.filter("kind = 0").select("a", "b", "shared", "least").union(between).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
-    x, y = info.select(F.col("id").alias("a"), F.col("rep").alias("ra"), F.col("other").alias("oa")), info.select(F.col("id").alias("b"), F.col("rep").alias("rb"), F.col("other").alias("ob"))
-    pairs = pairs.join(x, "a").join(y, "b").filter((F.col("shared") + F.least("oa", "ob") >= F.col("least")) & (F.col("ra") != F.col("rb")))
-    reps = scratch.table(pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "pairs")
-    wanted = scratch.table(reps.select(F.col("a").alias("id")).union(reps.select("b")).distinct(), "wanted")
-    sets = scratch.table(sets_of(wanted), "sets")
-    first, second = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
-    links = scratch.table(reps.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(_overlaps(num, den), "a long, b long"), "links")
-    scratch.drop("sets", "pairs", "wanted")
+    x, y = info.select(F.col("s1").alias("a"), F.col("class").alias("ca"), F.col("other").alias("oa")), info.select(F.col("s1").alias("b"), F.col("class").alias("cb"), F.col("other").alias("ob"))
+    pairs = pairs.join(x, "a").join(y, "b").filter(F.col("shared") + F.least("oa", "ob") >= F.col("least"))
+    pairs = scratch.table(pairs.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "sets")
+    first, second = sets.select(F.col("class").alias("a"), F.col("members").alias("x")), sets.select(F.col("class").alias("b"), F.col("members").alias("y"))
+    links = scratch.table(pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(_overlaps(num, den), "a long, b long"), "links")
+    scratch.drop("sets", "pairs")
     label = components(spark, links, scratch, "first")
 
-    rows = scratch.table(info.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", "rep", "n", F.coalesce("component", "rep").alias("component")), "rows")
-    entries = postings.select("column", "pivot", F.explode("ids").alias("id")).join(rows.select("id", "component"), "id")
+    rows = scratch.table(info.join(label.withColumnRenamed("id", "class"), "class", "left").select("s1", "class", "n", F.coalesce("component", "class").alias("component")), "rows")
+    entries = postings.select("column", "pivot", F.explode("ids").alias("s1")).join(rows.select("s1", "component"), "s1")
     mixed = entries.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("pivot").alias("hub")).filter("lo <> hi").select("column", "hub")
     mixed = scratch.table(mixed, "mixed")
-    many = postings.join(mixed, "column").select("hub", F.explode("ids").alias("id")).groupBy("hub", "id").agg(F.count("*").alias("columns"))
-    held = scratch.table(many.join(rows, "id"), "held")
+    many = postings.join(mixed, "column").select("hub", F.explode("ids").alias("s1")).groupBy("hub", "s1").agg(F.count("*").alias("columns"))
+    held = scratch.table(many.join(rows, "s1"), "held")
     small = F.expr(f"({num} * n + {den - 1}) div {den}")  # the least size that a row of n columns can link to
-    enough = held.groupBy("rep").agg(F.sum("columns").alias("columns"), F.min("n").alias("n")).filter(F.col("columns") >= F.least(small, least_shared_of(small))).select("rep")
-    rest = held.join(enough, "rep").select("hub", F.col("rep").alias("id"), "component").distinct()
+    enough = held.groupBy("class", "n").agg(F.sum("columns").alias("columns")).filter(F.col("columns") >= F.least(small, least_shared_of(small))).select("class")
+    rest = held.join(enough, "class").select("hub", "class", "component")
     parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("hub", "parts")
     open_rows = scratch.table(rest.join(parts, "hub"), "open")
     if open_rows.limit(1).count():
-        dealt = open_rows.withColumn("part", F.pmod(F.hash("id"), F.col("parts")))
-        celled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "component")
-        sets = scratch.table(sets_of(scratch.table(open_rows.select("id").distinct(), "cell-wanted")), "cell-sets")
-        more = scratch.table(celled.join(sets, "id").groupBy("hub", "i", "j").applyInArrow(_cell(num, den), "a long, b long"), "more")
-        scratch.drop("cell-sets", "cell-wanted")
+        dealt = open_rows.withColumn("part", F.pmod(F.hash("class"), F.col("parts")))
+        celled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "class", "component")
+        sets = sets_of(open_rows.select("class").distinct(), "cell-sets")
+        more = scratch.table(celled.join(sets, "class").groupBy("hub", "i", "j").applyInArrow(_cell(num, den), "a long, b long"), "more")
+        scratch.drop("cell-sets")
         if more.limit(1).count():
             label = components(spark, links.union(more), scratch, "second")
         scratch.drop("more")
     scratch.drop("met", "info", "links", "rows", "mixed", "held", "open")
-    label = label.withColumnRenamed("id", "rep")
-    out = member.join(label, "rep", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"), "text_key")
+    # a component is named by the smallest id of its classes; with the classes that link nothing left out
+    known = label.withColumnRenamed("id", "class").join(classes.select("class", "rep"), "class")
+    names = known.groupBy("component").agg(F.min("rep").alias("name"))
+    label = scratch.table(known.join(names, "component").select("class", "name"), "names")
+    own = F.when(F.col("n") > 0, F.coalesce("name", "rep")).otherwise(F.col("id"))
+    return member.join(label, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"), "text_key")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
