@@ -165,7 +165,8 @@ def repeated_runs(spark: SparkSession, docs: DataFrame, min_words: int, min_line
     met = places.join(earliest, ["fingerprint", "window"]).filter(F.struct(*PLACE, "at") != F.col("e"))
     there = [F.col(f"e.{c}").alias(f"e_{c}") for c in PLACE]
     pairs = met.groupBy(*PLACE, *there).agg(F.collect_set(F.struct("at", F.col("e.at").alias("there"))).alias("seeds"))
-    lines = texts.groupBy(*PLACE).agg(*(F.first(c).alias(c) for c in ("hashes", "words", "numbers")))
+    # as a table of its own, so that adaptive execution can split the join where many texts match one
+    lines = scratch.table(texts.groupBy(*PLACE).agg(*(F.first(c).alias(c) for c in ("hashes", "words", "numbers"))), "lines")
     others = lines.select(*(F.col(c).alias(f"e_{c}") for c in PLACE), F.col("hashes").alias("other"))
     matched = scratch.table(pairs, "pairs").join(lines, [*PLACE]).join(others, [f"e_{c}" for c in PLACE])
     found = scratch.table(matched.select(*PLACE, "hashes", "words", "numbers", "other", "seeds").mapInArrow(_runs(min_words, min_lines, whole_runs), "none boolean, id long, text_key long, spans array<struct<first:int,last:int>>"), "found")
@@ -188,7 +189,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_words: int = 50, min_l
     scratch = Scratch(spark, "line-dedup")
     docs = without(docs, "n_lines", "n_removed", "removed_runs", "clean_text")
     runs = scratch.table(repeated_runs(spark, docs, min_words, min_lines, id_col, text_col, scratch, whole_runs), "runs")
-    scratch.drop("selected", "pairs", "found")
+    scratch.drop("selected", "lines", "pairs", "found")
     none, number, key, cut = unused(docs, "run_none", "run_id", "run_key", "run_list")
     runs = runs.select(F.col("none").alias(none), F.col("id").alias(number), F.col("text_key").alias(key), F.col("runs").alias(cut))
     own = F.col(id_col).cast("long")
