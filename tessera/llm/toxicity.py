@@ -112,6 +112,13 @@ def _presence(kept):
     return run
 
 
+def log_ratios(counts: np.ndarray, totals: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each feature: the log ratio of its smoothed document frequencies among toxic and other texts, and by how many standard errors they differ."""
+    share = (counts + 1) / (np.array([[totals[0]], [totals[1]]]) + 2)
+    pooled = (counts.sum(0) + 2) / (totals[0] + totals[1] + 4)
+    return np.log(share[1] / share[0]), np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / (totals[0] + 2) + 1 / (totals[1] + 2)))
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column | None = None, max_train_rows: int = 20_000, max_features: int = 4096, l2: float = 1e-6, steps: int = 300, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns from the ``labels`` (``doc_id``, ``toxic``) that the predicate ``train`` admits."""
     scratch = Scratch(spark, "toxicity")
@@ -133,16 +140,13 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, train: Column |
         counts[:, b << BLOCK_BITS : (b + 1) << BLOCK_BITS] = np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1)
     del summed
     often = np.flatnonzero(counts.sum(0) >= 3)  # what fewer rows hold can't be significant
-    counts = counts[:, often]
-    share = (counts + 1) / (np.array([[totals[0]], [totals[1]]]) + 2)
-    pooled = (counts.sum(0) + 2) / (totals[0] + totals[1] + 4)
-    significance = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / (totals[0] + 2) + 1 / (totals[1] + 2)))
+    ratio, significance = log_ratios(counts[:, often], totals)
     best = np.lexsort((often, -significance))[: min(max_features, 1 << 16)]
     best = np.sort(best[significance[best] > 4])
     if not len(best):
         return empty
-    order, scale = often[best], np.log(share[1] / share[0])[best]
-    del counts, share, pooled, significance
+    order, scale = often[best], ratio[best]
+    del counts, ratio, significance
     wanted = np.zeros(1 << HASH_BITS, bool)
     wanted[order] = True
     held = rows.mapInArrow(_presence(spark.sparkContext.broadcast(np.packbits(wanted).tobytes())), "toxic int, features binary").toArrow()
