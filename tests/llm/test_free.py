@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import io
+import os
 import random
 import re
 
@@ -349,3 +350,80 @@ def test_a_long_text_of_equal_lines(spark):
     df = spark.createDataFrame([(1, "same line\n" * 20_000), (2, "other\n" + "same line\n" * 5)], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.clean_text) for r in line_dedup.dedup_lines(spark, df, whole_runs=True).collect()}
     assert got == {1: (19_999, "same line\n"), 2: (5, "other\n")}
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Document frequencies, ratios and scores, counted plainly over the n-grams of each text."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice(["Alpha", "beta", "gám", "ugly", "vile"][: 3 + 2 * (i % 2)]) for _ in range(rng.randrange(0, 9)))) for i in range(120)]
+    fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    plain = lambda t: {fold(t)[k : k + n] for n in (3, 4, 5) for k in range(len(t) - n + 1)}
+    from tessera.llm.common import text_bytes
+
+    number = lambda gram: next(f for f in toxicity.grams(*text_bytes(pa.array([gram])))[1] if f not in {x for g in plain(gram) - {gram} for x in toxicity.grams(*text_bytes(pa.array([g])))[1]}) if len(gram) > 3 else toxicity.grams(*text_bytes(pa.array([gram])))[1][0]
+    every = {g: number(g) for g in set().union(*(plain(t) for _, t in docs))}
+    counts = {g: [sum(g in plain(t) for i, t in docs if i % 2 == k) for k in (0, 1)] for g in every}
+    batch = pa.record_batch([pa.array([i % 2 for i, _ in docs], pa.int32()), pa.array([t for _, t in docs])], ["toxic", "text"])
+    ours = np.zeros((2, 1 << toxicity.HASH_BITS), np.int64)
+    for out in toxicity._document_counts([batch]):
+        for b, x in zip(out.column(0).to_pylist(), out.column(1), strict=True):
+            ours[:, b << toxicity.BLOCK_BITS : (b + 1) << toxicity.BLOCK_BITS] += np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1)
+    assert {g: ours[:, f].tolist() for g, f in every.items()} == counts
+    ratio, _ = toxicity.log_ratios(ours[:, [every[g] for g in counts]], {0: 60, 1: 60})
+    assert np.allclose(ratio, [np.log(((b + 1) / 62) / ((a + 1) / 62)) for a, b in counts.values()])
+    model = toxicity.fit(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int"))
+    assert np.count_nonzero(model.weights) > 3
+    for r in toxicity.score(spark, spark.createDataFrame(docs, "doc_id long, text string"), model).collect():
+        total = model.intercept + sum(model.weights[every[g]] for g in plain(r.text))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_archives_are_read_by_tasks_of_their_own(spark):
+    df = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.md5(F.col("id").cast("string"))).alias("html"))
+    written = warc.write(spark, df.repartition(6))
+    back = warc.read(written)
+    many = written.count()
+    assert many >= 1 and back.rdd.getNumPartitions() == many and back.count() == 4000
+
+
+def embeddings():
+    folder = os.environ.get("TESSERA_TESTDATA", "/root/testdata/sf0.001").replace("sf0.001", "sf0.1")
+    return f"{folder}/embeddings.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(embeddings()), reason="no test data")
+def test_search_recall_on_the_table(spark):
+    df = spark.read.parquet(embeddings())
+    rows = df.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows])
+    got = ann.search(spark, df, F.col("vec_id") % 10 == 0).toPandas().groupby("query_id").vec_id.agg(set)
+    hit = total = 0
+    for q in got.index:
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        want = set(ids[np.lexsort((ids, d))[:10]])
+        hit, total = hit + len(want & got[q]), total + 10
+    assert total >= 500 and hit / total >= 0.9
+
+
+def test_search_keeps_doubles(spark):
+    rng = np.random.RandomState(3)
+    x = rng.normal(size=(400, 8)) + 1e-12
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in ann.search(spark, df, F.col("vec_id") % 100 == 0, k=3).collect():
+        assert abs(r.score - np.sqrt(((x[r.query_id] - x[r.vec_id]) ** 2).sum())) < 1e-14
+
+
+def test_search_takes_queries_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.RandomState(5).normal(size=(900, 16)))], "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, ann.search(spark, df, F.lit(True), k=4, probe_share=1.0).collect()))
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 1)
+    assert sorted(map(tuple, ann.search(spark, df, F.lit(True), k=4, probe_share=1.0).collect())) == whole and len(whole) == 3600
+
+
+def test_clustered_vectors_need_few_lists():
+    rng = np.random.RandomState(1)
+    centre = rng.normal(size=(30, 16)) * 10
+    near = (centre[rng.randint(30, size=3000)] + rng.normal(size=(3000, 16))).astype(np.float32)
+    apart = rng.normal(size=(3000, 16)).astype(np.float32)
+    assert ann.share_of_lists(near, ann.kmeans(near, 30), 10, 0.97) < 0.25 < ann.share_of_lists(apart, ann.kmeans(apart, 30), 10, 0.97)

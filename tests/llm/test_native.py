@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -40,6 +41,16 @@ def test_mixing_large_rates_and_salted_join(spark, monkeypatch):
         mixing.mix_sources(spark, docs, {"big": -1.0})
 
 
+def test_rows_without_id_are_dealt_over_partitions(spark):
+    many = spark.range(0, 6000, 1, 6).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"), F.lit("x").alias("lang"), F.lit("s").alias("source"), F.lit(4).alias("n_chars"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        assert mixing.mix_sources(spark, many, {"s": 1.0}, epochs=3).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset(key)
+
+
 def test_mixing_odd_rows(spark, odd_docs, no_docs):
     out = mixing.mix_sources(spark, odd_docs, epochs=3)
     assert set(out.columns) == set(odd_docs.columns) | {"mix_key"} and out.count() > 0
@@ -114,6 +125,17 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    """More turns than a stride, texts longer than a piece, runs of one role and roles in turn."""
+    rows = [(1, i, "user" if i % 7 < 4 else "assistant", f"<{i}>#" + "ä" * (i % 50)) for i in range(1500)] + [(2, 0, "assistant", "🦆" * 9000), (2, 1, "user", ""), (2, 2, "assistant", "x")]
+    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in out.select("conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "formatted", "loss_spans").collect():
+        own = [x for x in rows if x[0] == r.conv_id]
+        assert [(t.role, t.text) for t in r.turns] == [(role, text) for _, _, role, text in own]
+        assert r.loss == "".join(text for _, _, role, text in own if role == "assistant")
+        assert len(r.loss_spans) == sum(x[2] == "assistant" for x in own) and all("<cut>" not in r.formatted[s.start : s.end] for s in r.loss_spans)
+
+
 E_ = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 I_ = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 C_ = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -171,6 +193,38 @@ def test_terms_far_from_their_entity_and_short_ones(spark):
     assert out[0].clean_text == f"[TERM]: {filler * 9}[EMAIL]. {filler * 9}[TERM], [TERM] [TERM] [TERM]. [TERM]"
 
 
+def test_terms_equal_brute_force(spark):
+    """Disclosure of every term, counted plainly."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(160):
+        w = [rng.choice(["on", "any", "day", "report", "ask", "of", f"t{rng.randrange(60)}", f"Name{rng.randrange(400)}"]) for _ in range(rng.randrange(3, 30))]
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), f"u{rng.randrange(12)}@x.example")
+        texts.append(" ".join(w))
+    texts += [texts[0], texts[4]]
+    mail, word = re.compile(r"u[0-9]+@x\.example"), re.compile(r"\w+")
+    context = [{w.lower() for w in word.findall(mail.sub(lambda m: " " * len(m.group()), t))} for t in texts]
+    whole = [{w.lower() for w in word.findall(t)} for t in texts]
+    held = [set(mail.findall(t)) for t in texts]
+    told = defaultdict(set)
+    for e in set().union(*held):
+        own = [i for i in range(len(texts)) if e in held[i]]
+        rare = (len(own) + 1) / (len(texts) + 2)
+        for t in set().union(*(context[i] for i in own)):
+            both = [i for i in own if t in context[i]]
+            n_t, copies = sum(t in w for w in whole), len({texts[i] for i in both})
+            known = (copies + 2 * rare) / (max(n_t, len(both)) * copies / len(both) + 2)
+            if math.log2(known / rare) / max(-math.log2(rare), 1) >= 0.6:
+                for i in both:
+                    told[i].add(t)
+    assert sum(map(len, told.values())) > 20 and any(told[i] != context[i] for i in told)
+    rows = pii.sanitise(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        want = [(m.start(), m.end()) for m in word.finditer(mail.sub(lambda m: " " * len(m.group()), r.text)) if m.group().lower() in told[r.doc_id]]
+        assert [(s.start, s.end) for s in r.spans if s.kind == 4] == want
+
+
 def test_pii_odd_rows(spark, odd_docs, no_docs):
     out = pii.sanitise(spark, odd_docs)
     rows = out.collect()
