@@ -53,6 +53,19 @@ def lines_sink(path: str) -> Sink:
     return put
 
 
+def calling_sink(number: Callable[[str, float, int | None], None], text: Callable[[str, str], None]) -> Sink:
+    """Hands each event to functions of a tracking service's client: ``(name, number, step)`` and ``(name, text)``."""
+
+    def put(events: list[Event]) -> None:
+        for e in events:
+            if e.number is not None:
+                number(e.name, e.number, e.step)
+            elif e.text is not None:
+                text(e.name, e.text)
+
+    return put
+
+
 class Log:
     """The events of one run so far."""
 

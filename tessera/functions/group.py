@@ -42,9 +42,7 @@ def frequency(found: dict[Stat, Column], key: str) -> Column:
     return found[Stat("rows", key, (key,))]
 
 
-@op("aggregation", 2)
-def group_rank(key: Column, value: Column) -> Column:
+@op("aggregation", 2, lambda key, value: [Stat("rank", value, (key, value))])
+def group_rank(found: dict[Stat, Column], key: str, value: str) -> Column:
     """Average rank within the group."""
-    w = Window.partitionBy(key)
-    ties = F.count(value).over(Window.partitionBy(key, value))
-    return F.when(key.isNotNull() & value.isNotNull(), F.rank().over(w.orderBy(value.asc_nulls_last())) + (ties - 1) / 2)
+    return found[Stat("rank", value, (key, value))]

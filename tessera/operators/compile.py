@@ -68,8 +68,10 @@ def gather(df: DataFrame, stats: list[Stat], approximate: bool = False) -> State
         for value in dict.fromkeys(s.value for s in exact):
             shares = {state.names[s]: 0.5 if s.fn == "median" else float(s.arg) for s in exact if s.value == value}
             parts.append(quantiles(rows.select(*keys, number(F.col(value)).alias("__value")), "__value", shares, names))
-        for s in ranked:
-            parts.append(average_ranks(df, s.value).select(F.col("value").alias("__k0"), F.col("rank").alias(state.names[s])))
+        for s in ranked:  # the value itself is the last column of its key
+            by = [f"__k{i}" for i in range(len(key) - 1)]
+            ranks = average_ranks(rows.select(*keys[:-1], F.col(s.value).alias("__value")), "__value", by)
+            parts.append(ranks.select(*by, F.col("value").alias(names[-1]), F.col("rank").alias(state.names[s])))
         table = parts[0]
         for other in parts[1:]:  # without a key there are one row and at most one row
             table = table.join(other, names, "full") if key else table.join(F.broadcast(other), F.lit(True), "left")

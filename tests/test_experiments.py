@@ -10,7 +10,7 @@ from tessera.errors import ConfigurationError, DatasetError
 from tessera.experiment.matrix import ExperimentMatrix
 from tessera.experiment.reporter import report_best, report_mean, report_summary, to_html, to_json, to_markdown
 from tessera.experiment.runner import Platform, Runner
-from tessera.experiment.tracker import Track, lines_sink, table_sink
+from tessera.experiment.tracker import Track, calling_sink, lines_sink, table_sink
 from tessera.plans.methods import BaseMethod, MethodRegistry
 from tessera.settings import load_settings
 from tessera.sources.dataset import DatasetRegistry, TableSpec, load_fetched
@@ -92,6 +92,10 @@ def test_events_in_a_table(spark, tmp_path):
     assert rows["a", "rows"][2] == '[{"id": 0}, {"id": 1}, {"id": 2}]' and rows["a", "flag"][2] == "true" and ("b", "seconds") in rows
     with Track().run("c") as log:
         log.put("metric", {"n": 1})
+    seen = []
+    with Track(calling_sink(lambda *x: seen.append(x), lambda *x: seen.append(x))).run("d", {"name": "x"}) as log:
+        log.put("metric", {"auc": 0.5}, step=3)
+    assert seen[:2] == [("name", "x"), ("auc", 0.5, 3)]
 
 
 def test_reports(spark):

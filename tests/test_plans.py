@@ -16,7 +16,7 @@ from tessera.plans.memory import Memory
 from tessera.plans.methods import ClientMethod, ExpansionMethod, MethodRegistry
 from tessera.plans.proposers import AGENTS, Context, ProposerRegistry, RuleProposer, expansion
 from tessera.plans.router import Router
-from tessera.settings import EvaluationSettings, RetrySettings, RouterSettings, load_settings
+from tessera.settings import ClientSettings, EvaluationSettings, RetrySettings, RouterSettings, load_settings
 from tessera.sources.dataset import TableSpec
 from tessera.spec import FeatureSpec
 
@@ -205,3 +205,57 @@ def test_programs_are_asked_for_again(spark):
     assert {(r.id, r.double_a) for r in writer.run(df, code, specs, "id").collect()} == {(i, 2.0 * i) for i in range(9)}
     with pytest.raises(ExecutionError):
         ProgramWriter(ScriptedClient([bad])).write(df, specs, "id")
+
+
+def test_services_over_http():
+    import http.server
+    import threading
+
+    from tessera.plans import providers
+
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, dict(self.headers), body))
+            answer = {"content": [{"text": "hello"}]} if self.path == "/content" else {"choices": [{"message": {"content": "hi"}}]}
+            self.send_response(500 if self.path == "/broken" else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps(answer).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    asked = [{"role": "system", "content": "be brief"}, {"role": "user", "content": "x"}]
+    try:
+        of = lambda path, way: providers.HttpClient(ClientSettings(model="any/m1"), providers.Service(f"{at}/{path}", "NO_SUCH_KEY", way), "secret")
+        assert of("choices", "choices").complete(asked) == "hi" and of("content", "content").complete(asked) == "hello"
+        assert seen[0][2]["messages"] == asked and seen[0][1]["Authorization"] == "Bearer secret" and seen[0][2]["model"] == "m1"
+        assert seen[1][2]["system"] == "be brief" and [m["role"] for m in seen[1][2]["messages"]] == ["user"]
+        with pytest.raises(ClientError):
+            of("broken", "choices").complete(asked)
+        assert providers.wait_for(providers.complete_all(of("choices", "choices"), [asked] * 4, 2)) == ["hi"] * 4
+    finally:
+        server.shutdown()
+    assert [providers.provider_of(m) for m in ("gpt-x", "deepseek/chat", "claude-x")] == ["openai", "deepseek", "anthropic"]
+    for bad in (lambda: providers.provider_of("other"), lambda: providers.HttpClient(ClientSettings(model="gpt-x"), providers.Service(at, "NO_SUCH_KEY")).complete(asked)):
+        with pytest.raises(ConfigurationError):
+            bad()
+
+
+def test_waiting_inside_a_running_loop():
+    import asyncio
+
+    from tessera.plans.providers import wait_for
+
+    async def three():
+        return 3
+
+    async def outer():
+        return wait_for(three())
+
+    assert asyncio.run(outer()) == 3
