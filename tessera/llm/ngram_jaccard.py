@@ -19,8 +19,8 @@ posting costs its length, whatever its length is. A column that many rows hold i
 pivots of the parts are linked to the smallest one: no block grows with a column.
 
 Where links leave rows of a posting in different components, the rows are open: they may link without either being a
-pivot. An open row that holds fewer open columns than any pair of its size must share is closed. The others are dealt into
-cells of bounded size, and each pair of cells is multiplied as dense blocks: a task returns a spanning forest of the links
+pivot. An open row that holds fewer open columns than any pair of its size must share is closed. The others, where they have
+enough columns left by the same bound, are dealt into cells of bounded size, and each pair of cells is multiplied as dense blocks: a task returns a spanning forest of the links
 it finds, never the pairs, so no link between components is lost.
 
 Defined results: null or blank texts have an empty set, ``n_shingles`` 0 and are their own component; rows with a null
@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import Scratch, mix64, pack, row_slices, text_bytes, unpack, unused, words_of
 
@@ -479,7 +480,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
             words = np.zeros(1 << (width - 5), np.uint32)
             words[np.asarray(marks["word"])] = np.asarray(marks["bits"]).astype(np.uint32)
             found = source.mapInArrow(_whole_sets(n, width, spark.sparkContext.broadcast(words.tobytes())), schema)
-        sets = scratch.table(found.join(chosen, ["rep", "s1", "s2"]).groupBy("class").agg(F.first("members").alias("members")), tag)
+        once = found.groupBy("rep", "s1", "s2").agg(F.first("members").alias("members"))
+        sets = scratch.table(once.join(chosen, ["rep", "s1", "s2"]).select("class", "members"), tag)
         scratch.drop(f"{tag}-chosen")
         return sets
 
@@ -506,8 +508,10 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
     many = postings.join(mixed, "column").select("hub", F.explode("ids").alias("s1")).groupBy("hub", "s1").agg(F.count("*").alias("columns"))
     held = scratch.table(many.join(rows, "s1"), "held")
     small = F.expr(f"({num} * n + {den - 1}) div {den}")  # the least size that a row of n columns can link to
-    enough = held.groupBy("class", "n").agg(F.sum("columns").alias("columns")).filter(F.col("columns") >= F.least(small, least_shared_of(small))).select("class")
-    rest = held.join(enough, "class").select("hub", "class", "component")
+    # two rows that link meet first, in the order of the hubs' sizes, where neither has fewer columns left than they must share
+    order = Window.partitionBy("class").orderBy(F.desc("rows"), F.desc("hub"))
+    sized = held.join(held.groupBy("hub").agg(F.count("*").alias("rows")), "hub").withColumn("left", F.sum("columns").over(order))
+    rest = sized.filter(F.col("left") >= F.least(small, least_shared_of(small))).select("hub", "class", "component")
     parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("hub", "parts")
     open_rows = scratch.table(rest.join(parts, "hub"), "open")
     if open_rows.limit(1).count():
