@@ -421,9 +421,8 @@ def linear_cv_gain(t: Tables) -> DataFrame:
     f = folds.stratified_folds(t.orders.select("o_orderkey", F.col("o_custkey").cast("double").alias("x"), "o_totalprice", F.lit(0).alias("all"), F.lit(1.0).alias("one")), "all", "o_orderkey")
     evaluator = Evaluator(task="regression", metric="rmse", model="linear", folds=5, model_params={"regParam": 0.0})
     table = TableSpec("o_orderkey", "o_totalprice")
-    base, score = (evaluator.score(f, table, [c]) for c in ("one", "x"))
-    gain = evaluator.metrics.get("rmse").gain(score, base)
-    return t.spark.createDataFrame([(base, score, gain)], "baseline double, score double, gain double")
+    base, (found,) = evaluator.gains(f, table, ["one"], ["x"], fail=True)
+    return t.spark.createDataFrame([(base, base - found["gain"], found["gain"])], "baseline double, score double, gain double")
 
 
 # --- memory, differences, reports ---------------------------------------------------------------------------------

@@ -77,7 +77,7 @@ class Engine:
 
     def _evaluator(self) -> Evaluator:
         s = self.settings
-        return self.evaluator or Evaluator(task=s.task, metric=s.metric, model=s.model, folds=s.evaluation.cv_folds, seed=s.random_state, workers=s.evaluation.max_cv_workers or 2)
+        return self.evaluator or Evaluator(task=s.task, metric=s.metric, model=s.model, folds=s.evaluation.cv_folds, seed=s.random_state, workers=s.evaluation.max_cv_workers or Evaluator.workers)
 
     def _router(self) -> Router | FixedRouter:
         names = tuple(self.proposers.names())

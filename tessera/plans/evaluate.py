@@ -30,13 +30,16 @@ class Evaluator:
     model: str = "random_forest"
     folds: int = 5
     seed: int = 42
-    workers: int = 2
+    workers: int = 4
     model_params: dict[str, Any] = field(default_factory=dict)
     metrics: MetricRegistry = field(default_factory=MetricRegistry)
     models: ModelRegistry = field(default_factory=ModelRegistry)
     _baselines: dict[tuple, float] = field(default_factory=dict, repr=False)
 
     def folded(self, df: DataFrame, table: TableSpec) -> DataFrame:
+        """``df`` with ``fold``, its own if it has one."""
+        if "fold" in df.columns:
+            return df
         return stratified_folds(df, table.target, table.row_id, self.folds, self.seed) if self.task == "classification" else kfold(df, table.row_id, self.folds, self.seed)
 
     def labelled(self, df: DataFrame, target: str) -> tuple[DataFrame, int]:
@@ -62,7 +65,7 @@ class Evaluator:
         if not columns:
             raise EvaluationError("no columns that a model can take")
         metric = self.metrics.get(self.metric)
-        data = df if "fold" in df.columns else self.folded(df, table)
+        data = self.folded(df, table)
         data, classes = self.labelled(data.select(table.target, "fold", *columns), table.target)
         data = data.filter("__label is not null")
         state = state or learn(data, columns, self.folds)
