@@ -155,11 +155,18 @@ class ClientMethod(BaseMethod):
 
 @dataclass
 class ExpansionMethod(BaseMethod):
+    """Expands columns, screens what comes out, and keeps the ``n_features`` of the largest importance.
+
+    ``screen_to`` columns are left by variance. With ``order`` 2 all products of the ``paired`` best of them, by gain where the
+    target has two classes, are screened beside them.
+    """
+
     name: str = "expansion"
     evaluator: Evaluator | None = None
     n_features: int = 10
     screen_to: int = 50
     order: int = 1
+    paired: int = 20
     task: str = "classification"
     importances: dict[str, float] = field(default_factory=dict)
 
@@ -167,10 +174,7 @@ class ExpansionMethod(BaseMethod):
         columns = table.features(df)
         numbers = [c for c in columns if is_number(df.schema[c].dataType)]
         texts = [c for c in columns if df.schema[c].dataType.simpleString() == "string"]
-        specs = expansion(numbers, texts)
-        if self.order > 1:
-            specs += interaction_specs([s.name for s in specs if s.type == "numerical"][:20], 100)
-        return specs
+        return expansion(numbers, texts)
 
     def _halve(self, frame: DataFrame, table: TableSpec, names: list[str]) -> list[str]:
         """Keeps the better half by univariate gain on twice as many rows each time; hashes of ids choose the rows."""
@@ -189,7 +193,16 @@ class ExpansionMethod(BaseMethod):
         done = Compiler().transform(df, specs)
         numeric = [n for n in done.names if is_number(done.frame.schema[n].dataType)]
         names = prefilter(done.frame, numeric, self.screen_to)
-        if self.task == "classification" and df.select(table.target).distinct().limit(3).count() == 2:
+        binary = self.task == "classification" and df.select(table.target).distinct().limit(3).count() == 2
+        if self.order > 1:
+            best = names
+            if binary and len(names) > self.paired:
+                gains = {r["feature"]: r["gain"] for r in univariate_gains(done.frame, table.target, names).collect()}
+                best = sorted(names, key=lambda n: -(gains.get(n) or 0.0))
+            products = interaction_specs(best[: self.paired])
+            specs, done = specs + products, Compiler().transform(done.frame, products)
+            names = prefilter(done.frame, names + done.names, self.screen_to)
+        if binary:
             names = self._halve(done.frame, table, names)
         evaluator = self.evaluator or Evaluator(task=self.task, model_params={"numTrees": 20, "maxDepth": 5})
         if names:

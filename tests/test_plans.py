@@ -259,3 +259,12 @@ def test_waiting_inside_a_running_loop():
         return wait_for(three())
 
     assert asyncio.run(outer()) == 3
+
+
+def test_second_order_takes_the_best_of_the_first(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=200), rng.normal(size=200)
+    df = spark.createDataFrame(pd.DataFrame({"id": range(200), "a": a, "b": b, "y": (a * b > 0).astype(int)}))
+    method = ExpansionMethod(n_features=3, order=2, paired=6).fit(df, TABLE)
+    made = Compiler().transform(df, method.specs)
+    assert not made.failures and any(s.transform == "multiply" for s in method.specs) and len(method.importances) >= 3
