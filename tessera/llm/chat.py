@@ -10,7 +10,7 @@ functions (where roles change, a block begins; a slice of the turns is a block),
 back each text exactly. ``loss_spans`` are the places of assistant texts (code points, end exclusive), without cuts.
 
 Defined results: null texts and roles are empty; turns with equal numbers are ordered by role, then text, null numbers
-first; rows with a null ``conv_id`` are a conversation of their own; repeated rows are turns like others; no rows give no
+first; each row with a null ``conv_id`` is a conversation of its own, so that such rows, however many, meet in no task; repeated rows are turns like others; no rows give no
 conversations. Extra columns are ignored. A conversation is one value of the result, and so is held by one task, whose work
 grows with the conversation's length.
 """
@@ -65,7 +65,8 @@ def format_chats(chats: DataFrame, trained_role: str = "assistant", conv_col: st
     """``conv_id``, ``formatted`` and ``loss_spans`` (array of start, end)."""
     empty = F.lit("")
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), empty).alias("role"), F.coalesce(F.col(text_col), empty).alias("text"))
-    turns = chats.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    alone = F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id())
+    turns = chats.select(F.col(conv_col).alias("conv_id"), alone.alias("alone"), turn.alias("turn")).groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("turn")).alias("turns")).drop("alone")
     head = lambda role: F.concat(F.lit(OPEN), F.replace(escape(role), F.lit(":"), F.lit("\\c")), F.lit(NAMED))
     same = lambda i: (i > 0) & (F.get("turns", i)["role"] == F.get("turns", i - 1)["role"])
 

@@ -123,6 +123,8 @@ def test_chat_round_trip(spark):
     first = next(r for r in rows if r.conv_id == 1)
     assert first.formatted.count("### ") == 2 and first.formatted.count("</turn>\n") == 2  # merged, and nothing else looks like a mark
     assert chat.format_chats(df.limit(0)).count() == 0
+    twice = chat.format_chats(df.filter("conv_id is null").union(df.filter("conv_id is null"))).collect()
+    assert [r.conv_id for r in twice] == [None, None] and len({r.formatted for r in twice}) == 1
 
 
 def test_long_conversations(spark):
