@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tessera.plans.catalog import ORACLES, QUERIES
+from tessera.plans.queries import ORACLES, QUERIES
 
 DATA = os.environ.get("TESSERA_TESTDATA", "/root/testdata/sf0.001")
 
