@@ -327,27 +327,51 @@ def _bits(width: int):
     return run
 
 
+def overlaps_of(sets: list[np.ndarray]) -> np.ndarray:
+    """How many columns each two rows share, by dense products of blocks of columns."""
+    size = np.array([len(x) for x in sets])
+    column, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = np.bincount(at, minlength=len(column)) > 1
+    at, row = (np.cumsum(shared) - 1)[at[shared[at]]], row[shared[at]]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    overlap = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(shared.sum()), 2048):
+        a, b = np.searchsorted(at, (lo, lo + 2048))
+        block = np.zeros((len(sets), 2048), np.float32)
+        block[row[a:b], at[a:b] - lo] = 1
+        overlap += block @ block.T
+    return overlap.astype(np.int64)
+
+
+def _linked(table: pa.Table, num: int, den: int) -> np.ndarray:
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["members"]]
+    size, overlap = np.array([len(x) for x in sets]), overlaps_of(sets)
+    return den * overlap >= num * (size[:, None] + size[None, :] - overlap)
+
+
+def _link_counts(num: int, den: int):
+    """How many rows of the other part (of the same one, but not the class itself, in a cell on the diagonal) each class links to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, copies = np.asarray(table["part"]), np.asarray(table["copies"])
+        linked = _linked(table, num, den)
+        if table["i"][0].as_py() == table["j"][0].as_py():
+            np.fill_diagonal(linked, False)
+        else:
+            linked &= part[:, None] != part[None, :]
+        return pa.table({"class": table["class"], "links": pa.array(linked.astype(np.int64) @ copies)})
+
+    return run
+
+
 def _cell(num: int, den: int):
-    """A spanning forest of the links between components in a cell, by dense products of blocks of columns."""
+    """A spanning forest of the links between components in a cell."""
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp = np.asarray(table["class"]), np.asarray(table["component"])
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["members"]]
-        size = np.array([len(x) for x in sets])
-        column, at = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(len(sets)), size)
-        shared = np.bincount(at, minlength=len(column)) > 1
-        at, row = (np.cumsum(shared) - 1)[at[shared[at]]], row[shared[at]]
-        order = np.argsort(at, kind="stable")
-        at, row = at[order], row[order]
-        overlap = np.zeros((len(sets), len(sets)), np.float32)
-        for lo in range(0, int(shared.sum()), 2048):
-            a, b = np.searchsorted(at, (lo, lo + 2048))
-            block = np.zeros((len(sets), 2048), np.float32)
-            block[row[a:b], at[a:b] - lo] = 1
-            overlap += block @ block.T
-        overlap = overlap.astype(np.int64)
-        linked = (den * overlap >= num * (size[:, None] + size[None, :] - overlap)) & (comp[:, None] != comp[None, :])
+        linked = _linked(table, num, den) & (comp[:, None] != comp[None, :])
         parent = {int(c): int(c) for c in np.unique(comp)}
 
         def root(x):
@@ -423,22 +447,30 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, tag: str
             return label
 
 
-def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text", links: bool = False) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles``, ``component_id``, the smallest id reachable by links, and ``text_key`` (xxhash64 of the text).
 
     Two rows link when ``den * |intersection| >= num * |union|`` of their sets of ``n``-word shingles (``threshold`` is
-    ``(num, den)``, above 0 and at most 1). Other defined results: see the module.
+    ``(num, den)``, above 0 and at most 1). With ``links`` there is ``n_links`` too, the number of rows that a row links to
+    (null without an id); all pairs of different sets of a component are compared for it, in cells. Other defined results: see
+    the module.
     """
     num, den = threshold
     if not 0 < num <= den or n < 1:
         raise ValueError("threshold must be in (0, 1], n at least 1")
     scratch = Scratch(spark, "ngram-jaccard")
+
+    def in_cells(rows: DataFrame) -> DataFrame:
+        """Rows (with ``parts`` of their group) in each cell (i, j) of their group that their part is in."""
+        dealt = rows.withColumn("part", F.pmod(F.hash("class"), F.col("parts")))
+        return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).drop("other", "parts")
+
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     source = keyed.select("id", "text")
     signed = scratch.table(keyed.mapInArrow(_signed(n), "id long, text_key long, n long, s1 long, s2 long"), "signed")
     # as a table of its own, so that both sides of the join are plain exchanges, which adaptive execution can split at a large class
-    classes = signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"))
+    classes = signed.filter("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.table(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     member = scratch.table(signed.join(classes, ["s1", "s2", "n"], "left").select("id", "text_key", "n", "rep", "class"), "member")
     scratch.drop("signed")
@@ -515,21 +547,27 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
     parts = rest.groupBy("hub").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("hub", "parts")
     open_rows = scratch.table(rest.join(parts, "hub"), "open")
     if open_rows.limit(1).count():
-        dealt = open_rows.withColumn("part", F.pmod(F.hash("class"), F.col("parts")))
-        celled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hub", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "class", "component")
         sets = sets_of(open_rows.select("class").distinct(), "cell-sets")
-        more = scratch.table(celled.join(sets, "class").groupBy("hub", "i", "j").applyInArrow(_cell(num, den), "a long, b long"), "more")
+        more = scratch.table(in_cells(open_rows).join(sets, "class").groupBy("hub", "i", "j").applyInArrow(_cell(num, den), "a long, b long"), "more")
         scratch.drop("cell-sets")
         if more.limit(1).count():
             label = components(spark, links.union(more), scratch, "second")
         scratch.drop("more")
     scratch.drop("met", "info", "links", "rows", "mixed", "held", "open")
     # a component is named by the smallest id of its classes; with the classes that link nothing left out
-    known = label.withColumnRenamed("id", "class").join(classes.select("class", "rep"), "class")
-    names = known.groupBy("component").agg(F.min("rep").alias("name"))
-    label = scratch.table(known.join(names, "component").select("class", "name"), "names")
+    known = label.withColumnRenamed("id", "class").join(classes.select("class", "rep", "copies"), "class")
+    names = known.groupBy("component").agg(F.min("rep").alias("name"), F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    label = scratch.table(known.join(names, "component"), "names")
     own = F.when(F.col("n") > 0, F.coalesce("name", "rep")).otherwise(F.col("id"))
-    return member.join(label, "class", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"), "text_key")
+    out = member.join(label.select("class", "name"), "class", "left")
+    extra = []
+    if links:
+        cells = in_cells(label.select("component", "class", "copies", "parts")).join(sets_of(label.select("class"), "link-sets"), "class")
+        counted = scratch.table(cells.groupBy("component", "i", "j").applyInArrow(_link_counts(num, den), "class long, links long").groupBy("class").agg(F.sum("links").alias("links")), "counted")
+        scratch.drop("link-sets")
+        out = out.join(counted, "class", "left").join(classes.select("class", "copies"), "class", "left")
+        extra = [F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links")]
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"), "text_key", *extra)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:

@@ -107,6 +107,16 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted(((r.doc_id or -1), r.text or "") for r in left.collect()) == sorted([(3, text), (5, rows[2][1]), (-1, text), (-1, text), (8, ""), (9, "")])
 
 
+def test_numbers_of_links(spark, monkeypatch):
+    monkeypatch.setattr(nj, "CELL", 16)
+    docs = [*corpus(11, 8, 25, 40, 10), (900, None), (901, "")]
+    docs += [(i + 500, t) for i, t in docs[:20]]
+    sets = [shingles(t) for _, t in docs]
+    want = {i: sum(bool(a) and bool(b) and 100 * len(a & b) >= 75 * len(a | b) for q, b in enumerate(sets) if q != p) for p, ((i, _), a) in enumerate(zip(docs, sets, strict=True))}
+    got = {r.doc_id: r.n_links for r in nj.ngram_jaccard(spark, spark.createDataFrame(docs, "doc_id long, text string"), links=True).collect()}
+    assert got == want and len(set(want.values())) > 4
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = ours(spark, odd_docs)
