@@ -5,8 +5,8 @@ character). The CGK embedding
 walks a sequence: at step j it emits the word under its pointer, and a random bit of (j, word) tells whether the pointer
 moves on. Two walks with the same bits fall into step again after an edit, so a small edit distance becomes a small
 Hamming distance between what they emit. Each repetition draws its own bits, the place of the item where its walk starts
-(places are spread over the whole item), and a sample of the steps of an item-sized window's walk, any two scales of which are
-as likely (``sampled``). As many repetitions are made as find ``target_recall`` of simulated copies of an item's size with
+(places are spread over the whole item), and a sample of the steps of the walk from there to the item's end, any two scales of
+which are as likely (``sampled``). As many repetitions are made as find ``target_recall`` of simulated copies of an item's size with
 ``max_share`` of its words edited (``repetitions_for``). Windows are tried at every word of a text, and walked only
 as long as what they have emitted at the sampled steps agrees with some item.
 
@@ -39,8 +39,8 @@ from tessera.llm.common import IN_TERM, Scratch, mix64, row_slices, small_batche
 BLOCK_BYTES = 16 << 20
 #: Steps that a repetition samples besides the one where its walk starts, and words that it has at least.
 SAMPLES, ROOM = 3, 3
-#: Items of up to this many words share the steps that are sampled; longer ones are taken together up to each eightfold.
-WINDOW, LONGER = 64, 8
+#: Words that a walk is sampled over at most.
+LONGEST = 512
 MOST_REPETITIONS, SIMULATED = 64, 256
 NO_WORD = np.uint64(0)
 #: Words of a piece that are looked up.
@@ -49,18 +49,15 @@ PIECE = 8
 WIDTH = 1 << 22
 
 
-def window_of(size: int) -> int:
-    """Words of the windows that items of a size are sampled in."""
-    window = WINDOW
-    while window < size:
-        window *= LONGER
-    return window
+def window_of(words: int) -> int:
+    """Words over which the walk is sampled that has so many before it: the power of two below, so that no sampled step is beyond its end."""
+    return min(LONGEST, 1 << (words.bit_length() - 1))
 
 
 @functools.lru_cache(maxsize=None)
 def sampled(r: int, window: int) -> tuple[int, ...]:
     """The steps that a repetition samples: the start, and draws from a walk over the window (two steps to a word), log-uniform."""
-    draws = np.exp(np.random.RandomState(977 * r + window % 977).uniform(0, np.log(2 * window), SAMPLES)).astype(int)
+    draws = np.exp(np.random.RandomState(977 * r + window).uniform(0, np.log(2 * window), SAMPLES)).astype(int)
     return (0, *np.unique(draws).tolist())
 
 
@@ -75,8 +72,7 @@ def starting_place(r: int, size: int) -> int:
 @functools.lru_cache(maxsize=None)
 def repetitions_for(size: int, max_share: float, target_recall: float) -> int:
     """How many repetitions find the target share of random copies of an item with all the edits that it may have."""
-    if size > WINDOW:  # longer items have more places to start from, and are found by as many repetitions
-        size = WINDOW
+    size = min(size, LONGEST)  # longer items have more places to start from, and are found by as many repetitions
     rng, edits_made = np.random.RandomState(size), int(size * max_share)
     items = rng.randint(1, 1 << 62, (SIMULATED, size)).astype(np.uint64)
     texts = np.zeros((SIMULATED, size + edits_made + 1), np.uint64)
@@ -89,7 +85,8 @@ def repetitions_for(size: int, max_share: float, target_recall: float) -> int:
         texts[k, : len(flat)] = flat
     every, found = np.arange(SIMULATED), np.zeros(SIMULATED, bool)
     for r in range(MOST_REPETITIONS):
-        start, at = starting_place(r, size), sampled(r, window_of(size))
+        start = starting_place(r, size)
+        at = sampled(r, window_of(size - start))
         same = texts == items[:, start, None]
         agree, i, j = same.any(1), np.full(SIMULATED, start), same.argmax(1)
         for step in range(at[-1] + 1):
@@ -114,30 +111,29 @@ class Items:
         self.ids, self.words = [k for k, _, _ in every], [w for _, w, _ in every]
         self.most = [int(len(w) * max_share) for w in self.words]
         many = [repetitions_for(len(w), max_share, target_recall) for w in self.words]
-        self.tables = []  # by window and repetition: for each sampled step, sorted (signature, item, start) of complete walks and signatures of the others
-        for window in sorted({window_of(len(w)) for w in self.words}):
-            own = [k for k, w in enumerate(self.words) if window_of(len(w)) == window]
-            for r in range(max(many[k] for k in own)):
-                at = sampled(r, window)
-                full: list[list[tuple[int, int, int]]] = [[] for _ in at]
-                part: list[set[int]] = [set() for _ in at]
-                for k in own:
-                    if r >= many[k]:
-                        continue
-                    _, w, length = every[k]
-                    start = starting_place(r, len(w))
-                    start += int(np.argmax(length[start : max(start + 1, min(start + min(3, len(w) // 8), len(w) - ROOM + 1))]))  # of the next words the longest, likely the rarest
-                    signatures = walk_one(w[start:], r, at)
-                    for level, s in enumerate(signatures[:-1]):
-                        part[level].add(s)
-                    full[len(signatures) - 1].append((signatures[-1], k, start))
-                levels = []
-                for f, p in zip(full, part, strict=True):
-                    f = sorted(f)
-                    keys = np.array([x[0] for x in f], np.uint64)
-                    known = np.unique(np.concatenate((keys, np.array(sorted(p), np.uint64))))
-                    levels.append((keys, np.array([x[1:] for x in f], np.int64).reshape(-1, 2), np.array(sorted(p), np.uint64), bit_table(known)))
-                self.tables.append((r, at, levels))
+        walks: dict[tuple[int, int], list[tuple[int, int]]] = {}  # items and where their walks start, by repetition and window
+        for k, (_, w, length) in enumerate(every):
+            for r in range(many[k]):
+                start = starting_place(r, len(w))
+                start += int(np.argmax(length[start : max(start + 1, min(start + min(3, len(w) // 8), len(w) - ROOM + 1))]))  # of the next words the longest, likely the rarest
+                walks.setdefault((r, window_of(len(w) - start)), []).append((k, start))
+        self.tables = []  # for each sampled step, sorted (signature, item, start) of complete walks and signatures of the others
+        for (r, window), own in sorted(walks.items()):
+            at = sampled(r, window)
+            full: list[list[tuple[int, int, int]]] = [[] for _ in at]
+            part: list[set[int]] = [set() for _ in at]
+            for k, start in own:
+                signatures = walk_one(self.words[k][start:], r, at)
+                for level, s in enumerate(signatures[:-1]):
+                    part[level].add(s)
+                full[len(signatures) - 1].append((signatures[-1], k, start))
+            levels = []
+            for f, p in zip(full, part, strict=True):
+                f = sorted(f)
+                keys = np.array([x[0] for x in f], np.uint64)
+                known = np.unique(np.concatenate((keys, np.array(sorted(p), np.uint64))))
+                levels.append((keys, np.array([x[1:] for x in f], np.int64).reshape(-1, 2), np.array(sorted(p), np.uint64), bit_table(known)))
+            self.tables.append((r, at, levels))
         self.pieces = {}  # by words: sorted signatures, (item, start) and bits
         if pieces:
             self.cut()

@@ -100,9 +100,13 @@ def test_samples_alone_reach_their_target():
 
 
 def test_steps_are_sampled_from_the_whole_walk():
-    steps = {s for r in range(64) for s in decontamination.sampled(r, 64)}
-    assert max(steps) > 100 and len({decontamination.starting_place(r, 40) for r in range(32)}) > 20
-    assert decontamination.window_of(65) == 512 and decontamination.repetitions_for(1000, 0.2, 0.95) == decontamination.repetitions_for(64, 0.2, 0.95)
+    for words in (3, 10, 64, 500):
+        steps = [decontamination.sampled(r, decontamination.window_of(words)) for r in range(64)]
+        assert words // 2 < max(map(max, steps)) <= 2 * words and len(set(steps)) > (3 if words == 3 else 30)
+    assert len({decontamination.starting_place(r, 40) for r in range(32)}) > 20
+    many = [decontamination.repetitions_for(n, 0.2, 0.95) for n in (5, 10, 30, 64)]
+    assert all(2 < m < decontamination.MOST_REPETITIONS for m in many) and decontamination.repetitions_for(30, 0.05, 0.95) < many[2]
+    assert decontamination.repetitions_for(5000, 0.2, 0.95) == decontamination.repetitions_for(512, 0.2, 0.95)
 
 
 def test_decontamination_of_a_very_long_item():
