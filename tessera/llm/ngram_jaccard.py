@@ -43,7 +43,7 @@ from tessera.llm.common import Scratch, mix64, pack, row_slices, text_bytes, unp
 #: Columns held by more documents than this come last in the order.
 HEAVY_DF = 32
 #: Bytes of text whose postings are packed together; bounds a task's memory.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Rows of a cell of long postings.
 CELL = 384
 #: Up to this many rows, the sets that candidates need are picked out by a filter of 16 bits or more for each: 16 MB at most.
