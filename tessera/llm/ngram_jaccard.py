@@ -529,9 +529,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
     pairs = scratch.table(pairs.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct(), "sets")
     first, second = sets.select(F.col("class").alias("a"), F.col("members").alias("x")), sets.select(F.col("class").alias("b"), F.col("members").alias("y"))
-    links = scratch.table(pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(_overlaps(num, den), "a long, b long"), "links")
+    linked = scratch.table(pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(_overlaps(num, den), "a long, b long"), "links")
     scratch.drop("sets", "pairs")
-    label = components(spark, links, scratch, "first")
+    label = components(spark, linked, scratch, "first")
 
     rows = scratch.table(info.join(label.withColumnRenamed("id", "class"), "class", "left").select("s1", "class", "n", F.coalesce("component", "class").alias("component")), "rows")
     entries = postings.select("column", "pivot", F.explode("ids").alias("s1")).join(rows.select("s1", "component"), "s1")
@@ -551,7 +551,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, n: int = 5, threshold: t
         more = scratch.table(in_cells(open_rows).join(sets, "class").groupBy("hub", "i", "j").applyInArrow(_cell(num, den), "a long, b long"), "more")
         scratch.drop("cell-sets")
         if more.limit(1).count():
-            label = components(spark, links.union(more), scratch, "second")
+            label = components(spark, linked.union(more), scratch, "second")
         scratch.drop("more")
     scratch.drop("met", "info", "links", "rows", "mixed", "held", "open")
     # a component is named by the smallest id of its classes; with the classes that link nothing left out

@@ -132,3 +132,11 @@ def test_threshold_is_exact(spark):
     assert {c for _, _, c in ours(spark, df, threshold=(9, 13))} == {1}
     with pytest.raises(ValueError):
         nj.ngram_jaccard(spark, df, threshold=(3, 2))
+
+
+def test_links_are_counted_on_request_alone(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i j k")], "doc_id long, text string")
+    assert nj.ngram_jaccard(spark, docs, links=True).columns == ["doc_id", "n_shingles", "component_id", "text_key", "n_links"]
+    monkeypatch.setattr(nj, "_link_counts", lambda *_: pytest.fail("links are counted unasked"))
+    assert nj.ngram_jaccard(spark, docs).columns == ["doc_id", "n_shingles", "component_id", "text_key"]
+    assert ours(spark, docs) == [(1, 6, 1), (2, 7, 1)]
