@@ -88,7 +88,7 @@ def _anchors(k: int, anchor: int):
                 first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
                 many = np.diff(np.append(first, len(at)))
                 own = own[first]
-                took = batch.take(pa.array(i + own))
+                took = batch.select([0, 1, 2]).take(pa.array(i + own))
                 begin = np.searchsorted(row, own)
                 span = (at[first] - begin) << 32 | many
                 yield pa.record_batch([*(took.column(c) for c in range(3)), pa.array(best[first].view(np.int64)), pa.array(span)], [*PLACE, "anchor", "span"])
@@ -117,7 +117,7 @@ def _nodes(k: int):
                 own = row[at]
                 start = at - np.searchsorted(row, own)
                 before = np.where(start > 0, node[np.maximum(at - 1, 0)] | np.uint64(1), np.uint64(0))
-                took = batch.take(pa.array(i + own))
+                took = batch.select([0, 1, 2]).take(pa.array(i + own))
                 columns = [pa.array(start.astype(np.int32)), pa.array(node[at].view(np.int64)), pa.array(check[at].view(np.int64).astype(np.int32)), pa.array(before.view(np.int64))]
                 yield pa.record_batch([*(took.column(c) for c in range(3)), *columns], [*PLACE, "start", "node", "check", "before"])
 
