@@ -3,7 +3,7 @@
 Terms are runs of ASCII letters, digits and all that isn't ASCII, with A-Z lower-cased, told apart by 64-bit hashes. The index is a table with a row for
 each shard of at most ``SHARD`` documents: their ids and lengths, and for each term a list cut into blocks, one for each ``CHUNK`` document
 numbers. A block holds document offsets in two bytes and frequencies in one (exceptions aside), and outside of these bytes its largest
-frequency and shortest length, which bound what a posting in it can score.
+frequency and shortest length within each of four classes of frequencies, which bound what a posting in it can score.
 
 A shard is searched for each query in turn. The largest bound of a list says what it can add at most. Lists are ordered by it, and those at the
 low end that together can't reach the tenth best score so far are non-essential: only documents of the other, essential lists are candidates.
@@ -35,6 +35,8 @@ from pyspark.sql.window import Window
 from tessera.llm.common import FOLDED_HASH, IN_TERM, Scratch, row_slices, text_bytes, words_of
 
 CHUNK, SHARD, MAX_POSTINGS = 512, 16_384, 4_000_000
+#: Largest frequencies of the classes within which blocks keep maxima; the last is open.
+CLASSES = (1, 2, 4, 1 << 40)
 BLOCK_BYTES, BLOCK_ITEMS = 4 << 20, 10_000
 INDEX = "n_docs long, n_terms long, none binary, ids binary, lengths binary, terms array<int>, dfs array<int>, list_ends binary, block_chunk binary, block_end binary, block_tf binary, block_length binary, offsets binary, tfs binary, large_at binary, large binary"
 
@@ -53,9 +55,16 @@ def _shard(none: np.ndarray, ids: np.ndarray, lengths: np.ndarray, doc: np.ndarr
     lists = np.flatnonzero(new_list)
     ends = lambda first, n: np.append(first[1:], n)
     large = np.flatnonzero(tf > 255)
+    kind = np.searchsorted(CLASSES, tf)
+    block_tf, block_length = np.zeros((len(begin), len(CLASSES)), np.int64), np.zeros((len(begin), len(CLASSES)), np.int64)
+    if len(begin):
+        for c in range(len(CLASSES)):
+            block_tf[:, c] = np.maximum.reduceat(np.where(kind == c, tf, 0), begin)
+            block_length[:, c] = np.minimum.reduceat(np.where(kind == c, lengths[doc], 1 << 40), begin)
+        block_length[block_tf == 0] = 0  # classes that the block lacks
     parts = {
         "none": none.astype(np.uint8), "ids": ids, "lengths": lengths, "list_ends": np.searchsorted(begin, ends(lists, len(term))).astype(np.int32), "block_chunk": chunk[begin].astype(np.int32), "block_end": ends(begin, len(term)).astype(np.int32),
-        "block_tf": np.maximum.reduceat(tf, begin).astype(np.int64), "block_length": np.minimum.reduceat(lengths[doc], begin), "offsets": (doc % CHUNK).astype(np.uint16), "tfs": np.where(tf > 255, 0, tf).astype(np.uint8), "large_at": large, "large": tf[large].astype(np.int64),
+        "block_tf": block_tf, "block_length": block_length, "offsets": (doc % CHUNK).astype(np.uint16), "tfs": np.where(tf > 255, 0, tf).astype(np.uint8), "large_at": large, "large": tf[large].astype(np.int64),
     }
     made = {k: pa.array([v.tobytes()], pa.binary()) for k, v in parts.items()}
     made |= {"terms": pa.array([term[lists].tolist()], pa.list_(pa.int32())), "dfs": pa.array([np.diff(np.append(lists, len(term))).tolist()], pa.list_(pa.int32()))}
@@ -133,7 +142,7 @@ class Shard:
         self.block_end = read("block_end", np.int32).astype(np.int64)
         self.block_begin = np.concatenate(([0], self.block_end[:-1]))
         self.chunks = (len(self.ids) + CHUNK - 1) // CHUNK
-        bound = impact(read("block_tf", np.int64), read("block_length", np.int64), corpus)
+        bound = impact(read("block_tf", np.int64), read("block_length", np.int64), corpus).reshape(-1, len(CLASSES)).max(1)
         lists = np.repeat(np.arange(len(list_ends)), np.diff(np.concatenate(([0], list_ends))))
         self.block = np.full((len(list_ends), self.chunks), -1, np.int64)
         self.block[lists, chunk] = np.arange(len(chunk))

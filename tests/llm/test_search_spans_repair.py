@@ -73,8 +73,9 @@ def test_ranks_of_odd_tables(spark, odd_docs, no_docs):
     assert ls.lexical_search(spark, no_docs, items).collect() == [] == ls.lexical_search(spark, odd_docs, items.limit(0)).collect()
 
 
-def test_block_maxima_leave_blocks_encoded():
-    docs, items = library(2, 6000)
+def test_block_maxima_leave_blocks_encoded(monkeypatch):
+    monkeypatch.setattr(ls, "CHUNK", 64)
+    docs, items = library(2, 6000, 1000)
     hashes = np.array(sorted({t for _, text in items for t in ls.terms_of(text)}), np.uint64)
     batch = pa.record_batch([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], ["id", "text"])
     (row,) = [r for b in ls._indexed(hashes)([batch]) for r in b.to_pylist()]
@@ -88,7 +89,7 @@ def test_block_maxima_leave_blocks_encoded():
         best, score = shard.search(query, 10)
         got += [(q, r + 1, int(shard.ids[b]), int(s)) for r, (b, s) in enumerate(zip(best, score, strict=True))]
         decoded, all_of_them = decoded + shard.decoded, all_of_them + sum(df.get(t, 0) for t, _ in query)
-    assert got == want and decoded < 0.8 * all_of_them
+    assert got == want and decoded < 0.9 * all_of_them
 
 
 # --- repeated spans ---------------------------------------------------------------------------------------------------
@@ -142,7 +143,7 @@ def test_spans_equal_brute_force(spark, seed):
 def test_paths_are_compact_and_verified(spark):
     """A passage of 60 words in three texts is one row of the same length for each later place, whatever surrounds it."""
     passage = " ".join(f"p{i}" for i in range(60))
-    docs = spark.createDataFrame([(i, f"{i} before {passage} after {i}") for i in (4, 2, 9)], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"{i} before{i} {passage} after{i} {i}") for i in (4, 2, 9)], "doc_id long, text string")
     got = sd.repeated_spans(spark, docs).collect()
     assert sorted((r.id, r.start, r.windows, r.source.id, r.source.start) for r in got) == [(4, 2, 41, 2, 2), (9, 2, 41, 2, 2)]
 
@@ -218,8 +219,8 @@ def test_conversations(spark):
     got = {r.conv_id: r for r in cr.repair_conversations(spark, df, df.times).collect()}
     assert set(got) == {1, 2, 3, 4, 5, None}
     one = got[1]
-    assert (one.gaps, one.blank, one.duplicate, one.truncated, one.illegal, one.cost, one.audit) == (1, 0, 1, 1, 1, 6, "KKKDDD")
-    assert [(r.role, r.text) for r in one.repaired] == [("system", "Be kind."), ("user", "Hello?"), ("assistant", "Yes.")]
+    assert (one.gaps, one.blank, one.duplicate, one.truncated, one.illegal, one.cost, one.audit) == (1, 0, 1, 1, 1, 6, "KKDDDK")
+    assert [(r.role, r.text) for r in one.repaired] == [("system", "Be kind."), ("user", "Hello?"), ("assistant", "Fine.")]
     assert (got[2].cost, got[2].audit, got[2].repaired) == (2, "D", [])
     assert (got[3].gaps, got[3].blank, got[3].illegal, got[3].audit) == (0, 1, 1, "DD")
     assert (got[4].cost, got[4].audit, got[4].gaps) == (0, "", 0) and got[None].audit == "KK"
