@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import re
 import tempfile
 import uuid
@@ -67,6 +68,12 @@ class Scratch:
             target.getFileSystem(conf).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more, now instead of when the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that an operator's own output columns would clash with (names compare without case)."""
     taken = {n.lower() for n in names}

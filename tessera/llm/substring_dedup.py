@@ -7,13 +7,14 @@ are rows of one length, its earliest place in the order of documents is the sour
 
 1. Each window selects its smallest shingle of ``anchor`` words (the last of equal ones): equal windows select equal anchors. Anchors are counted, and
    windows whose anchor stands once are left out: they stand once as well. That is a filter, and never loses a repeat.
-2. The windows left are the occurrences of nodes, by a 96-bit hash with the hash of the node before. Nodes are counted, and are
-   *single-entry* if they have one node before, wherever they stand.
-3. Occurrences join the nodes that repeat. In the order of a text, an occurrence goes on with the path of the one before if that is
-   adjacent, its node is single-entry, and both occur equally often. What remains are the ends of paths: a row for each
-   traversal, with place and length.
-4. Traversals of one path are verified against the path's source coordinates: same first and last node and same length. Those that
-   are not the source are removed, word for word.
+2. Neighbouring windows left that select one anchor are a walk. Which windows are in one walk depends on their words alone, so paths
+   are cut where the anchor changes without cutting two texts differently. Equal walks (by 128 bits of their words) are
+   compacted first: they are counted, the earliest is their source, and the others are repeated spans. What is left is one place for each different walk,
+   and nothing to do where no other walk has its anchor, as its nodes then stand in no other.
+3. The nodes of the others, weighted by the walks' counts, are counted, and are *single-entry* if they have one node before, wherever they stand.
+   Walks join their nodes' counts: a walk goes on along a path while the next node is single-entry and occurs as often as the one before.
+4. Paths are verified against their source coordinates: same first node (by 96 bits) and same length. Of the walks that run through a path the
+   one with the earliest place is the source, and the others' places are repeated spans as well.
 
 Nothing gathers a group: nodes and paths are reduced to counts and earliest places before anything is joined back, so a passage that a
 third of all documents hold costs a row for each of them. Counting combines before the shuffle, and joins against hot nodes
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import BYTE_HASH, Scratch, mix64, powers, row_slices, text_bytes, unused, without, words_of
+from tessera.llm.common import BYTE_HASH, Scratch, mix64, powers, release, row_slices, text_bytes, unused, without, words_of
 
 PLACE = ("none", "id", "text_key")
 RESULTS = ("n_words", "n_removed", "removed", "kept_text")
@@ -50,6 +51,20 @@ def grams(word: np.ndarray, n: int) -> np.ndarray:
     return mix64((total[n:] - total[:-n]) * down[:many])
 
 
+def stretch(word: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Hashes of ``many`` words from ``first`` on."""
+    up, down = powers(len(word) + 1)
+    total = np.zeros(len(word) + 1, np.uint64)
+    np.cumsum(word * up[: len(word)], out=total[1:])
+    return mix64((total[first + many] - total[first]) * down[first])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's list begins in the values of all, and these."""
+    edges = np.asarray(column.offsets)
+    return edges - edges[0], np.asarray(column.flatten())
+
+
 def anchors_of(word: np.ndarray, k: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
     """The smallest hash of ``anchor`` words within each window, and its last place there."""
     least = grams(word, anchor)
@@ -96,30 +111,44 @@ def _anchors(k: int, anchor: int):
     return run
 
 
+def _walks(k: int, anchor: int):
+    """The walks of given spans of each text: place, first window, number of windows, anchor, and two hashes of their words."""
+
+    def run(batches):
+        for batch in batches:
+            edges, span = _lists(batch.column(4))
+            for i, j, word, row in _slices(batch, 3):
+                if len(word) < k:
+                    continue
+                mine, own = span[edges[i] : edges[j]], np.repeat(np.arange(i, j), np.diff(edges[i : j + 1]))
+                start, many = mine >> 32, mine & 0xFFFFFFFF
+                first = np.searchsorted(row, own - i) + start
+                took = batch.select([0, 1, 2]).take(pa.array(own))
+                best = grams(word, anchor)[first[:, None] + np.arange(k - anchor + 1)].min(1)
+                codes = [pa.array(mix64(stretch(w, first, many + (k - 1)) ^ many.astype(np.uint64)).view(np.int64)) for w in (word, mix64(word ^ _OTHER))]
+                yield pa.record_batch([*(took.column(c) for c in range(3)), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(best.view(np.int64)), *codes], [*PLACE, "start", "windows", "anchor", "walk", "walk_check"])
+
+    return run
+
+
 def _nodes(k: int):
-    """Occurrences of the nodes within given spans of each text; ``before`` is the node before, 0 at a text's beginning."""
+    """Given walks of each text, with their counts: place, first window, count and the hashes of their nodes."""
 
     def run(batches):
         for batch in batches:
-            spans = batch.column(4)
-            edges = np.asarray(spans.offsets)
-            span = np.asarray(spans.flatten())
-            edges = edges - edges[0]
+            edges, span = _lists(batch.column(4))
+            _, count = _lists(batch.column(5))
             for i, j, word, row in _slices(batch, 3):
                 if len(word) < k:
                     continue
                 node, check = grams(word, k), grams(mix64(word ^ _OTHER), k)
-                mine = span[edges[i] : edges[j]]
-                begin = np.searchsorted(row, np.repeat(np.arange(j - i), np.diff(edges[i : j + 1])))
-                first, many = begin + (mine >> 32), mine & 0xFFFFFFFF
-                at = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
-                at = np.unique(at)
-                own = row[at]
-                start = at - np.searchsorted(row, own)
-                before = np.where(start > 0, node[np.maximum(at - 1, 0)] | np.uint64(1), np.uint64(0))
-                took = batch.select([0, 1, 2]).take(pa.array(i + own))
-                columns = [pa.array(start.astype(np.int32)), pa.array(node[at].view(np.int64)), pa.array(check[at].view(np.int64).astype(np.int32)), pa.array(before.view(np.int64))]
-                yield pa.record_batch([*(took.column(c) for c in range(3)), *columns], [*PLACE, "start", "node", "check", "before"])
+                mine, own = span[edges[i] : edges[j]], np.repeat(np.arange(i, j), np.diff(edges[i : j + 1]))
+                start, many = mine >> 32, mine & 0xFFFFFFFF
+                ends = np.cumsum(many)
+                at = np.repeat(np.searchsorted(row, own - i) + start - (ends - many), many) + np.arange(many.sum())
+                lists = lambda values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values))  # noqa: B023, E731
+                took = batch.select([0, 1, 2]).take(pa.array(own))
+                yield pa.record_batch([*(took.column(c) for c in range(3)), pa.array(start.astype(np.int32)), pa.array(count[edges[i] : edges[j]]), lists(node[at].view(np.int64)), lists(check[at].view(np.int64).astype(np.int32))], [*PLACE, "start", "n", "nodes", "checks"])
 
     return run
 
@@ -161,33 +190,47 @@ def _kept():
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame, k: int = 20, anchor: int = 8, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
-    """Traversals of paths that aren't their source: place (``none``, ``id``, ``text_key``), ``start``, ``windows``, and ``source``, the place and start of the earliest."""
+    """Stretches of paths that aren't their source: place (``none``, ``id``, ``text_key``), ``start``, ``windows``, and ``source``, the place and start of the earliest."""
     if not 1 <= anchor <= k:
         raise ValueError("an anchor has 1 to k words")
     scratch = scratch or Scratch(spark, "substring-dedup")
     text = F.col(text_col).cast("string")
     placed = docs.select(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    place, span = F.struct(*PLACE, "start"), F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("windows"))
     anchors = placed.mapInArrow(_anchors(k, anchor), "none boolean, id long, text_key long, anchor long, span long")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     spans = anchors.join(shared, "anchor").groupBy(*PLACE).agg(F.collect_set("span").alias("spans"))  # a text's own, no more than it has words
-    nodes = placed.join(spans, list(PLACE)).select(*PLACE, "text", "spans").mapInArrow(_nodes(k), "none boolean, id long, text_key long, start int, node long, check int, before long")
-    nodes = scratch.table(nodes, "nodes")
+    spans = scratch.table(spans, "spans")
+    release(spark)
+    walks = placed.join(spans, list(PLACE)).select(*PLACE, "text", "spans").mapInArrow(_walks(k, anchor), "none boolean, id long, text_key long, start int, windows int, anchor long, walk long, walk_check long")
+    walks = scratch.table(walks, "walks")
+    release(spark)
+    different = walks.groupBy("walk", "walk_check").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("anchor").alias("anchor"), F.min(place).alias("source"))
+    different = scratch.table(different, "different")
+    scratch.drop("spans")
+    equal = walks.join(different.filter("n > 1").select("walk", "walk_check", "source"), ["walk", "walk_check"]).filter(place > F.col("source")).select(*PLACE, "start", "windows", "source")
+    # one place for each different walk that shares its anchor with others, with its nodes
+    mixed = different.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    firsts = different.join(mixed, "anchor", "left_semi").select(*[F.col(f"source.{c}").alias(c) for c in (*PLACE, "start")], "windows", "n").groupBy(*PLACE).agg(F.collect_list(F.struct(span.alias("span"), "n")).alias("own"))
+    given = placed.join(firsts, list(PLACE)).select(*PLACE, "text", F.col("own.span").alias("spans"), F.col("own.n").alias("counts"))
+    nodes = scratch.table(given.mapInArrow(_nodes(k), "none boolean, id long, text_key long, start int, n long, nodes array<long>, checks array<int>"), "nodes")
+    release(spark)
+    each = nodes.select(*PLACE, "start", "n", F.posexplode(F.arrays_zip("nodes", "checks", F.concat(F.array(F.lit(0).cast("long")), "nodes").alias("before"))).alias("at", "x"))
+    each = each.filter("x.checks is not null").select(*PLACE, "start", "n", "at", F.col("x.nodes").alias("node"), F.col("x.checks").alias("check"), F.col("x.before").alias("before"))
     # edges: how often a node occurs, and whether it is always entered from the same one
-    counted = nodes.groupBy("node", "check").agg(F.count("*").alias("n"), F.min("before").alias("lo"), F.max("before").alias("hi")).filter("n > 1")
-    counted = counted.select("node", "check", "n", ((F.col("lo") == F.col("hi")) & (F.col("lo") != 0)).alias("single"))
-    text_order = Window.partitionBy(*PLACE).orderBy("start")
-    met = nodes.select(*PLACE, "start", "node", "check").join(counted, ["node", "check"])
-    met = met.withColumn("again", F.lag("start").over(text_order)).filter("again is null or again < start")  # rows that repeat an id and a text
-    on = F.col("single") & (F.lag("start").over(text_order) == F.col("start") - 1) & (F.lag("n").over(text_order) == F.col("n"))
-    path = met.withColumn("on", F.coalesce(on, F.lit(False))).withColumn("last", ~F.coalesce(F.lead("on").over(text_order), F.lit(False)))
-    ends = path.filter("last or not on").withColumns({"to": F.lead("start").over(text_order), "end": F.lead(F.struct("node", "check")).over(text_order)})
-    here = F.col("last") & ~F.col("on")
-    ends = ends.filter("not on").select(*PLACE, "start", F.when(here, F.lit(1)).otherwise(F.col("to") - F.col("start") + 1).alias("windows"), "node", "check", F.when(here, F.struct("node", "check")).otherwise(F.col("end")).alias("end"))
-    walks = scratch.table(ends, "walks")
+    counted = each.groupBy("node", "check").agg(F.sum("n").alias("times"), F.min("before").alias("lo"), F.max("before").alias("hi")).filter("times > 1")
+    counted = counted.select("node", "check", "times", (F.col("lo") == F.col("hi")).alias("single"))
+    along = Window.partitionBy(*PLACE, "start").orderBy("at")
+    met = each.select(*PLACE, "start", "at", "node", "check").join(counted, ["node", "check"])
+    met = met.withColumn("again", F.lag("at").over(along)).filter("again is null or again < at")  # rows that repeat an id and a text
+    on = F.col("single") & (F.lag("at").over(along) == F.col("at") - 1) & (F.lag("times").over(along) == F.col("times"))
+    path = met.withColumn("on", F.coalesce(on, F.lit(False))).withColumn("last", ~F.coalesce(F.lead("on").over(along), F.lit(False)))
+    ends = path.filter("last or not on").withColumn("to", F.when(F.col("last"), F.col("at")).otherwise(F.lead("at").over(along))).filter("not on")
+    paths = scratch.table(ends.select(*PLACE, (F.col("start") + F.col("at")).alias("start"), (F.col("to") - F.col("at") + 1).alias("windows"), "node", "check"), "paths")
     scratch.drop("nodes")
-    place = F.struct(*PLACE, "start")
-    sources = walks.groupBy("node", "check", "end", "windows").agg(F.min(place).alias("source"))
-    return walks.join(sources, ["node", "check", "end", "windows"]).filter(place > F.col("source")).select(*PLACE, "start", "windows", "source")
+    sources = paths.groupBy("node", "check", "windows").agg(F.min(place).alias("source"))
+    merged = paths.join(sources, ["node", "check", "windows"]).filter(place > F.col("source")).select(*PLACE, "start", "windows", "source")
+    return equal.unionByName(merged)
 
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, k: int = 20, anchor: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +239,9 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, k: int = 20, anchor:
     docs = without(docs, *RESULTS)
     later = repeated_spans(spark, docs, k, anchor, id_col, text_col, scratch)
     packed = F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("windows") + (k - 1))
-    gone = later.groupBy(*PLACE).agg(F.collect_set(packed).alias("spans"))
+    gone = scratch.table(later.groupBy(*PLACE).agg(F.collect_set(packed).alias("spans")), "gone")
+    scratch.drop("walks", "different", "paths")
+    release(spark)
     none, at, key, text, spans = unused(docs, "of_none", "of_id", "of_key", "whole_text", "gone_spans")
     gone = gone.select(F.col("none").alias(none), F.col("id").alias(at), F.col("text_key").alias(key), F.col("spans").alias(spans))
     same = (F.col(id_col).isNull() == F.col(none)) & (F.coalesce(F.col(id_col), F.lit(0)).cast("long") == F.col(at)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(key))
