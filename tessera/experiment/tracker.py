@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from typing import Any
@@ -35,14 +36,20 @@ Sink = Callable[[list[Event]], None]
 
 
 def table_sink(spark: SparkSession, path: str) -> Sink:
-    """Appends to a Parquet table of ``SCHEMA``; a run's events are one append."""
+    """Adds to a Parquet table of ``SCHEMA``; a run's events are a partition of their own, so that runs which end together don't meet."""
 
     def put(events: list[Event]) -> None:
-        spark.createDataFrame([tuple(asdict(e).values()) for e in events], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        rows = spark.createDataFrame([tuple(asdict(e).values()) for e in events], SCHEMA).coalesce(1)
+        rows.write.parquet(f"{path}/added={uuid.uuid4().hex}")
 
     return put
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """What ``table_sink`` wrote."""
+    return spark.read.option("basePath", path).schema(SCHEMA).parquet(f"{path}/added=*").select(*[f.split()[0] for f in SCHEMA.split(", ")])
+
+
 def lines_sink(path: str) -> Sink:
     """Appends JSON lines to a file of the driver."""
 

@@ -18,7 +18,7 @@ ALLOWED = frozenset(
 )
 KEYWORDS = frozenset("and or not in is null case when then else end between like as over partition by order asc desc rows range preceding following unbounded current row distinct nulls first last true false interval".split())
 TYPES = frozenset("double float int integer bigint string boolean date timestamp decimal smallint tinyint long".split())
-TOKEN = re.compile(r"\s+|(?P<text>'(?:[^'\\]|\\.)*')|(?P<name>`[^`]+`|[A-Za-z_][A-Za-z0-9_]*)|(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?[DLdl]?|\.\d+)|(?P<sign><=>|<=|>=|<>|!=|==|\|\||[-+*/%=<>(),.\[\]])")
+TOKEN = re.compile(r"\s+|(?P<text>'(?:[^'\\]|\\.)*')|(?P<name>`[^`]+`|[A-Za-z_][A-Za-z0-9_]*)|(?P<number>\d+(?:\.\d*)?(?:[eE][+-]?\d+)?[DLdl]?|\.\d+)|(?P<sign><=>|<=|>=|<>|!=|==|\|\||-(?!-)|/(?!\*)|[+*%=<>(),.\[\]])")  # and no comment
 BANNED = frozenset("select from join union with values lateral exists explode insert delete update drop create".split())
 
 

@@ -67,9 +67,12 @@ def check_program(code: str, function: str = "generate_features", columns: Itera
     own = {c for c in columns if not hasattr(pd.DataFrame, c) and not c.startswith("_")}
     made = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)} | {n.arg for n in ast.walk(tree) if isinstance(n, ast.arg)}
     made |= {n.name for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)} | {(a.asname or a.name) for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names}
+    called = {id(n.func) for n in ast.walk(tree) if isinstance(n, ast.Call)}
     for node in ast.walk(tree):
         bad: list[str] = []
-        if isinstance(node, ast.Import):
+        if isinstance(node, ast.Attribute) and node.attr in BY_NAME and id(node) not in called:
+            bad = [f"{node.attr} without a call"]  # under another name its texts couldn't be read here
+        elif isinstance(node, ast.Import):
             bad = [a.name for a in node.names if a.name not in MODULES]
         elif isinstance(node, ast.ImportFrom):
             bad = [f"{node.module}.{a.name}" for a in node.names if node.level or node.module not in MODULES or a.name not in ATTRIBUTES]
@@ -121,21 +124,17 @@ def bounded(memory_mb: int | None, timeout_s: float | None) -> Iterator[None]:
         resource.setrlimit(resource.RLIMIT_AS, (soft, hard))
 
 
-def tidy(frame: pd.DataFrame) -> pd.DataFrame:
-    """Output columns as plain numbers, truth values or texts: objects become numbers unless none of them is one."""
-    out = {}
-    for name in frame.columns:
-        c = frame[name]
-        if isinstance(c.dtype, pd.CategoricalDtype):
-            c = c.astype(str).where(c.notna())
-            found = pd.to_numeric(c.str.extract(r"(-?\d+\.?\d*)")[0], errors="coerce")
-            c = found if found.notna().mean() > 0.5 else c
-        elif c.dtype == object:
-            found = pd.to_numeric(c, errors="coerce")
-            c = c.where(c.isna(), c.astype(str)) if found.isna().all() and c.notna().any() else found
-        elif not (pd.api.types.is_numeric_dtype(c) or pd.api.types.is_bool_dtype(c)):
-            c = c.astype(str).where(c.notna())
-        out[str(name)] = c
+def declared(frame: pd.DataFrame, fields: list[T.StructField]) -> pd.DataFrame:
+    """The columns that ``fields`` declare: texts as texts, all others as Arrow converts them; a column that is missing is an error."""
+    lost = [f.name for f in fields if f.name not in frame.columns]
+    if lost:
+        raise ValueError(f"generate_features made no column {', '.join(lost)}")
+    out = {f.name: frame[f.name] for f in fields}
+    for f in fields:
+        if isinstance(f.dataType, T.StringType):
+            out[f.name] = out[f.name].astype(object).where(frame[f.name].notna(), None).map(str, na_action="ignore")
+        elif isinstance(f.dataType, T.NumericType) and not pd.api.types.is_numeric_dtype(out[f.name]):
+            out[f.name] = pd.to_numeric(out[f.name].astype(object), errors="coerce")  # as try_cast
     return pd.DataFrame(out, index=frame.index)
 
 
@@ -149,7 +148,6 @@ def run_program(
     """
     check_program(code, columns=df.columns)
     fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
-    names = [f.name for f in fields]
     whole = T.StructType([df.schema[row_id], *[f for f in fields if f.name != row_id]])
 
     def call(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,9 +157,9 @@ def run_program(
             made = space["generate_features"](pdf.copy())
         if not isinstance(made, pd.DataFrame) or len(made) != len(pdf):
             raise ValueError("generate_features must return a frame with a row for each row")
-        made = tidy(made)
-        made[row_id] = pdf[row_id].values
-        return made[[row_id, *[n for n in names if n != row_id]]]
+        made = declared(made, [f for f in fields if f.name != row_id])
+        made.insert(0, row_id, pdf[row_id].values)
+        return made
 
     if row_local:
         out = df.mapInPandas(lambda batches: (call(b) for b in batches), whole)

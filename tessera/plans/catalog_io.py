@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.artifacts.bundle import ArtifactBundle, FrameStore
 from tessera.experiment.runner import Runner
-from tessera.experiment.tracker import Track, table_sink
+from tessera.experiment.tracker import Track, read_events, table_sink
 from tessera.operators import folds, metrics, profile, screen
 from tessera.operators.compile import Compiler
 from tessera.plans.catalog import Tables, query, r, spec
@@ -106,7 +106,7 @@ def event_table(t: Tables) -> DataFrame:
         return {"score": config["i"] / 2}
 
     Runner(Track(table_sink(t.spark, at))).run([{"i": i} for i in range(3)], run, workers=2)
-    return t.spark.read.parquet(at).filter("kind <> 'end'").select("run", "kind", "name", "number", "text")
+    return read_events(t.spark, at).filter("kind <> 'end'").select("run", "kind", "name", "number", "text")
 
 
 # --- candidates and evaluation ------------------------------------------------------------------------------------

@@ -17,15 +17,21 @@ def _forest(task: str, seed: int, classes: int, width: int, **params: Any):
     return kind(**{"numTrees": 100, "maxDepth": 8, "seed": seed} | params)
 
 
-def _boosted(rounds: int):
+#: What tells the three boosters apart: how trees grow, and what keeps leaves from being small.
+BOOSTERS = {
+    "xgboost": {"growth": "depth", "depth": 6, "l2": 1.0, "min_hessian": 1.0},
+    "lightgbm": {"growth": "leaves", "leaves": 31, "l2": 0.0, "min_hessian": 1e-3, "min_rows": 20},
+    "catboost": {"growth": "symmetric", "depth": 6, "l2": 3.0, "min_hessian": 0.0},
+}
+
+
+def _boosted(name: str):
     def build(task: str, seed: int, classes: int, width: int, **params: Any):
-        from pyspark.ml.classification import GBTClassifier, OneVsRest
-        from pyspark.ml.regression import GBTRegressor
+        from tessera.operators.boosting import Booster
 
-        own = {"maxIter": rounds, "stepSize": 0.02, "maxDepth": 6, "seed": seed} | params
-        if task == "regression":
-            return GBTRegressor(**own)
-        return GBTClassifier(**own) if classes <= 2 else OneVsRest(classifier=GBTClassifier(**own))
+        kind = "regression" if task == "regression" else "binary" if classes <= 2 else "softmax"
+        names = {"maxIter": "rounds", "stepSize": "rate", "maxDepth": "depth"}  # as pyspark.ml calls them
+        return Booster(kind=kind, outputs=classes if kind == "softmax" else 1, **BOOSTERS[name] | {names.get(k, k): v for k, v in params.items()})
 
     return build
 
@@ -50,7 +56,7 @@ Builder = Callable[..., Any]
 
 class ModelRegistry:
     def __init__(self):
-        self._known: dict[str, Builder] = {"random_forest": _forest, "xgboost": _boosted(500), "lightgbm": _boosted(500), "catboost": _boosted(500), "mlp": _perceptron, "linear": _linear}
+        self._known: dict[str, Builder] = {"random_forest": _forest, **{name: _boosted(name) for name in BOOSTERS}, "mlp": _perceptron, "linear": _linear}
 
     def register(self, name: str, build: Builder) -> None:
         if name in self._known:

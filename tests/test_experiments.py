@@ -10,7 +10,7 @@ from tessera.errors import ConfigurationError, DatasetError
 from tessera.experiment.matrix import ExperimentMatrix
 from tessera.experiment.reporter import report_best, report_mean, report_summary, to_html, to_json, to_markdown
 from tessera.experiment.runner import Platform, Runner
-from tessera.experiment.tracker import Track, calling_sink, lines_sink, table_sink
+from tessera.experiment.tracker import Track, calling_sink, lines_sink, read_events, table_sink
 from tessera.plans.methods import BaseMethod, MethodRegistry
 from tessera.settings import load_settings
 from tessera.sources.dataset import DatasetRegistry, TableSpec, load_fetched
@@ -87,7 +87,7 @@ def test_events_in_a_table(spark, tmp_path):
         log.put("artifact", {"code": "a\nb", "rows": spark.range(3), "none": None, "flag": True})
     with pytest.raises(ValueError), track.run("b"):
         raise ValueError
-    rows = {(r.run, r.name): (r.kind, r.number, r.text, r.step) for r in spark.read.parquet(str(tmp_path / "events")).collect()}
+    rows = {(r.run, r.name): (r.kind, r.number, r.text, r.step) for r in read_events(spark, str(tmp_path / "events")).collect()}
     assert rows["a", "depth"] == ("config", 3.0, None, None) and rows["a", "auc"] == ("metric", 0.5, None, 1)
     assert rows["a", "rows"][2] == '[{"id": 0}, {"id": 1}, {"id": 2}]' and rows["a", "flag"][2] == "true" and ("b", "seconds") in rows
     with Track().run("c") as log:
@@ -143,3 +143,11 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("rolled").collect())) == sorted(map(tuple, windowed_rollup(df).collect()))
+
+
+def test_runs_that_end_together_lose_no_event(spark, tmp_path):
+    at = str(tmp_path / "together")
+    found = Runner(Track(table_sink(spark, at))).run([{"i": i} for i in range(20)], lambda config: {"score": float(config["i"])}, workers=4)
+    assert found is not None
+    scores = [r.number for r in read_events(spark, at).filter("name = 'score'").collect()]
+    assert sorted(scores) == [float(i) for i in range(20)]

@@ -10,7 +10,7 @@ from tessera.errors import ExecutionError, ExecutionTimeout, ProposalError, Unsa
 from tessera.operators import program
 from tessera.operators.compile import Compiler, derive, unique
 from tessera.operators.exprsafe import check
-from tessera.operators.program import check_program, run_program, tidy
+from tessera.operators.program import check_program, run_program
 from tessera.spec import FeatureSpec, parse_specs
 
 
@@ -152,10 +152,23 @@ def test_programs_are_bounded(spark, frame):
         program._import("os")
 
 
-def test_tidy_outputs():
-    import pandas as pd
+def test_outputs_have_the_declared_types(spark, frame):
+    code = "def generate_features(df):\n    return df.assign(o=['1', 'x', None, '2.5', '7'], t=[1, None, 'b', 2, 3], b=[True] * 5, spare=0)\n"
+    rows = run_program(spark, frame, code, "o double, t string, b boolean", "n").orderBy("n").collect()
+    assert [r.o for r in rows] == [1.0, None, None, 2.5, 7.0] or [r.o != r.o or r.o is None for r in rows] == [False, True, True, False, False]
+    assert [r.t is None for r in rows] == [False, True, False, False, False] and all(r.b for r in rows) and "spare" not in rows[0]
+    with pytest.raises(ExecutionError):
+        run_program(spark, frame, code, "missing double", "n", timeout_s=60)
+
+
+@pytest.mark.parametrize("body", ["f = df.agg; f('to_csv', 0, 'x')", "list(map(df.agg, ['to_dict']))", "f = [df.transform][0]"])
+def test_calls_by_name_have_no_other_name(body):
+    with pytest.raises(UnsafeExpressionError):
+        check_program(f"def generate_features(df):\n    {body}\n    return df\n")
 
-    raw = pd.DataFrame({"o": pd.Series(["1", "x", None], dtype=object), "t": pd.Series(["a", None, "b"], dtype=object), "b": [True, False, True], "i": pd.cut(pd.Series([1, 2, 3]), 2)})
-    out = tidy(raw)
-    assert out.o.tolist()[0] == 1.0 and out.o.isna().sum() == 2
-    assert out.t.tolist() == ["a", None, "b"] and out.b.dtype == bool and pd.api.types.is_numeric_dtype(out.i)
+
+@pytest.mark.parametrize("text", ["java_method/**/('java.lang.Math','abs',-3)", "a /* x */ + 1", "a --b", "1 -- x"])
+def test_expressions_have_no_comments(text):
+    with pytest.raises(UnsafeExpressionError):
+        check(text)
+    assert check("a / b * -c - (-d)") and check("concat(a, '/* -- */')")
