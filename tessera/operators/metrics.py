@@ -93,11 +93,13 @@ class Metric:
 
 class MetricRegistry:
     def __init__(self):
+        self._replaced: set[str] = set()
         self._known = {m.name: m for m in (Metric("auc", auc, needs_score=True), Metric("acc", acc), Metric("f1", f1_macro), Metric("rmse", rmse, False), Metric("mae", mae, False), Metric("r2", r2), Metric("nrmse", nrmse, False))}
 
     def register(self, metric: Metric) -> None:
         if metric.name in self._known:
             warnings.warn(f"metric {metric.name} is replaced", stacklevel=2)
+        self._replaced.add(metric.name)
         self._known[metric.name] = metric
 
     def get(self, name: str) -> Metric:
@@ -105,5 +107,8 @@ class MetricRegistry:
             raise EvaluationError(f"unknown metric {name}; known: {', '.join(sorted(self._known))}")
         return self._known[name]
 
+    def is_builtin(self, name: str) -> bool:
+        return name in self._known and name not in self._replaced
+
     def names(self) -> list[str]:
         return sorted(self._known)

@@ -425,6 +425,27 @@ def linear_cv_gain(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(base, base - found["gain"], found["gain"])], "baseline double, score double, gain double")
 
 
+_TWELVE = {
+    "q": "q", "d": "d", "t": "t", "qd": "q * d", "qt": "q * t", "dt": "d * t", "qq": "q * q", "dd": "d * d", "tt": "t * t", "rq": "sqrt(q)", "lq": "ln(1 + q)", "qr": "q / (1 + d)",
+}
+
+
+@query(
+    f"""WITH v AS (SELECT (('0x' || substr(md5(l_orderkey || ':42'), 1, 8))::BIGINT % 5)::INT AS fold, l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS q, l_discount::DOUBLE AS d, l_tax::DOUBLE AS t FROM lineitem),
+    u AS ({" UNION ALL ".join(f"SELECT fold, y, '{name}' AS feature, {text} AS x FROM v" for name, text in _TWELVE.items())}),
+    m AS (SELECT feature, k, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS mean FROM u, range(5) AS f(k) WHERE fold <> k GROUP BY feature, k),
+    e AS (SELECT feature, k, sqrt(avg((y - a - b * x) * (y - a - b * x))) AS new, sqrt(avg((y - mean) * (y - mean))) AS base FROM u JOIN m USING (feature) WHERE fold = k GROUP BY feature, k)
+    SELECT feature, {r("avg(base)", "baseline")}, {r("avg(base) - avg(new)", "gain")} FROM e GROUP BY feature"""
+)
+def linear_gains_of_twelve(t: Tables) -> DataFrame:
+    """Twelve candidates of one table, scored in one pass."""
+    v = t.lineitem.select("l_orderkey", *[F.col(f"l_{c}").cast("double").alias(a) for c, a in (("extendedprice", "y"), ("quantity", "q"), ("discount", "d"), ("tax", "t"))], F.lit(1.0).alias("one"))
+    v = folds.kfold(v.select("l_orderkey", "y", "one", *[F.expr(text).alias(name) for name, text in _TWELVE.items()]), "l_orderkey")
+    evaluator = Evaluator(task="regression", metric="rmse", model="linear", folds=5, model_params={"regParam": 0.0})
+    base, gains = evaluator.gains(v, TableSpec("l_orderkey", "y"), ["one"], list(_TWELVE), fail=True)
+    return t.spark.createDataFrame([(g["feature"], base, g["gain"]) for g in gains], "feature string, baseline double, gain double")
+
+
 # --- memory, differences, reports ---------------------------------------------------------------------------------
 
 _FEEDBACK = [("f1", "log", ["a"], "numerical", "auc", 0.03, True), ("f2", "ratio", ["b", "a"], "numerical", "auc", 0.05, True), ("f3", "ratio", ["a", "b"], "numerical", "auc", -0.01, False), ("f2", "log", ["c"], "categorical", "auc", 0.09, True), ("f4", "ratio", ["a", "b"], "categorical", "auc", 0.01, True)]

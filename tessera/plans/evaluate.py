@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.errors import EvaluationError
 from tessera.operators.folds import FoldState, kfold, learn, stratified_folds
+from tessera.operators.gram import applies, linear_scores
 from tessera.operators.metrics import MetricRegistry, auc_of_classes
 from tessera.operators.profile import content_key, is_number
 from tessera.plans.models import ModelRegistry
@@ -125,6 +126,8 @@ class Evaluator:
                 state = learn(data.filter(F.col(table.target).isNotNull()), known, self.folds)
             except EvaluationError:  # of one column: each score says so for itself
                 state = None
+            if state and self._closed(known, state):
+                return self._closed_gains(data, table, columns, features, state)
             base = self.baseline(data, table, columns, state)
 
             def one(f: str) -> dict:
@@ -144,6 +147,23 @@ class Evaluator:
             data.unpersist()
 
 
+    def _closed(self, known: list[str], state: FoldState) -> bool:
+        """Whether scores follow from sums of products: linear regression of numbers, with its own builder and metric."""
+        plain = self.models.is_builtin("linear") and self.metrics.is_builtin(self.metric)
+        return self.task == "regression" and self.model == "linear" and plain and applies(self.model_params, self.metric) and all(c in state.medians for c in known)
+
+    def _closed_gains(self, data: DataFrame, table: TableSpec, columns: list[str], features: list[str], state: FoldState) -> tuple[float, list[dict]]:
+        base, new = self.usable(data, columns), [f for f in self.usable(data, features) if f not in columns]
+        if not base:
+            raise EvaluationError("no columns that a model can take")
+        score, scores = linear_scores(data, table.target, base, new, self.folds, state.medians, self.metric, float(self.model_params.get("regParam", 1e-3)))
+        if score != score:
+            raise EvaluationError("no fold could be scored")
+        gain = self.metrics.get(self.metric).gain
+        found = {f: gain(s, score) for f, s in scores.items()} | {f: 0.0 for f in features if f in base}
+        return score, [{"feature": f, "gain": found.get(f), "error": None if f in found else f"no column {f}" if f not in data.columns else "a model can't take it"} for f in features]
+
+
 def select_top(gains: list[dict], k: int) -> list[str]:
     """Features of positive gain, the ``k`` best; earlier ones first among equals."""
     good = [g for g in gains if g["gain"] is not None and g["gain"] > 0]

@@ -56,13 +56,18 @@ Builder = Callable[..., Any]
 
 class ModelRegistry:
     def __init__(self):
+        self._replaced: set[str] = set()
         self._known: dict[str, Builder] = {"random_forest": _forest, **{name: _boosted(name) for name in BOOSTERS}, "mlp": _perceptron, "linear": _linear}
 
     def register(self, name: str, build: Builder) -> None:
         if name in self._known:
             warnings.warn(f"model {name} is replaced", stacklevel=2)
+        self._replaced.add(name)
         self._known[name] = build
 
+    def is_builtin(self, name: str) -> bool:
+        return name in self._known and name not in self._replaced
+
     def names(self) -> list[str]:
         return sorted(self._known)
 
