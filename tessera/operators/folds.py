@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.errors import EvaluationError
 from tessera.operators.profile import is_number
-from tessera.operators.ranks import quantiles
+from tessera.operators.ranks import value_ranks
+from tessera.operators.selection import training_quantiles
+from tessera.session import lasting
 
 
 def order_key(row_id: str, seed: int) -> Column:
@@ -55,9 +55,20 @@ def per_training_fold(df: DataFrame, k: int) -> DataFrame:
 
 def fold_medians(df: DataFrame, columns: list[str], k: int) -> DataFrame:
     """Exact medians of each fold's training rows: ``train_fold`` and a column for each."""
-    training = per_training_fold(df, k)
-    parts = [quantiles(training.select("train_fold", value_of(c).alias("value")), "value", {c: 0.5}, ["train_fold"]) for c in columns]
-    return reduce(lambda a, b: a.join(b, "train_fold", "full"), parts)
+    found = training_quantiles(df, {c: value_of(c) for c in columns}, 0.5, k)
+    return df.sparkSession.createDataFrame([(f, *[found[c][f] for c in columns]) for f in range(k)], ", ".join(["train_fold int", *[f"`{c}` double" for c in columns]]))
+
+
+def fold_codes(df: DataFrame, column: str, k: int) -> DataFrame:
+    """(``train_fold``, ``value``, ``code``): the places of a fold's training values among them, sorted, from 0; for any number of values.
+
+    Values are counted by fold once; a value is absent from a fold's training rows if that fold has all of its rows. What is
+    left is numbered in ranges, whose counts are added up.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"), *[F.count_if(F.col("fold") == f).alias(f"n{f}") for f in range(k)])
+    present = F.array_compact(F.array(*[F.when(F.col("n") > F.col(f"n{f}"), F.lit(f)) for f in range(k)]))
+    trained = counts.select("value", F.explode(present).alias("train_fold"))
+    return value_ranks(trained, "value", ["train_fold"]).select("train_fold", "value", F.col("below").alias("code"))
 
 
 def fold_categories(df: DataFrame, columns: list[str], k: int) -> DataFrame:
@@ -70,7 +81,7 @@ def value_of(column: str) -> Column:
     return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
 
 
-#: Different texts of a column that models take.
+#: Different texts of a column whose codes are kept in the driver; those of wider columns are a table.
 MAX_CATEGORIES = 10_000
 
 
@@ -80,6 +91,7 @@ class FoldState:
 
     medians: dict[str, list[float | None]]
     categories: dict[str, list[list[str]]]
+    codes: dict[str, DataFrame] = field(default_factory=dict)
 
     def apply(self, df: DataFrame, columns: list[str], fold: int) -> DataFrame:
         """``df`` with ``columns`` as numbers: medians for missing ones, codes for texts, -1 for what training hadn't."""
@@ -89,27 +101,28 @@ class FoldState:
                 median = self.medians[c][fold]
                 out[c] = F.coalesce(value_of(c), F.lit(0.0 if median is None else float(median)))
                 continue
+            if c in self.codes:
+                table = self.codes[c].filter(F.col("train_fold") == fold).select(F.col("value").alias(f"__v{i}"), F.col("code").cast("double").alias(f"__n{i}"))
+                df = df.join(table, F.col(c).cast("string") == F.col(f"__v{i}"), "left")
+                out[c] = F.coalesce(F.col(f"__n{i}"), F.lit(-1.0))
+                continue
             table = df.sparkSession.createDataFrame([(v, float(n)) for n, v in enumerate(self.categories[c][fold])], f"__v{i} string, __n{i} double")
             df = df.join(F.broadcast(table), F.col(c).cast("string") == F.col(f"__v{i}"), "left")  # MAX_CATEGORIES rows at most
             out[c] = F.coalesce(F.col(f"__n{i}"), F.lit(-1.0))
         return df.select(*[c for c in df.columns if c not in columns and not c.startswith(("__v", "__n"))], *[e.alias(c) for c, e in out.items()])
 
 
-def learn(df: DataFrame, columns: list[str], k: int) -> FoldState:
-    """The state of all folds and columns, from one pass over ``df`` (with ``fold``); medians to within 1/10,000 of the ranks."""
+def learn(df: DataFrame, columns: list[str], k: int, lower: bool = False) -> FoldState:
+    """The state of all folds and columns of ``df`` (with ``fold``): exact medians of numbers (with ``lower``, the lower of two), and the categories of texts."""
     numbers = [c for c in columns if is_number(df.schema[c].dataType)]
     texts = [c for c in columns if c not in numbers]
-    if texts:
-        many = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in texts]).first()
-        wide = [c for c in texts if many[c] > MAX_CATEGORIES]
-        if wide:
-            raise EvaluationError(f"more than {MAX_CATEGORIES} categories: {', '.join(wide)}")
-    train = lambda f, value: F.when(F.col("fold") != f, value)
-    asked = [F.percentile_approx(train(f, value_of(c)), 0.5, 10_000) for c in numbers for f in range(k)]
-    asked += [F.array_sort(F.collect_set(train(f, F.col(c).cast("string")))) for c in texts for f in range(k)]
+    medians = training_quantiles(df, {c: value_of(c) for c in numbers}, 0.5, k, lower) if numbers else {}
+    many = df.agg(*[F.approx_count_distinct(F.col(c).cast("string")).alias(c) for c in texts]).first() if texts else {}
+    wide = [c for c in texts if many[c] > MAX_CATEGORIES]
+    narrow = [c for c in texts if c not in wide]
+    asked = [F.array_sort(F.collect_set(F.when(F.col("fold") != f, F.col(c).cast("string")))) for c in narrow for f in range(k)]
     found = list(df.agg(*[a.alias(f"s{i}") for i, a in enumerate(asked)]).first()) if asked else []
-    of = lambda i: found[i * k : (i + 1) * k]
-    return FoldState({c: of(i) for i, c in enumerate(numbers)}, {c: of(len(numbers) + i) for i, c in enumerate(texts)})
+    return FoldState(medians, {c: found[i * k : (i + 1) * k] for i, c in enumerate(narrow)}, {c: lasting(fold_codes(df, c, k), "codes") for c in wide})
 
 
 def category_code(value: Column, categories: Column) -> Column:

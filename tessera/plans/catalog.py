@@ -334,6 +334,18 @@ def fold_category_codes(t: Tables) -> DataFrame:
     return folded.join(F.broadcast(categories), F.col("fold") == F.col("train_fold")).select("o_orderkey", "fold", folds.category_code(F.col("o_orderpriority"), F.col("cats")).alias("code"))  # a row for each fold
 
 
+@query(
+    """WITH f AS (SELECT l_orderkey, l_linenumber, (('0x' || substr(md5(l_orderkey || ':42'), 1, 8))::BIGINT % 5)::INT AS fold, 'part-' || l_partkey AS v FROM lineitem),
+    c AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) - 1 AS code FROM (SELECT DISTINCT k, v FROM f, range(5) AS x(k) WHERE fold <> k))
+    SELECT l_orderkey, l_linenumber, fold, coalesce(code, -1)::BIGINT AS code FROM f LEFT JOIN c ON k = fold AND f.v = c.v"""
+)
+def fold_codes_of_many(t: Tables) -> DataFrame:
+    """Codes of as many texts as there are parts, learned on the other folds."""
+    folded = folds.kfold(t.lineitem.select("l_orderkey", "l_linenumber", F.concat(F.lit("part-"), "l_partkey").alias("v")), "l_orderkey")
+    codes = folds.fold_codes(folded, "v", 5)
+    return folded.join(codes, (F.col("fold") == F.col("train_fold")) & (F.col("v") == F.col("value")), "left").select("l_orderkey", "l_linenumber", "fold", F.coalesce("code", F.lit(-1)).cast("long").alias("code"))
+
+
 _TEXT = """s AS (SELECT quality AS y, length(text)::DOUBLE AS n_chars, len(string_split(lower(text), ' '))::DOUBLE AS n_tok, len(list_distinct(string_split(lower(text), ' ')))::DOUBLE / len(string_split(lower(text), ' ')) AS ttr,
     length(regexp_replace(text, '[^0-9]', '', 'g'))::DOUBLE / greatest(length(text), 1) AS digits, source, d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 

@@ -143,7 +143,7 @@ def imputed_fold(t: Tables) -> DataFrame:
     """Numbers as a model of fold 1 gets them: medians and codes of its training rows."""
     made = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")).alias("x"), F.col("c_mktsegment").alias("s"))
     made = folds.kfold(made, "c_custkey", 3)
-    return folds.learn(made, ["x", "s"], 3).apply(made, ["x", "s"], 1)
+    return folds.learn(made, ["x", "s"], 3, lower=True).apply(made, ["x", "s"], 1)
 
 
 @query(

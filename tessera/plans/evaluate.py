@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import EvaluationError
-from tessera.operators.folds import FoldState, kfold, learn, stratified_folds
+from tessera.operators.folds import FoldState, kfold, learn, stratified_folds, value_of
 from tessera.operators.gram import applies, linear_scores
 from tessera.operators.metrics import MetricRegistry, auc_of_classes
 from tessera.operators.profile import content_key, is_number
+from tessera.operators.selection import training_quantiles
 from tessera.plans.models import ModelRegistry
 from tessera.sources.dataset import TableSpec
 
@@ -122,12 +123,12 @@ class Evaluator:
         context = df.sparkSession.sparkContext
         try:
             known = self.usable(data, [*columns, *[f for f in features if f not in columns]])
+            if self._closed(data, known):
+                return self._closed_gains(data, table, columns, features)
             try:
                 state = learn(data.filter(F.col(table.target).isNotNull()), known, self.folds)
             except EvaluationError:  # of one column: each score says so for itself
                 state = None
-            if state and self._closed(known, state):
-                return self._closed_gains(data, table, columns, features, state)
             base = self.baseline(data, table, columns, state)
 
             def one(f: str) -> dict:
@@ -147,16 +148,20 @@ class Evaluator:
             data.unpersist()
 
 
-    def _closed(self, known: list[str], state: FoldState) -> bool:
+    def _closed(self, data: DataFrame, known: list[str]) -> bool:
         """Whether scores follow from sums of products: linear regression of numbers, with its own builder and metric."""
         plain = self.models.is_builtin("linear") and self.metrics.is_builtin(self.metric)
-        return self.task == "regression" and self.model == "linear" and plain and applies(self.model_params, self.metric) and all(c in state.medians for c in known)
+        return self.task == "regression" and self.model == "linear" and plain and applies(self.model_params, self.metric) and all(is_number(data.schema[c].dataType) for c in known)
 
-    def _closed_gains(self, data: DataFrame, table: TableSpec, columns: list[str], features: list[str], state: FoldState) -> tuple[float, list[dict]]:
+    def _closed_gains(self, data: DataFrame, table: TableSpec, columns: list[str], features: list[str]) -> tuple[float, list[dict]]:
         base, new = self.usable(data, columns), [f for f in self.usable(data, features) if f not in columns]
         if not base:
             raise EvaluationError("no columns that a model can take")
-        score, scores = linear_scores(data, table.target, base, new, self.folds, state.medians, self.metric, float(self.model_params.get("regParam", 1e-3)))
+        labelled = data.filter(F.col(table.target).isNotNull())
+        lost = labelled.agg(*[F.count_if(value_of(c).isNull()).alias(f"n{i}") for i, c in enumerate([*base, *new])]).first()
+        holes = [c for c, n in zip([*base, *new], lost, strict=True) if n]
+        medians = training_quantiles(labelled, {c: value_of(c) for c in holes}, 0.5, self.folds) if holes else {}
+        score, scores = linear_scores(data, table.target, base, new, self.folds, medians, self.metric, float(self.model_params.get("regParam", 1e-3)))
         if score != score:
             raise EvaluationError("no fold could be scored")
         gain = self.metrics.get(self.metric).gain

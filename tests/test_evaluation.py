@@ -91,24 +91,51 @@ def test_preprocessing_learns_from_training_rows_only(spark):
     assert medians[1] == 20.0 and medians[0] == 1.0
 
 
-def test_too_many_categories_are_refused(spark, monkeypatch):
+def test_codes_of_many_categories_are_a_table(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"c{i * 7 % 31}" if i % 9 else None, i % 3) for i in range(200)], "i int, c string, fold int")
+    kept = folds.learn(df, ["c"], 3)
     monkeypatch.setattr(folds, "MAX_CATEGORIES", 3)
-    df = spark.createDataFrame([(str(i), i % 2) for i in range(40)], "c string, fold int")
-    with pytest.raises(EvaluationError):
-        folds.learn(df, ["c"], 2)
-
-
-@pytest.mark.parametrize("kind", ["double", "string", "date", "timestamp", "timestamp_ntz", "decimal(12,3)", "boolean", "int"])
-def test_ranks_of_any_kind_in_ranges(spark, monkeypatch, kind):
-    monkeypatch.setattr(ranks, "VALUES_PER_RANGE", 7)
-    number = F.pmod(F.xxhash64("id"), F.lit(90)).cast("int")
-    value = {"string": F.concat(F.lit("https://a.example/"), number.cast("string")), "date": F.date_add(F.lit("2020-01-01"), number), "timestamp": F.timestamp_seconds(number * 7777), "timestamp_ntz": F.timestamp_seconds(number * 7777).cast("timestamp_ntz")}.get(kind, number.cast(kind))
-    df = spark.range(400).select((F.col("id") % 3).alias("g"), value.alias("v"))
-    rows = [tuple(r) for r in df.collect()]
-    for by in ([], ["g"]):
-        got = {(r.g if by else None, r.value): (r.n, r.below) for r in ranks.value_ranks(df, "v", by).collect()}
-        own = lambda g: [v for h, v in rows if not by or h == g]
-        assert got == {(g if by else None, v): (own(g).count(v), sum(x < v for x in own(g))) for g, v in rows}
+    state = folds.learn(df, ["c"], 3)
+    assert state.codes and not kept.codes
+    for f in range(3):
+        assert sorted(state.apply(df, ["c"], f).collect()) == sorted(kept.apply(df, ["c"], f).collect())
+
+
+def test_medians_of_training_folds_are_exact(spark, monkeypatch):
+    import numpy as np
+
+    from tessera.operators import selection
+
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random(3000) < 0.1, np.nan, np.round(rng.normal(size=3000) * 10.0 ** rng.integers(-3, 4, 3000), 3))
+    y = rng.integers(-3, 3, 3000).astype(float)
+    fold = rng.integers(0, 4, 3000)
+    df = spark.createDataFrame([(float(a), float(b), None, int(f)) for a, b, f in zip(x, y, fold, strict=True)], "x double, y double, z double, fold int").repartition(5)
+    for few in (1 << 14, 1):
+        monkeypatch.setattr(selection, "FEW", few)
+        got = folds.fold_medians(df, ["x", "y", "z"], 4).toPandas().set_index("train_fold")
+        for f in range(4):
+            assert got.x[f] == np.nanmedian(x[fold != f]) and got.y[f] == np.median(y[fold != f])
+        assert got.z.isna().all()
+    assert selection.training_quantiles(df, {"x": folds.value_of("x")}, 0.25, 4)["x"][1] == pytest.approx(np.nanquantile(x[fold != 1], 0.25), rel=1e-12)
+
+
+def test_closed_scores_equal_those_of_fitted_models(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        a, b, c = rng.normal(), rng.normal() * 5 + 100, rng.random()
+        rows.append((i, a if rng.random() > 0.1 else None, b, 2.0, c if rng.random() > 0.2 else None, 2 * b, float(a + 0.1 * b + 3 * c + rng.normal() / 5)))
+    df = spark.createDataFrame(rows, "i int, a double, b double, one double, c double, twice double, y double")
+    for metric in ("rmse", "r2", "nrmse"):
+        closed = Evaluator(task="regression", metric=metric, model="linear", folds=3)
+        fitted = Evaluator(task="regression", metric=metric, model="linear", folds=3, model_params={"fitIntercept": True})
+        (x, p), (y, q) = (e.gains(df, TableSpec("i", "y"), ["a", "b", "one"], ["c", "twice", "none"]) for e in (closed, fitted))
+        assert x == pytest.approx(y, rel=1e-6)
+        for g, h in zip(p, q, strict=True):
+            assert g["feature"] == h["feature"] and (g["gain"] == pytest.approx(h["gain"], abs=1e-3) if h["gain"] is not None else g["gain"] is None and g["error"])
 
 
 def test_exact_quantiles(spark):
