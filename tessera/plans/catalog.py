@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tessera.artifacts import diff
 from tessera.experiment import reporter
 from tessera.functions.cross import pairs
-from tessera.operators import folds, metrics, profile, screen, univariate
+from tessera.operators import folds, metrics, ordered, profile, screen, univariate
 from tessera.operators.compile import Compiler, derive
 from tessera.plans import memory
 from tessera.plans.evaluate import Evaluator
@@ -334,6 +334,17 @@ def fold_category_codes(t: Tables) -> DataFrame:
     return folded.join(F.broadcast(categories), F.col("fold") == F.col("train_fold")).select("o_orderkey", "fold", folds.category_code(F.col("o_orderpriority"), F.col("cats")).alias("code"))  # a row for each fold
 
 
+@query(
+    f"""SELECT event_id, {r("lag(value) OVER o", "value_lag")}, {r("value - lag(value) OVER o", "value_diff")}, CASE WHEN row_number() OVER o >= 7 THEN {r("avg(value) OVER w", "x").rsplit(" AS ", 1)[0]} END AS value_mean,
+    CASE WHEN row_number() OVER o >= 7 THEN {r("sum(value) OVER w", "x").rsplit(" AS ", 1)[0]} END AS value_sum, CASE WHEN row_number() OVER o >= 7 THEN {r("stddev_samp(value) OVER w", "x").rsplit(" AS ", 1)[0]} END AS value_std
+    FROM events WINDOW o AS (ORDER BY ts NULLS FIRST, event_id), w AS (ORDER BY ts NULLS FIRST, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"""
+)
+def trailing_of_all_events(t: Tables) -> DataFrame:
+    """Lag, difference and rolling statistics of seven rows over all events by time, without a key."""
+    made = ordered.trailing(t.events.select("event_id", "ts", "value"), "value", ["ts", "event_id"], 7, rows_per_range=4096)
+    return made.drop("ts", "value")
+
+
 @query(
     """WITH f AS (SELECT l_orderkey, l_linenumber, (('0x' || substr(md5(l_orderkey || ':42'), 1, 8))::BIGINT % 5)::INT AS fold, 'part-' || l_partkey AS v FROM lineitem),
     c AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) - 1 AS code FROM (SELECT DISTINCT k, v FROM f, range(5) AS x(k) WHERE fold <> k))
