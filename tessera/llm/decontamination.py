@@ -10,9 +10,9 @@ which are as likely (``sampled``). As many repetitions are made as find ``target
 ``max_share`` of its words edited (``repetitions_for``). Windows are tried at every word of a text, and walked only
 as long as what they have emitted at the sampled steps agrees with some item.
 
-What the samples miss is looked up: an item is also cut into one piece more than the edits it may have: one of them at least
-stands unchanged in any text that holds the item, and each place of a piece gives a window. Every window that agrees is
-verified: the least number of word edits that turn the item into a stretch of the text, by exact dynamic
+With ``pieces=True``, for those who need every copy, what the samples may miss is looked up as well: an item is cut into one piece
+more than the edits it may have, one of which stands unchanged in any text that holds the item, and each place of a piece gives a
+window. By default the walks alone decide which windows are looked at. Every window that agrees is verified: the least number of word edits that turn the item into a stretch of the text, by exact dynamic
 programming over the window and ``max_edits`` words on either side. The text holds the item if that is at most
 ``max_share`` of the item's words.
 
@@ -103,7 +103,7 @@ def repetitions_for(size: int, max_share: float, target_recall: float) -> int:
 class Items:
     """Items of a block, with what their walks emit at the sampled positions."""
 
-    def __init__(self, ids: list, texts: pa.Array, target_recall: float, max_share: float, min_words: int, pieces: bool = True):
+    def __init__(self, ids: list, texts: pa.Array, target_recall: float, max_share: float, min_words: int, pieces: bool = False):
         buf, off = text_bytes(texts)
         word, start, end, row = words_of(buf, off, within=IN_TERM, unspaced=True)
         ends = np.searchsorted(row, np.arange(len(ids) + 1))
@@ -314,8 +314,8 @@ def hits_of(buf: np.ndarray, off: np.ndarray, items: Items) -> list[tuple[int, i
 class Blocks:
     """Blocks of items, each of a bounded number of bytes; one is broadcast at a time."""
 
-    def __init__(self, spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, target_recall: float, max_share: float, min_words: int):
-        self.spark, self.how = spark, (target_recall, max_share, min_words)
+    def __init__(self, spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, target_recall: float, max_share: float, min_words: int, pieces: bool):
+        self.spark, self.how = spark, (target_recall, max_share, min_words, pieces)
         self.items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
         self.many = -(-(self.items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0) // BLOCK_BYTES)
 
@@ -324,11 +324,11 @@ class Blocks:
         return self.spark.sparkContext.broadcast(Items(part["id"].to_pylist(), part["text"].combine_chunks(), *self.how))
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, target_recall: float = 0.95, max_share: float = 0.2, min_words: int = 5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, target_recall: float = 0.98, max_share: float = 0.2, min_words: int = 5, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", item_text_col: str = "text", pieces: bool = False) -> DataFrame:
     """``doc_id``, ``item_id``, ``edits``, ``item_words`` and ``end_word`` (of the first best stretch, exclusive), a row for each row and item it holds."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, edits int, item_words int, end_word int"
-    scratch, blocks = Scratch(spark, "decontamination"), Blocks(spark, benchmark, item_col, item_text_col, target_recall, max_share, min_words)
+    scratch, blocks = Scratch(spark, "decontamination"), Blocks(spark, benchmark, item_col, item_text_col, target_recall, max_share, min_words, pieces)
     if not blocks.many:
         return spark.createDataFrame([], schema)
     for k in range(blocks.many):
@@ -352,9 +352,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, tar
     return spark.read.schema(schema).parquet(scratch.path("hits"))
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, target_recall: float = 0.95, max_share: float = 0.2, min_words: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, target_recall: float = 0.98, max_share: float = 0.2, min_words: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pieces: bool = False) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    blocks = Blocks(spark, benchmark, item_col, item_text_col, target_recall, max_share, min_words)
+    blocks = Blocks(spark, benchmark, item_col, item_text_col, target_recall, max_share, min_words, pieces)
     if not blocks.many:
         return docs
     if blocks.many == 1:  # one pass that keeps or drops rows where they are
@@ -372,7 +372,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
         return docs.mapInArrow(run, docs.schema)
     (key,) = unused(docs, "held_key")
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    gone = contaminated(spark, texts, benchmark, target_recall, max_share, min_words, "key", item_col, "text", item_text_col)
+    gone = contaminated(spark, texts, benchmark, target_recall, max_share, min_words, "key", item_col, "text", item_text_col, pieces)
     return docs.join(gone.select(F.col("doc_id").alias(key)).distinct(), F.xxhash64(text_col) == F.col(key), "left_anti")
 
 
