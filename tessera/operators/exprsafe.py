@@ -1,10 +1,15 @@
-"""SQL expressions of features, checked against an allow-list before they become columns."""
+"""SQL expressions of features, checked against an allow-list before they become columns.
+
+They are checked twice: as written (``check``), and, where a session runs, as Spark's own parser reads them (``check_parsed``), so
+that comments, quotes and qualified names can't make a call look like something else.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.errors import UnsafeExpressionError
@@ -54,5 +59,36 @@ def check(text: str) -> str:
     return text
 
 
+#: Kinds of nodes of a parsed expression: names, literals, operators, conditions, casts and windows; no subquery, lambda, alias or star.
+NODES = frozenset(
+    """Add And Between CaseWhen Cast Concat CurrentRow Divide EqualNullSafe EqualTo GreaterThan GreaterThanOrEqual If In IntegralDivide
+    IsNotNull IsNull LessThan LessThanOrEqual Like LikeAll LikeAny Literal Multiply Not NotLikeAll NotLikeAny Or Remainder SortOrder
+    SpecifiedWindowFrame StringTrim StringTrimLeft StringTrimRight Subtract UnaryMinus UnaryPositive UnboundedFollowing
+    UnboundedPreceding UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction UnspecifiedFrame WindowExpression WindowSpecDefinition""".split()
+)
+
+
+def check_parsed(spark: SparkSession, text: str) -> str:
+    """The expression itself, or ``UnsafeExpressionError``: its parsed tree holds allowed kinds of nodes and plain calls of allowed functions."""
+    try:
+        left = [spark._jsparkSession.sessionState().sqlParser().parseExpression(text)]
+    except Py4JError as err:
+        raise UnsafeExpressionError(f"it can't be parsed: {str(err).splitlines()[0]}") from err
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName().rstrip("$")
+        if kind not in NODES:
+            raise UnsafeExpressionError(f"{kind} isn't allowed")
+        if kind == "UnresolvedFunction":
+            parts = [node.nameParts().apply(i) for i in range(node.nameParts().size())]
+            if len(parts) != 1 or parts[0].lower() not in ALLOWED | {"between"}:
+                raise UnsafeExpressionError(f"function {'.'.join(parts)} isn't allowed")
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return text
+
+
 def safe_expr(text: str) -> Column:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        check_parsed(spark, check(text))
     return F.expr(check(text))

@@ -4,20 +4,15 @@ A program sees all rows at once, so it runs in one task; ``rows_limit`` refuses
 program is row-local, ``row_local=True`` runs it batch by batch on all partitions.
 
 A program may only use what is listed here: modules, attributes, and built-in functions. It is checked before it runs, and runs
-with no other built-in functions, in a Python worker process of an executor, whose address space may grow by ``memory_mb`` and
-which is interrupted after ``timeout_s``.
+with no other built-in functions in a process of its own beside the Python worker (``tessera.operators.child``): one for each
+task, without files, sockets and children, whose address space may grow by ``memory_mb`` and which is killed after ``timeout_s``.
 """
 
 from __future__ import annotations
 
 import ast
-import builtins
-import contextlib
-import resource
-import signal
 import threading
 from collections.abc import Iterable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark import InheritableThread
@@ -25,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tessera.errors import ExecutionError, ExecutionTimeout, UnsafeExpressionError
+from tessera.operators.child import Child
 from tessera.session import lasting
 
 #: What a program can import.
@@ -92,38 +88,6 @@ def check_program(code: str, function: str = "generate_features", columns: Itera
     return tree
 
 
-def _import(name: str, space: Any = None, inside: Any = None, names: tuple = (), level: int = 0) -> Any:
-    if level or name not in MODULES:
-        raise ImportError(f"{name} can't be imported")
-    return __import__(name, None, None, list(names or ()), 0)
-
-
-@contextlib.contextmanager
-def bounded(memory_mb: int | None, timeout_s: float | None) -> Iterator[None]:
-    """Limits this process while a program runs, and lifts the limits after it."""
-    soft, hard = resource.getrlimit(resource.RLIMIT_AS)
-    if memory_mb:
-        with open("/proc/self/statm", encoding="ascii") as source:
-            now = int(source.read().split()[0]) * resource.getpagesize()
-        most = now + (memory_mb << 20)
-        resource.setrlimit(resource.RLIMIT_AS, (most if hard == resource.RLIM_INFINITY else min(most, hard), hard))
-    timed = timeout_s is not None and threading.current_thread() is threading.main_thread()
-    if timed:
-
-        def stop(*_: Any) -> None:
-            raise TimeoutError(f"no result after {timeout_s} s")
-
-        before = signal.signal(signal.SIGALRM, stop)
-        signal.setitimer(signal.ITIMER_REAL, timeout_s)
-    try:
-        yield
-    finally:
-        if timed:
-            signal.setitimer(signal.ITIMER_REAL, 0)
-            signal.signal(signal.SIGALRM, before)
-        resource.setrlimit(resource.RLIMIT_AS, (soft, hard))
-
-
 def declared(frame: pd.DataFrame, fields: list[T.StructField]) -> pd.DataFrame:
     """The columns that ``fields`` declare: texts as texts, all others as Arrow converts them; a column that is missing is an error."""
     lost = [f.name for f in fields if f.name not in frame.columns]
@@ -150,19 +114,21 @@ def run_program(
     fields = (T._parse_datatype_string(schema) if isinstance(schema, str) else schema).fields
     whole = T.StructType([df.schema[row_id], *[f for f in fields if f.name != row_id]])
 
-    def call(pdf: pd.DataFrame) -> pd.DataFrame:
-        space: dict = {"__builtins__": {n: getattr(builtins, n) for n in BUILTINS} | {"__import__": _import}}
-        with bounded(memory_mb, timeout_s):
-            exec(compile(code, "<features>", "exec"), space)  # noqa: S102  checked above
-            made = space["generate_features"](pdf.copy())
-        if not isinstance(made, pd.DataFrame) or len(made) != len(pdf):
-            raise ValueError("generate_features must return a frame with a row for each row")
+    def finished(made: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         made = declared(made, [f for f in fields if f.name != row_id])
         made.insert(0, row_id, pdf[row_id].values)
         return made
 
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with Child(code, BUILTINS, MODULES, timeout_s, memory_mb) as child:
+            for pdf in parts:
+                yield finished(child.run(pdf), pdf)
+
+    def call(pdf: pd.DataFrame) -> pd.DataFrame:
+        return next(batches(iter([pdf])))
+
     if row_local:
-        out = df.mapInPandas(lambda batches: (call(b) for b in batches), whole)
+        out = df.mapInPandas(batches, whole)
     else:
         if df.limit(rows_limit + 1).count() > rows_limit:
             raise ExecutionError(f"more than {rows_limit} rows for a whole-table program")

@@ -1,15 +1,17 @@
 """Specs, expressions and the compiler."""
 
 import math
+import os
 
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tessera.errors import ExecutionError, ExecutionTimeout, ProposalError, UnsafeExpressionError
-from tessera.operators import program
+from tessera.operators import child, program
 from tessera.operators.compile import Compiler, derive, unique
-from tessera.operators.exprsafe import check
+from tessera.operators.exprsafe import check, check_parsed
 from tessera.operators.program import check_program, run_program
 from tessera.spec import FeatureSpec, parse_specs
 
@@ -110,6 +112,17 @@ def test_refused_expressions(text):
         check(text)
 
 
+@pytest.mark.parametrize("text", ["java_method/**/('java.lang.Math', 'abs', -3)", "x.y.f(1)", "`java_method`('a', 'b', 1)", "`reflect` ('a', 'b')", "a IN (SELECT 1)", "EXISTS (SELECT 1)", "(SELECT 1)", "transform(a, x -> x)", "sum(a) OVER named", "a AS b", "*", "count(a) FILTER (WHERE uuid() > 'a')", "system.builtin.abs(a)"])
+def test_parsed_trees_refuse_whatever_is_written(spark, text):
+    with pytest.raises(UnsafeExpressionError):
+        check_parsed(spark, text)
+
+
+@pytest.mark.parametrize("text", ["-a + b % 2 <=> 3.5", "CASE a WHEN 1 THEN 'x' ELSE `odd name` END", "k LIKE 'a%' AND NOT a BETWEEN 1 AND 2 OR k IN ('a', 'b')", "avg(a) OVER (PARTITION BY k ORDER BY b DESC ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", "try_cast(k AS DOUBLE) IS NOT NULL", "k || 'x'", "d - INTERVAL 3 DAYS", "x[0] + s.f", "a IS TRUE", "count(*) OVER (PARTITION BY k)", "count(DISTINCT a)"])
+def test_parsed_trees_of_allowed_expressions(spark, text):
+    assert check_parsed(spark, text) == text
+
+
 @pytest.mark.parametrize("body", ["import os", "from sys import path", "open('x')", "df.to_csv('x')", "pd.read_csv('x')", "().__class__", "eval('1')", "pd.io.common.os.system('id')", "df.eval('a')", "df.query('a > 1')", "df.to_pickle('x')", "pd.DataFrame.from_records([])", "import pandas.io", "from pandas import io", "f = getattr", "df.apply(print)", "print(1)", "df.pipe(len)", "df.agg('to_csv')", "f = 'to_csv'; df.agg(f)", "df.agg('to_' + 'csv')", "class A: pass", "breakpoint()", "pd.core", "df._mgr", "global x"])
 def test_refused_programs(body):
     with pytest.raises(UnsafeExpressionError):
@@ -149,7 +162,41 @@ def test_programs_are_bounded(spark, frame):
     with pytest.raises(UnsafeExpressionError):
         run_program(spark, frame, hidden, "x double", "n")
     with pytest.raises(ImportError):
-        program._import("os")
+        child.importer(program.MODULES)("os")
+
+
+def probe(body, monkeypatch, tmp_path):
+    """Runs an unchecked program with all built-in functions in a child."""
+    import builtins
+
+    monkeypatch.chdir(tmp_path)
+    code = "def generate_features(df):\n" + "".join(f"    {line}\n" for line in body.splitlines()) + "    return df\n"
+    with child.Child(code, dir(builtins), ("math", "socket", "os", "subprocess"), 5, 512) as held:
+        return held.run(pd.DataFrame({"n": [1, 2]}))
+
+
+@pytest.mark.parametrize("body", ["df.to_csv('x.csv')", "open('y', 'w')", "open('/etc/passwd')", "import socket\nsocket.socket()", "import os\nos.fork()", "import subprocess\nsubprocess.run(['id'])", "import os\nos.mkfifo('z')\nopen('z')", "import os\nos._exit(3)", "x = bytearray(1 << 31)"])
+def test_children_have_no_files_sockets_or_children(body, monkeypatch, tmp_path):
+    """What no check has seen still does nothing outside its process; privileged users may fork, the child of which can open nothing."""
+    if "fork" in body and os.geteuid() == 0:
+        pytest.skip("limits on processes don't bind the superuser")
+    with pytest.raises(RuntimeError):
+        probe(body, monkeypatch, tmp_path)
+    assert not [p for p in tmp_path.iterdir() if p.is_file()]
+
+
+def test_children_are_killed_and_see_no_environment(monkeypatch, tmp_path):
+    monkeypatch.setenv("SECRET_OF_PARENT", "1")
+    with pytest.raises(RuntimeError, match="KeyError"):
+        probe("import os\nos.environ['SECRET_OF_PARENT']", monkeypatch, tmp_path)
+    with pytest.raises(TimeoutError):
+        probe("while True:\n    try:\n        while True: pass\n    except BaseException: pass", monkeypatch, tmp_path)
+    assert len(probe("pass", monkeypatch, tmp_path)) == 2
+
+
+def test_one_child_serves_the_batches_of_a_task(spark, frame):
+    code = "def generate_features(df):\n    return df.assign(x=df['n'] * 2.0)[['x']]\n"
+    assert [r.x for r in run_program(spark, frame, code, "x double", "n", row_local=True).orderBy("n").collect()] == [2.0 * r.n for r in frame.orderBy("n").collect()]
 
 
 def test_outputs_have_the_declared_types(spark, frame):
