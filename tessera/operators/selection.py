@@ -64,11 +64,17 @@ def _counts(known: int, digit: int, sought: list[list[int]]):
 
 def training_quantiles(df: DataFrame, values: dict[str, Column], share: float, k: int, lower: bool = False) -> dict[str, list[float | None]]:
     """Of each value, the exact quantile (linear between neighbours) of the training rows of folds 0 to k - 1 of ``fold``; null where there are none; with ``lower``, the lower neighbour."""
+    return {name: found[0] for name, found in quantiles_of(df, values, [share], k, lower).items()}
+
+
+def quantiles_of(df: DataFrame, values: dict[str, Column], shares: list[float], k: int = 1, lower: bool = False) -> dict[str, list[list[float | None]]]:
+    """The same for several shares at once, by value and share; without a column ``fold``, of all rows."""
+    df = df if "fold" in df.columns else df.withColumn("fold", F.lit(-1))
     names = list(values)
     data = df.select(F.col("fold").cast("int").alias("fold"), *[v.cast("double").alias(f"x{i}") for i, v in enumerate(values.values())])
     sought: list[list[int]] = [[0] for _ in names]
     rank: dict[tuple[int, int, int], tuple[int, int]] = {}  # (column, training fold, side): bits so far, and rank among the values that have them
-    part: dict[tuple[int, int], float] = {}
+    part: dict[tuple[int, int, int], float] = {}
     known, done = 0, False
     for step, width in enumerate(DIGITS):
         digit = 64 - known if done else width
@@ -87,11 +93,12 @@ def training_quantiles(df: DataFrame, values: dict[str, Column], share: float, k
                     many = int(train.sum())
                     if not many:
                         continue
-                    place = (many - 1) * share
-                    part[c, f] = place - math.floor(place)
-                    for side, r in enumerate((math.floor(place), math.ceil(place))):
-                        rank[c, f, side] = (0, r)
-                for side in range(2):
+                    for q, share in enumerate(shares):
+                        place = (many - 1) * share
+                        part[c, f, q] = place - math.floor(place)
+                        for side, r in enumerate((math.floor(place), math.ceil(place))):
+                            rank[c, f, 2 * q + side] = (0, r)
+                for side in range(2 * len(shares)):
                     if (c, f, side) in rank:
                         bits, r = rank[c, f, side]
                         lo, hi = (0, len(heads)) if not known else np.searchsorted(heads, np.array([bits << digit, ((bits + 1) << digit) - 1], np.uint64), "left").tolist()
@@ -106,8 +113,10 @@ def training_quantiles(df: DataFrame, values: dict[str, Column], share: float, k
         if known == 64:
             break
         done = left <= FEW * max(len(names), 1)
-    out: dict[str, list[float | None]] = {}
+    out: dict[str, list[list[float | None]]] = {}
     for c, name in enumerate(names):
-        ends = [(number_of(rank[c, f, 0][0]), number_of(rank[c, f, 1][0]), part[c, f]) if (c, f, 0) in rank else None for f in range(k)]
-        out[name] = [None if e is None else e[0] if lower or e[0] == e[1] else (1 - e[2]) * e[0] + e[2] * e[1] for e in ends]
+        out[name] = []
+        for q in range(len(shares)):
+            ends = [(number_of(rank[c, f, 2 * q][0]), number_of(rank[c, f, 2 * q + 1][0]), part[c, f, q]) if (c, f, 2 * q) in rank else None for f in range(k)]
+            out[name].append([None if e is None else e[0] if lower or e[0] == e[1] else (1 - e[2]) * e[0] + e[2] * e[1] for e in ends])
     return out

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tessera.artifacts import diff
 from tessera.experiment import reporter
 from tessera.functions.cross import pairs
-from tessera.operators import folds, metrics, ordered, profile, screen, univariate
+from tessera.operators import folds, metrics, ordered, profile, relevance, screen, segments, univariate
 from tessera.operators.compile import Compiler, derive
 from tessera.plans import memory
 from tessera.plans.evaluate import Evaluator
@@ -287,6 +287,54 @@ def histogram_modes(t: Tables) -> DataFrame:
     return profile.histogram(t.orders, "o_totalprice", 20)
 
 
+def _relevance_sql(source: str, y: str, group: str, columns: list[str], bins: int) -> str:
+    """Mutual information and correlation ratio by the counts of bins between exact quantiles; ``group`` is the target's bin."""
+    shares = ", ".join(str(i / bins) for i in range(1, bins))
+    cut = lambda c: f"quantile_cont({c}::DOUBLE, [{shares}])"
+    place = lambda c, q: f"coalesce(len(list_distinct(list_filter({q}, lambda v: v < {c}::DOUBLE))), {bins})"
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, {place(c, f'q{i}')} AS b, {group} AS k, {y} AS y FROM t, q" for i, c in enumerate(columns))
+    return f"""WITH t AS ({source}), q AS (SELECT {", ".join(f"{cut(c)} AS q{i}" for i, c in enumerate(columns))}, {cut(y)} AS qy FROM t), x AS ({cells}),
+    c AS (SELECT feature, b, k, count(*) AS n FROM x GROUP BY 1, 2, 3),
+    w AS (SELECT *, sum(n) OVER (PARTITION BY feature, b) AS nb, sum(n) OVER (PARTITION BY feature, k) AS nk, sum(n) OVER (PARTITION BY feature) AS nn FROM c),
+    i AS (SELECT feature, {r("greatest(sum(n / nn * ln(n * nn / (nb::DOUBLE * nk))), 0)", "information")} FROM w GROUP BY 1),
+    g AS (SELECT feature, b, count(*) AS n, avg(y) AS m FROM x GROUP BY 1, 2),
+    e AS (SELECT feature, {r("sum(n * (m - (SELECT avg(" + y + ") FROM t)) ** 2) / sum(n) / (SELECT var_pop(" + y + ") FROM t)", "ratio")} FROM g GROUP BY 1)
+    """
+
+
+_LINE_COLUMNS = ["l_quantity", "l_discount", "l_tax", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+@query(_relevance_sql("SELECT * FROM lineitem", "l_extendedprice", "len(list_distinct(list_filter(qy, lambda v: v < l_extendedprice)))", _LINE_COLUMNS, 16) + "SELECT feature, information, ratio FROM i JOIN e USING (feature)")
+def relevance_of_numbers(t: Tables) -> DataFrame:
+    return relevance.relevance(t.lineitem, "l_extendedprice", _LINE_COLUMNS)
+
+
+_STATUS = "CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
+
+
+@query(_relevance_sql(f"SELECT *, {_STATUS} AS status, month(o_orderdate) AS month, year(o_orderdate) AS year FROM orders", "status", "status", ["o_totalprice", "o_custkey", "month", "year"], 16) + "SELECT feature, information FROM i")
+def relevance_of_classes(t: Tables) -> DataFrame:
+    df = t.orders.select(F.expr(_STATUS).alias("status"), "o_totalprice", "o_custkey", F.month("o_orderdate").alias("month"), F.year("o_orderdate").alias("year"))
+    return relevance.relevance(df, "status", ["o_totalprice", "o_custkey", "month", "year"], 3).select("feature", "information")
+
+
+@query(
+    f"""WITH e AS (SELECT o_orderpriority AS p, min(o_totalprice) AS lo, (max(o_totalprice) - min(o_totalprice)) / 40 AS width FROM orders GROUP BY 1),
+    b AS (SELECT p, least(39, floor((o_totalprice - lo) / width))::INT AS bin, count(*) AS n FROM orders JOIN e ON p = o_orderpriority GROUP BY 1, 2),
+    c AS (SELECT e.p, lo, width, i::INT AS bin, coalesce(n, 0)::DOUBLE AS n FROM e CROSS JOIN range(40) AS g(i) LEFT JOIN b ON b.p = e.p AND b.bin = i),
+    s AS (SELECT p, u, v, regr_syy(n, bin) - regr_sxy(n, bin) ** 2 / regr_sxx(n, bin) AS err, sum(n) AS n, regr_slope(n, bin) AS slope
+        FROM c JOIN range(40) AS x(u) ON bin >= u JOIN range(1, 41) AS y(v) ON bin < v AND v >= u + 2 GROUP BY 1, 2, 3),
+    best AS (SELECT d.p, f.u AS f, g.u AS g FROM s d JOIN s f ON f.p = d.p AND f.u = d.v JOIN s g ON g.p = d.p AND g.u = f.v WHERE d.u = 0 AND g.v = 40
+        QUALIFY row_number() OVER (PARTITION BY d.p ORDER BY round(d.err + f.err + g.err, 6), f.u, g.u) = 1),
+    k AS (SELECT p, unnest([0, 1, 2])::INT AS segment, unnest([0, f, g])::INT AS u, unnest([f, g, 40])::INT AS v FROM best)
+    SELECT k.p AS o_orderpriority, segment, k.u AS first_bin, {r("lo + k.u * width", "begin")}, s.n::BIGINT AS n, {r("slope", "slope")},
+        (slope * coalesce(lag(slope) OVER (PARTITION BY k.p ORDER BY segment), 0) < 0)::INT AS turns FROM k JOIN s ON s.p = k.p AND s.u = k.u AND s.v = k.v JOIN e ON e.p = k.p"""
+)
+def curve_segments(t: Tables) -> DataFrame:
+    return segments.segments(t.orders, "o_totalprice", ["o_orderpriority"], bins=40)
+
+
 # --- selection, folds, metrics ------------------------------------------------------------------------------------
 
 

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import EvaluationError, PlanError, ProposalError
-from tessera.operators.compile import Compiler, unique
+from tessera.operators.compile import Compiler, State, unique
 from tessera.operators.profile import describe, is_classification, is_number
+from tessera.operators.relevance import cuts_of, relevance
 from tessera.operators.screen import prefilter
 from tessera.operators.univariate import univariate_gains
 from tessera.plans.client import Client
@@ -51,6 +52,7 @@ class BaseMethod:
     scripts: list[str] = field(default_factory=list)
     iterations: list[dict[str, Any]] = field(default_factory=list)
     fitted: bool = False
+    states: list[State] | None = None
 
     def fit(self, df: DataFrame, table: TableSpec) -> BaseMethod:
         raise NotImplementedError
@@ -58,7 +60,11 @@ class BaseMethod:
     def transform(self, df: DataFrame) -> DataFrame:
         if not self.fitted:
             raise PlanError(f"{self.name} isn't fitted")
-        return Compiler().transform(df, self.specs).frame
+        return Compiler().transform(df, self.specs, self.states).frame
+
+    def _found(self, df: DataFrame, specs: list[FeatureSpec]) -> None:
+        """What is fitted: specs, and their statistics on the training frame, which ``transform`` uses on any other."""
+        self.specs, self.states, self.fitted = specs, Compiler().fit(df, specs), True
 
     def new_columns(self, df: DataFrame) -> DataFrame:
         """Only what ``transform`` adds."""
@@ -79,7 +85,7 @@ class RoundsMethod(BaseMethod):
 
     def fit(self, df: DataFrame, table: TableSpec) -> RoundsMethod:
         done = self.engine.run(df, table)
-        self.specs, self.fitted = done.specs, True
+        self._found(df, done.specs)
         self.gains = {g["feature"]: g["gain"] for r in done.rounds for g in r.gains}
         self.scripts = [s.to_json() for r in done.rounds for s in r.specs]
         self.iterations = [r.summary() for r in done.rounds]
@@ -149,7 +155,7 @@ class ClientMethod(BaseMethod):
                 error = str(err)
             told = feedback_line(gains, names, error) if self.feedback else ""
             self.iterations.append({"iteration": i + 1, "gains": gains, "kept": names, "error": error})
-        self.specs, self.fitted = unique(kept), True
+        self._found(df, unique(kept))
         return self
 
 
@@ -157,8 +163,8 @@ class ClientMethod(BaseMethod):
 class ExpansionMethod(BaseMethod):
     """Expands columns, screens what comes out, and keeps the ``n_features`` of the largest importance.
 
-    ``screen_to`` columns are left by variance. With ``order`` 2 all products of the ``paired`` best of them, by gain where the
-    target has two classes, are screened beside them.
+    ``screen_to`` columns are left by variance. With ``order`` 2 all products of the ``paired`` best of them, by gain, are
+    screened beside them. Targets may be numbers or any number of classes.
     """
 
     name: str = "expansion"
@@ -176,12 +182,21 @@ class ExpansionMethod(BaseMethod):
         texts = [c for c in columns if df.schema[c].dataType.simpleString() == "string"]
         return expansion(numbers, texts)
 
-    def _halve(self, frame: DataFrame, table: TableSpec, names: list[str]) -> list[str]:
+    def _judge(self, frame: DataFrame, names: list[str], classes: int) -> Callable[[DataFrame, list[str]], dict[str, float]]:
+        """Scores of columns on a frame: how far the area under the curve is from a half for two classes, mutual information for
+        several, the correlation ratio for numbers. Bins are those of the whole frame."""
+        if classes == 2:
+            return lambda part, some: {r["feature"]: r["gain"] for r in univariate_gains(part, "__label", some).collect()}
+        cuts = cuts_of(frame.filter("__label is not null").withColumn("__target", F.col("__label")), [*names, *([] if classes else ["__target"])], 16)
+        return lambda part, some: {r["feature"]: r["information"] if classes else r["ratio"] for r in relevance(part, "__label", some, classes, cuts=cuts).collect()}
+
+    def _halve(self, frame: DataFrame, table: TableSpec, names: list[str], classes: int) -> list[str]:
         """Keeps the better half by univariate gain on twice as many rows each time; hashes of ids choose the rows."""
-        share = 1 / 4
+        share, judge = 1 / 4, None
         while len(names) > 2 * self.n_features and share <= 1:
+            judge = judge or self._judge(frame, names, classes)
             part = frame.filter(F.pmod(F.xxhash64(table.row_id), F.lit(1000)) < int(share * 1000)) if share < 1 else frame
-            gains = {r["feature"]: r["gain"] for r in univariate_gains(part, table.target, names).collect()}
+            gains = judge(part, names)
             names = sorted(names, key=lambda n: -(gains.get(n) or 0.0))[: max(len(names) // 2, self.n_features)]
             share *= 2
         return names
@@ -193,20 +208,19 @@ class ExpansionMethod(BaseMethod):
         done = Compiler().transform(df, specs)
         numeric = [n for n in done.names if is_number(done.frame.schema[n].dataType)]
         names = prefilter(done.frame, numeric, self.screen_to)
-        binary = self.task == "classification" and df.select(table.target).distinct().limit(3).count() == 2
+        evaluator = self.evaluator or Evaluator(task=self.task, model_params={"numTrees": 20, "maxDepth": 5})
+        data, classes = evaluator.labelled(done.frame, table.target)
         if self.order > 1:
             best = names
-            if binary and len(names) > self.paired:
-                gains = {r["feature"]: r["gain"] for r in univariate_gains(done.frame, table.target, names).collect()}
+            if len(names) > self.paired:
+                gains = self._judge(data, names, classes)(data, names)
                 best = sorted(names, key=lambda n: -(gains.get(n) or 0.0))
             products = interaction_specs(best[: self.paired])
             specs, done = specs + products, Compiler().transform(done.frame, products)
             names = prefilter(done.frame, names + done.names, self.screen_to)
-        if binary:
-            names = self._halve(done.frame, table, names)
-        evaluator = self.evaluator or Evaluator(task=self.task, model_params={"numTrees": 20, "maxDepth": 5})
+            data, classes = evaluator.labelled(done.frame, table.target)
+        names = self._halve(data, table, names, classes)
         if names:
-            data, _ = evaluator.labelled(done.frame, table.target)
             ready = data.select("__label", *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names]).filter("__label is not null")
             model = evaluator.models.get("random_forest", self.task, evaluator.seed, 2, len(names), numTrees=20, maxDepth=5).fit(VectorAssembler(inputCols=names, outputCol="features").transform(ready).withColumnRenamed("__label", "label"))
             self.importances = {n: float(model.featureImportances[i]) for i, n in enumerate(names)}
@@ -215,7 +229,8 @@ class ExpansionMethod(BaseMethod):
         wanted = list(best)
         for n in wanted:  # parents of second-order features come along
             wanted += [b for b in by_name[n].base_columns if b in by_name and b not in wanted]
-        self.specs, self.gains, self.fitted = [by_name[n] for n in reversed(wanted)], dict(self.importances), True
+        self.gains = dict(self.importances)
+        self._found(df, [by_name[n] for n in reversed(wanted)])
         return self
 
 

@@ -40,7 +40,10 @@ def _perceptron(task: str, seed: int, classes: int, width: int, **params: Any):
     from pyspark.ml.classification import MultilayerPerceptronClassifier
 
     if task != "classification":
-        raise EvaluationError("there is no perceptron for regression in pyspark.ml")
+        from tessera.operators.perceptron import Perceptron
+
+        names = {"maxIter": "steps", "layers": "hidden"}  # as pyspark.ml calls them; layers are the hidden ones here
+        return Perceptron(**{"seed": seed} | {names.get(k, k): v for k, v in params.items()})
     return MultilayerPerceptronClassifier(**{"layers": [width, 128, 64, max(classes, 2)], "maxIter": 500, "seed": seed} | params)
 
 
