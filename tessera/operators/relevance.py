@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.profile import is_number
 from tessera.operators.selection import quantiles_of
+from tessera.session import lasting
 
 
 def cuts_of(df: DataFrame, columns: list[str], bins: int) -> dict[str, list[float]]:
@@ -52,7 +53,8 @@ def relevance(df: DataFrame, target: str, columns: list[str], classes: int = 0,
     cuts = cuts or cuts_of(known, [*columns, *([] if classes else ["__target"])], bins)
     own = None if classes else cuts.get("__target") or cuts.get(target) or []
     made = known.mapInArrow(_counted(len(columns), [cuts[c] for c in columns], bins, classes or bins, own), "c int, b int, k int, n long, total double")
-    cells = made.groupBy("c", "b", "k").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))  # bounded from here on: columns, bins and classes
+    # counted once, and bounded from here on: columns, bins and classes
+    cells = lasting(made.groupBy("c", "b", "k").agg(F.sum("n").alias("n"), F.sum("total").alias("total")), "relevance")
     by_bin = cells.groupBy("c", "b").agg(F.sum("n").alias("of_bin"), F.sum("total").alias("total"))
     by_class = cells.groupBy("c", "k").agg(F.sum("n").alias("of_class"))
     whole = cells.groupBy("c").agg(F.sum("n").alias("rows"), F.sum("total").alias("sum"))
