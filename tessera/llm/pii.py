@@ -1,13 +1,17 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that reveal what they match.
 
 Base spans are e-mail and IP addresses, card and phone numbers, leftmost and without overlap in their kind. The other words
-of a document that holds one are its context, wherever they stand. Over the whole corpus, p(e), p(t) and p(e, t) are the
-shares of documents that hold an entity, hold a term, and hold the term in the entity's context. What a term discloses of
-an entity is their pointwise mutual information over the entity's own information,
-``log2(p(e|t) / p(e)) / -log2 p(e)``: 1 if the term appears only where the entity does. Low counts are smoothed: p(e) counts
-one document more with the entity and one without, and p(e|t) is drawn to p(e) with the weight of ``support`` texts, where
-copies of one text weigh as one; own information counts as one bit at least. In documents that hold the entity, every
-occurrence of a term from ``generalise_at`` on is generalised and from ``remove_at`` on removed. Texts without base spans stay as they are.
+of a document that holds one are its context, wherever they stand. What is protected are the values and their parts, which
+many documents may share: local part and domain, the first half of an IP address, the first six digits of a number. Over the
+whole corpus, p(e|t) is the share of the texts with the term t that hold the protected e too, drawn to p(e) with the weight of
+``support`` texts. ``-log2 p(e|t)`` are the bits that still hide e from who reads t: e's own information less the mutual
+information of both. They don't depend on the size of the table. A term with at most ``generalise_at`` bits is generalised, with
+at most ``remove_at`` bits removed, at every occurrence in the documents that hold e, if chance doesn't explain it: given that
+t occurs with e once, as every word of these documents does, the further texts with both must be so many that independent
+draws would reach them with a probability of ``chance`` at most, over all terms tested for e (Chernoff's bound). So a word seen once,
+or rare words met by chance, stay. A term that an e-mail address itself spells (``jane`` and ``doe`` in ``jane.doe@...``) is
+the only one tested for that: one text can be enough, if most texts with the term hold such an address as well.
+Copies of one text with e weigh as one. Texts without base spans stay as they are.
 
 Only DataFrame functions are used. Patterns are written so that Java's matcher neither recurses nor rescans: separators
 that can't be part of a match are first masked, one character for one, and runs are taken possessively.
@@ -18,6 +22,8 @@ their spans; offsets are code points, ends are exclusive. Columns of the input n
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +35,10 @@ MASK, MARK = "\u0001", "\u0003"
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 #: Terms are runs of letters, marks and digits.
 TERM, NO_TERM = r"[\p{L}\p{M}\p{N}]++", r"[^\p{L}\p{M}\p{N}]++"
-#: Candidate terms up to this many (some tens of bytes each) are broadcast when their documents are counted.
+#: Hashes of candidate terms (8 bytes each) up to this many are broadcast when their documents are counted.
 BROADCAST_TERMS = 200_000
+#: Pieces of addresses shorter than this aren't taken for names.
+LEAST_NAME = 3
 
 
 def marked_spans(text: Column, pattern: str, kind: int) -> Column:
@@ -110,34 +118,70 @@ def row_key(id_col: Column, text: Column) -> Column:
     return F.concat(F.coalesce(F.concat(F.lit("i"), id_col.cast("string")), F.lit("n")), F.lit(":"), text)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise_at: float, support: int, least_length: int, text_col: str) -> DataFrame:
-    """(key, term, disclosure) of the terms of a row that tell of one of its entities from ``generalise_at`` on.
+def protected(span: Column) -> Column:
+    """What a base span protects: its value and the parts of it that others may share."""
+    mail, number = F.lower(span["value"]), digits(span["value"])
+    local, domain = F.substring_index(mail, "@", 1), F.substring_index(mail, "@", -1)
+    return (
+        F.when(span["kind"] == 0, F.array(F.concat(F.lit("0:"), mail), F.concat(F.lit("local:"), local), F.concat(F.lit("domain:"), domain)))
+        .when(span["kind"] == 1, F.array(F.concat(F.lit("1:"), span["value"]), F.concat(F.lit("net:"), F.substring_index(span["value"], ".", 2))))
+        .otherwise(F.array(F.concat_ws(":", span["kind"].cast("string"), number), F.concat(F.lit("begin:"), span["kind"].cast("string"), F.lit(":"), F.substring(number, 1, 6))))
+    )
+
+
+def names_of(base: Column) -> Column:
+    """Pieces of e-mail addresses, but for the last of the domain."""
+    pieces = F.transform(F.filter(base, lambda s: s["kind"] == 0), lambda s: F.split(F.regexp_replace(F.lower(s["value"]), r"[.][a-z0-9-]+$", ""), "[^a-z0-9]+"))
+    return F.filter(F.flatten(pieces), lambda w: F.length(w) >= LEAST_NAME)
+
+
+def log_chance(hits: Column, expected: Column) -> Column:
+    """Chernoff's bound of the logarithm of the probability that independent draws reach ``hits``."""
+    return F.when(hits <= expected, 0.0).otherwise(hits * F.log(expected / hits) + hits - expected)
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise_at: float, support: int, chance: float, least_length: int, text_col: str) -> DataFrame:
+    """(key, term, bits): the terms of a row that leave at most ``generalise_at`` bits of what it protects, more than chance would.
 
-    Entities of the same rows are one class: they have the same terms and shares.
+    What the same rows hold is one class: it has the same terms and shares. A class of one text has no further texts to test.
     """
-    entity = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.when(s["kind"] == 0, F.lower(s["value"])).when(s["kind"] == 1, s["value"]).otherwise(digits(s["value"])))
-    entities = found.select("__key", "__text", "__rows", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
-    sets = entities.groupBy("entity").agg(F.sum("__rows").alias("n_e"), F.bit_xor(F.xxhash64("__key")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "__key")).alias("y"))
-    sets = sets.select("entity", "n_e", F.concat_ws(":", "n_e", "x", "y").alias("class"))
-    classes = scratch.table(entities.join(sets, "entity").select("__key", "__text", "__rows", "class", "n_e").distinct(), "classes")
-    near = classes.join(found.select("__key", "__words"), "__key").select("__key", "__text", "__rows", "class", "n_e", F.explode("__words").alias("term"))
-    pairs = near.groupBy("class", "n_e", "term").agg(F.sum("__rows").alias("n_et"), F.count_distinct("__text").alias("texts"))
-    pairs = scratch.table(pairs, "pairs")
-    terms = scratch.table(pairs.select("term").distinct(), "terms")
+    parts = found.select("__key", "__text", "__rows", F.explode(F.array_distinct(F.flatten(F.transform("base", protected)))).alias("entity"))
+    sets = parts.groupBy("entity").agg(F.sum("__rows").alias("rows_e"), F.count_distinct("__text").alias("n_e"), F.bit_xor(F.xxhash64("__key")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "__key")).alias("y"))
+    sets = sets.filter("n_e > 1").select("entity", "rows_e", "n_e", F.concat_ws(":", "rows_e", "x", "y").alias("class"))
+    classes = scratch.table(parts.join(sets, "entity").select("__key", "class", "rows_e", "n_e").distinct(), "classes")
+    near = classes.join(found.select("__key", "__text", "__rows", "__words"), "__key").select("__key", "__text", "__rows", "class", "rows_e", "n_e", F.explode("__words").alias("term"))
+    # copies of one text are added up before texts are counted
+    alike = near.groupBy("class", "rows_e", "n_e", "term", "__text").agg(F.sum("__rows").alias("rows"))
+    pairs = scratch.table(alike.groupBy("class", "rows_e", "n_e", "term").agg(F.sum("rows").alias("rows_et"), F.count("*").alias("n_et")), "pairs")
+    tests = pairs.groupBy("class").agg(F.count("*").alias("tests"))
+    several = pairs.filter("n_et > 1").join(tests, "class")
+    spelled = found.select("__key", "__text", "__rows", F.explode(F.array_intersect("__words", names_of(F.col("base")))).alias("term"))
+    spelled = scratch.table(spelled, "spelled")
+    alone = spelled.groupBy("term", "__text").agg(F.sum("__rows").alias("rows")).groupBy("term").agg(F.sum("rows").alias("rows_et"), F.count("*").alias("n_et"))
+    coded = lambda w: F.xxhash64(w)
+    terms = scratch.table(several.select(coded("term").alias("code")).union(alone.select(coded("term").alias("code"))).distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_col), NO_TERM))).alias("term")).filter(F.length("term") >= least_length)
+    held = words.select(coded("term").alias("code"))
     if terms.count() <= BROADCAST_TERMS:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    held = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    rows = docs.count()
-    told = pairs.join(held, "term", "left")
-    rare = (F.col("n_e") + 1) / F.lit(float(rows + 2))
-    known = (F.col("texts") + support * rare) / (F.greatest("n_t", "n_et") * F.col("texts") / F.col("n_et") + support)
-    gained, own = F.log2(known / rare), F.greatest(-F.log2(rare), F.lit(1.0))
-    told = scratch.table(told.select("class", "term", (gained / own).alias("disclosure")).filter(F.col("disclosure") >= generalise_at), "told")
-    return scratch.table(near.join(told, ["class", "term"]).groupBy("__key", "term").agg(F.max("disclosure").alias("disclosure")), "told-rows")
-
-
-def sanitise(spark: SparkSession, docs: DataFrame, generalise_at: float = 0.6, remove_at: float = 0.9, support: int = 2, least_length: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        held = held.join(F.broadcast(terms), "code", "left_semi")
+    held = scratch.table(held.groupBy("code").agg(F.count("*").alias("rows_t")), "held")
+    rows = float(docs.count())
+    told = several.withColumn("code", coded("term")).join(held, "code")
+    n_t = F.col("n_et") + F.greatest(F.col("rows_t") - F.col("rows_et"), F.lit(0))
+    texts = rows - F.col("rows_e") + F.col("n_e")
+    bits = -F.log2((F.col("n_et") + support * F.col("n_e") / texts) / (n_t + support))
+    luck = log_chance(F.col("n_et") - 1, (n_t - 1) * (F.col("n_e") - 1) / texts) + F.log("tests")
+    told = told.select("class", "term", bits.alias("bits"), luck.alias("luck")).filter((F.col("bits") <= generalise_at) & (F.col("luck") <= math.log(chance)))
+    told = scratch.table(told.select("class", "term", "bits"), "told")
+    named = alone.withColumn("code", coded("term")).join(held, "code")
+    texts = rows - F.col("rows_et") + F.col("n_et")
+    named = named.select("term", F.log2(n_t / F.col("n_et")).alias("bits"), log_chance(F.col("n_et"), n_t * F.col("n_et") / texts).alias("luck"))
+    named = scratch.table(named.filter((F.col("bits") <= generalise_at) & (F.col("luck") <= math.log(chance))).select("term", "bits"), "named")
+    both = near.join(told, ["class", "term"]).select("__key", "term", "bits").union(spelled.join(named, "term").select("__key", "term", "bits"))
+    return scratch.table(both.groupBy("__key", "term").agg(F.min("bits").alias("bits")), "told-rows")
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, generalise_at: float = 0.9, remove_at: float = 0.25, support: int = 2, chance: float = 0.05, least_length: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_email``, ``n_ip``, ``n_card``, ``n_phone``, ``base`` and ``spans`` (arrays of kind, start, end, value) and ``clean_text``.
 
     Base spans become ``[EMAIL]`` and so on; a generalised term becomes ``[TERM]``, a removed one nothing; of overlapping
@@ -156,14 +200,14 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise_at: float = 0.6, r
     found = found.groupBy("__key", "__text").agg(F.first("__t").alias("__t"), F.first("base").alias("base"), F.count("*").alias("__rows"))
     words = F.filter(F.array_distinct(F.transform(F.split(text, NO_TERM), lambda w: F.lower(w))), lambda w: F.length(w) >= least_length)
     found = scratch.table(found.withColumn("__words", words), "found")
-    told = disclosing_terms(docs, found, scratch, generalise_at, support, least_length, text_col)
+    told = disclosing_terms(docs, found, scratch, generalise_at, support, chance, least_length, text_col)
     # every second piece is a term; a row for each, as an array that grows by its terms would be copied for each of them
     pieces = found.join(told.select("__key").distinct(), "__key", "left_semi").select("__key", F.posexplode(F.split(F.regexp_replace(text, TERM, f"{MARK}$0{MARK}"), MARK, -1)).alias("place", "value"))
     upto = Window.partitionBy("__key").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = pieces.withColumn("end", F.sum(F.char_length("value")).over(upto).cast("int")).filter("place % 2 = 1")
     hits = pieces.select("__key", F.lower("value").alias("term"), (F.col("end") - F.char_length("value")).alias("start"), "end", "value").join(told, ["__key", "term"])
-    hits = hits.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "disclosure"))).alias("__terms"))
-    terms = F.transform("__terms", lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.when(t["disclosure"] >= remove_at, F.lit("")).otherwise(F.lit("[TERM]")).alias("value")))
+    hits = hits.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "bits"))).alias("__terms"))
+    terms = F.transform("__terms", lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.when(t["bits"] <= remove_at, F.lit("")).otherwise(F.lit("[TERM]")).alias("value")))
     known = found.select("__key", "base").join(hits, "__key", "left").select("__key", "base", F.coalesce(terms, F.expr(f"cast(array() as {SPAN})")).alias("__added"))
     row, added = unused(docs, "row_key", "added_terms")
     known = known.withColumnsRenamed({"__key": row, "__added": added})

@@ -178,53 +178,84 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert all(out[100 + i].clean_text == rows[6 + i][1] and not out[100 + i].spans for i in range(200))
 
 
-def test_terms_of_an_entity_that_one_text_holds(spark):
-    texts = ["Brunhowe can be reached under b@x.example on any day.", *["Ask Velmira under v@y.example on any day."] * 3]
-    texts += [f"On any day a report can be reached under {i}, ask." for i in range(300)]
-    out = {r.doc_id: r for r in pii.sanitise(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    terms = [{texts[i][s.start : s.end] for s in out[i].spans if s.kind == 4} for i in range(len(texts))]
-    assert terms[0] == {"Brunhowe"} and terms[1:4] == [{"Velmira"}] * 3 and not any(terms[4:])
-
-
-def test_terms_far_from_their_entity_and_short_ones(spark):
+@pytest.mark.parametrize("size", [400, 20_000])
+def test_names_and_terms_are_taken_and_rare_words_stay(spark, size):
+    """The same decisions at two sizes of the table: planted names and bound terms go, words seen once or by chance stay."""
     filler = "On any day a report can be reached, ask. "
-    texts = [f"Brunhowe: {filler * 9}b@x.example. {filler * 9}Ng, brunhowe and K77. 漢字", *[f"{filler}{i}" for i in range(300)]]
+    texts = [f"Velmira Osk: {filler}velmira.osk@y.example. Zwirbel {filler}Velmira", f"Krumhorn under b@x.example. {filler}"]
+    texts += [f"Item {i}: Quarnhilde, desk K77 漢字, is at help@corp.example. {filler * 3}Ng, quarnhilde of row {i}x{i * i}" for i in range(12)]
+    texts += [f"Lorsk a{i} {filler}c{i}@two.example" for i in range(2)]
+    planted = len(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = rows.union(spark.range(planted, size).selectExpr("id AS doc_id", f"concat('{filler}', id, ' item and row at desk')"))
+    out = {r.doc_id: r for r in pii.sanitise(spark, rows).filter("doc_id < 100 OR size(spans) > 0").collect()}
+    terms = [[texts[i][s.start : s.end] for s in out[i].spans if s.kind == 4] for i in range(planted)]
+    assert terms[0] == ["Velmira", "Osk", "Velmira"] and terms[1] == [] and terms[-2:] == [[], []]
+    assert all(t == ["Quarnhilde", "K77", "漢字", "is", "Ng", "quarnhilde", "of"] for t in terms[2:14])
+    assert out[0].clean_text == f" : {filler}[EMAIL]. Zwirbel {filler}" and not any(r.spans for i, r in out.items() if i >= planted)
+
+
+def test_names_that_many_texts_use_stay(spark):
+    texts = ["Ask the office: office@x.example or Brunhowe: brunhowe@x.example"] + [f"The office is open on day {i}" for i in range(300)]
     out = {r.doc_id: r for r in pii.sanitise(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    got = [texts[0][s.start : s.end] for s in out[0].spans if s.kind == 4]
-    assert got == ["Brunhowe", "Ng", "brunhowe", "and", "K77", "漢字"] and not any(out[i].spans for i in range(1, 301))
-    assert out[0].clean_text == f"[TERM]: {filler * 9}[EMAIL]. {filler * 9}[TERM], [TERM] [TERM] [TERM]. [TERM]"
+    assert [texts[0][s.start : s.end] for s in out[0].spans if s.kind == 4] == ["Brunhowe"] and not any(out[i].spans for i in range(1, 301))
 
 
-def test_terms_equal_brute_force(spark):
-    """Disclosure of every term, counted plainly."""
+def test_terms_equal_brute_force(spark, monkeypatch):
+    """Bits and chance of every term, counted plainly, with and without the broadcast of candidates."""
     rng = random.Random(12)
     texts = []
-    for i in range(160):
+    for i in range(400):
         w = [rng.choice(["on", "any", "day", "report", "ask", "of", f"t{rng.randrange(60)}", f"Name{rng.randrange(400)}"]) for _ in range(rng.randrange(3, 30))]
         if i % 4 == 0:
-            w.insert(rng.randrange(len(w)), f"u{rng.randrange(12)}@x.example")
+            u = rng.randrange(25)
+            w.insert(rng.randrange(len(w)), f"user{u}@d{u % 7}.example")
+            w.insert(rng.randrange(len(w)), f"Bound{u}")
+            w.extend([f"user{u}"] * (u % 3 == 0))
         texts.append(" ".join(w))
-    texts += [texts[0], texts[4]]
-    mail, word = re.compile(r"u[0-9]+@x\.example"), re.compile(r"\w+")
+    texts += [texts[0], texts[4], texts[4]]
+    mail, word = re.compile(r"user[0-9]+@d[0-9]\.example"), re.compile(r"\w+")
     context = [{w.lower() for w in word.findall(mail.sub(lambda m: " " * len(m.group()), t))} for t in texts]
     whole = [{w.lower() for w in word.findall(t)} for t in texts]
-    held = [set(mail.findall(t)) for t in texts]
-    told = defaultdict(set)
+    held = [{x for m in mail.findall(t) for x in (m, "local:" + m.split("@")[0], "domain:" + m.split("@")[1])} for t in texts]
+    spelled = [{x for m in mail.findall(t) for x in re.split("[@.]", m)[:-1] if len(x) >= 3} for t in texts]
+    bound = lambda hits, expected: 0.0 if hits <= expected else hits * math.log(expected / hits) + hits - expected
+    told, limit, unlucky = [{} for _ in texts], math.log(0.05), 0
+
+    def put(i, t, bits):
+        told[i][t] = min(bits, told[i].get(t, 99.0))
+
     for e in set().union(*held):
         own = [i for i in range(len(texts)) if e in held[i]]
-        rare = (len(own) + 1) / (len(texts) + 2)
-        for t in set().union(*(context[i] for i in own)):
+        n_e = len({texts[i] for i in own})
+        tested = set().union(*(context[i] for i in own))
+        for t in tested:
             both = [i for i in own if t in context[i]]
-            n_t, copies = sum(t in w for w in whole), len({texts[i] for i in both})
-            known = (copies + 2 * rare) / (max(n_t, len(both)) * copies / len(both) + 2)
-            if math.log2(known / rare) / max(-math.log2(rare), 1) >= 0.6:
+            n_et = len({texts[i] for i in both})
+            n_t, n = n_et + max(sum(t in w for w in whole) - len(both), 0), len(texts) - len(own) + n_e
+            bits = -math.log2((n_et + 2 * n_e / n) / (n_t + 2))
+            if n_et > 1 and bits <= 0.9:
+                if bound(n_et - 1, (n_t - 1) * (n_e - 1) / n) + math.log(len(tested)) <= limit:
+                    for i in both:
+                        put(i, t, bits)
+                else:
+                    unlucky += 1
+    for t in set().union(*spelled):
+        both = [i for i in range(len(texts)) if t in spelled[i] and t in context[i]]
+        n_et = len({texts[i] for i in both})
+        if n_et:
+            n_t, n = n_et + max(sum(t in w for w in whole) - len(both), 0), len(texts) - len(both) + n_et
+            if math.log2(n_t / n_et) <= 0.9 and bound(n_et, n_t * n_et / n) <= limit:
                 for i in both:
-                    told[i].add(t)
-    assert sum(map(len, told.values())) > 20 and any(told[i] != context[i] for i in told)
-    rows = pii.sanitise(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    for r in rows:
-        want = [(m.start(), m.end()) for m in word.finditer(mail.sub(lambda m: " " * len(m.group()), r.text)) if m.group().lower() in told[r.doc_id]]
-        assert [(s.start, s.end) for s in r.spans if s.kind == 4] == want
+                    put(i, t, math.log2(n_t / n_et))
+    assert sum(map(len, told)) > 50 and unlucky and any(b <= 0.25 for d in told for b in d.values())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (pii.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+        for r in pii.sanitise(spark, df).collect():
+            plain = mail.sub(lambda m: " " * len(m.group()), r.text)
+            want = [(m.start(), m.end(), "" if told[r.doc_id][m.group().lower()] <= 0.25 else "[TERM]") for m in word.finditer(plain) if m.group().lower() in told[r.doc_id]]
+            assert [(s.start, s.end, s.value) for s in r.spans if s.kind == 4] == want
 
 
 def test_pii_odd_rows(spark, odd_docs, no_docs):
