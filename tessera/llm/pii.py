@@ -89,6 +89,11 @@ def base_spans(text: Column) -> list[Column]:
     ]
 
 
+def may_hold(text: Column) -> Column:
+    """Whether ``text`` has what every base span has, which is cheap to see."""
+    return F.contains(text, F.lit("@")) | F.contains(text, F.lit("+")) | text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[ -]?[0-9]){12}")
+
+
 def clean_of_marks(text: Column) -> Column:
     """``text`` with the characters that serve as mask and mark replaced, one for one, by another that nothing matches."""
     text = F.coalesce(text, F.lit(""))
@@ -141,44 +146,43 @@ def log_chance(hits: Column, expected: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, generalise_at: float, support: int, chance: float, least_length: int, text_col: str) -> DataFrame:
-    """(key, term, bits): the terms of a row that leave at most ``generalise_at`` bits of what it protects, more than chance would.
+    """(text, code, bits): the terms (their hashes) of a text that leave at most ``generalise_at`` bits of what it protects, more than chance would.
 
-    What the same rows hold is one class: it has the same terms and shares. A class of one text has no further texts to test.
+    What the same texts hold is one class: it has the same terms and shares. A class of one text has no further texts to test.
     """
-    parts = found.select("__key", "__text", "__rows", F.explode(F.array_distinct(F.flatten(F.transform("base", protected)))).alias("entity"))
-    sets = parts.groupBy("entity").agg(F.sum("__rows").alias("rows_e"), F.count_distinct("__text").alias("n_e"), F.bit_xor(F.xxhash64("__key")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "__key")).alias("y"))
-    sets = sets.filter("n_e > 1").select("entity", "rows_e", "n_e", F.concat_ws(":", "rows_e", "x", "y").alias("class"))
-    classes = scratch.table(parts.join(sets, "entity").select("__key", "class", "rows_e", "n_e").distinct(), "classes")
-    near = classes.join(found.select("__key", "__text", "__rows", "__words"), "__key").select("__key", "__text", "__rows", "class", "rows_e", "n_e", F.explode("__words").alias("term"))
-    # copies of one text are added up before texts are counted
-    alike = near.groupBy("class", "rows_e", "n_e", "term", "__text").agg(F.sum("__rows").alias("rows"))
-    pairs = scratch.table(alike.groupBy("class", "rows_e", "n_e", "term").agg(F.sum("rows").alias("rows_et"), F.count("*").alias("n_et")), "pairs")
+    texts = scratch.table(found.groupBy("__text").agg(F.first("base").alias("base"), F.first("__words").alias("__words"), F.sum("__rows").alias("__rows")), "texts")
+    parts = texts.select("__text", "__rows", F.explode(F.array_distinct(F.flatten(F.transform("base", protected)))).alias("entity"))
+    sets = parts.groupBy("entity").agg(F.sum("__rows").alias("rows_e"), F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("__text")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "__text")).alias("y"))
+    sets = sets.filter("n_e > 1").select("entity", "rows_e", "n_e", F.xxhash64("rows_e", "n_e", "x", "y").alias("class"))
+    classes = scratch.table(parts.join(sets, "entity").select("__text", "class", "rows_e", "n_e").distinct(), "classes")
+    near = classes.join(texts.select("__text", "__rows", "__words"), "__text").select("__text", "__rows", "class", "rows_e", "n_e", F.explode("__words").alias("code"))
+    pairs = near.groupBy("class", "code").agg(F.sum("__rows").alias("rows_et"), F.count("*").alias("n_et"), F.max("rows_e").alias("rows_e"), F.max("n_e").alias("n_e"))
+    pairs = scratch.table(pairs, "pairs")
     tests = pairs.groupBy("class").agg(F.count("*").alias("tests"))
     several = pairs.filter("n_et > 1").join(tests, "class")
-    spelled = found.select("__key", "__text", "__rows", F.explode(F.array_intersect("__words", names_of(F.col("base")))).alias("term"))
+    spelled = texts.select("__text", "__rows", F.explode(F.array_intersect("__words", F.transform(names_of(F.col("base")), lambda w: F.xxhash64(w)))).alias("code"))
     spelled = scratch.table(spelled, "spelled")
-    alone = spelled.groupBy("term", "__text").agg(F.sum("__rows").alias("rows")).groupBy("term").agg(F.sum("rows").alias("rows_et"), F.count("*").alias("n_et"))
-    coded = lambda w: F.xxhash64(w)
-    terms = scratch.table(several.select(coded("term").alias("code")).union(alone.select(coded("term").alias("code"))).distinct(), "terms")
+    alone = spelled.groupBy("code").agg(F.sum("__rows").alias("rows_et"), F.count("*").alias("n_et"))
+    terms = scratch.table(several.select("code").union(alone.select("code")).distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_col), NO_TERM))).alias("term")).filter(F.length("term") >= least_length)
-    held = words.select(coded("term").alias("code"))
+    held = words.select(F.xxhash64("term").alias("code"))
     if terms.count() <= BROADCAST_TERMS:
         held = held.join(F.broadcast(terms), "code", "left_semi")
     held = scratch.table(held.groupBy("code").agg(F.count("*").alias("rows_t")), "held")
     rows = float(docs.count())
-    told = several.withColumn("code", coded("term")).join(held, "code")
+    told = several.join(held, "code")
     n_t = F.col("n_et") + F.greatest(F.col("rows_t") - F.col("rows_et"), F.lit(0))
-    texts = rows - F.col("rows_e") + F.col("n_e")
-    bits = -F.log2((F.col("n_et") + support * F.col("n_e") / texts) / (n_t + support))
-    luck = log_chance(F.col("n_et") - 1, (n_t - 1) * (F.col("n_e") - 1) / texts) + F.log("tests")
-    told = told.select("class", "term", bits.alias("bits"), luck.alias("luck")).filter((F.col("bits") <= generalise_at) & (F.col("luck") <= math.log(chance)))
-    told = scratch.table(told.select("class", "term", "bits"), "told")
-    named = alone.withColumn("code", coded("term")).join(held, "code")
-    texts = rows - F.col("rows_et") + F.col("n_et")
-    named = named.select("term", F.log2(n_t / F.col("n_et")).alias("bits"), log_chance(F.col("n_et"), n_t * F.col("n_et") / texts).alias("luck"))
-    named = scratch.table(named.filter((F.col("bits") <= generalise_at) & (F.col("luck") <= math.log(chance))).select("term", "bits"), "named")
-    both = near.join(told, ["class", "term"]).select("__key", "term", "bits").union(spelled.join(named, "term").select("__key", "term", "bits"))
-    return scratch.table(both.groupBy("__key", "term").agg(F.min("bits").alias("bits")), "told-rows")
+    size = rows - F.col("rows_e") + F.col("n_e")
+    bits = -F.log2((F.col("n_et") + support * F.col("n_e") / size) / (n_t + support))
+    luck = log_chance(F.col("n_et") - 1, (n_t - 1) * (F.col("n_e") - 1) / size) + F.log("tests")
+    told = told.select("class", "code", bits.alias("bits"), luck.alias("luck")).filter((F.col("bits") <= generalise_at) & (F.col("luck") <= math.log(chance)))
+    told = scratch.table(told.select("class", "code", "bits"), "told")
+    named = alone.join(held, "code")
+    size = rows - F.col("rows_et") + F.col("n_et")
+    named = named.select("code", F.log2(n_t / F.col("n_et")).alias("bits"), log_chance(F.col("n_et"), n_t * F.col("n_et") / size).alias("luck"))
+    named = scratch.table(named.filter((F.col("bits") <= generalise_at) & (F.col("luck") <= math.log(chance))).select("code", "bits"), "named")
+    both = near.join(told, ["class", "code"]).select("__text", "code", "bits").union(spelled.join(named, "code").select("__text", "code", "bits"))
+    return scratch.table(both.groupBy("__text", "code").agg(F.min("bits").alias("bits")), "told-texts")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, generalise_at: float = 0.9, remove_at: float = 0.25, support: int = 2, chance: float = 0.05, least_length: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,25 +197,29 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise_at: float = 0.9, r
     text = F.col("__t")
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     prepared = docs.select(row_key(F.col(id_col), key).alias("__key"), key.alias("__text"), clean_of_marks(F.col(text_col)).alias("__t"))
-    holding = prepared.filter(F.contains(text, F.lit("@")) | F.contains(text, F.lit("+")) | text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:[ -]?[0-9]){12}"))
+    holding = prepared.filter(may_hold(text))
     spans = holding.select("__key", "__text", "__t", *[c.alias(f"__{k}") for c, k in zip(base_spans(text), KINDS, strict=False)])
     spans = spans.withColumn("base", F.concat(*[F.col(f"__{k}") for k in KINDS[:4]])).filter(F.size("base") > 0)
     found = spans.select("__key", "__text", blanked(text, F.col("base")).alias("__t"), "base")
     found = found.groupBy("__key", "__text").agg(F.first("__t").alias("__t"), F.first("base").alias("base"), F.count("*").alias("__rows"))
     words = F.filter(F.array_distinct(F.transform(F.split(text, NO_TERM), lambda w: F.lower(w))), lambda w: F.length(w) >= least_length)
+    words = F.transform(words, lambda w: F.xxhash64(w))
     found = scratch.table(found.withColumn("__words", words), "found")
     told = disclosing_terms(docs, found, scratch, generalise_at, support, chance, least_length, text_col)
     # every second piece is a term; a row for each, as an array that grows by its terms would be copied for each of them
-    pieces = found.join(told.select("__key").distinct(), "__key", "left_semi").select("__key", F.posexplode(F.split(F.regexp_replace(text, TERM, f"{MARK}$0{MARK}"), MARK, -1)).alias("place", "value"))
+    pieces = found.join(told.select("__text").distinct(), "__text", "left_semi").select("__key", "__text", F.posexplode(F.split(F.regexp_replace(text, TERM, f"{MARK}$0{MARK}"), MARK, -1)).alias("place", "value"))
     upto = Window.partitionBy("__key").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = pieces.withColumn("end", F.sum(F.char_length("value")).over(upto).cast("int")).filter("place % 2 = 1")
-    hits = pieces.select("__key", F.lower("value").alias("term"), (F.col("end") - F.char_length("value")).alias("start"), "end", "value").join(told, ["__key", "term"])
+    hits = pieces.select("__key", "__text", F.xxhash64(F.lower("value")).alias("code"), (F.col("end") - F.char_length("value")).alias("start"), "end", "value").join(told, ["__text", "code"])
     hits = hits.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value", "bits"))).alias("__terms"))
     terms = F.transform("__terms", lambda t: F.struct(F.lit(4).alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.when(t["bits"] <= remove_at, F.lit("")).otherwise(F.lit("[TERM]")).alias("value")))
     known = found.select("__key", "base").join(hits, "__key", "left").select("__key", "base", F.coalesce(terms, F.expr(f"cast(array() as {SPAN})")).alias("__added"))
     row, added = unused(docs, "row_key", "added_terms")
     known = known.withColumnsRenamed({"__key": row, "__added": added})
-    out = docs.join(known, row_key(F.col(id_col), key) == F.col(row), "left")
+    # rows that can't hold a span aren't shuffled with their texts
+    mine = may_hold(clean_of_marks(F.col(text_col)))
+    rest = docs.filter(~mine).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in known.schema])
+    out = docs.filter(mine).join(known, row_key(F.col(id_col), key) == F.col(row), "left").unionByName(rest)
     none = F.expr(f"cast(array() as {SPAN})")
     out = out.withColumn("base", F.coalesce("base", none)).withColumn(added, F.coalesce(added, none))
     many = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
