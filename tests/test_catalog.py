@@ -43,3 +43,19 @@ def test_every_query_of_the_entry_is_named_once():
     import __spark_entry__ as entry
 
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["expand_order1", "expand_order2"])
+def test_expansions_of_zeros_and_nulls(spark, tmp_path, name):
+    import duckdb
+
+    customer = [(1, 0.0, 3, "A"), (2, 5.25, 4, "A"), (3, -2.5, 5, "B"), (4, 7.5, 6, None), (5, 9.0, 7, None), (6, None, 8, "B"), (7, 1.5, 9, "=null")]
+    spark.createDataFrame(customer, "c_custkey long, c_acctbal double, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 0.0, "F", "1"), (2, 5.0, "F", "1"), (3, 3.0, "O", "2")], "o_orderkey long, o_totalprice double, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for table in ("customer", "orders"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    theirs = con.execute(ORACLES[name])
+    names = [d[0] for d in theirs.description]
+    ours = QUERIES[name](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(tuple(plain(v) for v in r) for r in ours) == sorted(tuple(plain(v) for v in r) for r in theirs.fetchall())
