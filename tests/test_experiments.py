@@ -68,6 +68,11 @@ def test_matrix(spark):
     assert rows[1]["method_config"] == {} and {r["method"] for r in rows} == {"x", "y"} and ExperimentMatrix().generate() == []
 
 
+def test_partitions_of_a_matrix_are_those_of_one_axis(spark):
+    df = ExperimentMatrix().datasets("a", "b").methods("x").models("m").seeds(1, 2, 3).to_frame(spark)
+    assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and df.distinct().count() == 6
+
+
 def test_runner_keeps_failures_and_order(tmp_path):
     def fn(config):
         if config["i"] == 1:
