@@ -59,3 +59,15 @@ def test_expansions_of_zeros_and_nulls(spark, tmp_path, name):
     names = [d[0] for d in theirs.description]
     ours = QUERIES[name](spark, str(tmp_path)).select(*names).collect()
     assert sorted(tuple(plain(v) for v in r) for r in ours) == sorted(tuple(plain(v) for v in r) for r in theirs.fetchall())
+
+
+def test_digits_are_counted_by_runs(spark, tmp_path):
+    from tessera.plans.catalog import Tables, text_features
+
+    texts = ["", "a1b22 c", "123", "no digits\nhere", "１2é３4", None]
+    spark.createDataFrame([(i, x, "s") for i, x in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0) for i in range(len(texts))], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    made = text_features(Tables(spark, str(tmp_path)))
+    want = [None if x is None else sum(c in "0123456789" for c in x) / max(len(x), 1) for x in texts]
+    assert [r.digits for r in made.orderBy("doc_id").collect()] == want
+    assert "[^0-9]+" in made._jdf.queryExecution().optimizedPlan().toString()
