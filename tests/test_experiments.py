@@ -156,3 +156,19 @@ def test_runs_that_end_together_lose_no_event(spark, tmp_path):
     assert found is not None
     scores = [r.number for r in read_events(spark, at).filter("name = 'score'").collect()]
     assert sorted(scores) == [float(i) for i in range(20)]
+
+
+def test_methods_compute_their_table_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [(i, float(i % 17), float(i * i % 29), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, y int").mapInArrow(counted, "id int, a double, b double, y int")
+    bundles = compare_methods(MethodRegistry(None), ["expansion"], df, TableSpec("id", "y"), {"expansion": {"n_features": 3, "screen_to": 8}})
+    assert bundles["expansion"].error is None and read.value == 60
+    kept = df.storageLevel
+    assert not (kept.useMemory or kept.useDisk)
